@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; the column lang stays as it came."""
     found = language_id.identify(docs, language_id.fit(docs))
-    return found.where("not language.rejected").select(*docs.columns)
+    return found.where("not _language.rejected").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that a document of smaller id has too; those with no word left go."""
-    clean = phrase_dedup.remove_repeats(docs).where("dedup.n_removed < dedup.n_words")
-    clean = clean.withColumn("text", F.col("dedup.kept_text")).withColumn("n_chars", F.length("text").cast("long"))
+    clean = phrase_dedup.remove_repeats(docs).where("_dedup.n_removed < _dedup.n_words")
+    clean = clean.withColumn("text", F.col("_dedup.kept_text")).withColumn("n_chars", F.length("text").cast("long"))
     return clean.select(*docs.columns)
 
 

@@ -17,25 +17,27 @@ from stratalex.llm.common import splitmix
 
 HASHES = 3
 PARAGRAPH = re.compile(r"[^\n.!?|]*[\n.!?|]+\s*|[^\n.!?|]+")
-LONG_PIECE = 200
+#: Longer pieces are cut, in texts of over SHORT_TEXT code points and in shorter ones.
+LONG_PIECE, SMALL_PIECE, SHORT_TEXT = 200, 30, 600
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def paragraphs(text: str) -> list[str]:
-    """The paragraphs of a text: lines, cut after the ends of sentences; longer ones after words whose hash is 0 modulo 8.
+    """The paragraphs of a text: lines, cut after the ends of sentences; longer ones after words whose hash is 0 modulo 4.
 
     Where a cut falls depends on the words before it alone, so an edit moves
     few cuts.
     """
     out = []
+    most = LONG_PIECE if len(text) > SHORT_TEXT else SMALL_PIECE
     for p in PARAGRAPH.findall(text):
-        if len(p) <= LONG_PIECE:
+        if len(p) <= most:
             out.append(p)
             continue
         held: list[str] = []
         for w in re.findall(r"\S+\s*|\s+", p):
             held.append(w)
-            if xxhash.xxh32_intdigest(w.rstrip()) % 8 == 0:
+            if xxhash.xxh32_intdigest(w.rstrip()) % 4 == 0:
                 out.append("".join(held))
                 held = []
         if held:

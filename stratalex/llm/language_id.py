@@ -23,34 +23,32 @@ def letters(codes: np.ndarray) -> np.ndarray:
     return _LETTER[0][codes]
 
 
-def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of every subword of whole texts: n-grams of letters, with one mark for a word's edge."""
+def subwords(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(text, bucket) arrays of the subwords of whole texts, one pair for each order: n-grams of letters with one mark for a word's edge."""
     padded = [f" {t.lower()} " for t in texts]
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(np.arange(len(texts)), [len(p) for p in padded])
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(p) for p in padded])
     letter = letters(codes)
-    codes = np.where(letter, codes, 0).astype(np.uint64)
-    own, bucket = [], []
-    for n in ORDERS:
+    codes = np.where(letter, codes, 0).astype(np.uint32) * np.uint32(0x9E3779B1)
+    out = []
+    h = np.full(len(codes), 0x811C9DC5, np.uint32)
+    for n in range(1, max(ORDERS) + 1):
         m = len(codes) - n + 1
         if m <= 0:
-            continue
-        ok = np.ones(m, bool)
+            break
+        h = (h[:m] ^ codes[n - 1 :]) * np.uint32(0x85EBCA6B)
+        h ^= h >> np.uint32(15)
         if n == 1:
-            ok = letter.copy()
+            ok = letter
         elif n == 2:
             ok = letter[:-1] | letter[1:]
         else:
-            for k in range(1, n - 1):
-                ok &= letter[k : m + k]
+            ok = letter[1 : m + 1]
+            for k in range(2, n - 1):
+                ok = ok & letter[k : m + k]
         at = np.flatnonzero(ok)
-        h = np.full(len(at), n, np.uint64)
-        for k in range(n):
-            h = (h ^ codes[at + k]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        own.append(owner[at])
-        bucket.append((h & np.uint64(BUCKETS - 1)).astype(np.int64))
-    return np.concatenate(own), np.concatenate(bucket)
+        out.append((owner[at], (h[at] >> np.uint32(5)) & np.uint32(BUCKETS - 1)))
+    return out
 
 
 @dataclass(frozen=True)
@@ -73,11 +71,13 @@ class Model:
             while to < len(texts) and (size == 0 or size + len(texts[to]) < 300_000):
                 size += len(texts[to])
                 to += 1
-            own, bucket = subwords(texts[at:to])
-            n = np.bincount(own, minlength=to - at)
-            for c in range(len(self.langs)):
-                out[at:to, c] = np.bincount(own, self.table[bucket, c], to - at)
-            counts[at:to] = n
+            for own, bucket in subwords(texts[at:to]):
+                n = np.bincount(own, minlength=to - at)
+                full = np.flatnonzero(n)
+                if len(full) and self.langs:
+                    starts = (np.cumsum(n) - n)[full]
+                    out[at + full] += np.add.reduceat(self.table[bucket], starts, axis=0, dtype=np.float64)
+                counts[at:to] += n
             at = to
         return out / np.maximum(counts, 1)[:, None] + self.bias, counts
 
@@ -95,22 +95,23 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True) if z.shape[1] else z
 
 
-def train(samples: list[tuple[str, str]], epochs: int = 6, rate: float = 0.6, seed: int = 7) -> Model:
+def train(samples: list[tuple[str, str]], epochs: int = 5, rate: float = 0.5, scale: float = 20.0, seed: int = 7) -> Model:
     """Fit on (language, text) samples. A fifth is held back to fit the temperature and the rejection threshold.
 
-    The threshold rejects one in a thousand of the held-back texts at most,
-    and never a text whose probability is over one half.
+    ``scale`` multiplies the averaged embedding. The threshold rejects one in a
+    thousand of the held-back texts at most, and never a text whose probability
+    is over one half.
     """
     rng = np.random.default_rng(seed)
     samples = [s for s in samples if s[0] is not None and any(map(str.isalpha, s[1] or ""))]
     langs = tuple(sorted({s[0] for s in samples}))
     if not langs:
-        return Model((), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
+        return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     order = rng.permutation(len(samples))
     back, use = order[: len(samples) // 5], order[len(samples) // 5 :]
     rows = []
     for lang, text in samples:
-        _, b = subwords([text])
+        b = np.concatenate([bucket for _, bucket in subwords([text])])
         u, c = np.unique(b, return_counts=True)
         rows.append((langs.index(lang), u, (c / c.sum()).astype(np.float32)))
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
@@ -126,16 +127,16 @@ def train(samples: list[tuple[str, str]], epochs: int = 6, rate: float = 0.6, se
             wt = np.concatenate([rows[i][2] for i in batch])
             sizes = np.array([len(rows[i][1]) for i in batch])
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            hidden = np.add.reduceat(emb[idx] * wt[:, None], starts, axis=0)
+            hidden = np.add.reduceat(emb[idx] * wt[:, None], starts, axis=0) * scale
             grad = softmax(hidden @ out + bias)
             grad[np.arange(len(y)), y] -= 1
             now = rate * (1 - step / steps)
             back_grad = grad @ out.T
-            out -= now * hidden.T @ grad
-            bias -= now * grad.sum(axis=0) / len(y)
-            np.subtract.at(emb, idx, now * np.repeat(back_grad, sizes, axis=0) * wt[:, None] * 50)
+            out -= now * hidden.T @ grad / len(y)
+            bias -= now * grad.mean(axis=0)
+            np.subtract.at(emb, idx, now * scale / len(y) * np.repeat(back_grad, sizes, axis=0) * wt[:, None])
             step += 1
-    table = (emb @ out).astype(np.float64)
+    table = (emb @ out) * np.float32(scale)
     model = Model(langs, table, bias.astype(np.float64), 1.0, 0.0)
     if not len(back):
         return model
@@ -189,7 +190,7 @@ def fit(docs: DataFrame, per_language: int = 400, windows: int = 3, window_words
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with the struct ``language`` (lang, score, rejected); all other columns stay.
+    """``docs`` with the struct ``_language`` (lang, score, rejected); all other columns stay.
 
     Only the text is an input. Whole texts are read, with no shuffle. A null
     text or one without a letter is ``und`` with score 0, and rejected; others
@@ -208,6 +209,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bad, pa.bool_())],
                 names=["lang", "score", "rejected"],
             )
-            yield pa.RecordBatch.from_arrays([*batch.columns, extra], names=[*batch.schema.names, "language"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, extra], names=[*batch.schema.names, "_language"])
 
-    return docs.mapInArrow(run, f"{flat}, language struct<lang: string, score: double, rejected: boolean>")
+    return docs.mapInArrow(run, f"{flat}, _language struct<lang: string, score: double, rejected: boolean>")

@@ -126,7 +126,7 @@ def _confirmed(rows: DataFrame, key: str) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
-    """All rows and columns of ``docs``, with ``kept_text``, ``n_words`` and ``n_removed`` in the struct ``dedup``.
+    """All rows and columns of ``docs``, with ``kept_text``, ``n_words`` and ``n_removed`` in the struct ``_dedup``.
 
     A window is 13 words in a row of one document; a word goes if a window that
     covers it also starts in a document with a smaller id. Kept words keep the
@@ -166,7 +166,7 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", b
 
     out_schema = plain.schema
     flat = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out_schema)
-    schema = f"{flat}, dedup struct<kept_text: string, n_words: bigint, n_removed: bigint>"
+    schema = f"{flat}, _dedup struct<kept_text: string, n_words: bigint, n_removed: bigint>"
 
     def clean(key, left: pa.Table, right: pa.Table) -> pa.Table:
         table, words, ids, known = _read(left.column("blob")[0].as_py(), ident, text)
@@ -190,7 +190,7 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", b
             [pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())],
             names=["kept_text", "n_words", "n_removed"],
         )
-        return table.append_column("dedup", extra)
+        return table.append_column("_dedup", extra)
 
     return blocks.groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(clean, schema)
 
@@ -271,6 +271,6 @@ def kept_words_digest(cleaned: DataFrame, ident: str = "doc_id") -> DataFrame:
             yield pa.record_batch([*cols, pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     flat = cleaned.select(
-        F.col(ident).alias("doc_id"), "dedup.n_words", "dedup.n_removed", F.col("dedup.kept_text").cast("binary").alias("kept")
+        F.col(ident).alias("doc_id"), "_dedup.n_words", "_dedup.n_removed", F.col("_dedup.kept_text").cast("binary").alias("kept")
     )
     return flat.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -66,7 +66,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs))
     return found.select(
-        "doc_id", language_id.held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score", "language.rejected"
+        "doc_id", language_id.held_out().alias("held_out"), F.col("_language.lang").alias("lang_pred"), "_language.score", "_language.rejected"
     )
 
 
