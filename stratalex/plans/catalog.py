@@ -1,4 +1,6 @@
-"""All queries of the reference operators with their DuckDB SQL."""
+"""All queries of the engine with their DuckDB SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from stratalex.plans import statistics  # noqa: F401
+from stratalex.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
