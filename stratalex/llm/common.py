@@ -1,87 +1,20 @@
-"""Helpers shared by the corpus operators: shared tables, components, blocks."""
+"""Helpers shared by the corpus operators: blocks of rows, and what the rest of the library offers."""
 
 from __future__ import annotations
 
 import io
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 import pyarrow.ipc  # noqa: F401  (pa.ipc)
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from stratalex.operators.graph import connected_components
+from stratalex.session import drop_path, materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor can read and write.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder is made and kept for the session.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stratalex-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a table in the shared folder; the table read back, and its path.
-
-    This cuts the lineage: a later loss of an executor costs no more than a
-    read of the table.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a table that ``materialize`` wrote."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for each node of ``edges`` (a, b); component = smallest node reachable.
-
-    Alternating large-star and small-star steps: each round is two shuffles of
-    the remaining edges, and the number of rounds grows with the logarithm of
-    the longest chain. Nothing is collected but one count and one hash sum.
-    """
-    spark = edges.sparkSession
-    cur, path = materialize(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc"
-    )
-    mark = None
-    for _ in range(max_rounds):
-        now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if mark == now or not now[0]:
-            break
-        mark = now
-        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (
-            both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = (
-            small.where("v <> m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        nxt, nxt_path = materialize(small, "cc")
-        drop_path(spark, path)
-        cur, path = nxt, nxt_path
-    else:
-        raise RuntimeError("components did not settle")
-    leaves = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return leaves.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+__all__ = ["blob_to_table", "chunks", "connected_components", "drop_path", "materialize", "pack_blocks", "shared_dir", "splitmix", "table_to_blob"]
 
 
 def pack_blocks(df: DataFrame, block_bytes: int) -> DataFrame:
