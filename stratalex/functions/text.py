@@ -61,7 +61,7 @@ SUFFIX_TAGS = {
     "l": "NOUN", "r": "NOUN_AGT", "m": "NOUN_ACC", "s": "NOUN_PL",
 }
 # Two alphabets for writing words anew, longest source first.
-CURRIER = {"cth": "U", "ckh": "V", "cph": "W", "cfh": "X", "iii": "Z", "sh": "S", "ch": "C", "ii": "J", "qo": "Q", "ee": "E"}
+MERGED = {"cth": "U", "ckh": "V", "cph": "W", "cfh": "X", "iii": "Z", "sh": "S", "ch": "C", "ii": "J", "qo": "Q", "ee": "E"}
 FUNCTIONAL = {
     "iiii": "I", "iii": "I", "ch": "B", "sh": "B", "ol": "L", "or": "L", "al": "L", "ar": "L", "ii": "I",
     "k": "G", "t": "G", "p": "G", "f": "G",

@@ -255,9 +255,9 @@ def _rewrite_sql(alphabet):
     return s
 
 
-@query(f"WITH {TOKENS}, {_T} SELECT tok, {_rewrite_sql(ft.CURRIER)} AS merged, {_rewrite_sql(ft.FUNCTIONAL)} AS functional FROM types")
+@query(f"WITH {TOKENS}, {_T} SELECT tok, {_rewrite_sql(ft.MERGED)} AS merged, {_rewrite_sql(ft.FUNCTIONAL)} AS functional FROM types")
 def retranscribe(spark, sf):
-    return _types(spark, sf).select("tok", ft.rewrite(F.col("tok"), ft.CURRIER).alias("merged"), ft.rewrite(F.col("tok"), ft.FUNCTIONAL).alias("functional"))
+    return _types(spark, sf).select("tok", ft.rewrite(F.col("tok"), ft.MERGED).alias("merged"), ft.rewrite(F.col("tok"), ft.FUNCTIONAL).alias("functional"))
 
 
 _TAGS = "CASE " + " ".join(f"WHEN tok LIKE '%{s}' AND length(tok) > {len(s)} THEN '{ft.SUFFIX_TAGS[s]}'" for s in sorted(ft.SUFFIX_TAGS, key=lambda x: -len(x))) + " ELSE 'UNK' END"

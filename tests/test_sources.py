@@ -9,7 +9,7 @@ from stratalex.streaming import events as ev
 
 
 def test_transliteration(spark, tmp_path):
-    (tmp_path / "a.txt").write_text("#=IVTFF x\n<f1r> <! $Q=A $L=B $H=2 $I=T>\n<f1r.1,@P0> fa[ch:sh]ys.{ykal}<!note>.Ar-\n# c\n<f1r.2,@Lf> dain?*,\n<f2v>\n<f2v.1> okal=\nnoise\n")
+    (tmp_path / "a.txt").write_text("#=HEAD x\n<f1r> <! $Q=A $L=B $H=2 $I=T>\n<f1r.1,@P0> fa[ch:sh]ys.{ykal}<!note>.Ar-\n# c\n<f1r.2,@Lf> dain?*,\n<f2v>\n<f2v.1> okal=\nnoise\n")
     rows = rd.read_transliteration(spark, str(tmp_path)).orderBy("line").collect()
     assert [(r["folio"], r["language"], r["hand"], r["kind"], r["text"]) for r in rows] == [("f1r", "B", "2", "P", "fachys ykal ar"), ("f1r", "B", "2", "L", "dain"), ("f2v", None, None, "P", "okal")]
 
