@@ -189,7 +189,7 @@ def family_variation(spark, sf):
     s = stats.word_counts(token_docs(spark, sf).where("lang = 'en'"), "doc_id").withColumn("family", _family())
     p = s.groupBy("doc_id").agg(F.sum("c").alias("n"), *(F.sum(F.when(F.col("family") == f, F.col("c")).otherwise(0)).alias(f) for f in names))
     long = p.select(F.explode(F.array(*(F.struct(F.lit(f).alias("family"), (F.col(f) / F.col("n")).alias("share")) for f in names))).alias("x")).select("x.*")
-    cv = F.stddev_pop("share") / F.avg("share")
+    cv = F.try_divide(F.stddev_pop("share"), F.avg("share"))
     return long.groupBy("family").agg(r6(F.avg("share")).alias("mean"), r6(cv).alias("cv"), (cv < 0.15).alias("constant"))
 
 
@@ -326,7 +326,7 @@ def selectivity(spark, sf):
     s = dictionary(spark, sf).select(ft.skeleton(F.col("word")).alias("skel")).where("skel <> ''").distinct()
     x = t.join(s.select(F.col("skel").alias("a"), F.lit(1).alias("ra")), "a", "left").join(s.select(F.col("skel").alias("b"), F.lit(1).alias("rb")), "b", "left")
     hit = lambda c: F.sum(F.when(F.col(c) == 1, F.col("c")).otherwise(0))
-    return x.agg(r6(hit("ra") / F.sum("c")).alias("real_rate"), r6(hit("rb") / F.sum("c")).alias("null_rate"), r6(hit("ra") / hit("rb")).alias("selectivity"))
+    return x.agg(r6(hit("ra") / F.sum("c")).alias("real_rate"), r6(hit("rb") / F.sum("c")).alias("null_rate"), r6(F.try_divide(hit("ra"), hit("rb"))).alias("selectivity"))
 
 
 @query(f"""WITH {DICT}, p AS (SELECT item_id, tok AS w1, lead(tok) OVER (PARTITION BY item_id ORDER BY pos) AS w2 FROM btok), u AS (SELECT DISTINCT w1, w2, item_id FROM p WHERE w2 IS NOT NULL), o AS (SELECT w1, w2, count(*) AS items, min(item_id) AS only_item FROM u GROUP BY 1, 2)

@@ -385,7 +385,7 @@ s1 AS (SELECT a.doc_id, a.lang, a.pos, min(b.pos) AS p2 FROM tg a JOIN tg b ON b
 s2 AS (SELECT s.doc_id, s.lang, s.pos, min(b.pos) AS p3 FROM s1 s JOIN tg b ON b.doc_id = s.doc_id AND b.pos > s.p2 AND b.pos <= s.p2 + 3 AND b.tag = 'VERB' GROUP BY 1, 2, 3)"""
 
 
-@query(f"WITH {TOKENS}, {_TPL.format(tag=pos_tag('tok'))} SELECT lang, (SELECT count(*) FROM tg g WHERE g.lang = t.lang AND g.tag = 'PREP') AS starts, count(*) AS matches FROM s2 t GROUP BY 1")
+@query(f"WITH {TOKENS}, {_TPL.format(tag=pos_tag('tok'))} SELECT t.lang, count(*) FILTER (t.tag = 'PREP') AS starts, (SELECT count(*) FROM s2 WHERE s2.lang = t.lang) AS matches FROM tg t GROUP BY 1")
 def template_matches(spark, sf):
     """PREP, NOUN, VERB in order with at most two words between, the nearest each: a scan of the row."""
     from stratalex.sources.tables import fixed

@@ -382,7 +382,7 @@ def prefix_frequency_by_section(spark, sf):
     s = c.groupBy("lang", "source").agg(F.sum(F.when(hit, F.col("c")).otherwise(0)).alias("hits"), F.sum("c").alias("total"))
     w = Window.partitionBy("lang")
     rate = F.col("hits") / F.col("total")
-    return s.select("lang", "source", "hits", "total", r6(rate).alias("rate"), r6(rate / (F.sum("hits").over(w) / F.sum("total").over(w))).alias("ratio"))
+    return s.select("lang", "source", "hits", "total", r6(rate).alias("rate"), r6(F.try_divide(rate, F.sum("hits").over(w) / F.sum("total").over(w))).alias("ratio"))
 
 
 @query(f"""WITH {TOKENS}, {DICT}, {PAIRS}, u AS (SELECT tok, count(*) AS c, count(*) * 1.0 / sum(count(*)) OVER () AS p FROM tokens GROUP BY 1),
