@@ -116,16 +116,17 @@ def _rows(names: list[str], *cols: np.ndarray) -> pa.Table:
 
 
 def _confirmed(rows: DataFrame, key: str) -> DataFrame:
-    """Rows (key, block, lo, hi) of keys in two documents or more, with the first and the last of all documents.
+    """Rows (block, key, lo, span) of keys in two documents or more, with the first and the last of all documents.
 
-    A window over one row for each block and key: a phrase of a third of all
+    ``lo`` is the block's smallest document with the key and ``span`` the way to
+    its largest, mostly 0, which packs small. A window over one row for each block and key: a phrase of a third of all
     documents has as many rows as there are blocks, of 40 bytes each.
     """
     w = Window.partitionBy(key)
-    return rows.withColumn("first", F.min("lo").over(w)).withColumn("last", F.max("hi").over(w)).where("first < last")
+    return rows.withColumn("first", F.min("lo").over(w)).withColumn("last", F.max(F.col("lo") + F.col("span")).over(w)).where("first < last")
 
 
-def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", block_bytes: int = 1 << 20) -> DataFrame:
     """All rows and columns of ``docs``, with ``kept_text``, ``n_words`` and ``n_removed`` in the struct ``_dedup``.
 
     A window is 13 words in a row of one document; a word goes if a window that
@@ -143,12 +144,12 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", b
                 places, at = words.windows()
                 at = np.unique(at[known[words.doc[places]]])
                 h, lo, hi = _spans(words.grams(GRAM)[at], ids[words.doc[at]])
-                yield from _rows(["gram", "block", "lo", "hi"], h, np.full(len(h), block), lo, hi).to_batches()
+                yield from _rows(["block", "gram", "lo", "span"], np.full(len(h), block), h, lo, hi - lo).to_batches()
 
-    recurring = _confirmed(blocks.mapInArrow(anchors, "gram long, block long, lo long, hi long"), "gram").select("block", "gram")
+    recurring = _confirmed(blocks.mapInArrow(anchors, "block long, gram long, lo long, span long"), "gram").select("block", "gram")
 
     def windows(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["window", "block", "lo", "hi"]
+        names = ["block", "window", "lo", "span"]
         if not right.num_rows:
             return _rows(names, *(np.zeros(0, np.int64),) * 4)
         _, words, ids, known = _read(left.column("blob")[0].as_py(), ident, text)
@@ -158,11 +159,11 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", b
         near = np.minimum(np.searchsorted(known_grams, grams), len(known_grams) - 1)
         places = places[(known_grams[near] == grams) & known[words.doc[places]]]
         h, lo, hi = _spans(words.grams(WINDOW)[places], ids[words.doc[places]])
-        return _rows(names, h, np.full(len(h), key[0].as_py()), lo, hi)
+        return _rows(names, np.full(len(h), key[0].as_py()), h, lo, hi - lo)
 
     found = blocks.groupBy("block").cogroup(recurring.groupBy("block"))
-    found = found.applyInArrow(windows, "window long, block long, lo long, hi long")
-    confirmed = _confirmed(found, "window").where("hi > first").select("block", "window", "first")
+    found = found.applyInArrow(windows, "block long, window long, lo long, span long")
+    confirmed = _confirmed(found, "window").where("lo + span > first").select("block", "window", "first")
 
     out_schema = plain.schema
     flat = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out_schema)
