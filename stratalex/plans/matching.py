@@ -296,18 +296,73 @@ cx2 AS (SELECT substr(g, 1, 2) AS x, sum(c) AS c FROM tri GROUP BY 1), vs AS (SE
 SELECT tok, round(avg(ln((coalesce(t.c, 0) + 0.01) / (coalesce(x.c, 0) + 0.01 * v))), 6) AS score FROM tt LEFT JOIN tri t ON t.g = tt.g LEFT JOIN cx2 x ON x.x = substr(tt.g, 1, 2), vs GROUP BY 1""")
 def char_ngram_score(spark, sf):
     """Mean ln p of a word's letters under additive trigrams of the dictionary."""
+    return char_scores(dictionary(spark, sf), _types(spark, sf).select("tok")).select("tok", r6(F.col("score")).alias("score"))
+
+
+def char_scores(words, asked):
+    """(tok, score) of ``asked`` (tok, distinct): mean ln p under trigrams of ``words`` (word, freq) with 0.01 added."""
+
     def grams(word):
         s = F.concat(F.lit("^^"), word, F.lit("$"))
         return F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3)))
 
-    tri = dictionary(spark, sf).select("freq", F.explode(grams(F.col("word"))).alias("g")).groupBy("g").agg(F.sum("freq").alias("c"))
+    tri = words.select("freq", F.explode(grams(F.col("word"))).alias("g")).groupBy("g").agg(F.sum("freq").alias("c"))
     ctx = tri.groupBy(F.left("g", F.lit(2)).alias("x")).agg(F.sum("c").alias("cx"))
     v = tri.select(F.right("g", F.lit(1)).alias("s")).distinct().agg(F.count(F.lit(1)).alias("v"))
-    rows = _types(spark, sf).select("tok", F.explode(grams(F.col("tok"))).alias("g"))
+    rows = asked.select("tok", F.explode(grams(F.col("tok"))).alias("g"))
     # probabilities are needed once for each distinct trigram
     kinds = rows.select("g").distinct().join(tri, "g", "left").join(ctx, F.left("g", F.lit(2)) == F.col("x"), "left").join(F.broadcast(v))
     p = kinds.select("g", F.log((F.coalesce("c", F.lit(0)) + 0.01) / (F.coalesce("cx", F.lit(0)) + 0.01 * F.col("v"))).alias("lp"))
-    return rows.join(p, "g").groupBy("tok").agg(r6(F.avg("lp")).alias("score"))
+    return rows.join(p, "g").groupBy("tok").agg(F.avg("lp").alias("score"))
+
+
+def _narrow(spark, sf):
+    """(tok, skel, word): candidates of tokens of three segments or more under skeletons of up to 15 words."""
+    index = _index(spark, sf)
+    narrow = index.join(index.groupBy("skel").count().where("count <= 15").select("skel"), "skel", "left_semi")
+    types = _types(spark, sf).select("tok", "skel").where(ft.segments(F.col("skel")) >= 3)
+    return m.exact_matches(types, narrow).select("tok", "skel", "word")
+
+
+@query(f"""{_SCORED}, {_CHAR3}, wt AS (SELECT word, substr(s, CAST(i AS BIGINT) + 1, 3) AS g FROM (SELECT word, '^^' || word || '$' AS s, unnest(range(length(word) + 1)) AS i FROM dict)),
+ws AS (SELECT word, avg(ln((coalesce(t.c, 0) + 0.01) / (coalesce(x.c, 0) + 0.01 * v))) AS s FROM wt LEFT JOIN tri t ON t.g = wt.g LEFT JOIN cx2 x ON x.x = substr(wt.g, 1, 2), vs GROUP BY 1),
+cr AS (SELECT t.tok, i.word, ws.s, lead(ws.s) OVER (PARTITION BY t.tok ORDER BY ws.s DESC, i.word) AS second, row_number() OVER (PARTITION BY t.tok ORDER BY ws.s DESC, i.word) AS k FROM types t JOIN idn i ON i.skel = t.skel JOIN ws ON ws.word = i.word WHERE len(string_split(t.skel, '-')) >= 3),
+ok AS (SELECT tok, word FROM cr WHERE k = 1 AND ((second IS NULL AND s > -8) OR s - second >= 0.5))
+SELECT o.doc_id, count(*) AS solved, count(DISTINCT ok.word) AS words FROM op o JOIN ok ON ok.tok = o.tok WHERE o.lg <= 4 OR o.rg <= 4 GROUP BY 1""")
+def char_ngram_pass(spark, sf):
+    """Open tokens near a known word by the letters of their candidates: a clear lead, or a likely sole one.
+
+    The context is that before the pass, so all tokens are decided at once.
+    """
+    scores = char_scores(dictionary(spark, sf), dictionary(spark, sf).select(F.col("word").alias("tok"))).withColumnRenamed("tok", "word")
+    w = Window.partitionBy("tok").orderBy(F.desc("score"), "word")
+    best = _narrow(spark, sf).join(scores, "word").withColumn("second", F.lead("score").over(w)).withColumn("k", F.row_number().over(w)).where("k = 1")
+    ok = best.where((F.col("second").isNull() & (F.col("score") > -8)) | (F.col("score") - F.col("second") >= 0.5)).select("tok", F.col("word").alias("found"))
+    open_ = m.nearest_resolved(_resolved(spark, sf)).where("word is null and (left_gap <= 4 or right_gap <= 4)")
+    return open_.join(ok, "tok").groupBy("doc_id").agg(F.count(F.lit(1)).alias("solved"), F.count_distinct("found").alias("words"))
+
+
+@query(f"""{_SCORED}, tgs AS (SELECT item_id, pos, {pos_tag('tok')} AS tag FROM btok), tp AS (SELECT tag AS t1, lead(tag) OVER (PARTITION BY item_id ORDER BY pos) AS t2 FROM tgs),
+tm AS (SELECT t1, t2, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY t1) AS p FROM tp WHERE t2 IS NOT NULL GROUP BY 1, 2),
+oc AS (SELECT doc_id, o.tok, {pos_tag('l')} AS lt, {pos_tag('r')} AS rt FROM op o JOIN types t ON t.tok = o.tok WHERE lg <= 3 AND rg <= 3 AND len(string_split(t.skel, '-')) >= 3),
+dc AS (SELECT DISTINCT tok, lt, rt FROM oc), sc AS (SELECT dc.tok, lt, rt, i.word, 0.1 * (coalesce(a.p, 0) + coalesce(b.p, 0)) AS s FROM dc JOIN types t ON t.tok = dc.tok JOIN idn i ON i.skel = t.skel
+  LEFT JOIN tm a ON a.t1 = lt AND a.t2 = {pos_tag('i.word')} LEFT JOIN tm b ON b.t1 = {pos_tag('i.word')} AND b.t2 = rt),
+rr AS (SELECT *, coalesce(lead(s) OVER (PARTITION BY tok, lt, rt ORDER BY s DESC, word), 0) AS second, row_number() OVER (PARTITION BY tok, lt, rt ORDER BY s DESC, word) AS k FROM sc)
+SELECT doc_id, count(*) AS solved, count(DISTINCT rr.word) AS words FROM oc JOIN rr ON rr.tok = oc.tok AND rr.lt = oc.lt AND rr.rt = oc.rt WHERE k = 1 AND s > 0 AND (second = 0 OR s / second >= 5) GROUP BY 1""")
+def pos_backoff_pass(spark, sf):
+    """Open tokens between near known words by the classes of their candidates; distinct contexts are scored once."""
+    t = pos_transition(spark, sf).withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy("t1"))).select("t1", "t2", "p")
+    cand = _narrow(spark, sf).select("tok", F.col("word").alias("found"), ft.pos_tag(F.col("word")).alias("tag"))
+    open_ = m.nearest_resolved(_resolved(spark, sf)).where("word is null and left_gap <= 3 and right_gap <= 3")
+    open_ = open_.where(ft.segments(F.col("skel")) >= 3).select("doc_id", "tok", ft.pos_tag(F.col("left")).alias("lt"), ft.pos_tag(F.col("right")).alias("rt"))
+    ctx = open_.select("tok", "lt", "rt").distinct().join(cand, "tok")
+    ctx = ctx.join(t.select(F.col("t1").alias("lt"), F.col("t2").alias("tag"), F.col("p").alias("pa")), ["lt", "tag"], "left")
+    ctx = ctx.join(t.select(F.col("t1").alias("tag"), F.col("t2").alias("rt"), F.col("p").alias("pb")), ["tag", "rt"], "left")
+    ctx = ctx.withColumn("s", 0.1 * (F.coalesce("pa", F.lit(0.0)) + F.coalesce("pb", F.lit(0.0))))
+    w = Window.partitionBy("tok", "lt", "rt").orderBy(F.desc("s"), "found")
+    best = ctx.withColumn("second", F.coalesce(F.lead("s").over(w), F.lit(0.0))).withColumn("k", F.row_number().over(w)).where("k = 1 and s > 0")
+    best = best.where((F.col("second") == 0) | (F.col("s") / F.col("second") >= 5)).select("tok", "lt", "rt", "found")
+    return open_.join(best, ["tok", "lt", "rt"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("solved"), F.count_distinct("found").alias("words"))
 
 
 @query(f"""WITH {DICT}, tg AS (SELECT item_id, pos, {pos_tag('tok')} AS tag FROM btok), pr AS (SELECT tag AS t1, lead(tag) OVER (PARTITION BY item_id ORDER BY pos) AS t2 FROM tg), n AS (SELECT t1, t2, count(*) AS c FROM pr WHERE t2 IS NOT NULL GROUP BY 1, 2)
