@@ -14,6 +14,7 @@ from stratalex.llm import (
     kneser_ney,
     language_id,
     license_scan,
+    oracles,
     packing,
     phrase_dedup,
     simhash_golay,
@@ -55,9 +56,12 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(bpe.encode_documents(_table(spark, sf_dir, "documents")))
 
 
+#: What both turns of conversation -7 say.
+SAID = "</s>[INST] ok [/INST]"
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    extra = spark.createDataFrame([(-7, 0, "user", SAID), (-7, 1, "assistant", SAID)], "conv_id long, turn long, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     return chat.read_back(chat.format_chats(rows.unionByName(extra)))
 
@@ -96,7 +100,6 @@ QUERIES = {
     )
 }
 
-#: Turns, their digests and loss digests can be had in SQL; the formatted text depends on the template's marks.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_chat_format": oracles.chat_format(SAID), "op10_phrase_dedup": oracles.PHRASE_DEDUP}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
