@@ -1,6 +1,6 @@
 """All queries of the engine with their DuckDB SQL."""
 
-from stratalex.plans import analyses, matching, morphology, platform, sequences, statistics  # noqa: F401
+from stratalex.plans import analyses, matching, models, morphology, platform, sequences, statistics  # noqa: F401
 from stratalex.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

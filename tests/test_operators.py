@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stratalex.operators import decode, graph, matching, search, stats
+from stratalex.plans.models import draw
 from stratalex.sources.tables import neighbours
 
 
@@ -135,3 +136,21 @@ def test_beam_prefers_known_trigrams():
     m = decode.TrigramModel([["a", "b", "c"], ["a", "b", "c"], ["a", "x", "y"]])
     path, _ = decode.beam(["1", "2", "3"], lambda t: {"1": ["a"], "2": ["b", "x"], "3": ["c", "y"]}[t], m.p)
     assert path == ["a", "b", "c"]
+
+
+def test_breeding_never_loses_its_best():
+    target = np.zeros(14)
+    target[2:6] = [0.2, 0.4, 0.3, 0.1]
+    few, many = search.breed(target, 3, generations=2)[1], search.breed(target, 3, generations=60)[1]
+    assert many <= few and many < 0.02
+    assert abs(search.shape_lengths(np.ones(sum(search.SHAPES))).sum() - 1) < 1e-9
+
+
+def test_chain_texts_follow_the_counts(spark):
+    rows = search.chain_texts(spark, ["a", "b"], np.array([[0.0, 1.0], [1.0, 0.0]]), seeds=3, length=6).collect()
+    assert sorted(r["seed"] for r in rows) == [0, 1, 2] and {r["text"] for r in rows} <= {"a b a b a b", "b a b a b a"}
+
+
+def test_draws_are_even(spark):
+    n = spark.range(4000).select(draw(4, F.lit("x"), F.col("id")).alias("k")).groupBy("k").count().collect()
+    assert sorted(r["k"] for r in n) == [0, 1, 2, 3] and all(850 < r["count"] < 1150 for r in n)
