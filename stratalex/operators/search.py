@@ -171,9 +171,10 @@ SHAPES = (4, 8, 5)
 
 
 def shape_lengths(genome: np.ndarray) -> np.ndarray:
-    """Lengths 1 to 14 of the words of a grammar WORD -> beginning root end, whose parts have independent lengths (roots from 1)."""
+    """Shares of the lengths 1 to 14, the last with all beyond, of a grammar WORD -> beginning root end with parts of independent lengths (roots from 1)."""
     a, b, c = np.split(genome, np.cumsum(SHAPES)[:-1])
-    return np.convolve(np.convolve(a / a.sum(), b / b.sum()), c / c.sum())[:14]
+    p = np.convolve(np.convolve(a / a.sum(), b / b.sum()), c / c.sum())
+    return np.append(p[:13], p[13:].sum())
 
 
 def misfit(genome: np.ndarray, target: np.ndarray) -> float:
