@@ -1,25 +1,28 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
-
-Text is read as signs of a fixed alphabet of 64 classes (letters by case, digits,
-kinds of punctuation and white space, other letters by case), so four of them
-make a code of 24 bits. Each task counts its codes; the counts meet in shards by
-code, and the orders of the model are made by joins of sharded counts: a count
-with its context's totals and with the next lower order. A table of codes can
-have no more than 2^24 rows, whatever the input, which is the bound under which
-the finished probabilities go to the tasks that score documents.
+"""Quality classifier: interpolated modified Kneser-Ney models of trusted text.
+
+``classify`` and ``keep_good`` count word trigrams of all trusted text, hashed
+and added up by each task first. The orders of the model are made by joins of
+sharded counts, and each document's own trigram counts are joined to the sharded
+tables; nothing that grows with the text is gathered or broadcast.
+
+``fit`` and ``score`` are a model of letters for small uses: text as signs of 64
+classes, four of them a code of 24 bits, with a dense table of all codes.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalex.llm.common import chunks, drop_path, materialize
+from stratalex.llm.common import chunks, drop_path, materialize, splitmix
 
 SIGNS, START = 64, 63
 #: Code points from here on (rare letters of the upper planes) are read as the last one below.
@@ -238,13 +241,27 @@ def thresholds(scored: DataFrame, trusted: DataFrame, quantile: float, slack: fl
 
     The bounds are the outer quantiles of what ``judge`` compares, so with the
     same allowance for short texts, widened by ``slack``; lang null has its own
-    row. The row with ``any`` true holds those of all languages together,
-    for languages without trusted rows.
+    row. Too few rows for such a quantile (under 1 / (1 - ``quantile``)) have
+    no more than their extremes, which new texts pass often; there the way from
+    the median to the extreme, in logarithms, is drawn out as far as a normal
+    distribution says by the number of rows. The row with ``any`` true holds
+    those of all languages together, for languages without trusted rows.
     """
     own = scored.join(trusted, "doc_id", "left_semi").where("perplexity is not null")
     room = F.exp(2 * F.col("error"))
-    low = F.percentile_approx(F.col("perplexity") * room, 1 - quantile, 10_000)
-    high = F.percentile_approx(F.col("perplexity") / room, quantile, 10_000)
+    rows = F.count(F.lit(1))
+    # the normal quantile of the extreme of so many rows (Blom), by a rational approximation
+    t = F.sqrt(-2 * F.log(0.625 / (rows + 0.25)))
+    z = t - (2.30753 + 0.27061 * t) / (1 + 0.99229 * t + 0.04481 * t * t)
+    few = (rows > 1) & (rows * (1 - quantile) < 1)
+
+    def bound(value, share, wider):
+        seen, middle = F.percentile_approx(value, share, 10_000), F.percentile_approx(value, 0.5, 10_000)
+        drawn = F.exp(F.log(middle) + F.log(seen / middle) * NormalDist().inv_cdf(quantile) / z)
+        return F.when(few, wider(seen, drawn)).otherwise(seen)
+
+    low = bound(F.col("perplexity") * room, 1 - quantile, F.least)
+    high = bound(F.col("perplexity") / room, quantile, F.greatest)
     both = own.rollup("lang").agg(F.grouping("lang").alias("any"), low.alias("low"), high.alias("high"))
     return both.select("lang", (F.col("any") == 1).alias("any"), (F.col("low") / slack).alias("low"), (F.col("high") * slack).alias("high"))
 
@@ -266,28 +283,155 @@ def judge(scored: DataFrame, bounds: DataFrame) -> DataFrame:
     return out.withColumn("keep", keep).drop("own_lang", "all_low", "all_high")
 
 
+#: A word is a run of letters and digits; signs of scripts without spaces, and other signs, stand alone.
+ALONE = "\\u0e00-\\u0eff\\u2e80-\\ua4cf\\uf900-\\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(f"[{ALONE}]|[^\\W{ALONE}]+|[^\\w\\s]")
+#: The word before the first one of a text.
+BEGIN = xxhash.xxh64_intdigest("\n")
+
+
+def word_grams(docs: DataFrame, other: bool) -> DataFrame:
+    """(th, w1, w2, w3, n, row): counts of the word trigrams of each row of ``docs`` (th: hash of the text, text).
+
+    Words are 64-bit hashes whose last bit is the half of the trusted text that
+    they are counted in, by ``th``, or with ``other`` the other half. ``row`` is
+    1 in one trigram of each row and 0 in the rest.
+    """
+    flip = int(other)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, int] = {}
+        for batch in chunks(batches, "text", 1 << 20):
+            parts, owners, counts, firsts = [], [], [], []
+            for th, text in zip(batch.column("th").to_pylist(), batch.column("text").to_pylist()):
+                found = WORD.findall(text or "")
+                if not found:
+                    continue
+                if len(cache) > 500_000:
+                    cache.clear()
+                for w in set(found) - cache.keys():
+                    cache[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+                h = np.fromiter([BEGIN, BEGIN, *map(cache.__getitem__, found)], np.uint64, len(found) + 2)
+                h = h & ~np.uint64(1) | np.uint64((th & 1) ^ flip)
+                whole = splitmix(splitmix(splitmix(h[:-2]) + h[1:-1]) + h[2:])
+                _, at, n = np.unique(whole, return_index=True, return_counts=True)
+                parts.append(np.stack([h[at], h[at + 1], h[at + 2]]).view(np.int64))
+                owners.append(np.full(len(at), th, np.int64))
+                counts.append(n)
+                firsts.append(np.arange(len(at)) == 0)
+            if parts:
+                w = np.concatenate(parts, axis=1)
+                cols = [np.concatenate(owners), *w, np.concatenate(counts), np.concatenate(firsts).astype(np.int64)]
+                whole_batch = pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["th", "w1", "w2", "w3", "n", "row"])
+                for at in range(0, whole_batch.num_rows, 100_000):
+                    yield whole_batch.slice(at, 100_000)
+
+    return docs.select("th", "text").mapInArrow(run, "th long, w1 long, w2 long, w3 long, n long, row long")
+
+
+@dataclass(frozen=True)
+class WordModel:
+    """Sharded tables: p of seen trigrams, bigrams and words, back-off weights by context; p of an unknown word in each half."""
+
+    p3: DataFrame
+    g3: DataFrame
+    p2: DataFrame
+    g2: DataFrame
+    p1: DataFrame
+    unknown: tuple[float, float]
+
+
+def fit_words(trusted: DataFrame) -> WordModel | None:
+    """Two interpolated modified Kneser-Ney models of the word trigrams of ``trusted`` (th, text), one for each half; None without a word.
+
+    The lowest order is interpolated with an equal share for each word of the
+    larger vocabulary of the halves and one for all unknown words.
+    """
+    c3, _ = materialize(word_grams(trusted, False).groupBy("w1", "w2", "w3").agg(F.sum("n").alias("c")), "kn-words3")
+    if not c3.limit(1).count():
+        return None
+    c2, _ = materialize(c3.groupBy("w2", "w3").agg(F.count(F.lit(1)).alias("c")), "kn-words2")
+    c1, _ = materialize(c2.groupBy("w3").agg(F.count(F.lit(1)).alias("c")), "kn-words1")
+    c, half = F.col("c"), F.col("w3").bitwiseAND(1)
+
+    def cut(d):
+        return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
+
+    def order(counts, ctx, lower, on):
+        held = cut(discounts(counts))
+        per = counts.groupBy(*ctx).agg(F.sum("c").alias("total"), (F.sum(held) / F.sum("c")).alias("g"))
+        low = lower.withColumnRenamed("p", "p_low")
+        rows = counts.join(per, ctx).join(low, on)
+        p = (c - held) / F.col("total") + F.col("g") * F.col("p_low")
+        return rows.select(*counts.columns[:-1], p.alias("p")), per.select(*ctx, "g")
+
+    held = cut(discounts(c1))
+    sides = {r["half"]: r for r in c1.groupBy(half.alias("half")).agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("total"), F.sum(held).alias("held")).collect()}
+    share = 1.0 / (1 + max(r["v"] for r in sides.values()))
+    unknown = tuple(share * (sides[s]["held"] / sides[s]["total"] if s in sides else 1.0) for s in (0, 1))
+    total = F.when(half == 0, sides[0]["total"] if 0 in sides else 1).otherwise(sides[1]["total"] if 1 in sides else 1)
+    p1, _ = materialize(c1.select("w3", ((c - held) / total + F.when(half == 0, unknown[0]).otherwise(unknown[1])).alias("p")), "kn-p1")
+    p2, g2 = order(c2, ["w2"], p1, ["w3"])
+    p2, _ = materialize(p2, "kn-p2")
+    p3, g3 = order(c3, ["w1", "w2"], p2, ["w2", "w3"])
+    return WordModel(materialize(p3, "kn-p3")[0], materialize(g3, "kn-g3")[0], p2, materialize(g2, "kn-g2")[0], p1, unknown)
+
+
+def score_words(docs: DataFrame, model: WordModel | None) -> DataFrame:
+    """(th, perplexity, error) of each different text with a word of ``docs`` (th, text).
+
+    The trigram counts of the texts are joined to the sharded tables of the half
+    that a text is not counted in, so a trusted text is never judged by itself.
+    ``perplexity`` is that of a word, ``error`` the standard error of its
+    logarithm.
+    """
+    if model is None:
+        return docs.sparkSession.createDataFrame([], "th long, perplexity double, error double")
+    rows = word_grams(docs, True)
+    rows = rows.join(model.p3.withColumnRenamed("p", "p3"), ["w1", "w2", "w3"], "left")
+    rows = rows.join(model.g3.withColumnRenamed("g", "g3"), ["w1", "w2"], "left").drop("w1")
+    rows = rows.join(model.p2.withColumnRenamed("p", "p2"), ["w2", "w3"], "left")
+    rows = rows.join(model.g2.withColumnRenamed("g", "g2"), ["w2"], "left").drop("w2")
+    rows = rows.join(model.p1.withColumnRenamed("p", "p1"), ["w3"], "left")
+    none = F.when(F.col("w3").bitwiseAND(1) == 0, model.unknown[0]).otherwise(model.unknown[1])
+    one = F.lit(1.0)
+    two = F.coalesce("p2", F.coalesce("g2", one) * F.coalesce("p1", none))
+    rows = rows.select("th", "n", "row", F.log(F.coalesce("p3", F.coalesce("g3", one) * two)).alias("lp"))
+    lp, n = F.col("lp"), F.col("n")
+    sums = rows.groupBy("th").agg(F.sum(n * lp).alias("a"), F.sum(n * lp * lp).alias("b"), F.sum("n").alias("n"), F.sum("row").alias("copies"))
+    mean = F.col("a") / n
+    spread = F.greatest(F.col("b") / n - mean * mean, F.lit(0.0))
+    return sums.select("th", F.exp(-mean).alias("perplexity"), F.sqrt(spread * F.col("copies") / n).alias("error"))
+
+
+def _scores(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, lang, perplexity, error) of each row of ``docs``, and (th, perplexity, error) of each text, as tables."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text", F.xxhash64("text").alias("th"))
+    texts = rows.join(trusted.hint("shuffle_hash"), "doc_id", "left_semi")
+    by_text, _ = materialize(score_words(rows, fit_words(texts)), "kn-texts")
+    scored, _ = materialize(rows.select("doc_id", "lang", "th").join(by_text, "th", "left").drop("th"), "kn-scores")
+    return scored, by_text
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, slack: float = 1.15) -> DataFrame:
     """(doc_id, lang, perplexity, error, low, high, keep) of each row of ``docs`` (doc_id, text, lang).
 
-    The model and the bounds come from all documents that ``labels`` (doc_id,
-    quality, toxic) trust. A null or empty text has no perplexity and is not
-    kept; repeated rows are judged alike; other columns are not read.
+    The model is one of word trigrams. It and the bounds come from all documents
+    that ``labels`` (doc_id, quality, toxic) trust: their texts are counted in
+    two halves, and every text is judged by the half that it is not in. A text
+    without a word has no perplexity and is not kept; repeated rows are judged
+    alike; other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"))
     trusted = trusted_ids(labels)
-    model = fit(trusted_texts(rows, trusted))
-    scored, _ = materialize(score(rows, model).select("doc_id", "lang", "_quality.perplexity", "_quality.error"), "kn-scores")
+    scored, _ = _scores(docs, trusted)
     return judge(scored, thresholds(scored, trusted, quantile, slack))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, slack: float = 1.15) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, with all their columns and no shuffle of texts but that for training."""
+    """The rows of ``docs`` that ``classify`` keeps, with all their columns."""
     trusted = trusted_ids(labels)
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"))
-    model = fit(trusted_texts(rows, trusted))
-    scored, _ = materialize(score(rows, model).select("doc_id", "lang", "_quality.perplexity", "_quality.error"), "kn-scores")
+    scored, by_text = _scores(docs, trusted)
     bounds, _ = materialize(thresholds(scored, trusted, quantile, slack), "kn-bounds")
-    full = score(docs, model)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    flat = full.select(row, F.col("lang").cast("string").alias("lang"), "_quality.perplexity", "_quality.error")
+    flat = docs.select(row, F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("th")).join(by_text, "th", "left").drop("th")
     return judge(flat, bounds).where("keep").select("row.*")

@@ -289,6 +289,52 @@ def test_probabilities_sum_to_one(spark):
     assert np.allclose(table.sum(axis=1), 1, atol=1e-4)
 
 
+def brute_words(train):
+    """Probability function of the word model by its recursion over dictionaries, for one half; the other half's vocabulary is no larger."""
+    from collections import Counter
+
+    words = lambda t: ["\n"] * 2 + kneser_ney.WORD.findall(t)
+    counts = {3: Counter()}
+    for t in train:
+        s = words(t)
+        counts[3].update(tuple(s[i - 2 : i + 1]) for i in range(2, len(s)))
+    for k in (2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    d = lambda v: (0.5, 1.0, 1.5)[min(v, 3) - 1]
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / (1 + len(counts[1]))
+        own = {x: v for x, v in counts[k].items() if x[:-1] == g[:-1]}
+        if not own:
+            return p(g[1:])
+        c, total = own.get(g, 0), sum(own.values())
+        return ((c - d(c)) if c else 0) / total + sum(map(d, own.values())) / total * p(g[1:])
+
+    return lambda t: float(np.exp(-np.mean([np.log(p(tuple(s[i - 2 : i + 1]))) for s in [words(t)] for i in range(2, len(s))])))
+
+
+def test_word_perplexity_matches_the_recursion(spark):
+    train = ["The cat sat on the mat.", "The cat sat on a dog, the cat", "the end of the cat 小猫"]
+    ask = ["The cat sat on the mat.", "the mat sat", "zzz $$$", "小猫 the", "", None]
+    split = lambda ts, h: spark.createDataFrame([(2 * i + h, t) for i, t in enumerate(ts)], "th long, text string")
+    got = {r["th"] // 2: r["perplexity"] for r in kneser_ney.score_words(split(ask, 1), kneser_ney.fit_words(split(train, 0))).collect()}
+    brute = brute_words(train)
+    assert got.keys() == {0, 1, 2, 3}
+    assert all(abs(got[i] - brute(ask[i])) < 1e-9 * brute(ask[i]) for i in got)
+
+
+def test_quality_sees_scrambled_words_of_other_scripts(spark):
+    rng = random.Random(5)
+    vocab = ["".join(rng.choice("абвгдежзиклмнопрст") for _ in range(6)) for _ in range(30)]
+    clean = [" ".join(rng.choice(vocab) for _ in range(80)) for _ in range(80)]
+    mixed = [" ".join("".join(rng.sample(w, len(w))) for w in t.split()) for t in clean[:10]]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["keep"] for r in kneser_ney.classify(frame(spark, clean + mixed), labels).collect()}
+    assert all(got[i] for i in range(80)) and not any(got[i] for i in range(80, 90))
+
+
 def test_quality_keeps_clean_and_drops_junk(spark):
     rng = random.Random(2)
     clean = [" ".join(rng.choice(["the", "cat", "sat", "on", "mat", "dog"]) for _ in range(40)) + "." for _ in range(60)]
