@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalex.llm.common import chunks, connected_components, materialize
+from stratalex.llm.common import chunks, connected_components, materialize, splitmix
 
 GENERATOR = 0b110001110101
 WIDTHS = (22, 21, 21)
@@ -201,11 +202,12 @@ def bucket_edges(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, bits: int,
     return pairs[0], pairs[1]
 
 
-def links(nodes: DataFrame, words: int = 1, bits: int = 4) -> DataFrame:
+def links(nodes: DataFrame, words: int = 1, bits: int = 4, more: str | None = None) -> DataFrame:
     """Edges (a, b) that connect the rows of ``nodes`` (id long; fp0, fp1, ...: distinct fingerprints of ``words`` 64-bit words).
 
     Rows link at ``bits`` differing bits or fewer over all words. Each word
     gives keys; with one word and four bits, no linked pair is left unconnected.
+    The array column ``more`` holds further keys of each row.
     """
     names = [f"fp{w}" for w in range(words)]
 
@@ -219,6 +221,12 @@ def links(nodes: DataFrame, words: int = 1, bits: int = 4) -> DataFrame:
                     rows, keys = keys_of(fps[w].view(np.uint64), clean=words == 1)
                     keys |= w << 56
                     yield pa.record_batch([pa.array(x) for x in (keys, ids[rows], *(f[rows] for f in fps))], names=["key", "id", *names])
+                if more:
+                    lists = part.column(more)
+                    rows = np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+                    # negative: apart from the keys of codewords
+                    keys = lists.flatten().to_numpy(zero_copy_only=False) | np.int64(-(1 << 63))
+                    yield pa.record_batch([pa.array(x) for x in (keys, ids[rows], *(f[rows] for f in fps))], names=["key", "id", *names])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -245,7 +253,7 @@ def links(nodes: DataFrame, words: int = 1, bits: int = 4) -> DataFrame:
             yield done(held)
 
     fields = "".join(f", {n} long" for n in names)
-    keyed = nodes.select("id", *names).mapInArrow(explode, f"key long, id long{fields}")
+    keyed = nodes.select("id", *names, *([more] if more else [])).mapInArrow(explode, f"key long, id long{fields}")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long").distinct()
 
 
@@ -274,21 +282,105 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, seed: int
     return _grouped(prints, 1, bits).select("doc_id", F.col("fp0").alias("fp"), "component_id")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 2, words: int = 3, bits: int = 24, seed: int = 42) -> DataFrame:
-    """(doc_id, component_id): groups of documents that are alike by a wide fingerprint.
+def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of the shingles of one text, words as in ``simhash64``; fewer words than a shingle are one, no word has none."""
+    words = text.lower().split()
+    pieces = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, pieces), np.uint64, len(pieces)))
+
+
+def set_simhash(hashes: np.ndarray, seeds: tuple[int, ...]) -> list[int]:
+    """The fingerprints of a set of hashes, repeats of a text's shingles not counted; the empty set gives 0."""
+    out = []
+    for seed in seeds:
+        mixed = splitmix(hashes + np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        ones = np.unpackbits(mixed.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32) * 2 > len(hashes)
+        out.append(int(np.packbits(ones, bitorder="little").view("<u8")[0]))
+    return out
+
+
+def alike(sets: list[np.ndarray], tenths: int = 8) -> np.ndarray:
+    """For each set the smallest index of its component under Jaccard similarity of ``tenths`` / 10 or more.
 
-    ``words`` SimHashes under different seeds make one wide fingerprint; any of
-    them may bring a pair together, all of them judge it. Two texts whose sets
-    of five-word shingles have a Jaccard similarity of 0.8 differ in about one
-    word in 45, so in one pair of neighbouring words in 23, which turns about
-    9.5 % of the bits; 24 of 192 bits leave room for chance. Texts without a
-    word are not grouped with each other; they keep their own id.
+    Each step compares one member with all sets not reached yet, so copies of
+    one text cost a step and no pairs among them.
     """
-    prints = fingerprints(docs, shingle, tuple(seed + w for w in range(words)))
+    out = np.arange(len(sets))
+    left = np.arange(len(sets))
+    sizes = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    while len(left) > 1:
+        first, queue = left[0], [left[0]]
+        flat, left = flat[sizes[first] :], left[1:]
+        while queue and len(left):
+            own = sets[queue.pop()]
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            both = np.add.reduceat(hit, np.cumsum(sizes[left]) - sizes[left], dtype=np.int64)
+            near = 10 * both >= tenths * (sizes[left] + len(own) - both)
+            if near.any():
+                out[left[near]] = first
+                queue.extend(left[near].tolist())
+                flat, left = flat[np.repeat(~near, sizes[left])], left[~near]
+    return out
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, words: int = 3, bits: int = 64, seed: int = 42) -> DataFrame:
+    """(doc_id, component_id): components of documents whose sets of shingles have a Jaccard similarity of 0.8 or more.
+
+    Candidates: ``words`` SimHashes of the sets under different seeds give
+    Golay keys, and the shingles of least hash that two sets at 0.8 must
+    share one of (n - ceil(0.8 n) + 1 of n) are further keys, so no such pair
+    misses a common key. Rows of a key that differ in ``bits`` of the wide
+    fingerprint or fewer make loose groups; at 0.8 about 15 % of the bits
+    differ (19 % of very short texts), so a third leaves out what only shares a
+    passage. Within a loose
+    group the sets themselves are compared, and only pairs at 0.8 are linked.
+    Equal sets are one node. Texts without a word are not grouped with each
+    other; they keep their own id.
+    """
+    seeds = tuple(seed + w for w in range(words))
     names = [f"fp{w}" for w in range(words)]
-    blank = F.lit(True)
-    for n in names:
-        blank = blank & (F.col(n) == 0)
-    prints, _ = materialize(prints, "simhash-wide")
-    full = _grouped(prints.where(~blank), words, bits).select("doc_id", "component_id")
-    return full.unionByName(prints.where(blank).select("doc_id", F.col("doc_id").alias("component_id")))
+    fields = "".join(f", {n} long" for n in names)
+
+    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", 4 << 20):
+            texts = [t or b"" for t in batch.column("text").to_pylist()]
+            sets = [shingle_set(t, shingle) for t in texts]
+            fps = np.array([set_simhash(x, seeds) for x in sets], np.uint64).view(np.int64)
+            digests = [xxhash.xxh128_digest(x.tobytes()) if len(x) else None for x in sets]
+            # n - ceil(0.8 n) + 1
+            firsts = [x[: len(x) - (4 * len(x) + 4) // 5 + 1].view(np.int64) for x in sets]
+            cols = [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), *(pa.array(fps[:, w]) for w in range(words))]
+            yield pa.record_batch(cols, names=["doc_id", "digest", "firsts", *names])
+
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    prints, _ = materialize(source.mapInArrow(prints_of, f"doc_id long, digest binary, firsts array<long>{fields}"), "simhash-wide")
+    nodes = prints.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
+    nodes, _ = materialize(nodes, "simhash-sets")
+    # one row for each set: that of its smallest id
+    own = prints.join(nodes, (prints["digest"] == nodes["digest"]) & (prints["doc_id"] == nodes["id"])).select(nodes["digest"], "id", "firsts", *names).dropDuplicates(["digest"])
+    own, _ = materialize(own, "simhash-nodes")
+    loose = connected_components(links(own, words, bits, "firsts"))
+    loose, _ = materialize(loose.withColumnRenamed("node", "id"), "simhash-loose")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", 4 << 20):
+            sets = [shingle_set(t or b"", shingle) for t in batch.column("text").to_pylist()]
+            digests = [xxhash.xxh128_digest(x.tobytes()) for x in sets]
+            cols = [batch.column("component"), batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.record_batch(cols, names=["component", "id", "digest", "own"])
+
+    def verify(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("id", "ascending"), ("digest", "ascending")])
+        label = alike([np.frombuffer(x, np.uint64) for x in table.column("own").to_pylist()])
+        ids = table.column("id").to_numpy()
+        return pa.table({"digest": table.column("digest"), "component_id": pa.array(ids[label])})
+
+    texts = source.join(loose, source["doc_id"] == loose["id"]).select("component", "doc_id", "text")
+    sets = texts.mapInArrow(sets_of, "component long, id long, digest binary, own binary")
+    sets = sets.join(nodes, ["digest", "id"], "left_semi").dropDuplicates(["digest"])
+    exact = sets.select("component", "id", "digest", "own").groupBy("component").applyInArrow(verify, "digest binary, component_id long")
+    exact, _ = materialize(exact, "simhash-exact")
+    named = nodes.join(exact, "digest", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
+    full = prints.where("digest is not null").select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
+    return full.unionByName(prints.where("digest is null").select("doc_id", F.col("doc_id").alias("component_id")))

@@ -192,6 +192,28 @@ def test_similar_documents_find_near_copies_and_leave_others(spark):
     assert all(got[20 + i] == i for i in range(10)) and all(got[i] == i for i in range(20))
 
 
+def test_similar_documents_match_brute_force_at_the_threshold(spark):
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    ts = []
+    for _ in range(40):
+        base = [rng.choice(vocab) for _ in range(rng.randint(4, 200))]
+        ts.append(" ".join(base))
+        for _ in range(3):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 25))):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            ts.append(" ".join(w))
+        if rng.random() < 0.2:
+            ts.append(" ".join(base + ["zz"] * 500))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in ts)]
+    linked = np.array([[len(a & b) / len(a | b) >= 0.8 for b in sets] for a in sets])
+    near = np.array([[0.6 <= len(a & b) / len(a | b) < 0.8 for b in sets] for a in sets])
+    assert near.any() and linked.sum() > len(ts)
+    got = {r["doc_id"]: r["component_id"] for r in simhash_golay.similar_documents(frame(spark, ts)).collect()}
+    assert [got[i] for i in range(len(ts))] == smallest_reachable(linked).tolist()
+
+
 # 4 --------------------------------------------------------------------------
 
 
