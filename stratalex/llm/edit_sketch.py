@@ -17,21 +17,20 @@ from stratalex.llm.common import splitmix
 
 HASHES = 3
 PARAGRAPH = re.compile(r"[^\n.!?|]*[\n.!?|]+\s*|[^\n.!?|]+")
-#: Longer pieces are cut, in texts of over SHORT_TEXT code points and in shorter ones.
-LONG_PIECE, SMALL_PIECE, SHORT_TEXT = 200, 30, 600
+#: Longer pieces are cut, in texts of any length.
+SMALL_PIECE = 30
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def paragraphs(text: str) -> list[str]:
     """The paragraphs of a text: lines, cut after the ends of sentences; longer ones after words whose hash is 0 modulo 4.
 
-    Where a cut falls depends on the words before it alone, so an edit moves
-    few cuts.
+    Where a cut falls depends on the words before it alone, not on the length of
+    the text, so an edit moves few cuts.
     """
     out = []
-    most = LONG_PIECE if len(text) > SHORT_TEXT else SMALL_PIECE
     for p in PARAGRAPH.findall(text):
-        if len(p) <= most:
+        if len(p) <= SMALL_PIECE:
             out.append(p)
             continue
         held: list[str] = []

@@ -114,6 +114,15 @@ def test_repeated_paragraphs_have_their_own_digests():
     assert len(set(d.tolist())) == 4
 
 
+def test_versions_around_any_length_are_cut_alike():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    whole = " ".join(words)
+    for n in (590, 595, 599, 600):
+        a, b = set(edit_sketch.digests(whole[:n]).tolist()), set(edit_sketch.digests(whole[: n + 20]).tolist())
+        assert len(a & b) >= 0.8 * len(a)
+
+
 # 2 --------------------------------------------------------------------------
 
 
