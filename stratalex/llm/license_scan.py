@@ -1,14 +1,16 @@
 """License scans by conditional compression.
 
-A line that holds a license word is a candidate block. It is compressed alone
-and with each license's wording as a raw zstandard dictionary; the wordings that
-make it smallest relative to its own size are the winners, and a winner counts
-only if the words themselves agree.
+Texts are cut into words. Where a stretch holds words that only few wordings
+have, each of these wordings is aligned with the stretch, over line ends too;
+every wording that the words confirm is a finding with a span of its own, and
+the span's compressed size with the license's wordings as raw zstandard
+dictionary gives the reduction.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -19,8 +21,6 @@ from pyspark.sql import functions as F
 
 from stratalex.llm.common import chunks
 
-CUE = re.compile(r"licen[sc]|copyright|\(c\)|©|permission is|warrant|public domain|spdx|all rights reserved", re.I)
-
 #: The customary wordings of license notices, several of one license on lines of their own.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
@@ -60,69 +60,120 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 
 
+WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
+
+#: Signs after the last word that belong to a notice.
+TAIL = re.compile(r"[.:;,!)\"']*")
+
+
 def words(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+(?:[.\-][^\W_]+)*", text.lower())
+    return WORD.findall(text.lower())
 
 
 class Scanner:
-    """Compressors of all wordings, and the words of each."""
+    """Compressors of all licenses, and the words of each wording.
 
-    def __init__(self, templates: dict[str, tuple[str, ...]]) -> None:
+    A wording is confirmed if the words that miss and those in between are no
+    more than the share ``most`` of its own.
+    """
+
+    def __init__(self, templates: dict[str, tuple[str, ...]], most: float = 0.34) -> None:
         self.plain = zstandard.ZstdCompressor(level=9)
-        self.own = []
+        self.own: dict[str, zstandard.ZstdCompressor] = {}
+        self.wordings: list[tuple[str, list[str], int]] = []
         for name, texts in templates.items():
             raw = "\n".join(texts).encode()
-            entry = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.own.append((name, zstandard.ZstdCompressor(level=9, dict_data=entry), [words(t) for t in texts]))
-        self.seen: dict[str, tuple | None] = {}
-
-    def reductions(self, block: str) -> list[tuple[float, str, list[list[str]]]]:
-        """Share of the block's compressed size that each wording saves, largest first, ties by name."""
-        raw = block.encode()
-        alone = len(self.plain.compress(raw))
-        rows = [(1 - len(c.compress(raw)) / alone, name, texts) for name, c, texts in self.own]
-        return sorted(rows, key=lambda r: (-r[0], r[1]))
-
-    def judge(self, block: str, top: int = 3, most: float = 0.34) -> tuple | None:
-        """(license, reduction, missing, added, words that differ, verdict) of a block, or None if no wording is confirmed.
-
-        Among the ``top`` licenses the wording that differs in the fewest words
-        wins: ``exact`` with no difference, ``variant`` up to the share ``most``
-        of its words.
+            self.own[name] = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            for t in texts:
+                w = words(t)
+                if w:
+                    self.wordings.append((name, w, int(most * len(w))))
+        # a confirmed wording keeps one of any n_missing + 1 of its words: its rarest are the cues
+        spread = Counter(w for _, wording, _ in self.wordings for w in set(wording))
+        self.cues: dict[str, list[int]] = {}
+        for k, (_, wording, room) in enumerate(self.wordings):
+            order = sorted(range(len(wording)), key=lambda i: (spread[wording[i]], -len(wording[i]), i))
+            for w in {wording[i] for i in order[: room + 1]}:
+                self.cues.setdefault(w, []).append(k)
+
+    def reduction(self, block: str, name: str) -> float:
+        """Share of the block's compressed size that the license's wordings save."""
+        raw = block.encode("utf-8", "surrogatepass")
+        return 1 - len(self.own[name].compress(raw)) / len(self.plain.compress(raw))
+
+    def align(self, k: int, mine: list[str]) -> list[tuple]:
+        """(cost, from, to, missing, added) of each place in ``mine`` where wording ``k`` is confirmed."""
+        _, wording, room = self.wordings[k]
+        matcher = SequenceMatcher(None, wording, mine, autojunk=False)
+        ops = matcher.get_opcodes()
+        while ops and ops[0][0] == "insert":
+            ops = ops[1:]
+        while ops and ops[-1][0] == "insert":
+            ops = ops[:-1]
+        missing = [w for tag, a, b, _, _ in ops if tag != "equal" for w in wording[a:b]]
+        added = [w for tag, _, _, c, d in ops if tag != "equal" for w in mine[c:d]]
+        cost = len(missing) + len(added)
+        if not ops or cost > room:
+            return []
+        return [(cost, ops[0][3], ops[-1][4], missing, added)]
+
+    def find(self, text: str) -> list[tuple]:
+        """(from, to, license, reduction, missing, added, words that differ, verdict) of each confirmed notice; code points.
+
+        Wordings that lie over each other are one notice: that of the least
+        share of words that differ, the longer one of equals.
         """
-        if block in self.seen:
-            return self.seen[block]
-        mine = words(block)
-        best = None
-        for gain, name, texts in self.reductions(block)[:top] if mine else ():
-            for wording in texts:
-                ops = SequenceMatcher(None, wording, mine, autojunk=False).get_opcodes()
-                # words around the wording are not differences
-                while ops and ops[0][0] == "insert":
-                    ops = ops[1:]
-                while ops and ops[-1][0] == "insert":
-                    ops = ops[:-1]
-                missing = [w for tag, a, b, _, _ in ops if tag != "equal" for w in wording[a:b]]
-                added = [w for tag, _, _, c, d in ops if tag != "equal" for w in mine[c:d]]
-                cost = len(missing) + len(added)
-                if cost > most * len(wording):
+        places = [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(text)]
+        seen: dict[int, list[int]] = {}
+        for i, (w, _, _) in enumerate(places):
+            for k in self.cues.get(w, ()):
+                seen.setdefault(k, []).append(i)
+        found = []
+        for k, hits in seen.items():
+            name, wording, room = self.wordings[k]
+            bag = Counter(wording)
+            reach = len(wording) + room
+            done = -1
+            for i in hits:
+                if i < done:
                     continue
-                verdict = "variant" if cost else "exact"
-                row = (name, gain, len(missing), len(added), " ".join([*("-" + w for w in missing), *("+" + w for w in added)]), verdict)
-                if best is None or (cost, -len(wording)) < best[0]:
-                    best = ((cost, -len(wording)), row)
-        if len(self.seen) > 100_000:
-            self.seen.clear()
-        self.seen[block] = best and best[1]
-        return self.seen[block]
+                # windows that hold too few of the wording's words cannot be confirmed
+                low, high = max(0, done, i - reach), min(len(places), i + reach + 1)
+                mine = [p[0] for p in places[low:high]]
+                if sum(((bag & Counter(mine)).values())) < len(wording) - room:
+                    continue
+                # of several copies in the window, the first whose own stretch is confirmed
+                starts = [j for j in range(len(mine)) if mine[j] in bag]
+                best = None
+                for j in starts:
+                    for got in self.align(k, mine[j : j + reach]):
+                        if best is None or got[0] < best[0]:
+                            best = (got[0], got[1] + j, got[2] + j, *got[3:])
+                    if best and (best[0] == 0 or j >= best[2]):
+                        break
+                if best:
+                    found.append((best[0] / len(wording), -len(wording), low + best[1], low + best[2], name, best[3], best[4]))
+                    done = low + best[2]
+        found.sort(key=lambda f: (f[0], f[1], f[2], f[4]))
+        kept: list[tuple] = []
+        for f in found:
+            if all(f[3] <= g[2] or g[3] <= f[2] for g in kept):
+                kept.append(f)
+        out = []
+        for _, _, a, b, name, missing, added in sorted(kept, key=lambda f: f[2]):
+            start, end = places[a][1], TAIL.match(text, places[b - 1][2]).end()
+            differ = " ".join([*("-" + w for w in missing), *("+" + w for w in added)])
+            out.append((start, end, name, self.reduction(text[start:end], name), len(missing), len(added), differ, "variant" if differ else "exact"))
+        return out
 
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(doc_id, line, start, length, license, reduction, n_missing, n_added, difference, verdict): confirmed notices.
 
-    Whole texts of ``docs`` (doc_id, text) are read line by line, with no
-    shuffle; ``start`` and ``length`` are code points. A null or empty text has
-    no lines; repeated rows give repeated findings; a null id stays null.
+    Whole texts of ``docs`` (doc_id, text) are read, with no shuffle; a notice
+    may run over line ends, and ``line`` is that of its first word. ``start``
+    and ``length`` are code points of the notice's words and the signs that end it. A null or empty text
+    has none; repeated rows give repeated findings; a null id stays null.
     """
     own = templates or TEMPLATES
     names = ["doc_id", "line", "start", "length", "license", "reduction", "n_missing", "n_added", "difference", "verdict"]
@@ -133,13 +184,8 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -
         for batch in chunks(batches, "text", 16 << 20):
             out = []
             for ident, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                if not text or not CUE.search(text):
-                    continue
-                at = 0
-                for n, line in enumerate(text.split("\n")):
-                    if CUE.search(line) and (found := scanner.judge(line)):
-                        out.append((ident, n, at, len(line), *found))
-                    at += len(line) + 1
+                for start, end, *found in scanner.find(text or ""):
+                    out.append((ident, text.count("\n", 0, start), start, end - start, *found))
             cols = zip(*out) if out else ((),) * len(names)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 

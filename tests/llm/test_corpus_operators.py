@@ -136,6 +136,22 @@ def test_license_findings(spark):
     assert license_scan.scan(empty(spark)).count() == 0
 
 
+def test_every_wording_is_found_wrapped_and_amid_text(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    cases = [(name, t) for name, all_ in license_scan.TEMPLATES.items() for t in all_]
+    ts = []
+    for _, t in cases:
+        fill = [word() for _ in range(300)]
+        ts.append(" ".join(fill[:150]) + " " + t.replace(" ", "\n", 40) + " " + " ".join(fill[150:]))
+    rows = license_scan.scan(frame(spark, ts)).collect()
+    got = {(r["doc_id"], r["license"], r["verdict"]): ts[r["doc_id"]][r["start"] : r["start"] + r["length"]] for r in rows}
+    for i, (name, t) in enumerate(cases):
+        assert license_scan.words(got[i, name, "exact"]) == license_scan.words(t)
+    two = license_scan.scan(frame(spark, ["Released under the MIT License. x y z Licensed under CC BY 4.0. Released under the MIT License."])).collect()
+    assert [r["license"] for r in sorted(two, key=lambda r: r["start"])] == ["MIT", "CC-BY-4.0", "MIT"]
+
+
 # 3 --------------------------------------------------------------------------
 
 
