@@ -47,28 +47,63 @@ def local_session(app: str = "stratalex", cores: int | str = "*", memory: str =
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can read and write.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder is made and kept for the session.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
+    temporary folder is made for a local master only; elsewhere it would be
+    another folder on each machine, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stratalex-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
+#: Spark's setting that deletes the shuffle files of a query when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write ``df`` as a table in the shared folder; the table read back, and its path.
 
     This cuts the lineage: a later loss of an executor costs no more than a
-    read of the table.
+    read of the table. The shuffle files of the query go as soon as the table is
+    written, as nothing can ask for them any more.
     """
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table that ``materialize`` wrote."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Tables:
+    """Intermediate tables of one operator: ``put`` writes one, ``drop`` deletes them all when a result is written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def put(self, df: DataFrame, tag: str) -> DataFrame:
+        table, path = materialize(df, tag)
+        self.paths.append(path)
+        return table
+
+    def drop(self) -> None:
+        while self.paths:
+            drop_path(self.spark, self.paths.pop())
