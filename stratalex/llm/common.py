@@ -12,16 +12,16 @@ import pyarrow.ipc  # noqa: F401  (pa.ipc)
 from pyspark.sql import DataFrame
 
 from stratalex.operators.graph import connected_components
-from stratalex.session import drop_path, materialize, shared_dir
+from stratalex.session import Tables, drop_path, materialize, shared_dir
 
-__all__ = ["blob_to_table", "chunks", "connected_components", "drop_path", "materialize", "pack_blocks", "shared_dir", "splitmix", "table_to_blob"]
+__all__ = ["Tables", "blob_to_table", "chunks", "connected_components", "drop_path", "materialize", "pack_blocks", "shared_dir", "splitmix", "table_to_blob"]
 
 
-def pack_blocks(df: DataFrame, block_bytes: int) -> DataFrame:
+def pack_blocks(df: DataFrame, block_bytes: int, level: int = 3) -> DataFrame:
     """(block long, blob binary): the rows of ``df`` in blocks of about ``block_bytes``.
 
-    A blob is an Arrow stream with zstandard bodies, so whole rows travel
-    through a shuffle in half the bytes. A row larger than a block has its own.
+    A blob is an Arrow stream with zstandard bodies of ``level``, so whole rows
+    travel through a shuffle in half the bytes. A row larger than a block has its own.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,7 +32,7 @@ def pack_blocks(df: DataFrame, block_bytes: int) -> DataFrame:
 
         def emit():
             nonlocal seq, held, size
-            blob = table_to_blob(pa.Table.from_batches(held))
+            blob = table_to_blob(pa.Table.from_batches(held), level)
             out = pa.record_batch([pa.array([(part << 32) | seq], pa.int64()), pa.array([blob], pa.binary())], names=["block", "blob"])
             seq, held, size = seq + 1, [], 0
             return out
@@ -57,10 +57,10 @@ def pack_blocks(df: DataFrame, block_bytes: int) -> DataFrame:
     return df.mapInArrow(pack, "block long, blob binary")
 
 
-def table_to_blob(table: pa.Table) -> bytes:
+def table_to_blob(table: pa.Table, level: int = 3) -> bytes:
     sink = io.BytesIO()
     table = table.combine_chunks()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as writer:
         writer.write_table(pa.Table.from_batches([pa.RecordBatch.from_arrays([_own(c) for c in table.columns], schema=table.schema)]))
     return sink.getvalue()
 

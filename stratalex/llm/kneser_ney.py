@@ -1,105 +1,192 @@
-"""Quality classifier: interpolated modified Kneser-Ney models of trusted text.
-
-``classify`` and ``keep_good`` count word trigrams of all trusted text, hashed
-and added up by each task first. The orders of the model are made by joins of
-sharded counts, and each document's own trigram counts are joined to the sharded
-tables; nothing that grows with the text is gathered or broadcast.
-
-``fit`` and ``score`` are a model of letters for small uses: text as signs of 64
-classes, four of them a code of 24 bits, with a dense table of all codes.
+"""Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
+
+The model counts runs of five code points, whole Unicode, with no classes and no
+hashes. Counts of all trusted text are added up by each block first and then
+sharded; the orders of the model are made by joins of sharded counts. Documents
+travel in blocks: a block asks the shards for its distinct runs once, the shards
+answer from their counts, and the block adds up each document's perplexity. A
+block of some MB has far fewer distinct runs than signs, so that join moves a
+tenth of the text. Nothing that grows is gathered or broadcast.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalex.llm.common import chunks, drop_path, materialize, splitmix
-
-SIGNS, START = 64, 63
-#: Code points from here on (rare letters of the upper planes) are read as the last one below.
-TOP = 0x20000
-_CLASS: list[np.ndarray] = []
-
-
-def classes() -> np.ndarray:
-    """The class of each code point: a-z, A-Z, then white space, line end, digits, punctuation and other letters."""
-    if not _CLASS:
-        table = np.full(TOP, 62, np.uint8)
-        for c in range(TOP):
-            ch = chr(c)
-            if "a" <= ch <= "z":
-                table[c] = c - 97
-            elif "A" <= ch <= "Z":
-                table[c] = 26 + c - 65
-            elif ch == "\n":
-                table[c] = 53
-            elif ch.isspace():
-                table[c] = 52
-            elif ch.isdigit():
-                table[c] = 54
-            elif ch in ".,;:'-":
-                table[c] = 55
-            elif ch in "!?":
-                table[c] = 56
-            elif c < 128:
-                table[c] = 57
-            elif ch.islower():
-                table[c] = 58 + c % 2
-            elif ch.isupper():
-                table[c] = 60
-            elif ch.isalpha():
-                table[c] = 61
-        _CLASS.append(table)
-    return _CLASS[0]
-
-
-def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, first): the four-sign code that ends at each sign of each text, after three start signs; where each text begins."""
-    pad = np.full(3, START, np.uint32)
-    parts, sizes = [], []
-    for t in texts:
-        points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-        signs = classes()[np.minimum(points, TOP - 1)].astype(np.uint32)
-        parts += [pad, signs]
-        sizes.append(len(signs))
-    s = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-    ends = np.cumsum(sizes, dtype=np.int64)
-    first = ends - sizes
-    if not len(s):
-        return np.zeros(0, np.int32), first
-    four = (s[:-3] << 18 | s[1:-2] << 12 | s[2:-1] << 6 | s[3:]).astype(np.int32) if len(s) > 3 else np.zeros(0, np.int32)
-    # drop the codes that end in the three start signs of the next text
-    keep = np.ones(len(four), bool)
-    for k, e in enumerate(ends[:-1].tolist()):
-        keep[e + 3 * k : e + 3 * k + 3] = False
-    return four[keep], first
-
-
-def count_codes(docs: DataFrame) -> DataFrame:
-    """(code, c) over all texts of ``docs``; each task adds its own up first, so a code is one row for each task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 24, np.int64)
-        for batch in batches:
-            for part in chunks([batch], "text", 4 << 20):
-                codes, _ = codes_of([t or "" for t in part.column("text").to_pylist()])
-                u, c = np.unique(codes, return_counts=True)
-                total[u] += c
-        u = np.flatnonzero(total)
-        for at in range(0, len(u), 100_000):
-            x = u[at : at + 100_000]
-            yield pa.record_batch([pa.array(x, pa.int64()), pa.array(total[x])], names=["code", "c"])
+from stratalex.llm.common import Tables, blob_to_table, pack_blocks
+
+ORDER = 5
+#: The sign before the first one of a text.
+PAD = "\x02"
+#: Code points handled at a time; longer texts are cut, with the signs before a cut as context.
+PIECE = 4 << 20
+#: Of a block's rows, in bytes.
+BLOCK_BYTES = 8 << 20
+#: One trusted document in so many is not counted, and draws the upper bounds.
+HELD_OUT = 4
+#: Logarithms are answered in steps of one in so many.
+STEPS = 1024
+NONE = np.int16(-(1 << 15))
+
+
+def pieces(texts: list[str | None], limit: int = PIECE) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Groups of (row, code points) of about ``limit`` signs; each piece begins with the ORDER - 1 signs before it."""
+    pad = np.full(ORDER - 1, ord(PAD), np.uint32)
+    group, size = [], 0
+    for row, text in enumerate(texts):
+        if not text:
+            continue
+        points = np.concatenate((pad, np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)))
+        for at in range(0, len(points) - len(pad), limit):
+            piece = points[at : at + limit + len(pad)]
+            if group and size + len(piece) > 2 * limit:
+                yield group
+                group, size = [], 0
+            group.append((row, piece))
+            size += len(piece)
+    if group:
+        yield group
+
+
+def _ranks(key: np.ndarray, space: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the rank of each key; without a sort where a table of all keys is small."""
+    if space > 1 << 25:
+        return np.unique(key, return_inverse=True)
+    rank = np.zeros(space, np.int32)
+    rank[key] = 1
+    found = np.flatnonzero(rank)
+    rank[found] = np.arange(len(found), dtype=np.int32)
+    return found, rank[key]
+
+
+class Grams:
+    """The distinct runs of 1 to ORDER signs of a group of pieces.
+
+    For order k, ``parent[k]`` and ``suffix[k]`` are the runs of order k - 1
+    without the last and the first sign; numbers follow the order of the signs.
+    ``at`` has the run of ORDER signs that ends at each sign of the pieces, and
+    ``first`` where each piece begins in it.
+    """
 
-    return docs.select("text").mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+    def __init__(self, group: list[tuple[int, np.ndarray]]) -> None:
+        self.rows = np.array([r for r, _ in group])
+        signs = np.concatenate([p for _, p in group])
+        sizes = np.array([len(p) for _, p in group])
+        ends = np.cumsum(sizes)
+        real = np.ones(len(signs), bool)
+        for k in range(ORDER - 1):
+            real[ends - sizes + k] = False
+        self.first = np.cumsum(sizes - (ORDER - 1)) - (sizes - (ORDER - 1))
+        seen = np.zeros(0x110000, np.int32)
+        seen[signs] = 1
+        alphabet = np.flatnonzero(seen)
+        seen[alphabet] = np.arange(len(alphabet), dtype=np.int32)
+        last = seen[signs]
+        n = len(alphabet)
+        self.points = {1: alphabet.astype(np.uint32)[:, None]}
+        self.parent: dict[int, np.ndarray] = {}
+        self.suffix: dict[int, np.ndarray] = {}
+        ids = last
+        for k in range(2, ORDER + 1):
+            key = last.astype(np.int64)
+            key[1:] += ids[:-1].astype(np.int64) * n
+            found, longer = _ranks(key, len(self.points[k - 1]) * n)
+            del key
+            where = np.zeros(len(found), np.int64)
+            where[longer] = np.arange(len(longer))
+            self.parent[k], self.suffix[k] = found // n, ids[where].astype(np.int64)
+            self.points[k] = np.concatenate((self.points[k - 1][self.parent[k]], alphabet[found % n, None].astype(np.uint32)), axis=1)
+            ids = longer
+        self.at = ids[real]
+        # what the signs of the pieces need
+        self.used = {k: np.zeros(len(p), bool) for k, p in self.points.items()}
+        self.used[ORDER][self.at] = True
+        for k in range(ORDER, 1, -1):
+            self.used[k - 1][self.parent[k][self.used[k]]] = True
+            self.used[k - 1][self.suffix[k][self.used[k]]] = True
+
+    def texts(self, order: int, chosen: np.ndarray) -> list[str]:
+        whole = self.points[order][chosen].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        return [whole[i : i + order] for i in range(0, len(whole), order)]
+
+    def dealt(self, shards: int) -> Iterator[tuple[int, dict[int, np.ndarray]]]:
+        """(shard, runs of each order that live there); a run's shard is that of its first three signs."""
+        shard = {}
+        for k in self.points:
+            if k <= 3:
+                names = self.texts(k, np.arange(len(self.points[k])))
+                shard[k] = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in names), np.uint64, len(names))
+                shard[k] = shard[k].view(np.int64) % shards
+            else:
+                shard[k] = shard[k - 1][self.parent[k]]
+        own = {k: np.flatnonzero(u) for k, u in self.used.items()}
+        order = {k: own[k][np.argsort(shard[k][own[k]], kind="stable")] for k in own}
+        cuts = {k: np.searchsorted(shard[k][order[k]], np.arange(shards + 1)) for k in own}
+        for s in range(shards):
+            part = {k: order[k][cuts[k][s] : cuts[k][s + 1]] for k in own}
+            if any(len(x) for x in part.values()):
+                yield s, part
+
+    def ask(self, part: dict[int, np.ndarray]) -> bytes:
+        """Runs as bytes: how many of each order, then their signs by columns."""
+        counts = np.array([len(part[k]) for k in range(1, ORDER + 1)], "<u4")
+        signs = np.concatenate([self.points[k][part[k]].T.ravel() for k in range(1, ORDER + 1)]).astype("<u4")
+        return zstandard.compress(counts.tobytes() + signs.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), 3)
+
+    def logs(self, p: dict[int, np.ndarray], g: dict[int, np.ndarray], unknown: float) -> np.ndarray:
+        """ln p of each run of ORDER signs from ln p of seen runs and ln of the back-off weights of seen contexts (both NaN elsewhere)."""
+        below = np.where(np.isnan(p[1]), np.log(unknown), p[1])
+        for k in range(2, ORDER + 1):
+            below = np.where(np.isnan(p[k]), np.nan_to_num(g[k - 1])[self.parent[k]] + below[self.suffix[k]], p[k])
+        return below
+
+
+def _packed(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of at most five signs (rows of code points) as two integers each, one for one."""
+    wide = np.zeros((len(points), ORDER), np.int64)
+    wide[:, : points.shape[1]] = points.astype(np.int64) + 1
+    return wide[:, 0] << 42 | wide[:, 1] << 21 | wide[:, 2], wide[:, 3] << 21 | wide[:, 4]
+
+
+class Lookup:
+    """Values by run."""
+
+    def __init__(self, names: list[str], values: np.ndarray) -> None:
+        high, low = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        sizes = np.fromiter(map(len, names), np.int64, len(names))
+        for k in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == k)
+            signs = np.frombuffer("".join([names[i] for i in at.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            high[at], low[at] = _packed(signs.reshape(len(at), k))
+        self.high = np.unique(high)
+        key = np.searchsorted(self.high, high) << 42 | low
+        order = np.argsort(key)
+        self.key, self.values = key[order], values[order]
+
+    def __call__(self, points: np.ndarray) -> np.ndarray:
+        """The values of rows of code points in steps, NONE where there is none."""
+        out = np.full(len(points), NONE)
+        if not len(self.key) or not len(points):
+            return out
+        high, low = _packed(points)
+        top = np.minimum(np.searchsorted(self.high, high), len(self.high) - 1)
+        key = top << 42 | low
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        hit = (self.key[at] == key) & (self.high[top] == high)
+        out[hit] = self.values[at[hit]]
+        return out
+
+
+def steps(values: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(values * STEPS), -(1 << 15) + 1, (1 << 15) - 1).astype(np.int16)
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -113,111 +200,151 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw))
 
 
-def order_tables(counts: DataFrame, lower: DataFrame | None, bits: int) -> tuple[DataFrame, DataFrame]:
-    """(code, p) and (ctx, gamma) of one order by joins of sharded counts; ``lower`` has (code, p) of the next lower order."""
-    d1, d2, d3 = discounts(counts)
-    ctx = F.shiftright("code", 6)
+def fit(counts: DataFrame, tables: Tables) -> tuple[DataFrame, float] | None:
+    """The model from (gram, c) of all runs of ORDER signs: rows (gram, weight, value) and p of an unknown sign; None without a run.
+
+    ``value`` is p of a seen run, or with ``weight`` the back-off weight of a
+    seen context. The lowest order is interpolated with an equal share for each
+    seen sign and one for all others.
+    """
     c = F.col("c")
-    cut = F.when(c == 1, d1).when(c == 2, d2).otherwise(d3)
-    per = counts.groupBy(ctx.alias("ctx")).agg(F.sum("c").alias("total"), F.sum(cut).alias("held"))
-    per = per.select("ctx", "total", (F.col("held") / F.col("total")).alias("gamma"))
-    rows = counts.withColumn("ctx", ctx).join(per, "ctx")
-    if lower is None:
-        below = F.lit(1.0 / SIGNS)
-    else:
-        rows = rows.withColumn("low", F.col("code").bitwiseAND((1 << (bits - 6)) - 1))
-        rows = rows.join(lower.select(F.col("code").alias("low"), F.col("p").alias("p_low")), "low")
-        below = F.col("p_low")
-    p = (c - cut) / F.col("total") + F.col("gamma") * below
-    return rows.select("code", p.alias("p")), per.select("ctx", "gamma")
-
-
-@dataclass(frozen=True)
-class Model:
-    """Seen codes of four signs with ln p; ln of the back-off weight of each context of three, and ln p of all threes."""
-
-    codes: np.ndarray
-    logp: np.ndarray
-    gamma: np.ndarray
-    lower: np.ndarray
-
-    def dense(self) -> np.ndarray:
-        """ln p of every code: 64 MB, made once in a worker."""
-        table = (self.gamma[:, None] + self.lower.reshape(1 << 12, 64)[np.arange(1 << 18) & 0xFFF]).ravel().astype(np.float32)
-        table[self.codes] = self.logp
-        return table
-
-
-def fit(trusted: DataFrame) -> Model | None:
-    """The model of all texts of ``trusted`` (text); None if they hold no sign."""
-    four, path = materialize(count_codes(trusted), "kn-counts")
-    if not four.limit(1).count():
-        return None
-    counts = {4: four}
-    for k in (3, 2, 1):
-        # how many different signs stand before each shorter code
-        suffix = F.col("code").bitwiseAND((1 << (6 * k)) - 1)
-        counts[k] = counts[k + 1].groupBy(suffix.alias("code")).agg(F.count(F.lit(1)).alias("c"))
-    lower, arrays, paths = None, {}, [path]
-    for k in (1, 2, 3, 4):
-        p, gamma = order_tables(counts[k], lower, 6 * k)
-        lower, made = materialize(p, f"kn-order{k}")
-        paths.append(made)
-        # 64^k rows at most
-        p, gamma = lower.toPandas(), gamma.toPandas()
-        arrays[k] = (p["code"].to_numpy(), p["p"].to_numpy(), gamma["ctx"].to_numpy(), gamma["gamma"].to_numpy())
-    for made in paths:
-        drop_path(four.sparkSession, made)
-    below = np.full(1, 1.0 / SIGNS)
-    for k in (1, 2, 3):
-        code, p, ctx, gamma = arrays[k]
-        weight = np.ones(1 << (6 * (k - 1)))
-        weight[ctx] = gamma
-        wide = (weight[:, None] * (below.reshape(-1, 64) if k > 1 else below)[np.arange(len(weight)) % max(1, len(below) // 64)]).reshape(len(weight), -1)
-        wide = np.broadcast_to(wide, (len(weight), 64)).ravel().copy()
-        wide[code] = p
-        below = wide
-    code, p, ctx, gamma = arrays[4]
-    weight = np.ones(1 << 18)
-    weight[ctx] = gamma
-    return Model(code.astype(np.int32), np.log(p).astype(np.float32), np.log(weight).astype(np.float32), np.log(below).astype(np.float32))
-
-
-_DENSE: dict[int, np.ndarray] = {}
-
-
-def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with the struct ``_quality``; all other columns stay.
+    parts, lower, unknown = [], None, 0.0
+    by_order = {ORDER: counts}
+    for k in range(ORDER - 1, 0, -1):
+        # how many different signs stand before each shorter run
+        shorter = by_order[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
+        by_order[k] = tables.put(shorter, f"kn-counts{k}")
+    for k in range(1, ORDER + 1):
+        d = discounts(by_order[k])
+        held = F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
+        if lower is None:
+            row = by_order[k].agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("total"), F.sum(held).alias("held")).first()
+            if not row["n"]:
+                return None
+            unknown = row["held"] / row["total"] / (row["n"] + 1)
+            p = by_order[k].select("gram", ((c - held) / row["total"] + unknown).alias("p"))
+        else:
+            context = F.substring("gram", 1, k - 1)
+            per = by_order[k].groupBy(context.alias("context")).agg(F.sum("c").alias("total"), (F.sum(held) / F.sum("c")).alias("g"))
+            per = tables.put(per, f"kn-contexts{k}")
+            rows = by_order[k].withColumn("context", context).withColumn("low", F.substring("gram", 2, k - 1))
+            rows = rows.join(per, "context").join(lower.select(F.col("gram").alias("low"), F.col("p").alias("p_low")), "low")
+            p = rows.select("gram", ((c - held) / F.col("total") + F.col("g") * F.col("p_low")).alias("p"))
+            parts.append(per.select(F.col("context").alias("gram"), F.lit(True).alias("weight"), F.col("g").alias("value")))
+        lower = tables.put(p, f"kn-p{k}")
+        parts.append(lower.select("gram", F.lit(False).alias("weight"), F.col("p").alias("value")))
+    model = parts[0]
+    for part in parts[1:]:
+        model = model.unionByName(part)
+    return model, unknown
+
+
+def count_grams(blocks: DataFrame, chosen: DataFrame, text: str = "text", piece: int = PIECE) -> DataFrame:
+    """(gram, c): the runs of ORDER signs of the rows (block, row) ``chosen`` of ``blocks``; each block adds its own up first."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        names, values = [], []
+        if left.num_rows and right.num_rows:
+            table = blob_to_table(left.column("blob")[0].as_py()).select([text]).take(right.column("row"))
+            for group in pieces(table.column(text).to_pylist(), piece):
+                grams = Grams(group)
+                own = np.flatnonzero(grams.used[ORDER])
+                names += grams.texts(ORDER, own)
+                values.append(np.bincount(grams.at, minlength=len(grams.used[ORDER]))[own])
+        counted = np.concatenate(values) if values else np.zeros(0, np.int64)
+        return pa.table({"gram": pa.array(names, pa.string()), "c": pa.array(counted, pa.int64())})
+
+    counted = blocks.groupBy("block").cogroup(chosen.groupBy("block")).applyInArrow(run, "gram string, c long")
+    return counted.groupBy("gram").agg(F.sum("c").alias("c"))
+
+
+def score(blocks: DataFrame, model: DataFrame | None, unknown: float, fields: str, text: str = "text", piece: int = PIECE) -> DataFrame:
+    """All rows of ``blocks`` with the struct ``_quality``.
 
     ``perplexity`` is that of a sign, ``error`` the standard error of its
-    logarithm; both are null without a sign or a model.
+    logarithm; both are null without a sign or a model. ``fields`` is the schema
+    of the rows.
     """
-    flat = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
-        if own is not None and id(own) not in _DENSE:
-            _DENSE.clear()
-            _DENSE[id(own)] = own.dense()
-        table = _DENSE.get(id(own))
-        for batch in chunks(batches, text, 4 << 20):
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            codes, first = codes_of(texts)
-            n = np.diff(np.append(first, len(codes)))
-            value, error = np.full(len(texts), np.nan), np.zeros(len(texts))
-            if table is not None and len(codes):
-                full = np.flatnonzero(n)
-                each = table[codes]
-                mean = np.add.reduceat(each, first[full], dtype=np.float64) / n[full]
-                square = np.add.reduceat(each * each, first[full], dtype=np.float64) / n[full]
-                value[full] = np.exp(-mean)
-                error[full] = np.sqrt(np.maximum(square - mean * mean, 0) / n[full])
-            none = np.isnan(value)
-            extra = pa.StructArray.from_arrays([pa.array(x, pa.float64(), mask=none) for x in (value, error)], names=["perplexity", "error"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, extra], names=[*batch.schema.names, "_quality"])
-
-    return docs.mapInArrow(run, f"{flat}, _quality struct<perplexity: double, error: double>")
+    spark = blocks.sparkSession
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["shard", "block", "part", "runs"]
+        for batch in batches:
+            for block, blob in zip(batch.column("block").to_pylist(), batch.column("blob")):
+                for part, group in enumerate(pieces(blob_to_table(blob.as_py()).column(text).to_pylist(), piece)):
+                    grams = Grams(group)
+                    rows = [(s, grams.ask(own)) for s, own in grams.dealt(shards)]
+                    own = [pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), pa.binary()))]
+                    yield pa.record_batch([own[0], pa.array([block] * len(rows), pa.int64()), pa.array([part] * len(rows), pa.int32()), own[1]], names=names)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, names, values, tables = None, ([], []), ([], []), None
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("shard", "block", "part", "runs", "gram", "weight", "value")]
+            out = []
+            for s, block, part, runs, gram, weight, value in zip(*cols):
+                if s != shard:
+                    shard, names, values, tables = s, ([], []), ([], []), None
+                if runs is None:
+                    names[weight].append(gram)
+                    values[weight].append(value)
+                    continue
+                if tables is None:
+                    tables = [Lookup(n, steps(np.log(np.array(v, np.float64)))) for n, v in zip(names, values)]
+                    names, values = ([], []), ([], [])
+                raw = zstandard.decompress(runs)
+                counts = np.frombuffer(raw, "<u4", ORDER).tolist()
+                signs = np.frombuffer(raw[4 * ORDER :].decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+                found, at = [], 0
+                for k, n in enumerate(counts, 1):
+                    points = signs[at : at + k * n].reshape(k, n).T
+                    at += k * n
+                    found.append(tables[0](points))
+                    if k < ORDER:
+                        found.append(tables[1](points))
+                out.append((s, block, part, zstandard.compress(np.concatenate(found).astype("<i2").tobytes(), 3)))
+            if out:
+                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["shard", "block", "part", "found"])
+
+    def judge_block(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        table = blob_to_table(left.column("blob")[0].as_py())
+        n, total, square = (np.zeros(table.num_rows) for _ in range(3))
+        if right.num_rows:
+            answers = {(p, s): f for p, s, f in zip(*(right.column(c).to_pylist() for c in ("part", "shard", "found")))}
+            for part, group in enumerate(pieces(table.column(text).to_pylist(), piece)):
+                grams = Grams(group)
+                p, g = ({k: np.full(len(x), np.nan) for k, x in grams.points.items()} for _ in range(2))
+                for s, own in grams.dealt(shards):
+                    found, at = np.frombuffer(zstandard.decompress(answers[part, s]), "<i2"), 0
+                    for k in range(1, ORDER + 1):
+                        for out in (p, g)[: 1 + (k < ORDER)]:
+                            value = found[at : at + len(own[k])]
+                            out[k][own[k]] = np.where(value == NONE, np.nan, value / STEPS)
+                            at += len(own[k])
+                each = grams.logs(p, g, unknown)[grams.at]
+                np.add.at(n, grams.rows, np.diff(np.append(grams.first, len(each))))
+                np.add.at(total, grams.rows, np.add.reduceat(each, grams.first))
+                np.add.at(square, grams.rows, np.add.reduceat(each * each, grams.first))
+        none = n == 0
+        n = np.maximum(n, 1)
+        error = np.sqrt(np.maximum(square / n - (total / n) ** 2, 0) / n)
+        extra = pa.StructArray.from_arrays([pa.array(x, pa.float64(), mask=none) for x in (np.exp(-total / n), error)], names=["perplexity", "error"])
+        return table.append_column("_quality", extra)
+
+    if model is None:
+        answers = spark.createDataFrame([], "shard int, block long, part int, found binary")
+    else:
+        rows = model.select(F.pmod(F.xxhash64(F.substring("gram", 1, 3)), F.lit(shards)).cast("int").alias("shard"), F.lit(-1).cast("long").alias("block"), F.lit(0).alias("part"),
+                            F.lit(None).cast("binary").alias("runs"), "gram", "weight", "value")
+        asked = blocks.mapInArrow(requests, "shard int, block long, part int, runs binary").withColumns(
+            {"gram": F.lit(None).cast("string"), "weight": F.lit(None).cast("boolean"), "value": F.lit(None).cast("double")}
+        )
+        both = rows.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "block", "part")
+        answers = both.mapInArrow(answer, "shard int, block long, part int, found binary")
+    schema = f"{fields}, _quality struct<perplexity: double, error: double>"
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(judge_block, schema)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -227,42 +354,36 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return rows.agg(F.min(good.cast("int")).alias("good")).where("good = 1").select("doc_id")
 
 
-def trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text) that are trusted.
-
-    Both sides are always shuffled by id, so the plan and its cost are the same
-    however many labels there are.
-    """
-    return docs.select("doc_id", "text").join(trusted.hint("shuffle_hash"), "doc_id", "left_semi")
+def held_out(ident: str | Column = "doc_id") -> Column:
+    """Whether a trusted document stays out of the counts."""
+    return F.pmod(F.xxhash64(F.lit("held"), ident), F.lit(HELD_OUT)) == 0
 
 
 def thresholds(scored: DataFrame, trusted: DataFrame, quantile: float, slack: float) -> DataFrame:
     """(lang, low, high): bounds of perplexity by language from the trusted rows of ``scored`` (doc_id, lang, perplexity, error).
 
-    The bounds are the outer quantiles of what ``judge`` compares, so with the
-    same allowance for short texts, widened by ``slack``; lang null has its own
-    row. Too few rows for such a quantile (under 1 / (1 - ``quantile``)) have
-    no more than their extremes, which new texts pass often; there the way from
-    the median to the extreme, in logarithms, is drawn out as far as a normal
-    distribution says by the number of rows. The row with ``any`` true holds
-    those of all languages together, for languages without trusted rows.
+    The bounds are outer quantiles of what ``judge`` compares, so with the same
+    allowance for short texts. They are drawn from the median and the outer
+    decile of each language, whose distance in logarithms is lengthened as a
+    normal distribution says, so single odd documents among the trusted ones do
+    not move them; few rows lengthen it a little more, and ``slack`` widens all.
+    Counted documents have a lower perplexity than others, so the upper bound
+    comes from those held out, where there are any, and the lower one from all.
+    Lang null has its own row. The row with ``any`` true holds those of all
+    languages together, for languages without trusted rows.
     """
-    own = scored.join(trusted, "doc_id", "left_semi").where("perplexity is not null")
+    own = scored.join(trusted, "doc_id", "left_semi").where("perplexity is not null").withColumn("held", held_out())
     room = F.exp(2 * F.col("error"))
-    rows = F.count(F.lit(1))
-    # the normal quantile of the extreme of so many rows (Blom), by a rational approximation
-    t = F.sqrt(-2 * F.log(0.625 / (rows + 0.25)))
-    z = t - (2.30753 + 0.27061 * t) / (1 + 0.99229 * t + 0.04481 * t * t)
-    few = (rows > 1) & (rows * (1 - quantile) < 1)
-
-    def bound(value, share, wider):
-        seen, middle = F.percentile_approx(value, share, 10_000), F.percentile_approx(value, 0.5, 10_000)
-        drawn = F.exp(F.log(middle) + F.log(seen / middle) * NormalDist().inv_cdf(quantile) / z)
-        return F.when(few, wider(seen, drawn)).otherwise(seen)
-
-    low = bound(F.col("perplexity") * room, 1 - quantile, F.least)
-    high = bound(F.col("perplexity") / room, quantile, F.greatest)
-    both = own.rollup("lang").agg(F.grouping("lang").alias("any"), low.alias("low"), high.alias("high"))
+    outer = NormalDist().inv_cdf(quantile) / NormalDist().inv_cdf(0.9)
+
+    def bound(value, decile):
+        middle, edge = F.percentile_approx(value, 0.5, 10_000), F.percentile_approx(value, decile, 10_000)
+        return middle * F.exp(F.log(edge / middle) * outer * (1 + 8 / F.count(value)))
+
+    low = bound(F.col("perplexity") * room, 0.1)
+    high = bound(F.when(F.col("held"), F.col("perplexity") / room), 0.9)
+    seen = bound(F.col("perplexity") / room, 0.9)
+    both = own.rollup("lang").agg(F.grouping("lang").alias("any"), low.alias("low"), F.coalesce(high, seen).alias("high"))
     return both.select("lang", (F.col("any") == 1).alias("any"), (F.col("low") / slack).alias("low"), (F.col("high") * slack).alias("high"))
 
 
@@ -283,155 +404,46 @@ def judge(scored: DataFrame, bounds: DataFrame) -> DataFrame:
     return out.withColumn("keep", keep).drop("own_lang", "all_low", "all_high")
 
 
-#: A word is a run of letters and digits; signs of scripts without spaces, and other signs, stand alone.
-ALONE = "\\u0e00-\\u0eff\\u2e80-\\ua4cf\\uf900-\\ufaff\U00020000-\U0003ffff"
-WORD = re.compile(f"[{ALONE}]|[^\\W{ALONE}]+|[^\\w\\s]")
-#: The word before the first one of a text.
-BEGIN = xxhash.xxh64_intdigest("\n")
+def _scores(rows: DataFrame, trusted: DataFrame, tables: Tables) -> DataFrame:
+    """``rows`` (doc_id, lang, text, ...) with ``_quality``, as a table. Texts move once to be counted and once to be scored."""
+    blocks = pack_blocks(rows, BLOCK_BYTES, level=6).repartition("block")
+
+    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, blob in zip(batch.column("block").to_pylist(), batch.column("blob")):
+                ids = blob_to_table(blob.as_py()).column("doc_id").combine_chunks()
+                yield pa.record_batch([pa.array([block] * len(ids), pa.int64()), pa.array(np.arange(len(ids))), ids], names=["block", "row", "doc_id"])
 
+    ids = blocks.mapInArrow(ids_of, "block long, row long, doc_id long")
+    chosen = ids.join(trusted.hint("shuffle_hash"), "doc_id", "left_semi").where(~held_out()).select("block", "row")
+    counts = tables.put(count_grams(blocks, chosen), f"kn-counts{ORDER}")
+    model, unknown = fit(counts, tables) or (None, 1.0)
+    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema)
+    return tables.put(score(blocks, model, unknown, fields), "kn-scores")
 
-def word_grams(docs: DataFrame, other: bool) -> DataFrame:
-    """(th, w1, w2, w3, n, row): counts of the word trigrams of each row of ``docs`` (th: hash of the text, text).
 
-    Words are 64-bit hashes whose last bit is the half of the trusted text that
-    they are counted in, by ``th``, or with ``other`` the other half. ``row`` is
-    1 in one trigram of each row and 0 in the rest.
-    """
-    flip = int(other)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, int] = {}
-        for batch in chunks(batches, "text", 1 << 20):
-            parts, owners, counts, firsts = [], [], [], []
-            for th, text in zip(batch.column("th").to_pylist(), batch.column("text").to_pylist()):
-                found = WORD.findall(text or "")
-                if not found:
-                    continue
-                if len(cache) > 500_000:
-                    cache.clear()
-                for w in set(found) - cache.keys():
-                    cache[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-                h = np.fromiter([BEGIN, BEGIN, *map(cache.__getitem__, found)], np.uint64, len(found) + 2)
-                h = h & ~np.uint64(1) | np.uint64((th & 1) ^ flip)
-                whole = splitmix(splitmix(splitmix(h[:-2]) + h[1:-1]) + h[2:])
-                _, at, n = np.unique(whole, return_index=True, return_counts=True)
-                parts.append(np.stack([h[at], h[at + 1], h[at + 2]]).view(np.int64))
-                owners.append(np.full(len(at), th, np.int64))
-                counts.append(n)
-                firsts.append(np.arange(len(at)) == 0)
-            if parts:
-                w = np.concatenate(parts, axis=1)
-                cols = [np.concatenate(owners), *w, np.concatenate(counts), np.concatenate(firsts).astype(np.int64)]
-                whole_batch = pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["th", "w1", "w2", "w3", "n", "row"])
-                for at in range(0, whole_batch.num_rows, 100_000):
-                    yield whole_batch.slice(at, 100_000)
-
-    return docs.select("th", "text").mapInArrow(run, "th long, w1 long, w2 long, w3 long, n long, row long")
-
-
-@dataclass(frozen=True)
-class WordModel:
-    """Sharded tables: p of seen trigrams, bigrams and words, back-off weights by context; p of an unknown word in each half."""
-
-    p3: DataFrame
-    g3: DataFrame
-    p2: DataFrame
-    g2: DataFrame
-    p1: DataFrame
-    unknown: tuple[float, float]
-
-
-def fit_words(trusted: DataFrame) -> WordModel | None:
-    """Two interpolated modified Kneser-Ney models of the word trigrams of ``trusted`` (th, text), one for each half; None without a word.
-
-    The lowest order is interpolated with an equal share for each word of the
-    larger vocabulary of the halves and one for all unknown words.
-    """
-    c3, _ = materialize(word_grams(trusted, False).groupBy("w1", "w2", "w3").agg(F.sum("n").alias("c")), "kn-words3")
-    if not c3.limit(1).count():
-        return None
-    c2, _ = materialize(c3.groupBy("w2", "w3").agg(F.count(F.lit(1)).alias("c")), "kn-words2")
-    c1, _ = materialize(c2.groupBy("w3").agg(F.count(F.lit(1)).alias("c")), "kn-words1")
-    c, half = F.col("c"), F.col("w3").bitwiseAND(1)
-
-    def cut(d):
-        return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
-
-    def order(counts, ctx, lower, on):
-        held = cut(discounts(counts))
-        per = counts.groupBy(*ctx).agg(F.sum("c").alias("total"), (F.sum(held) / F.sum("c")).alias("g"))
-        low = lower.withColumnRenamed("p", "p_low")
-        rows = counts.join(per, ctx).join(low, on)
-        p = (c - held) / F.col("total") + F.col("g") * F.col("p_low")
-        return rows.select(*counts.columns[:-1], p.alias("p")), per.select(*ctx, "g")
-
-    held = cut(discounts(c1))
-    sides = {r["half"]: r for r in c1.groupBy(half.alias("half")).agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("total"), F.sum(held).alias("held")).collect()}
-    share = 1.0 / (1 + max(r["v"] for r in sides.values()))
-    unknown = tuple(share * (sides[s]["held"] / sides[s]["total"] if s in sides else 1.0) for s in (0, 1))
-    total = F.when(half == 0, sides[0]["total"] if 0 in sides else 1).otherwise(sides[1]["total"] if 1 in sides else 1)
-    p1, _ = materialize(c1.select("w3", ((c - held) / total + F.when(half == 0, unknown[0]).otherwise(unknown[1])).alias("p")), "kn-p1")
-    p2, g2 = order(c2, ["w2"], p1, ["w3"])
-    p2, _ = materialize(p2, "kn-p2")
-    p3, g3 = order(c3, ["w1", "w2"], p2, ["w2", "w3"])
-    return WordModel(materialize(p3, "kn-p3")[0], materialize(g3, "kn-g3")[0], p2, materialize(g2, "kn-g2")[0], p1, unknown)
-
-
-def score_words(docs: DataFrame, model: WordModel | None) -> DataFrame:
-    """(th, perplexity, error) of each different text with a word of ``docs`` (th, text).
-
-    The trigram counts of the texts are joined to the sharded tables of the half
-    that a text is not counted in, so a trusted text is never judged by itself.
-    ``perplexity`` is that of a word, ``error`` the standard error of its
-    logarithm.
-    """
-    if model is None:
-        return docs.sparkSession.createDataFrame([], "th long, perplexity double, error double")
-    rows = word_grams(docs, True)
-    rows = rows.join(model.p3.withColumnRenamed("p", "p3"), ["w1", "w2", "w3"], "left")
-    rows = rows.join(model.g3.withColumnRenamed("g", "g3"), ["w1", "w2"], "left").drop("w1")
-    rows = rows.join(model.p2.withColumnRenamed("p", "p2"), ["w2", "w3"], "left")
-    rows = rows.join(model.g2.withColumnRenamed("g", "g2"), ["w2"], "left").drop("w2")
-    rows = rows.join(model.p1.withColumnRenamed("p", "p1"), ["w3"], "left")
-    none = F.when(F.col("w3").bitwiseAND(1) == 0, model.unknown[0]).otherwise(model.unknown[1])
-    one = F.lit(1.0)
-    two = F.coalesce("p2", F.coalesce("g2", one) * F.coalesce("p1", none))
-    rows = rows.select("th", "n", "row", F.log(F.coalesce("p3", F.coalesce("g3", one) * two)).alias("lp"))
-    lp, n = F.col("lp"), F.col("n")
-    sums = rows.groupBy("th").agg(F.sum(n * lp).alias("a"), F.sum(n * lp * lp).alias("b"), F.sum("n").alias("n"), F.sum("row").alias("copies"))
-    mean = F.col("a") / n
-    spread = F.greatest(F.col("b") / n - mean * mean, F.lit(0.0))
-    return sums.select("th", F.exp(-mean).alias("perplexity"), F.sqrt(spread * F.col("copies") / n).alias("error"))
-
-
-def _scores(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, lang, perplexity, error) of each row of ``docs``, and (th, perplexity, error) of each text, as tables."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text", F.xxhash64("text").alias("th"))
-    texts = rows.join(trusted.hint("shuffle_hash"), "doc_id", "left_semi")
-    by_text, _ = materialize(score_words(rows, fit_words(texts)), "kn-texts")
-    scored, _ = materialize(rows.select("doc_id", "lang", "th").join(by_text, "th", "left").drop("th"), "kn-scores")
-    return scored, by_text
-
-
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, slack: float = 1.15) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, slack: float = 1.2) -> DataFrame:
     """(doc_id, lang, perplexity, error, low, high, keep) of each row of ``docs`` (doc_id, text, lang).
 
-    The model is one of word trigrams. It and the bounds come from all documents
-    that ``labels`` (doc_id, quality, toxic) trust: their texts are counted in
-    two halves, and every text is judged by the half that it is not in. A text
-    without a word has no perplexity and is not kept; repeated rows are judged
-    alike; other columns are not read.
+    The model and the bounds come from all documents that ``labels`` (doc_id,
+    quality, toxic) trust. A text without a sign (null or empty) has no
+    perplexity and is not kept; texts of any length are read whole, piece by
+    piece; repeated rows are judged alike; other columns are not read. An empty
+    table gives none, and without labels every row is kept.
     """
-    trusted = trusted_ids(labels)
-    scored, _ = _scores(docs, trusted)
+    tables, trusted = Tables(docs.sparkSession), trusted_ids(labels)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
+    scored = _scores(rows, trusted, tables).select("doc_id", "lang", "_quality.perplexity", "_quality.error")
     return judge(scored, thresholds(scored, trusted, quantile, slack))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, slack: float = 1.15) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, with all their columns."""
-    trusted = trusted_ids(labels)
-    scored, by_text = _scores(docs, trusted)
-    bounds, _ = materialize(thresholds(scored, trusted, quantile, slack), "kn-bounds")
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    flat = docs.select(row, F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("th")).join(by_text, "th", "left").drop("th")
-    return judge(flat, bounds).where("keep").select("row.*")
+def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, slack: float = 1.2) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, with all their columns; columns of any name may be there."""
+    tables, trusted = Tables(docs.sparkSession), trusted_ids(labels)
+    # the rows travel as one column, so that no name clashes
+    row = F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text"), row.dropFields("text").alias("row") if len(docs.columns) > 1 else row)
+    scored = _scores(rows, trusted, tables).select("doc_id", "lang", "text", "row", "_quality.perplexity", "_quality.error")
+    bounds = tables.put(thresholds(scored, trusted, quantile, slack), "kn-bounds")
+    good = judge(scored, bounds).where("keep")
+    return good.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -22,6 +22,7 @@ from stratalex.llm import (
     phrase_dedup,
     simhash_golay,
 )
+from stratalex.llm.common import Tables, pack_blocks
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, fp long, perplexity double, key string"
 
@@ -290,26 +291,27 @@ def brute_kn(train):
     """Probability function of the same model by its textbook recursion over dictionaries."""
     from collections import Counter
 
-    signs = lambda t: [63] * 3 + kneser_ney.classes()[np.array([ord(c) for c in t], int)].tolist()
-    counts = {4: Counter()}
+    n = kneser_ney.ORDER
+    signs = lambda t: kneser_ney.PAD * (n - 1) + t
+    counts = {n: Counter()}
     for t in train:
         s = signs(t)
-        counts[4].update(tuple(s[i - 3 : i + 1]) for i in range(3, len(s)))
-    for k in (3, 2, 1):
+        counts[n].update(s[i - n + 1 : i + 1] for i in range(n - 1, len(s)))
+    for k in range(n - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
     cut = {}
     for k, c in counts.items():
-        n = [sum(v == j for v in c.values()) for j in range(1, 5)]
-        if min(n) == 0:
+        m = [sum(v == j for v in c.values()) for j in range(1, 5)]
+        if min(m) == 0:
             cut[k] = (0.5, 1.0, 1.5)
         else:
-            y = n[0] / (n[0] + 2 * n[1])
-            cut[k] = tuple(min(max(j - (j + 1) * y * n[j] / n[j - 1], 0.05), j - 0.05) for j in (1, 2, 3))
+            y = m[0] / (m[0] + 2 * m[1])
+            cut[k] = tuple(min(max(j - (j + 1) * y * m[j] / m[j - 1], 0.05), j - 0.05) for j in (1, 2, 3))
 
     def p(g):
         k = len(g)
         if not k:
-            return 1 / 64
+            return 1 / (1 + len(counts[1]))
         own = {x: v for x, v in counts[k].items() if x[:-1] == g[:-1]}
         if not own:
             return p(g[1:])
@@ -318,58 +320,58 @@ def brute_kn(train):
         c = own.get(g, 0)
         return ((c - d(c)) if c else 0) / total + sum(map(d, own.values())) / total * p(g[1:])
 
-    return lambda t: float(np.exp(-np.mean([np.log(p(tuple(s[i - 3 : i + 1]))) for s in [signs(t)] for i in range(3, len(s))])))
+    return lambda t: float(np.exp(-np.mean([np.log(p(s[i - n + 1 : i + 1])) for s in [signs(t)] for i in range(n - 1, len(s))])))
 
 
 def test_perplexity_matches_the_recursion(spark):
-    train = ["The cat sat on the mat.", "A dog, a cat and 7 mats!", "the end\nof the text"]
-    model = kneser_ney.fit(frame(spark, train).select("text"))
-    brute = brute_kn(train)
-    ask = ["The cat", "zzz $$$", "the mat sat.", None, ""]
-    got = {r["doc_id"]: r["perplexity"] for r in kneser_ney.score(frame(spark, ask).select("doc_id", "text"), model).select("doc_id", "_quality.perplexity").collect()}
-    for i, t in enumerate(ask):
-        assert got[i] is None if not t else abs(got[i] - brute(t)) < 1e-4 * brute(t)
-
-
-def test_probabilities_sum_to_one(spark):
-    table = np.exp(kneser_ney.fit(frame(spark, ["abab cdcd.", "abc"]).select("text")).dense()).reshape(-1, 64)
-    assert np.allclose(table.sum(axis=1), 1, atol=1e-4)
-
-
-def brute_words(train):
-    """Probability function of the word model by its recursion over dictionaries, for one half; the other half's vocabulary is no larger."""
-    from collections import Counter
-
-    words = lambda t: ["\n"] * 2 + kneser_ney.WORD.findall(t)
-    counts = {3: Counter()}
-    for t in train:
-        s = words(t)
-        counts[3].update(tuple(s[i - 2 : i + 1]) for i in range(2, len(s)))
-    for k in (2, 1):
-        counts[k] = Counter(g[1:] for g in counts[k + 1])
-    d = lambda v: (0.5, 1.0, 1.5)[min(v, 3) - 1]
-
-    def p(g):
-        k = len(g)
-        if not k:
-            return 1 / (1 + len(counts[1]))
-        own = {x: v for x, v in counts[k].items() if x[:-1] == g[:-1]}
-        if not own:
-            return p(g[1:])
-        c, total = own.get(g, 0), sum(own.values())
-        return ((c - d(c)) if c else 0) / total + sum(map(d, own.values())) / total * p(g[1:])
-
-    return lambda t: float(np.exp(-np.mean([np.log(p(tuple(s[i - 2 : i + 1]))) for s in [words(t)] for i in range(2, len(s))])))
-
-
-def test_word_perplexity_matches_the_recursion(spark):
-    train = ["The cat sat on the mat.", "The cat sat on a dog, the cat", "the end of the cat 小猫"]
-    ask = ["The cat sat on the mat.", "the mat sat", "zzz $$$", "小猫 the", "", None]
-    split = lambda ts, h: spark.createDataFrame([(2 * i + h, t) for i, t in enumerate(ts)], "th long, text string")
-    got = {r["th"] // 2: r["perplexity"] for r in kneser_ney.score_words(split(ask, 1), kneser_ney.fit_words(split(train, 0))).collect()}
-    brute = brute_words(train)
-    assert got.keys() == {0, 1, 2, 3}
-    assert all(abs(got[i] - brute(ask[i])) < 1e-9 * brute(ask[i]) for i in got)
+    train = ["The cat sat on the mat.", "A dog, a cat and 7 mats!", "the end\nof the text 小猫\x00\U0001f600", "The cat sat on a hat; the cat", None, ""]
+    ask = ["The cat", "zzz $$$", "the mat sat.", "小猫 of the\x00", "\x02\x02T", None, "", "The cat sat on the mat. " * 30]
+    tables = Tables(spark)
+    for piece in (kneser_ney.PIECE, 7):
+        # short pieces: long texts are cut, with what stands before a cut as context
+        rows = frame(spark, train + ask)
+        blocks = pack_blocks(rows, 200).repartition("block")
+        chosen = blocks.mapInArrow(rows_of(len(train)), "block long, row long")
+        model, unknown = kneser_ney.fit(kneser_ney.count_grams(blocks, chosen, piece=piece), tables)
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+        scored = kneser_ney.score(blocks, model, unknown, fields, piece=piece)
+        got = {r["doc_id"] - len(train): r["p"] for r in scored.select("doc_id", F.col("_quality.perplexity").alias("p")).collect()}
+        brute = brute_kn([t for t in train if t])
+        for i, t in enumerate(ask):
+            assert got[i] is None if not t else abs(got[i] - brute(t)) < 2e-3 * brute(t)
+
+
+def rows_of(n):
+    """The places (block, row) of the rows with ids under ``n``."""
+
+    def run(batches):
+        from stratalex.llm.common import blob_to_table
+
+        for batch in batches:
+            for block, blob in zip(batch.column("block").to_pylist(), batch.column("blob")):
+                ids = blob_to_table(blob.as_py()).column("doc_id").to_pylist()
+                at = [i for i, x in enumerate(ids) if x < n]
+                yield pa.record_batch([pa.array([block] * len(at), pa.int64()), pa.array(at, pa.int64())], names=["block", "row"])
+
+    return run
+
+
+def test_probabilities_after_a_context_sum_to_one(spark):
+    tables, text = Tables(spark), "abab cdcd. abca"
+    rows = frame(spark, [text])
+    blocks = pack_blocks(rows, 200).repartition("block")
+    model, unknown = kneser_ney.fit(kneser_ney.count_grams(blocks, blocks.mapInArrow(rows_of(1), "block long, row long")), tables)
+    seen = {(r["gram"], r["weight"]): r["value"] for r in model.collect()}
+
+    def p(context, sign):
+        if (context + sign, False) in seen:
+            return seen[context + sign, False]
+        if not context:
+            return unknown
+        return seen.get((context, True), 1.0) * p(context[1:], sign)
+
+    for context in ("", "a", "ab", "d. a", "zz"):
+        assert abs(sum(p(context, x) for x in [*sorted(set(text)), "unknown"]) - 1) < 1e-9
 
 
 def test_quality_sees_scrambled_words_of_other_scripts(spark):
