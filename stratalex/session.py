@@ -92,6 +92,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` from a reliable checkpoint in the shared folder; it keeps its partitioning, so later groups by its keys need no shuffle."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint(eager=True)
+
+
 class Tables:
     """Intermediate tables of one operator: ``put`` writes one, ``drop`` deletes them all when a result is written."""
 
