@@ -9,12 +9,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 import pyarrow.ipc  # noqa: F401  (pa.ipc)
+import xxhash
 from pyspark.sql import DataFrame
 
 from stratalex.operators.graph import connected_components
-from stratalex.session import Tables, drop_path, materialize, shared_dir
+from stratalex.session import Tables, checkpointed, drop_path, materialize, shared_dir
 
-__all__ = ["Tables", "blob_to_table", "chunks", "connected_components", "drop_path", "materialize", "pack_blocks", "shared_dir", "splitmix", "table_to_blob"]
+__all__ = [
+    "Tables", "blob_to_table", "checkpointed", "chunks", "connected_components", "drop_path", "materialize", "pack_blocks",
+    "shared_dir", "splitmix", "table_to_blob", "word_hashes", "word_places",
+]
 
 
 def pack_blocks(df: DataFrame, block_bytes: int, level: int = 3) -> DataFrame:
@@ -23,6 +27,7 @@ def pack_blocks(df: DataFrame, block_bytes: int, level: int = 3) -> DataFrame:
     A blob is an Arrow stream with zstandard bodies of ``level``, so whole rows
     travel through a shuffle in half the bytes. A row larger than a block has its own.
     """
+    names = df.columns
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -38,7 +43,7 @@ def pack_blocks(df: DataFrame, block_bytes: int, level: int = 3) -> DataFrame:
             return out
 
         for batch in batches:
-            at = 0
+            batch, at = pa.RecordBatch.from_arrays(batch.columns, names=names), 0
             while at < batch.num_rows:
                 per_row = max(1, batch.nbytes // max(1, batch.num_rows))
                 take = min(batch.num_rows - at, max(1, (block_bytes - size) // per_row))
@@ -54,7 +59,8 @@ def pack_blocks(df: DataFrame, block_bytes: int, level: int = 3) -> DataFrame:
         if held:
             yield emit()
 
-    return df.mapInArrow(pack, "block long, blob binary")
+    # numbered columns, as a name may hold any sign
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(pack, "block long, blob binary")
 
 
 def table_to_blob(table: pa.Table, level: int = 3) -> bytes:
@@ -102,3 +108,32 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of ``data`` begin and end; words are runs without ASCII white space."""
+    raw = np.frombuffer(data, np.uint8)
+    white = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    edge = np.diff(np.concatenate(([True], white, [True])).astype(np.int8))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+#: Words of more bytes are hashed one by one.
+LANES = 8
+
+
+def word_hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the words data[start:end]: eight bytes at a time, mixed one after the other."""
+    n = end - start
+    lanes = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))
+    mask = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+    h = splitmix(n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    at = np.flatnonzero(n > 0)
+    for k in range(LANES):
+        if not len(at):
+            return h
+        h[at] = splitmix(h[at] ^ splitmix((lanes[start[at] + 8 * k] & mask[np.minimum(n[at] - 8 * k, 8)]) + np.uint64(k)))
+        at = at[n[at] > 8 * (k + 1)]
+    for i in at.tolist():
+        h[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]])
+    return h

@@ -1,17 +1,20 @@
 """Substring dedup by repeated-phrase automata.
 
-1. Whole rows travel in blocks of a few MB. Each block gives the distinct
+1. Whole rows travel once, in blocks of a few MB. Each block gives the distinct
    anchors of its windows (the five-word gram of least hash in each window of 13
    words), with the smallest and largest document that holds them. Equal windows
    have equal anchors, so a window that recurs has an anchor that recurs.
 2. Blocks meet the anchors that recur in two documents and give the windows
-   around them; the windows that start in a smaller document are confirmed.
-3. Blocks meet their confirmed windows, compile them into an Aho-Corasick
-   automaton (a word is one character there) and stream every document through
-   it. Words under an occurrence of a window with a smaller document go.
-
-Every exchange carries one row for each block and distinct anchor or window, so
-a passage that a third of all documents share is one row for each block.
+   around them; windows that start in a smaller document are confirmed by hash.
+3. Of each run of confirmed windows a block asks for those that cover its words,
+   and the block of the first document sends their words.
+4. Each block compiles the words it was sent into Aho-Corasick automata and
+   streams all its documents through them. The automata compare words, so what
+   has only an equal hash stays. Words under an occurrence of a window with a
+   smaller document go.
+
+Spans are added up by task before they are shuffled, so a passage that a third
+of all documents share is one row for each block and task.
 """
 
 from __future__ import annotations
@@ -22,54 +25,27 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalex.llm.common import blob_to_table, chunks, pack_blocks, splitmix
+from stratalex.llm.common import Tables, blob_to_table, checkpointed, chunks, materialize, pack_blocks, splitmix, word_hashes, word_places
 
 WINDOW, GRAM = 13, 5
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-#: Windows compiled into one automaton at a time.
-SHARD_WINDOWS = 150_000
+#: Phrases compiled into one automaton at a time: their words must be fewer than the characters there are.
+SHARD_PHRASES = 60_000
 
 
 class Words:
     """The words of the texts of a block: places in the joined bytes, document of each, and hash of each."""
 
-    _pow = np.ones(1, np.uint64)
-    _inv = np.ones(1, np.uint64)
-
     def __init__(self, texts: list[bytes]) -> None:
-        data = b"\n".join(texts)
-        self.data = data
-        raw = np.frombuffer(data, np.uint8)
-        white = (raw == 32) | ((raw >= 9) & (raw <= 13))
-        edge = np.diff(np.concatenate(([True], white, [True])).astype(np.int8))
-        self.start, self.end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        self.doc = np.searchsorted(offsets, self.start, "right") - 1
-        self.offsets = offsets
+        self.data = b"\n".join(texts)
+        self.start, self.end = word_places(self.data)
+        self.offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.doc = np.searchsorted(self.offsets, self.start, "right") - 1
         #: First word of each text, and one past the last.
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
-        self.hash = self._hash(raw)
-
-    @classmethod
-    def _powers(cls, n: int) -> None:
-        if len(cls._pow) < n:
-            inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-            step = np.full(n, BASE)
-            step[0] = 1
-            cls._pow = np.multiply.accumulate(step)
-            step[1:] = inverse
-            cls._inv = np.multiply.accumulate(step)
-
-    def _hash(self, raw: np.ndarray) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        self._powers(len(raw) + 1)
-        total = np.concatenate(([np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self._pow[: len(raw)], dtype=np.uint64)))
-        own = (total[self.end] - total[self.start]) * self._inv[self.start]
-        return splitmix(own + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self.hash = word_hashes(self.data, self.start, self.end)
 
     def grams(self, size: int) -> np.ndarray:
         """Hash of ``size`` words from each place on (places near the end are short of words and left out)."""
@@ -115,27 +91,31 @@ def _rows(names: list[str], *cols: np.ndarray) -> pa.Table:
     return pa.table([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in cols], names=names)
 
 
-def _confirmed(rows: DataFrame, key: str) -> DataFrame:
-    """Rows (block, key, lo, span) of keys in two documents or more, with the first and the last of all documents.
-
-    ``lo`` is the block's smallest document with the key and ``span`` the way to
-    its largest, mostly 0, which packs small. A window over one row for each block and key: a phrase of a third of all
-    documents has as many rows as there are blocks, of 40 bytes each.
-    """
-    w = Window.partitionBy(key)
-    return rows.withColumn("first", F.min("lo").over(w)).withColumn("last", F.max(F.col("lo") + F.col("span")).over(w)).where("first < last")
+def _hits(words: Words, ids: np.ndarray, known: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the windows of known documents that are among the sorted ``windows``, and the index of each there."""
+    places, _ = words.windows()
+    places = places[known[words.doc[places]]]
+    hashes = words.grams(WINDOW)[places]
+    near = np.minimum(np.searchsorted(windows, hashes), len(windows) - 1)
+    hit = windows[near] == hashes
+    return places[hit], near[hit]
 
 
-def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", block_bytes: int = 1 << 20) -> DataFrame:
-    """All rows and columns of ``docs``, with ``kept_text``, ``n_words`` and ``n_removed`` in the struct ``_dedup``.
+def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20, into: str = "_dedup") -> DataFrame:
+    """All rows and columns of ``docs``, with ``kept_text``, ``n_words`` and ``n_removed`` in the struct ``into``.
 
     A window is 13 words in a row of one document; a word goes if a window that
     covers it also starts in a document with a smaller id. Kept words keep the
     white space before them. A null text has no words and stays null; a null id
-    is compared with none; rows with equal ids never clean each other.
+    is compared with none; rows with equal ids never clean each other; a text of
+    any length is one row of its block. ``into`` must be no column of ``docs``.
+    An empty table gives none.
     """
-    plain = docs.withColumn(ident, F.col(ident).cast("long"))
-    blocks = pack_blocks(plain, block_bytes).repartition("block")
+    if into in docs.columns:
+        raise ValueError(f"{into} is a column already; name another")
+    spark, tables = docs.sparkSession, Tables(docs.sparkSession)
+    plain = docs.withColumn(ident, F.col(f"`{ident}`").cast("long"))
+    blocks = checkpointed(pack_blocks(plain, block_bytes, level=6).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +126,12 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", b
                 h, lo, hi = _spans(words.grams(GRAM)[at], ids[words.doc[at]])
                 yield from _rows(["block", "gram", "lo", "span"], np.full(len(h), block), h, lo, hi - lo).to_batches()
 
-    recurring = _confirmed(blocks.mapInArrow(anchors, "block long, gram long, lo long, span long"), "gram").select("block", "gram")
+    # ``lo`` is the block's smallest document with the key and ``span`` the way to its largest, mostly 0, which packs small
+    rows = tables.put(blocks.mapInArrow(anchors, "block long, gram long, lo long, span long"), "phrase-anchors")
+    spans = rows.groupBy("gram").agg(F.min("lo").alias("first"), F.max(F.col("lo") + F.col("span")).alias("last")).where("first < last")
+    recurring = Tables(spark)
+    grams = recurring.put(rows.select("block", "gram").join(spans, "gram", "left_semi"), "phrase-recurring")
+    tables.drop()
 
     def windows(key, left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["block", "window", "lo", "span"]
@@ -161,19 +146,64 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", b
         h, lo, hi = _spans(words.grams(WINDOW)[places], ids[words.doc[places]])
         return _rows(names, np.full(len(h), key[0].as_py()), h, lo, hi - lo)
 
-    found = blocks.groupBy("block").cogroup(recurring.groupBy("block"))
-    found = found.applyInArrow(windows, "block long, window long, lo long, span long")
-    confirmed = _confirmed(found, "window").where("lo + span > first").select("block", "window", "first")
-
-    out_schema = plain.schema
-    flat = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out_schema)
-    schema = f"{flat}, _dedup struct<kept_text: string, n_words: bigint, n_removed: bigint>"
+    found = blocks.groupBy("block").cogroup(grams.groupBy("block"))
+    found = tables.put(found.applyInArrow(windows, "block long, window long, lo long, span long"), "phrase-windows")
+    recurring.drop()
+    last = F.max(F.col("lo") + F.col("span"))
+    spans = found.groupBy("window").agg(F.min(F.struct("lo", "block")).alias("own"), last.alias("last")).where("own.lo < last")
+    spans = spans.select("window", F.col("own.lo").alias("first"), F.col("own.block").alias("owner"))
+    confirmed = Tables(spark)
+    later = found.join(spans, "window").where("lo + span > first").select("block", "window", "first", "owner")
+    later = confirmed.put(later, "phrase-confirmed")
+    tables.drop()
+
+    def ask(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["block", "window", "first", "owner"]
+        if not right.num_rows:
+            return _rows(names, *(np.zeros(0, np.int64),) * 4)
+        _, words, ids, known = _read(left.column("blob")[0].as_py(), ident, text)
+        order = np.argsort(right.column("window").to_numpy().view(np.uint64))
+        own, first, owner = (right.column(c).to_numpy()[order] for c in ("window", "first", "owner"))
+        places, near = _hits(words, ids, known, own.view(np.uint64))
+        mine = first[near] < ids[words.doc[places]]
+        places, near = places[mine], near[mine]
+        # of each run of windows the first, each 13th after it and the last cover the same words
+        lone = np.diff(places, prepend=-2) != 1
+        run = np.maximum.accumulate(np.where(lone, np.arange(len(places)), 0))
+        take = ((np.arange(len(places)) - run) % WINDOW == 0) | np.append(lone[1:], True)[: len(places)]
+        near = np.unique(near[take])
+        return _rows(names, np.full(len(near), key[0].as_py()), own[near], first[near], owner[near])
+
+    asked = blocks.groupBy("block").cogroup(later.groupBy("block")).applyInArrow(ask, "block long, window long, first long, owner long")
+    asked = tables.put(asked, "phrase-asked")
+    confirmed.drop()
+
+    def tell(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        said, which = [], np.zeros(0, np.int64)
+        if right.num_rows and left.num_rows:
+            _, words, ids, known = _read(left.column("blob")[0].as_py(), ident, text)
+            order = np.argsort(right.column("window").to_numpy().view(np.uint64))
+            own, first = (right.column(c).to_numpy()[order] for c in ("window", "first"))
+            places, near = _hits(words, ids, known, own.view(np.uint64))
+            mine = first[near] == ids[words.doc[places]]
+            near, at = np.unique(near[mine], return_index=True)
+            which, places = own[near], places[mine][at]
+            said = [b" ".join(words.data[a:b] for a, b in zip(words.start[p : p + WINDOW].tolist(), words.end[p : p + WINDOW].tolist())) for p in places.tolist()]
+        return pa.table({"window": pa.array(which, pa.int64()), "words": pa.array(said, pa.binary())})
+
+    wanted = asked.groupBy("owner", "window").agg(F.min("first").alias("first")).withColumnRenamed("owner", "block")
+    told = blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(tell, "window long, words binary")
+    phrases, _ = materialize(asked.select("block", "window", "first").join(told, "window").select("block", "first", "words"), "phrase-words")
+    tables.drop()
+
+    flat = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in plain.schema)
+    schema = f"{flat}, `{into}` struct<kept_text: string, n_words: bigint, n_removed: bigint>"
 
     def clean(key, left: pa.Table, right: pa.Table) -> pa.Table:
         table, words, ids, known = _read(left.column("blob")[0].as_py(), ident, text)
         gone = np.zeros(len(words.hash), bool)
         if right.num_rows:
-            gone = _occurrences(words, ids, known, right.column("window").to_numpy().view(np.uint64), right.column("first").to_numpy())
+            gone = occurrences(words, ids, known, right.column("words").to_pylist(), right.column("first").to_pylist())
         kept, n_words, n_removed = [], [], []
         blank = table.column(text).combine_chunks().is_null().to_pylist()
         for d, null in enumerate(blank):
@@ -191,9 +221,9 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", b
             [pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())],
             names=["kept_text", "n_words", "n_removed"],
         )
-        return table.append_column("_dedup", extra)
+        return table.append_column(into, extra)
 
-    return blocks.groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(clean, schema)
+    return blocks.groupBy("block").cogroup(phrases.groupBy("block")).applyInArrow(clean, schema)
 
 
 def _without(words: Words, d: int, a: int, gone: np.ndarray) -> bytes:
@@ -210,54 +240,45 @@ def _without(words: Words, d: int, a: int, gone: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def _occurrences(words: Words, ids: np.ndarray, known: np.ndarray, windows: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Flags of the words that an occurrence of a confirmed window covers, in a document larger than its first."""
-    order = np.argsort(windows)
-    windows, first = windows[order], first[order]
-    places, _ = words.windows()
-    places = places[known[words.doc[places]]]
-    hashes = words.grams(WINDOW)[places]
-    near = np.minimum(np.searchsorted(windows, hashes), len(windows) - 1)
-    mine = (windows[near] == hashes) & (first[near] < ids[words.doc[places]])
-    places, owner = places[mine], first[near[mine]]
-    if not len(places):
-        return np.zeros(len(words.hash), bool)
-    # of each run of windows the first, each 13th after it and the last cover the same words
-    lone = np.concatenate(([True], np.diff(places) != 1))
-    run = np.maximum.accumulate(np.where(lone, np.arange(len(places)), 0))
-    last = np.append(lone[1:], True)
-    take = ((np.arange(len(places)) - run) % WINDOW == 0) | last
-    places, owner = places[take], owner[take]
-    # words as characters: those of the chosen windows have their own, all others the first
-    inside = np.zeros(len(words.hash) + 1, np.int64)
-    np.add.at(inside, places, 1)
-    np.add.at(inside, places + WINDOW, -1)
-    used = np.cumsum(inside[:-1]) > 0
-    alphabet = np.unique(words.hash[used])
-    code = np.minimum(np.searchsorted(alphabet, words.hash), len(alphabet) - 1)
-    code = np.where(alphabet[code] == words.hash, code + 2, 1)
-    code = np.where(code >= 0xD800, code + 0x800, code).astype("<u4")
-    if int(code.max()) > 0x10FFFF:
-        raise ValueError("a block has more distinct words than an automaton has characters")
-    stream = code.tobytes().decode("utf-32-le")
+def occurrences(words: Words, ids: np.ndarray, known: np.ndarray, phrases: list[bytes], first: list[int]) -> np.ndarray:
+    """Flags of the words that an occurrence of a phrase (words joined by a space) covers, in a document larger than its first.
+
+    Each word of the phrases is one character of the automata, and all other
+    words are one more, so automata of words run at the speed of characters.
+    """
+    least: dict[bytes, int] = {}
+    for phrase, f in zip(phrases, first):
+        least[phrase] = min(f, least.get(phrase, f))
+    items = sorted(least.items())
     gone = np.zeros(len(words.hash) + 1, np.int64)
-    at = {stream[p : p + WINDOW]: int(f) for p, f in zip(places.tolist(), owner.tolist())}
-    items = list(at.items())
-    for s in range(0, len(items), SHARD_WINDOWS):
+    bounds = words.first.tolist()
+    for s in range(0, len(items), SHARD_PHRASES):
+        shard = [(phrase.split(b" "), f) for phrase, f in items[s : s + SHARD_PHRASES]]
+        code: dict[bytes, str] = {}
+        for phrase, _ in shard:
+            for w in phrase:
+                if w not in code:
+                    c = len(code) + 2
+                    code[w] = chr(c if c < 0xD800 else c + 0x800)
         machine = ahocorasick.Automaton()
-        for phrase, owner_id in items[s : s + SHARD_WINDOWS]:
-            machine.add_word(phrase, owner_id)
+        for phrase, f in shard:
+            machine.add_word("".join(map(code.__getitem__, phrase)), (f, len(phrase)))
         machine.make_automaton()
-        bounds = words.first.tolist()
+        # only words whose hash a phrase has are looked up
+        joined = b" ".join(code)
+        hashes = np.unique(word_hashes(joined, *word_places(joined)))
+        near = np.minimum(np.searchsorted(hashes, words.hash), len(hashes) - 1)
+        stream = ["\x01"] * len(words.hash)
+        for i in np.flatnonzero(hashes[near] == words.hash).tolist():
+            stream[i] = code.get(words.data[words.start[i] : words.end[i]], "\x01")
         for d in range(len(bounds) - 1):
-            if bounds[d + 1] - bounds[d] < WINDOW or not known[d]:
+            if not known[d]:
                 continue
             own = int(ids[d])
-            ends = [end for end, f in machine.iter(stream[bounds[d] : bounds[d + 1]]) if f < own]
-            if ends:
-                ends = np.array(ends) + bounds[d]
-                np.add.at(gone, ends - (WINDOW - 1), 1)
-                np.add.at(gone, ends + 1, -1)
+            for end, (f, n) in machine.iter("".join(stream[bounds[d] : bounds[d + 1]])):
+                if f < own:
+                    gone[bounds[d] + end + 1 - n] += 1
+                    gone[bounds[d] + end + 1] -= 1
     return np.cumsum(gone[:-1]) > 0
 
 

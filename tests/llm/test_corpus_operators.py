@@ -526,6 +526,54 @@ def test_repeated_passages_match_brute_force(spark, block):
     assert sum(v[1] for v in want.values()) > 500 and got == want
 
 
+def test_unequal_long_words_are_not_taken_for_equal(spark):
+    # a sequence and its complement have equal polynomial hashes modulo 2**64
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = ("".join("ab"[x ^ y] for x in bits) for y in (0, 1))
+    tail = " ".join(f"w{i}" for i in range(12))
+    got = phrase_dedup.remove_repeats(frame(spark, [f"{a} {tail}", f"{b} {tail}"])).select("_dedup.n_removed").collect()
+    assert [r["n_removed"] for r in got] == [0, 0]
+
+
+def test_automata_compare_words_and_not_hashes(monkeypatch):
+    monkeypatch.setattr(phrase_dedup, "word_hashes", lambda data, start, end: np.ones(len(start), np.uint64))
+    monkeypatch.setattr(phrase_dedup, "SHARD_PHRASES", 2)
+    phrase = [f"w{i}" for i in range(13)]
+    ts = [" ".join(["x", *phrase, "y"]), " ".join(["x", *phrase[:12], "v", "y"])]
+    words = phrase_dedup.Words([t.encode() for t in ts])
+    told = [" ".join(phrase).encode(), " ".join(["z"] * 13).encode(), " ".join(phrase[::-1]).encode()]
+    gone = phrase_dedup.occurrences(words, np.array([8, 9]), np.array([True, True]), told, [3, 3, 3])
+    assert gone.tolist() == [False, *[True] * 13, False] + [False] * 15
+    assert not phrase_dedup.occurrences(words, np.array([3, 2]), np.array([True, True]), told, [3, 3, 3]).any()
+
+
+def test_a_text_of_very_many_words_is_whole(spark):
+    long = " ".join(f"q{i}" for i in range(400_000))
+    ts = [long, "a b " + " ".join(f"q{i}" for i in range(399_950, 400_000)), long + " tail"]
+    got = {r["doc_id"]: r["n_removed"] for r in phrase_dedup.remove_repeats(frame(spark, ts), block_bytes=1 << 20).select("doc_id", "_dedup.n_removed").collect()}
+    assert got == {0: 0, 1: 50, 2: 400_000}
+
+
+def test_word_hashes_of_any_length():
+    ws = [b"w" * n for n in range(1, 90)] + [b"\x00" * n for n in range(1, 90)] + [("é" * n).encode() for n in range(1, 60)]
+    data = b" ".join(ws)
+    from stratalex.llm.common import word_hashes, word_places
+
+    start, end = word_places(data)
+    h = word_hashes(data, start, end)
+    assert len(set(h.tolist())) == len(set(ws))
+    other = b"  ".join(reversed(ws))
+    assert sorted(word_hashes(other, *word_places(other)).tolist()) == sorted(h.tolist())
+
+
+def test_repeats_with_a_clashing_column(spark):
+    d = frame(spark, ["a b"]).withColumn("_dedup", F.lit(1)).withColumn("odd`name", F.lit(2))
+    with pytest.raises(ValueError):
+        phrase_dedup.remove_repeats(d)
+    row = phrase_dedup.remove_repeats(d, into="again").first()
+    assert row["_dedup"] == 1 and row["odd`name"] == 2 and row["again"]["n_words"] == 2
+
+
 def test_repeats_with_equal_and_missing_ids(spark):
     t = " ".join(f"w{i}" for i in range(20))
     got = phrase_dedup.remove_repeats(frame(spark, [t, t, t, t], [4, 4, None, 9])).select("doc_id", "_dedup.n_removed").collect()
