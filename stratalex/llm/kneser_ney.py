@@ -404,8 +404,11 @@ def judge(scored: DataFrame, bounds: DataFrame) -> DataFrame:
     return out.withColumn("keep", keep).drop("own_lang", "all_low", "all_high")
 
 
-def _scores(rows: DataFrame, trusted: DataFrame, tables: Tables) -> DataFrame:
-    """``rows`` (doc_id, lang, text, ...) with ``_quality``, as a table. Texts move once to be counted and once to be scored."""
+def _scores(rows: DataFrame, trusted: DataFrame, tables: Tables, *names: str) -> DataFrame:
+    """Columns ``names`` of ``rows`` (doc_id, lang, text, ...) with perplexity and error, as a table.
+
+    Texts move once to be counted and once to be scored.
+    """
     blocks = pack_blocks(rows, BLOCK_BYTES, level=6).repartition("block")
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,7 +422,8 @@ def _scores(rows: DataFrame, trusted: DataFrame, tables: Tables) -> DataFrame:
     counts = tables.put(count_grams(blocks, chosen), f"kn-counts{ORDER}")
     model, unknown = fit(counts, tables) or (None, 1.0)
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema)
-    return tables.put(score(blocks, model, unknown, fields), "kn-scores")
+    scored = score(blocks, model, unknown, fields)
+    return tables.put(scored.select(*names, "_quality.perplexity", "_quality.error"), "kn-scores")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, slack: float = 1.2) -> DataFrame:
@@ -433,7 +437,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, slack:
     """
     tables, trusted = Tables(docs.sparkSession), trusted_ids(labels)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
-    scored = _scores(rows, trusted, tables).select("doc_id", "lang", "_quality.perplexity", "_quality.error")
+    scored = _scores(rows, trusted, tables, "doc_id", "lang")
     return judge(scored, thresholds(scored, trusted, quantile, slack))
 
 
@@ -443,7 +447,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, slack
     # the rows travel as one column, so that no name clashes
     row = F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text"), row.dropFields("text").alias("row") if len(docs.columns) > 1 else row)
-    scored = _scores(rows, trusted, tables).select("doc_id", "lang", "text", "row", "_quality.perplexity", "_quality.error")
+    scored = _scores(rows, trusted, tables, "doc_id", "lang", "text", "row")
     bounds = tables.put(thresholds(scored, trusted, quantile, slack), "kn-bounds")
     good = judge(scored, bounds).where("keep")
     return good.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
