@@ -425,6 +425,42 @@ def test_vector_links_match_brute_force(spark):
     assert cap_filters.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_vector_recall_just_over_the_threshold(spark):
+    rng = np.random.default_rng(8)
+    rows, pairs = [], []
+    for dim in (8, 16, 64, 200):
+        for label in range(12):
+            for _ in range(25):
+                x = rng.standard_normal(dim)
+                x /= np.linalg.norm(x)
+                z = rng.standard_normal(dim)
+                z -= z @ x * x
+                c = rng.uniform(0.9802, 0.985)
+                y = c * x + np.sqrt(1 - c * c) * z / np.linalg.norm(z)
+                pairs.append((len(rows), len(rows) + 1))
+                rows += [(len(rows), (x * 3).tolist(), label), (len(rows) + 1, y.tolist(), label)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in cap_filters.near_duplicates(d).collect()}
+    assert np.mean([got[b]["component_id"] == a for a, b in pairs]) >= 0.95
+    by = {}
+    for i, v, label in rows:
+        by.setdefault((label, len(v)), []).append((i, np.array(v)))
+    for group in by.values():
+        u = np.array([v / np.linalg.norm(v) for _, v in group])
+        links = (u @ u.T >= 0.98).sum(axis=1) - 1
+        assert all(got[i]["n_links"] <= n for (i, _), n in zip(group, links.tolist()))
+
+
+def test_equal_vectors_and_repeated_rows(spark):
+    v = np.random.default_rng(2).standard_normal(32).tolist()
+    rows = [(i, v, 1) for i in range(50)] + [(0, v, 1), (60, v, 2), (61, [-x for x in v], 1), (62, [2 * x for x in v], 1)]
+    got = {}
+    for r in cap_filters.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect():
+        got.setdefault(r["vec_id"], []).append((r["n_links"], r["component_id"]))
+    assert all(got[i] == [(51, 0)] for i in range(1, 50)) and got[0] == [(51, 0)] * 2
+    assert got[60] == [(0, 60)] and got[61] == [(0, 61)] and got[62] == [(51, 0)]
+
+
 # 7 --------------------------------------------------------------------------
 
 
