@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,51 +12,74 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalex.llm.common import splitmix
+from stratalex.llm.common import splitmix, word_hashes, word_places
 
 HASHES = 3
-PARAGRAPH = re.compile(r"[^\n.!?|]*[\n.!?|]+\s*|[^\n.!?|]+")
-#: Longer pieces are cut, in texts of any length.
-SMALL_PIECE = 30
+#: A paragraph ends after one word in so many, chosen by its hash, and in a word without end after one place in so many.
+WORDS, PLACES = 8, 32
+#: Longer words, in bytes, are cut inside.
+LONG = 64
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-def paragraphs(text: str) -> list[str]:
-    """The paragraphs of a text: lines, cut after the ends of sentences; longer ones after words whose hash is 0 modulo 4.
+def paragraph_places(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(joined texts, begin and end of each paragraph there, text of each paragraph).
 
-    Where a cut falls depends on the words before it alone, not on the length of
-    the text, so an edit moves few cuts.
+    A paragraph ends at a line end, after a word that ends in . ! ? or |, and
+    after words whose hash is 0 modulo ``WORDS``; the white space after it
+    belongs to it. Words of over ``LONG`` bytes also end one where the hash of
+    the eight bytes before is 0 modulo ``PLACES``. Where a cut falls depends on
+    what stands just before it alone, not on the length of the text, so an edit
+    moves few cuts. An empty text has no paragraph.
     """
-    out = []
-    for p in PARAGRAPH.findall(text):
-        if len(p) <= SMALL_PIECE:
-            out.append(p)
-            continue
-        held: list[str] = []
-        for w in re.findall(r"\S+\s*|\s+", p):
-            held.append(w)
-            if xxhash.xxh32_intdigest(w.rstrip()) % 4 == 0:
-                out.append("".join(held))
-                held = []
-        if held:
-            out.append("".join(held))
-    return out
+    data = b"\n".join(texts)
+    raw = np.frombuffer(data, np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64) - 1
+    begins = ends - np.array([len(t) for t in texts], np.int64)
+    start, end = word_places(data)
+    cuts = [np.zeros(0, np.int64)]
+    if len(start):
+        # where a word's white space ends; the last word of a text ends with it
+        after = np.minimum(np.append(start[1:], len(data)), ends[np.searchsorted(ends, start, "left")])
+        lines = np.concatenate(([0], np.cumsum(raw == 10)))
+        sign = raw[end - 1]
+        cut = (word_hashes(data, start, end) % np.uint64(WORDS) == 0) | (lines[after] > lines[end])
+        cut |= (sign == 46) | (sign == 33) | (sign == 63) | (sign == 124)
+        cuts.append(after[cut])
+        long = end - start > LONG
+        if long.any():
+            lanes = np.ndarray((max(1, len(data) - 7),), "<u8", data + bytes(8), strides=(1,))
+            for a, b in zip(start[long].tolist(), end[long].tolist()):
+                at = np.arange(a + 8, b)
+                at = at[(splitmix(lanes[at - 8]) % np.uint64(PLACES) == 0) & (raw[at] & 0xC0 != 0x80)]
+                cuts.append(at)
+    cuts = np.concatenate(cuts)
+    # a cut at the end of a text is none
+    cuts = cuts[~np.isin(cuts, ends)]
+    full = begins < ends
+    first = np.sort(np.concatenate((begins[full], cuts)))
+    text = np.searchsorted(ends, first, "left")
+    last = np.append(first[1:], len(data))
+    return data, first, np.minimum(last, ends[text]) if len(first) else last[:0], text
+
+
+def digest_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """A 64-bit digest of each paragraph of each text; the k-th copy of a paragraph has a digest of its own."""
+    data, first, last, text = paragraph_places(texts)
+    h = np.fromiter((xxhash.xxh64_intdigest(data[a:b]) for a, b in zip(first.tolist(), last.tolist())), np.uint64, len(first))
+    order = np.lexsort((h, text))
+    s, t = h[order], text[order]
+    at = np.arange(len(s))
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (t[1:] != t[:-1])
+    copy = at - np.maximum.accumulate(np.where(new, at, 0))
+    h[order] = np.where(copy > 0, splitmix(s + copy.astype(np.uint64) * ODD[0]), s)
+    return np.split(h, np.searchsorted(text, np.arange(1, len(texts))))
 
 
 def digests(text: str) -> np.ndarray:
-    """A 64-bit digest of each paragraph; the k-th copy of a paragraph has a digest of its own."""
-    h = np.fromiter(map(xxhash.xxh64_intdigest, paragraphs(text)), np.uint64)
-    if len(h) < 2:
-        return h
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    new = np.concatenate(([True], s[1:] != s[:-1]))
-    at = np.arange(len(s))
-    copy = at - np.maximum.accumulate(np.where(new, at, 0))
-    if copy.any():
-        h = h.copy()
-        h[order] = np.where(copy > 0, splitmix(s + copy.astype(np.uint64) * ODD[0]), s)
-    return h
+    """The digests of one text."""
+    return digest_sets([text.encode("utf-8", "surrogatepass")])[0]
 
 
 class Sketches:
@@ -168,7 +190,7 @@ def sketch(docs: DataFrame, cells: int = 18) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [digests(t or "") for t in batch.column("text").to_pylist()]
+            sets = digest_sets([(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()])
             prints = Sketches(sets, cells).texts([len(s) for s in sets])
             yield pa.record_batch([batch.column("doc_id"), pa.array(prints, pa.string())], names=["doc_id", "fingerprint"])
 
@@ -223,32 +245,37 @@ def compare_versions(docs: DataFrame, cells: int = 18) -> DataFrame:
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: list[tuple] = []
+        ids: list[int | None] = []
+        texts: list[str] = []
+        pairs: list[tuple[int, int]] = []  # places of a row and of its next one
+        place: tuple[int, bool] | None = None  # range of the row before, and whether it is a guest
         size = 0
-        prev = None  # (range, id, text, digests) of the row that waits for the next one
 
         def done() -> pa.RecordBatch:
-            ids, texts, mine, others, nexts = zip(*pairs)
-            changed = [edited(t, o) for t, o in zip(texts, others)]
-            sets = [digests(t) for t in changed]
-            a, b, c = Sketches(list(mine), cells), Sketches(sets, cells), Sketches(list(nexts), cells)
-            n = [np.array([len(s) for s in x], np.int64) for x in (mine, sets, nexts)]
-            near = likeness(n[0], n[1], differences(list(mine), sets, cells, (a, b)))
-            after = likeness(n[0], n[2], differences(list(mine), list(nexts), cells, (a, c)))
-            sha = [hashlib.sha256(t.encode()).hexdigest() for t in changed]
-            cols = (ids, [len(t) for t in texts], sha, a.texts(n[0].tolist()), b.texts(n[1].tolist()), near, after)
+            mine, after = (np.array(x, np.int64) for x in zip(*pairs))
+            changed = [edited(texts[a], texts[b]) for a, b in pairs]
+            sets = digest_sets([t.encode("utf-8", "surrogatepass") for t in texts])
+            others = digest_sets([t.encode("utf-8", "surrogatepass") for t in changed])
+            left, right = [sets[i] for i in mine], [sets[i] for i in after]
+            a, b, c = Sketches(left, cells), Sketches(others, cells), Sketches(right, cells)
+            n = [np.array([len(s) for s in x], np.int64) for x in (left, others, right)]
+            near = likeness(n[0], n[1], differences(left, others, cells, (a, b)))
+            following = likeness(n[0], n[2], differences(left, right, cells, (a, c)))
+            sha = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]
+            cols = ([ids[i] for i in mine], [len(texts[i]) for i in mine], sha, a.texts(n[0].tolist()), b.texts(n[1].tolist()), near, following)
             return pa.record_batch([pa.array(x, k) for x, k in zip(cols, kinds)], names=names)
 
         for batch in batches:
             for r, is_guest, ident, text in zip(*(batch.column(x).to_pylist() for x in ("r", "guest", "doc_id", "text"))):
-                own_digests = digests(text)
-                if prev is not None and prev[0] == r and not prev[4]:
-                    pairs.append((prev[1], prev[2], prev[3], text, own_digests))
-                    size += len(prev[2])
-                prev = (r, ident, text, own_digests, is_guest)
+                ids.append(ident)
+                texts.append(text)
+                if place is not None and place == (r, False):
+                    pairs.append((len(texts) - 2, len(texts) - 1))
+                    size += len(texts[-2])
+                place = (r, is_guest)
                 if size > 2_000_000 or len(pairs) >= 2000:
                     yield done()
-                    pairs, size = [], 0
+                    ids, texts, pairs, size = ids[-1:], texts[-1:], [], 0
         if pairs:
             yield done()
 

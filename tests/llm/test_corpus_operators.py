@@ -115,6 +115,49 @@ def test_repeated_paragraphs_have_their_own_digests():
     assert len(set(d.tolist())) == 4
 
 
+def brute_paragraphs(t):
+    """The paragraphs of a text, sign by sign; words are under 64 bytes."""
+    out, word, gap = [""], "", ""
+    for c in t:
+        if c in " \t\n\x0b\x0c\r":
+            gap += c
+        else:
+            if gap or not word:
+                w = word.encode()
+                ends = word and (int(phrase_dedup.word_hashes(w, np.array([0]), np.array([len(w)]))[0]) % edit_sketch.WORDS == 0 or "\n" in gap or word[-1] in ".!?|")
+                out[-1] += word + gap
+                if ends:
+                    out.append("")
+                word, gap = "", ""
+            word += c
+    out[-1] += word + gap
+    return [p for p in out if p]
+
+
+def likeness_of(a, b):
+    from collections import Counter
+
+    a, b = Counter(brute_paragraphs(a)), Counter(brute_paragraphs(b))
+    both = (a | b).total()
+    return (a & b).total() / both if both else 1.0
+
+
+def test_likeness_matches_sets_of_paragraphs(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 5))) + rng.choice(["", "", "", ".", "!"])
+    ts = [None, "", " \n", "a", "a. a. a.", "a. a. a. a.\n\na."]
+    for n in (3, 30, 100, 150, 600, 3000):
+        base = [word() for _ in range(n)]
+        ts += [rng.choice(" \n").join(base), "  " + " ".join(base[: n // 2] + [word()] + base[n // 2 :]), " ".join(base + base)]
+    got = {r["doc_id"]: r for r in edit_sketch.compare_versions(frame(spark, ts)).collect()}
+    order = list(range(len(ts)))[::-1]
+    for k, i in enumerate(order):
+        mine, nxt = ts[i] or "", ts[order[(k + 1) % len(order)]] or ""
+        assert b"".join(p.encode() for p in brute_paragraphs(mine)) == mine.encode()
+        assert abs(got[i]["near_edited"] - likeness_of(mine, edit_sketch.edited(mine, nxt))) < 1e-12
+        assert abs(got[i]["near_next"] - likeness_of(mine, nxt)) < 1e-12
+
+
 def test_versions_around_any_length_are_cut_alike():
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
@@ -122,6 +165,10 @@ def test_versions_around_any_length_are_cut_alike():
     for n in (590, 595, 599, 600):
         a, b = set(edit_sketch.digests(whole[:n]).tolist()), set(edit_sketch.digests(whole[: n + 20]).tolist())
         assert len(a & b) >= 0.8 * len(a)
+    # without white space
+    solid = "".join(rng.choice("日本語を話す人々") for _ in range(3000))
+    a, b = set(edit_sketch.digests(solid).tolist()), set(edit_sketch.digests(solid[:1500] + "x" + solid[1500:]).tolist())
+    assert len(a) > 50 and len(a & b) >= 0.95 * len(a)
 
 
 # 2 --------------------------------------------------------------------------
