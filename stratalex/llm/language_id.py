@@ -51,6 +51,20 @@ def subwords(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+#: Longer texts are cut.
+LONG = 300_000
+
+
+def cut_long(text: str) -> list[str]:
+    """A text in pieces of at most ``LONG`` characters, cut at spaces, which no subword spans (or anywhere, where there is none)."""
+    out, at = [], 0
+    while len(text) - at > LONG:
+        to = text.rfind(" ", at + 1, at + LONG)
+        out.append(text[at : to if to > 0 else at + LONG])
+        at = to if to > 0 else at + LONG
+    return [*out, text[at:]] if out else [text]
+
+
 @dataclass(frozen=True)
 class Model:
     """``table``: what each bucket adds to the logits (embedding times output weights), ``bias``, and the calibration."""
@@ -63,6 +77,18 @@ class Model:
 
     def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Logits of each text, and how many subwords it has; texts are taken in pieces of about 300,000 characters."""
+        split = [(row, piece) for row, text in enumerate(texts) for piece in cut_long(text)]
+        if len(split) > len(texts):
+            rows, texts, n = np.array([r for r, _ in split]), [p for _, p in split], len(texts)
+            sums, counts = self._sums(texts)
+            whole, total = np.zeros((n, len(self.langs))), np.zeros(n, np.int64)
+            np.add.at(whole, rows, sums)
+            np.add.at(total, rows, counts)
+        else:
+            whole, total = self._sums(texts)
+        return whole / np.maximum(total, 1)[:, None] + self.bias, total
+
+    def _sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out = np.zeros((len(texts), len(self.langs)))
         counts = np.zeros(len(texts), np.int64)
         at = 0
@@ -79,7 +105,7 @@ class Model:
                     out[at + full] += np.add.reduceat(self.table[bucket], starts, axis=0, dtype=np.float64)
                 counts[at:to] += n
             at = to
-        return out / np.maximum(counts, 1)[:, None] + self.bias, counts
+        return out, counts
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """(language or ``und``, probability) of each text; ``und`` where it has no letter."""
@@ -154,22 +180,26 @@ def held_out(ident: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(ident).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, per_language: int = 400, windows: int = 3, window_words: int = 150, seed: int = 7) -> Model:
+def fit(docs: DataFrame, per_language: int = 400, windows: int = 3, window_words: int = 150, seed: int = 7, languages: int = 200) -> Model:
     """Train on a bounded sample of ``docs`` (doc_id, text, lang) outside the held-out third.
 
-    The bound: about ``per_language`` documents of each language, chosen by a
-    hash of the id, and of each ``windows`` runs of words (a short, a middle and
-    a long one of up to ``window_words``) from hashed places of the whole text.
+    The bound: the ``languages`` most frequent values of lang, about
+    ``per_language`` documents of each, chosen by a hash of the id, and of each
+    ``windows`` runs of words (a short, a middle and a long one of up to
+    ``window_words``) from hashed places of the whole text. Repeated rows count
+    once.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string")).where(
         ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    share = {r["lang"]: min(1.0, per_language / r["n"]) for r in counts.collect()}
+    if not share:
         return train([])
-    share = F.create_map(*(x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, per_language / n)))))
+    # one row for each of the languages at most
+    shares = docs.sparkSession.createDataFrame(sorted(share.items()), "lang string, share double")
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    chosen = rows.where(draw < share[F.col("lang")])
+    chosen = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("doc_id", "lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,31 +214,38 @@ def fit(docs: DataFrame, per_language: int = 400, windows: int = 3, window_words
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.string())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "k", "lang", "text"])
 
-    found = chosen.mapInArrow(cut, "doc_id long, k int, lang string, text string").collect()
+    found = chosen.mapInArrow(cut, "doc_id long, k int, lang string, text string").distinct().collect()
     found.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["k"], r["lang"], r["text"]))
     return train([(r["lang"], r["text"]) for r in found])
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with the struct ``_language`` (lang, score, rejected); all other columns stay.
+def identify(docs: DataFrame, model: Model, text: str = "text", into: str = "_language") -> DataFrame:
+    """``docs`` with the struct ``into`` (lang, score, rejected); all other columns stay, and none may have that name.
 
-    Only the text is an input. Whole texts are read, with no shuffle. A null
-    text or one without a letter is ``und`` with score 0, and rejected; others
-    are rejected where the calibrated probability is under the threshold.
+    Only the text is an input. Whole texts are read, a very long one piece by
+    piece, with no shuffle; repeated rows are predicted alike. A null text or one
+    without a letter is ``und`` with score 0, and rejected; others are rejected
+    where the calibrated probability is under the threshold. An empty table
+    gives none.
     """
-    schema = docs.schema
-    flat = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    if into in docs.columns:
+        raise ValueError(f"{into} is a column already; name another")
+    names = docs.columns
+    flat = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        for batch in chunks(batches, text, 8 << 20):
+        named = (pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
+        for batch in chunks(named, text, 8 << 20):
             lang, score = own.predict([t or "" for t in batch.column(text).to_pylist()])
             bad = [name == "und" or s < own.reject_below for name, s in zip(lang, score)]
             extra = pa.StructArray.from_arrays(
                 [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bad, pa.bool_())],
                 names=["lang", "score", "rejected"],
             )
-            yield pa.RecordBatch.from_arrays([*batch.columns, extra], names=[*batch.schema.names, "_language"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, extra], names=[*names, into])
 
-    return docs.mapInArrow(run, f"{flat}, _language struct<lang: string, score: double, rejected: boolean>")
+    # numbered columns, as a name may hold any sign
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    return numbered.mapInArrow(run, f"{flat}, `{into}` struct<lang: string, score: double, rejected: boolean>")

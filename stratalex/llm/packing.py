@@ -15,17 +15,22 @@ from stratalex.llm.common import chunks, materialize
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, n, cluster): words without ASCII white space, and the duplicate cluster (same words, A-Z lower-cased)."""
+    """(doc_id, source, n, cluster, serial): words without ASCII white space, and the duplicate cluster (same words, A-Z lower-cased).
+
+    ``serial`` numbers the rows of a task, so that equal rows differ.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serial = 0
         for batch in chunks(batches, "text", 16 << 20):
             words = [(t or b"").lower().split() for t in batch.column("text").to_pylist()]
             cluster = np.array([xxhash.xxh64_intdigest(b" ".join(w)) for w in words], np.uint64).view(np.int64)
-            cols = [batch.column("doc_id"), batch.column("source"), pa.array([len(w) for w in words], pa.int64()), pa.array(cluster)]
-            yield pa.record_batch(cols, names=["doc_id", "source", "n", "cluster"])
+            cols = [batch.column("doc_id"), batch.column("source"), pa.array([len(w) for w in words], pa.int64()), pa.array(cluster), pa.array(np.arange(serial, serial + len(words)))]
+            serial += len(words)
+            yield pa.record_batch(cols, names=["doc_id", "source", "n", "cluster", "serial"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("binary"))
-    return rows.mapInArrow(run, "doc_id long, source string, n long, cluster long")
+    return rows.mapInArrow(run, "doc_id long, source string, n long, cluster long, serial long")
 
 
 class Bins:
@@ -81,13 +86,15 @@ def pack(docs: DataFrame, capacity: int = 4096, per_source: int = 4, block_rows:
     A document longer than ``capacity`` words is cut into whole bins and a
     rest. No bin holds two documents of one duplicate cluster, nor more than
     ``per_source`` of one source (null is a source). Rows are dealt by a hash of
-    their id and content into blocks of about ``block_rows``, each packed in
+    their id, content and number within their task into blocks of about ``block_rows``, each packed in
     decreasing size; bins of different blocks are never shared. A row without
-    words has bin null and length 0. Equal rows are packed each.
+    words has bin null and length 0. Equal rows are packed each, in different
+    blocks as it falls. A very long text is one row whose words are counted; an
+    empty table gives none; other columns are not read.
     """
     items, _ = materialize(sizes(docs), "pack-items")
     blocks = max(1, -(-items.count() // block_rows))
-    mixed = F.xxhash64("doc_id", "cluster", "source", "n")
+    mixed = F.xxhash64("doc_id", "cluster", "source", "n", "serial")
     dealt = items.withColumn("block", F.pmod(mixed, F.lit(blocks))).withColumn("rest", F.col("n") % capacity)
     dealt = dealt.repartition("block").sortWithinPartitions("block", F.desc("rest"), "source", "cluster", "doc_id")
     names = ["bin", "doc_id", "piece", "start", "length", "offset"]

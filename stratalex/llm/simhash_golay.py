@@ -26,11 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalex.llm.common import chunks, connected_components, materialize, splitmix
+from stratalex.llm.common import Tables, chunks, connected_components, materialize, splitmix
 
 GENERATOR = 0b110001110101
 WIDTHS = (22, 21, 21)
 SHIFTS = (0, 22, 43)
+#: Rows of a bucket compared in one group; larger buckets are dealt in parts, and each pair of parts is a group.
+BUCKET = 8192
+#: Likewise for the sets of a loose group: rows, and shingles.
+GROUP_ROWS, GROUP_SHINGLES = 2048, 4 << 20
 
 
 def simhash64(text: bytes, shingle: int = 4, seeds: tuple[int, ...] = (42,)) -> list[int]:
@@ -202,12 +206,20 @@ def bucket_edges(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, bits: int,
     return pairs[0], pairs[1]
 
 
-def links(nodes: DataFrame, words: int = 1, bits: int = 4, more: str | None = None) -> DataFrame:
+def in_parts(rows: DataFrame, sizes: DataFrame, key: str, *ident: str) -> DataFrame:
+    """``rows`` with ``i`` and ``j``: a key with ``parts`` in ``sizes`` is dealt by ``ident``, and each row is in a group for each pair of its part with a part."""
+    rows = rows.join(sizes, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(*ident), F.col("parts"))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumn("i", F.least("part", "q")).withColumn("j", F.greatest("part", "q")).drop("parts", "part", "q")
+
+
+def links(nodes: DataFrame, words: int = 1, bits: int = 4, more: str | None = None, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) that connect the rows of ``nodes`` (id long; fp0, fp1, ...: distinct fingerprints of ``words`` 64-bit words).
 
     Rows link at ``bits`` differing bits or fewer over all words. Each word
     gives keys; with one word and four bits, no linked pair is left unconnected.
-    The array column ``more`` holds further keys of each row.
+    The array column ``more`` holds further keys of each row. Buckets of more
+    than ``bucket`` rows are dealt in parts.
     """
     names = [f"fp{w}" for w in range(words)]
 
@@ -233,28 +245,32 @@ def links(nodes: DataFrame, words: int = 1, bits: int = 4, more: str | None = No
         rows = 0
 
         def done(parts):
-            k, d, *f = (np.concatenate(x) for x in zip(*parts))
-            x, y = bucket_edges(k, np.stack(f, axis=1).view(np.uint64), d, bits)
+            k, i, j, d, *f = (np.concatenate(x) for x in zip(*parts))
+            new = (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            x, y = bucket_edges(np.concatenate(([0], np.cumsum(new))), np.stack(f, axis=1).view(np.uint64), d, bits)
             return pa.record_batch([pa.array(x), pa.array(y)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", *names))
+            cols = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "id", *names))
             held.append(cols)
             rows += batch.num_rows
-            if rows >= 50_000 and held[0][0][0] != cols[0][-1]:  # all but the last bucket is whole
-                last = cols[0][-1]
-                cuts = [int(np.searchsorted(p[0], last)) for p in held]
-                yield done([tuple(c[:n] for c in p) for p, n in zip(held, cuts)])
-                held = [tuple(c[n:] for c in p) for p, n in zip(held, cuts) if n < len(p[0])]
-                rows = sum(len(p[0]) for p in held)
+            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0))
+            if rows >= 50_000 and len(change):  # all but the last group is whole
+                cut = int(change[-1]) + 1
+                yield done([*held[:-1], tuple(c[:cut] for c in cols)])
+                held = [tuple(c[cut:] for c in cols)]
+                rows = len(held[0][0])
         if held:
             yield done(held)
 
     fields = "".join(f", {n} long" for n in names)
     keyed = nodes.select("id", *names, *([more] if more else [])).mapInArrow(explode, f"key long, id long{fields}")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long").distinct()
+    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket)
+    large, _ = materialize(large.select("key", F.ceil(F.col("n") / bucket).cast("long").alias("parts")), "simhash-large")
+    keyed = in_parts(keyed, large, "key", "id", *names).select("key", "i", "j", "id", *names)
+    return keyed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(verify, "a long, b long").distinct()
 
 
 def _grouped(prints: DataFrame, words: int, bits: int) -> DataFrame:
@@ -324,7 +340,7 @@ def alike(sets: list[np.ndarray], tenths: int = 8) -> np.ndarray:
     return out
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, words: int = 3, bits: int = 64, seed: int = 42) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = 5, words: int = 3, bits: int = 64, seed: int = 42, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc_id, component_id): components of documents whose sets of shingles have a Jaccard similarity of 0.8 or more.
 
     Candidates: ``words`` SimHashes of the sets under different seeds give
@@ -333,54 +349,64 @@ def similar_documents(docs: DataFrame, shingle: int = 5, words: int = 3, bits: i
     misses a common key. Rows of a key that differ in ``bits`` of the wide
     fingerprint or fewer make loose groups; at 0.8 about 15 % of the bits
     differ (19 % of very short texts), so a third leaves out what only shares a
-    passage. Within a loose
-    group the sets themselves are compared, and only pairs at 0.8 are linked.
-    Equal sets are one node. Texts without a word are not grouped with each
-    other; they keep their own id.
+    passage. Within a loose group the sets themselves are compared, and only
+    pairs at 0.8 are linked; a group of many rows or shingles is dealt in parts,
+    and each pair of parts is compared by itself. Equal sets are one node. Texts
+    without a word are not grouped with each other; they keep their own id. Rows
+    of one id are one document. A null id is no node; an empty table gives none;
+    other columns are not read.
     """
+    tables = Tables(docs.sparkSession)
     seeds = tuple(seed + w for w in range(words))
     names = [f"fp{w}" for w in range(words)]
     fields = "".join(f", {n} long" for n in names)
 
     def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 4 << 20):
-            texts = [t or b"" for t in batch.column("text").to_pylist()]
-            sets = [shingle_set(t, shingle) for t in texts]
+            sets = [shingle_set(t or b"", shingle) for t in batch.column("text").to_pylist()]
             fps = np.array([set_simhash(x, seeds) for x in sets], np.uint64).view(np.int64)
             digests = [xxhash.xxh128_digest(x.tobytes()) if len(x) else None for x in sets]
             # n - ceil(0.8 n) + 1
             firsts = [x[: len(x) - (4 * len(x) + 4) // 5 + 1].view(np.int64) for x in sets]
-            cols = [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), *(pa.array(fps[:, w]) for w in range(words))]
-            yield pa.record_batch(cols, names=["doc_id", "digest", "firsts", *names])
+            cols = [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array(firsts, pa.list_(pa.int64())), *(pa.array(fps[:, w]) for w in range(words))]
+            yield pa.record_batch(cols, names=["doc_id", "digest", "size", "firsts", *names])
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    prints, _ = materialize(source.mapInArrow(prints_of, f"doc_id long, digest binary, firsts array<long>{fields}"), "simhash-wide")
-    nodes = prints.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    nodes, _ = materialize(nodes, "simhash-sets")
+    prints = tables.put(source.mapInArrow(prints_of, f"doc_id long, digest binary, size long, firsts array<long>{fields}"), "simhash-wide")
+    nodes = tables.put(prints.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id")), "simhash-sets")
     # one row for each set: that of its smallest id
-    own = prints.join(nodes, (prints["digest"] == nodes["digest"]) & (prints["doc_id"] == nodes["id"])).select(nodes["digest"], "id", "firsts", *names).dropDuplicates(["digest"])
-    own, _ = materialize(own, "simhash-nodes")
-    loose = connected_components(links(own, words, bits, "firsts"))
-    loose, _ = materialize(loose.withColumnRenamed("node", "id"), "simhash-loose")
+    own = prints.join(nodes, (prints["digest"] == nodes["digest"]) & (prints["doc_id"] == nodes["id"])).select(nodes["digest"], "id", "size", "firsts", *names).dropDuplicates(["digest"])
+    own = tables.put(own, "simhash-nodes")
+    loose = connected_components(links(own, words, bits, "firsts")).withColumnRenamed("node", "id")
+    loose = tables.put(loose, "simhash-loose")
+    groups = loose.join(own.select("id", "size"), "id").groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    parts = F.ceil(F.greatest(F.col("n") / group_rows, F.col("size") / GROUP_SHINGLES)).cast("long")
+    large = tables.put(groups.select("component", parts.alias("parts")).where("parts > 1"), "simhash-large")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 4 << 20):
             sets = [shingle_set(t or b"", shingle) for t in batch.column("text").to_pylist()]
             digests = [xxhash.xxh128_digest(x.tobytes()) for x in sets]
-            cols = [batch.column("component"), batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            cols = [batch.column("component"), batch.column("id"), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
             yield pa.record_batch(cols, names=["component", "id", "digest", "own"])
 
     def verify(table: pa.Table) -> pa.Table:
         table = table.sort_by([("id", "ascending"), ("digest", "ascending")])
         label = alike([np.frombuffer(x, np.uint64) for x in table.column("own").to_pylist()])
         ids = table.column("id").to_numpy()
-        return pa.table({"digest": table.column("digest"), "component_id": pa.array(ids[label])})
+        linked = ids[label] != ids
+        return pa.table({"a": pa.array(ids[label][linked]), "b": pa.array(ids[linked])})
 
-    texts = source.join(loose, source["doc_id"] == loose["id"]).select("component", "doc_id", "text")
+    texts = source.withColumnRenamed("doc_id", "id").join(loose, "id").select("component", "id", "text")
     sets = texts.mapInArrow(sets_of, "component long, id long, digest binary, own binary")
     sets = sets.join(nodes, ["digest", "id"], "left_semi").dropDuplicates(["digest"])
-    exact = sets.select("component", "id", "digest", "own").groupBy("component").applyInArrow(verify, "digest binary, component_id long")
-    exact, _ = materialize(exact, "simhash-exact")
-    named = nodes.join(exact, "digest", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
+    sets = in_parts(sets, large, "component", "digest").select("component", "i", "j", "id", "digest", "own")
+    exact = connected_components(sets.groupBy("component", "i", "j").applyInArrow(verify, "a long, b long"))
+    exact = exact.withColumnsRenamed({"node": "id", "component": "component_id"})
+    named = nodes.join(exact, "id", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
     full = prints.where("digest is not null").select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
-    return full.unionByName(prints.where("digest is null").select("doc_id", F.col("doc_id").alias("component_id")))
+    full = full.unionByName(prints.where("digest is null").select("doc_id", F.col("doc_id").alias("component_id")))
+    done, _ = materialize(full, "simhash-groups")
+    tables.drop()
+    return done

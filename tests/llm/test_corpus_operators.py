@@ -283,8 +283,22 @@ def test_similar_documents_match_brute_force_at_the_threshold(spark):
     linked = np.array([[len(a & b) / len(a | b) >= 0.8 for b in sets] for a in sets])
     near = np.array([[0.6 <= len(a & b) / len(a | b) < 0.8 for b in sets] for a in sets])
     assert near.any() and linked.sum() > len(ts)
-    got = {r["doc_id"]: r["component_id"] for r in simhash_golay.similar_documents(frame(spark, ts)).collect()}
-    assert [got[i] for i in range(len(ts))] == smallest_reachable(linked).tolist()
+    for rows in (2048, 3):
+        # small groups: loose groups are dealt in parts
+        got = {r["doc_id"]: r["component_id"] for r in simhash_golay.similar_documents(frame(spark, ts), group_rows=rows).collect()}
+        assert [got[i] for i in range(len(ts))] == smallest_reachable(linked).tolist()
+
+
+def test_large_buckets_are_dealt_in_parts(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 30)
+    fps = np.unique(np.concatenate([base] + [base ^ (np.int64(1) << np.int64(a)) ^ (np.int64(1) << np.int64(b)) for a, b in ((1, 5), (30, 41), (2, 60), (1, 2))]))
+    nodes = spark.createDataFrame([(i, int(f)) for i, f in enumerate(fps)], "id long, fp0 long")
+    near = np.bitwise_count(fps[:, None] ^ fps[None]) <= 4
+    for bucket in (8192, 2):
+        parts = simhash_golay.connected_components(simhash_golay.links(nodes, bucket=bucket)).collect()
+        got = {r["node"]: r["component"] for r in parts}
+        assert [got.get(i, i) for i in range(len(fps))] == smallest_reachable(near).tolist()
 
 
 # 4 --------------------------------------------------------------------------
@@ -312,6 +326,14 @@ def test_packing_keeps_all_words_and_all_conflicts_apart(spark):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_equal_rows_are_spread_over_blocks(spark):
+    d = spark.range(2000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source")).repartition(4)
+    rows = packing.pack(d, block_rows=100)
+    per = rows.groupBy(F.shiftright("bin", 32).alias("block")).count().collect()
+    assert len(per) == 20 and max(r["count"] for r in per) < 200
+    assert rows.select("bin").distinct().count() == 2000
+
+
 def test_the_tightest_compatible_bin_is_taken():
     rng = random.Random(1)
     bins, plain = packing.Bins(50, 1), []
@@ -578,6 +600,36 @@ def test_languages_are_told_apart(spark):
     assert {r["lang"] for r in language_id.identify(d, none).select("_language.lang").collect()} == {"und"}
 
 
+def brute_prediction(model, text):
+    """The averaged rows of the table by subword, one at a time, and their softmax."""
+    letters = lambda c: c.isalpha()
+    own = [bucket for _, part in language_id.subwords([text]) for bucket in part.tolist()]
+    if not own or not any(map(letters, text)):
+        return "und", 0.0
+    z = sum(model.table[b].astype(np.float64) for b in own) / len(own) + model.bias
+    e = np.exp(z / model.temperature - (z / model.temperature).max())
+    return model.langs[int(e.argmax())], float(e.max() / e.sum())
+
+
+def test_predictions_match_brute_force_and_long_texts_are_whole(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda a: "".join(rng.choice(a) for _ in range(5))
+    model = language_id.train([(a[:2], " ".join(word(a) for _ in range(30))) for a in ("abcdef", "ghijkl", "éüßопр") for _ in range(30)])
+    ts = [" ".join(word(rng.choice(["abcdef", "ghijkl", "éüßопр", "123"])) for _ in range(rng.randint(1, 50))) for _ in range(40)] + ["", "12 3", "a"]
+    lang, score = model.predict(ts)
+    for t, name, p in zip(ts, lang, score.tolist()):
+        want, prob = brute_prediction(model, t)
+        assert name == want and abs(p - prob) < 1e-6
+    monkeypatch.setattr(language_id, "LONG", 37)
+    again, cut = model.predict(ts)
+    assert again == lang and np.abs(cut - score).max() < 0.02
+    assert all("".join(language_id.cut_long(t)) == t for t in ts)
+    d = frame(spark, ["a"]).withColumn("_language", F.lit(1))
+    with pytest.raises(ValueError):
+        language_id.identify(d, model)
+    assert language_id.identify(d, model, into="found").first()["_language"] == 1
+
+
 # 10 -------------------------------------------------------------------------
 
 
