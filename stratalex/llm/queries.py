@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from stratalex.llm import (
     packing,
     phrase_dedup,
     simhash_golay,
+    stages,
 )
 from stratalex.session import ship_package
 
@@ -80,7 +80,7 @@ def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES = {
@@ -101,5 +101,5 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {"op8_chat_format": oracles.chat_format(SAID), "op10_phrase_dedup": oracles.PHRASE_DEDUP}
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+if stages.ORACLE_SQL:
+    ORACLES["pipeline"] = stages.ORACLE_SQL
