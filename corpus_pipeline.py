@@ -1,66 +1,5 @@
-"""Corpus preparation: quality, language, near copies, repeated passages, packing.
+"""The corpus pipeline: its stages, the SQL they have, and a run over all of them."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
-as Parquet and read again as the next stage's ``docs``. All but the last return
-the columns of ``documents``.
-"""
+from stratalex.llm.stages import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from stratalex.llm import kneser_ney, language_id, packing, phrase_dedup, simhash_golay
-from stratalex.llm.common import materialize
-from stratalex.session import ship_package
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity under trusted text lies within their language's bounds."""
-    return kneser_ney.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; the column lang stays as it came."""
-    found = language_id.identify(docs, language_id.fit(docs))
-    return found.where("not _language.rejected").select(*docs.columns)
-
-
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of smallest id."""
-    groups = simhash_golay.similar_documents(docs)
-    go = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(go, "doc_id", "left_anti").select(*docs.columns)
-
-
-def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that a document of smaller id has too; those with no word left go."""
-    clean = phrase_dedup.remove_repeats(docs).where("_dedup.n_removed < _dedup.n_words")
-    clean = clean.withColumn("text", F.col("_dedup.kept_text")).withColumn("n_chars", F.length("text").cast("long"))
-    return clean.select(*docs.columns)
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all words of the documents in training sequences."""
-    return packing.pack(docs)
-
-
-STAGES = [
-    ("quality", quality),
-    ("language", language),
-    ("near_copies", near_copies),
-    ("passages", passages),
-    ("packed", packed),
-]
-
-#: The stages learn models and pack greedily, which SQL does not express; tests hold them against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    ship_package(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs, _ = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
