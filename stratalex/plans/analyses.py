@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratalex.functions import text as ft
-from stratalex.operators import stats
+from stratalex.operators import nulls, stats
 from stratalex.plans.registry import query
 from stratalex.plans.sqltext import DICT, PAIRS, TOKENS, pos_tag, skeleton
+from stratalex.session import ship_package
 from stratalex.sources.tables import dictionary, explode_tokens, fixed, neighbours, reference_bigrams, table, token_array, token_docs
 
 r6 = lambda c: F.round(c, 6)
@@ -180,13 +181,13 @@ def _family():
     return F.when(t.endswith("ing"), "ing").when(t.endswith("ed"), "ed").when(t.endswith("er"), "er").when(t.endswith("tion"), "tion").otherwise("other")
 
 
-@query(f"""WITH {TOKENS}, s AS (SELECT doc_id, {_FAM} AS family, count(*) AS c FROM tokens WHERE lang = 'en' GROUP BY 1, 2), n AS (SELECT doc_id, count(*) AS n FROM tokens WHERE lang = 'en' GROUP BY 1),
+@query(f"""WITH {TOKENS}, s AS (SELECT doc_id, {_FAM} AS family, count(*) AS c FROM tokens GROUP BY 1, 2), n AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY 1),
 f AS (SELECT unnest(['ing', 'ed', 'er', 'tion', 'other']) AS family), g AS (SELECT f.family, coalesce(s.c, 0) * 1.0 / n.n AS share FROM n CROSS JOIN f LEFT JOIN s ON s.doc_id = n.doc_id AND s.family = f.family)
 SELECT family, round(avg(share), 6) AS mean, round(stddev_pop(share) / avg(share), 6) AS cv, stddev_pop(share) / avg(share) < 0.15 AS constant FROM g GROUP BY 1""")
 def family_variation(spark, sf):
     """Share of word families in documents, and how it varies from one to the next."""
     names = ["ing", "ed", "er", "tion", "other"]
-    s = stats.word_counts(token_docs(spark, sf).where("lang = 'en'"), "doc_id").withColumn("family", _family())
+    s = stats.word_counts(token_docs(spark, sf), "doc_id").withColumn("family", _family())
     p = s.groupBy("doc_id").agg(F.sum("c").alias("n"), *(F.sum(F.when(F.col("family") == f, F.col("c")).otherwise(0)).alias(f) for f in names))
     long = p.select(F.explode(F.array(*(F.struct(F.lit(f).alias("family"), (F.col(f) / F.col("n")).alias("share")) for f in names))).alias("x")).select("x.*")
     cv = F.try_divide(F.stddev_pop("share"), F.avg("share"))
@@ -292,28 +293,31 @@ def stratified_sample(spark, sf):
     return out.distinct()
 
 
-_NULL = f"""WITH {TOKENS}, {DICT}, s AS (SELECT doc_id, toks FROM d WHERE len(toks) BETWEEN 2 AND 300 AND lang = 'en'), tr AS (SELECT unnest(range(0, 10)) AS trial),
-e AS (SELECT doc_id, unnest(toks) AS tok, unnest(range(len(toks))) AS pos FROM s), bg AS (SELECT w1, w2 FROM bigram),
-real_ AS (SELECT doc_id, count(bg.w1) AS hits FROM (SELECT doc_id, tok, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS w2 FROM e) x LEFT JOIN bg ON bg.w1 = x.tok AND bg.w2 = x.w2 GROUP BY 1),
-sh AS (SELECT doc_id, trial, tok, lead(tok) OVER (PARTITION BY doc_id, trial ORDER BY md5(trial || '|' || doc_id || '|' || pos), pos) AS w2 FROM e, tr),
-nul AS (SELECT sh.doc_id, trial, count(bg.w1) AS hits FROM sh LEFT JOIN bg ON bg.w1 = sh.tok AND bg.w2 = sh.w2 GROUP BY 1, 2)"""
-
-
-@query(_NULL + " SELECT r.doc_id, r.hits, round(avg(n.hits), 6) AS null_mean, round(avg(CASE WHEN n.hits >= r.hits THEN 1.0 ELSE 0.0 END), 6) AS p FROM real_ r JOIN nul n ON n.doc_id = r.doc_id GROUP BY 1, 2")
+@query()
 def shuffle_null_pvalue(spark, sf):
-    """Known word pairs of a document against ten orders of its words by seeded hashes, each within the row."""
-    docs = token_docs(spark, sf).where(F.size("toks").between(2, 300) & (F.col("lang") == "en")).select("doc_id", "toks")
-    trials = docs.select("doc_id", "toks", F.explode(F.sequence(F.lit(-1), F.lit(9))).alias("trial"))
-    keyed = F.transform("toks", lambda t, i: F.struct(F.md5(F.concat_ws("|", F.col("trial").cast("string"), F.col("doc_id").cast("string"), i.cast("string"))).alias("k"), i.alias("i"), t.alias("t")))
-    mixed = F.when(F.col("trial") < 0, F.col("toks")).otherwise(F.transform(F.array_sort(keyed), lambda s: s["t"]))
-    rows = fixed(trials.select("doc_id", "trial", mixed.alias("toks")), "doc_id", "trial", "toks")
-    pairs = rows.select("doc_id", "trial", F.explode(neighbours(F.col("toks"))).alias("b")).select("doc_id", "trial", "b.*")
-    known = reference_bigrams(spark, sf).select("w1", "w2", F.lit(1).alias("hit"))
-    h = pairs.join(known, ["w1", "w2"], "left").groupBy("doc_id", "trial").agg(F.count("hit").alias("hits"))
-    w = Window.partitionBy("doc_id")
-    real = F.max(F.when(F.col("trial") < 0, F.col("hits"))).over(w)
-    x = h.withColumn("real", real).where("trial >= 0")
-    return x.groupBy("doc_id", F.col("real").alias("hits")).agg(r6(F.avg(F.col("hits"))).alias("null_mean"), r6(F.avg(F.when(F.col("hits") >= F.col("real"), 1.0).otherwise(0.0))).alias("p"))
+    """Known word pairs of every document of two words or more against a thousand orders of its words."""
+    ship_package(spark)
+    docs = token_docs(spark, sf).where(F.size("toks") > 1).select("doc_id", "toks")
+    n = nulls.shuffle_null(docs, reference_bigrams(spark, sf).select("w1", "w2"), trials=1000)
+    return n.select("doc_id", "hits", r6(F.col("null_mean")).alias("null_mean"), r6(F.col("p")).alias("p"))
+
+
+@query(f"""WITH {TOKENS}, {DICT}, s AS (SELECT doc_id, toks, len(toks) AS n FROM d WHERE len(toks) > 1), e AS (SELECT doc_id, unnest(toks) AS tok, unnest(range(len(toks))) AS pos FROM s),
+c AS (SELECT doc_id, tok, count(*) AS c FROM e GROUP BY 1, 2), bg AS (SELECT w1, w2 FROM bigram),
+x AS (SELECT doc_id, tok, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM e), h AS (SELECT x.doc_id, count(*) AS hits FROM x JOIN bg ON bg.w1 = x.tok AND bg.w2 = x.nxt GROUP BY 1),
+m AS (SELECT a.doc_id, sum(a.c * (b.c - CASE WHEN a.tok = b.tok THEN 1 ELSE 0 END)) AS ways FROM c a JOIN bg ON bg.w1 = a.tok JOIN c b ON b.doc_id = a.doc_id AND b.tok = bg.w2 GROUP BY 1)
+SELECT s.doc_id, coalesce(h.hits, 0) AS hits, round(coalesce(m.ways, 0) * 1.0 / s.n, 6) AS expected FROM s LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id)""")
+def pair_null_expectation(spark, sf):
+    """The mean of the same null in closed form: of two given words in n, each stands right before the other in one n-th of all orders."""
+    docs = token_docs(spark, sf).where(F.size("toks") > 1).select("doc_id", "toks")
+    known = reference_bigrams(spark, sf).select("w1", "w2")
+    c = docs.select("doc_id", F.explode("toks").alias("tok")).groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("c"))
+    both = c.withColumnsRenamed({"tok": "w1", "c": "a"}).join(known, "w1").join(c.withColumnsRenamed({"tok": "w2", "c": "b"}), ["doc_id", "w2"])
+    ways = both.groupBy("doc_id").agg(F.sum(F.col("a") * (F.col("b") - (F.col("w1") == F.col("w2")).cast("long"))).alias("ways"))
+    pairs = docs.select("doc_id", F.explode(neighbours(F.col("toks"))).alias("p")).select("doc_id", "p.*").groupBy("doc_id", "w1", "w2").agg(F.count(F.lit(1)).alias("n"))
+    hits = pairs.join(known, ["w1", "w2"]).groupBy("doc_id").agg(F.sum("n").alias("hits"))
+    x = docs.select("doc_id", F.size("toks").alias("n")).join(hits, "doc_id", "left").join(ways, "doc_id", "left")
+    return x.select("doc_id", F.coalesce("hits", F.lit(0)).alias("hits"), r6(F.coalesce("ways", F.lit(0)) / F.col("n")).alias("expected"))
 
 
 @query(f"""WITH {TOKENS}, {DICT}, t AS (SELECT tok, count(*) AS c FROM tokens GROUP BY 1), n AS (SELECT tok, c, translate(tok, 'abcdefghijklmnopqrstuvwxyz', 'nopqrstuvwxyzabcdefghijklm') AS fake FROM t),

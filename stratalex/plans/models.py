@@ -15,18 +15,18 @@ from stratalex.session import ship_package
 from stratalex.sources.tables import dictionary, fixed, table, token_docs
 
 r6 = lambda c: F.round(c, 6)
-#: Buckets that places are dealt in when words change places over all documents; each is sorted by itself.
-BUCKETS = 4096
+#: Places are dealt in buckets of about so many when words change places over all documents; each is sorted by itself.
+BUCKET_ROWS = 65536
 _TYPES = "types AS (SELECT tok, count(*) AS c FROM tokens GROUP BY 1)"
 
 
 def draw(n, *parts):
     """A number from 0 below ``n`` by the md5 of ``parts``, the same on every engine."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 7), 16, 10).cast("long") % n
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 15), 16, 10).cast("long") % n
 
 
 def draw_sql(n, *parts):
-    return f"(CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 7) AS BIGINT) % {n})"
+    return f"(CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15) AS BIGINT) % ({n}))"
 
 
 def _chars(spark, sf):
@@ -124,60 +124,88 @@ def grammar_search(spark, sf):
 # null models: the share of words whose skeleton the dictionary has
 
 _KNOWN = f"known AS (SELECT DISTINCT {skeleton('word')} AS skel FROM dict WHERE {skeleton('word')} <> '')"
-_NULLS = f"""vocab AS (SELECT tok, c, row_number() OVER (ORDER BY c DESC, tok) - 1 AS k FROM types QUALIFY k < 1000), nv AS (SELECT count(*) AS n FROM vocab),
-slot AS (SELECT s, min(k) AS k FROM (SELECT k, sum(c) OVER (ORDER BY k) AS upto, sum(c) OVER () AS total FROM vocab) v, (SELECT unnest(range(4096)) AS s) g WHERE upto * 4096 > s * total GROUP BY 1),
-a AS (SELECT doc_id, pos, tok, {draw_sql(BUCKETS, "'b'", 'doc_id', 'pos')} AS b FROM tokens),
-fr AS (SELECT tok, b, row_number() OVER (PARTITION BY b ORDER BY md5(concat_ws('|', 'f', doc_id, pos)), doc_id, pos) AS k FROM a),
-"""
-_LETTERS16 = "etaoinshrdlucmfw"
-
-
-@query(f"""WITH {TOKENS}, {DICT}, {_TYPES}, {_KNOWN}, {_NULLS} w AS (
-  SELECT 'corpus' AS kind, tok FROM tokens UNION ALL
-  SELECT 'uniform', v.tok FROM tokens t, nv JOIN vocab v ON v.k = {draw_sql('nv.n', "'u'", 't.doc_id', 't.pos')} UNION ALL
-  SELECT 'frequency', v.tok FROM tokens t JOIN slot ON slot.s = {draw_sql(4096, "'q'", 't.doc_id', 't.pos')} JOIN vocab v ON v.k = slot.k UNION ALL
-  SELECT 'letters', left(translate(md5(concat_ws('|', 'c', doc_id, pos)), '0123456789abcdef', '{_LETTERS16}'), CAST(length(tok) AS BIGINT)) FROM tokens
-), n AS (SELECT kind, tok, count(*) AS c FROM w GROUP BY 1, 2)
-SELECT kind, CAST(sum(c) AS BIGINT) AS words, round(sum(CASE WHEN {skeleton('tok')} IN (SELECT skel FROM known) THEN c ELSE 0 END) * 1.0 / sum(c), 6) AS rate FROM n GROUP BY 1""")
+#: Draws of one cell of the vocabulary, laid out by frequency, meet its words only.
+CELL = 256
+_NULLS = f"""sizes AS (SELECT count(*) AS nv, CAST(sum(c) AS BIGINT) AS nt FROM types),
+laid AS (SELECT tok, c, row_number() OVER (ORDER BY md5(tok), tok) - 1 AS k, CAST(sum(c) OVER (ORDER BY md5(tok), tok) AS BIGINT) - c AS start FROM types),
+lc AS (SELECT ch, sum(c) AS n FROM (SELECT unnest(string_split(tok, '')) AS ch, c FROM types) GROUP BY 1), ln AS (SELECT ch, sum(n) OVER (ORDER BY ch) AS upto, sum(n) OVER () AS total FROM lc),
+slots AS (SELECT list(ch ORDER BY s) AS v FROM (SELECT s, min(ch) AS ch FROM ln, (SELECT unnest(range(256)) AS s) WHERE upto * 256 > s * total GROUP BY 1)),
+pl AS (SELECT doc_id, pos, tok, {draw_sql('nv', "'u'", 'doc_id', 'pos')} AS u, {draw_sql('nt', "'q'", 'doc_id', 'pos')} AS q, {draw_sql('nt', "'g'", 'doc_id', 'pos')} AS g FROM tokens, sizes),
+noise AS (SELECT array_to_string(list_transform(range(length(tok)), lambda i: v[CAST('0x' || substr(md5(concat_ws('|', 'c', doc_id, pos, i // 16)), CAST(i % 16 * 2 + 1 AS BIGINT), 2) AS BIGINT) + 1]), '') AS tok FROM tokens, slots)"""
+
+
+@query(f"""WITH {TOKENS}, {DICT}, {_TYPES}, {_KNOWN}, {_NULLS}, w AS (SELECT 'corpus' AS kind, tok, c FROM types UNION ALL
+SELECT 'uniform', l.tok, count(*) FROM pl JOIN laid l ON l.k = pl.u GROUP BY 2 UNION ALL
+SELECT 'frequency', l.tok, count(*) FROM pl ASOF JOIN laid l ON pl.q >= l.start GROUP BY 2 UNION ALL SELECT 'pool', l.tok, count(*) FROM pl ASOF JOIN laid l ON pl.g >= l.start GROUP BY 2 UNION ALL
+SELECT 'letters', tok, count(*) FROM noise GROUP BY 2)
+SELECT kind, CAST(sum(c) AS BIGINT) AS words, round(sum(CASE WHEN {skeleton('tok')} IN (SELECT skel FROM known) THEN c ELSE 0 END) * 1.0 / sum(c), 6) AS rate FROM w GROUP BY 1""")
 def null_model_rates(spark, sf):
-    """The corpus against three null texts of its size: words of the vocabulary at even odds, by frequency, and random letters.
+    """The corpus against four null texts of its size: words of the whole vocabulary at even odds, by frequency, of the pool of all words, and random letters by their frequency.
 
-    Null words are drawn in the row; the vocabulary is the 1000 most frequent
-    words, so what is broadcast has a fixed size.
+    The vocabulary is laid out in buckets by hash, each ordered by itself; a draw
+    is a place in it, found by an equi-join on the place, or on the cell of 256
+    places where words take as many places as they are frequent. (Orders of the
+    words within documents and over all documents are ``shuffle_null_pvalue``
+    and ``cross_document_shuffle``.)
     """
     docs = token_docs(spark, sf).where(F.size("toks") > 0).select("doc_id", "toks")
-    vocab = stats.top(stats.word_counts(docs), 1000)
-    ranked = vocab.agg(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "tok"))).alias("v"))
-    upto = F.transform("v", lambda x, i: -F.aggregate(F.slice("v", F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, y: s + y["c"]))
-    cells = ranked.select("v", upto.alias("upto")).withColumn("total", F.element_at("upto", -1))
-    slots = F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda s: F.size(F.filter("upto", lambda u: u * 4096 <= s * F.col("total"))))
-    cells = fixed(cells.select(F.transform("v", lambda x: x["tok"]).alias("v"), slots.alias("slots")), "v", "slots")
-    x = docs.join(F.broadcast(cells)).select("*", F.posexplode("toks").alias("pos", "tok"))
-    at = lambda name, n: draw(n, F.lit(name), F.col("doc_id"), F.col("pos")).cast("int")
-    noise = F.left(F.translate(F.md5(F.concat_ws("|", F.lit("c"), F.col("doc_id").cast("string"), F.col("pos").cast("string"))), "0123456789abcdef", _LETTERS16), F.length("tok"))
-    made = {"corpus": F.col("tok"), "uniform": F.get("v", at("u", F.size("v"))), "frequency": F.get("v", F.get("slots", at("q", 4096))), "letters": noise}
-    each = F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("tok")) for k, c in made.items()))
-    n = x.select(F.inline(each)).groupBy("kind", "tok").agg(F.count(F.lit(1)).alias("c")).withColumn("skel", ft.skeleton(F.col("tok")))
+    types = stats.word_counts(docs).withColumn("h", F.md5("tok")).withColumn("b", F.left("h", F.lit(3)))
+    # 4096 buckets by hash, in the order of the hash; what is ordered as a whole is one row a bucket
+    sums = types.groupBy("b").agg(F.count(F.lit(1)).alias("nb"), F.sum("c").alias("cb"))
+    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("b", F.coalesce(F.sum("nb").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("cb").over(before), F.lit(0)).alias("c0"))
+    own = Window.partitionBy("b").orderBy("h", "tok")
+    upto = F.sum("c").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    laid = types.withColumn("k", F.row_number().over(own) - 1).withColumn("start", upto - F.col("c")).join(F.broadcast(sums), "b")
+    laid = laid.select("tok", "c", (F.col("k") + F.col("n0")).alias("k"), (F.col("start") + F.col("c0")).alias("start"))
+    sizes = types.agg(F.count(F.lit(1)).alias("nv"), F.sum("c").alias("nt"))
+    at = docs.join(F.broadcast(sizes)).select("doc_id", "nv", "nt", F.posexplode("toks").alias("pos", "tok"))
+    draws = F.array(*(F.struct(F.lit(k).alias("kind"), draw(F.col(n), F.lit(x), F.col("doc_id"), F.col("pos")).alias("at")) for k, n, x in (("uniform", "nv", "u"), ("frequency", "nt", "q"), ("pool", "nt", "g"))))
+    drawn = at.select(F.inline(draws)).groupBy("kind", "at").agg(F.count(F.lit(1)).alias("n"))
+    even = drawn.where("kind = 'uniform'").join(laid, F.col("at") == F.col("k")).select("kind", "tok", "n")
+    cells = laid.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / CELL), F.floor((F.col("start") + F.col("c") - 1) / CELL))))
+    inside = (F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.col("c"))
+    often = drawn.where("kind <> 'uniform'").withColumn("cell", F.floor(F.col("at") / CELL)).join(cells, "cell").where(inside).select("kind", "tok", "n")
+
+    # 26 letters at most
+    letters = types.select("c", F.explode(F.split("tok", "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.sum("c").alias("n"))
+    ranked = letters.agg(F.sort_array(F.collect_list(F.struct("ch", "n"))).alias("l"))
+    ends = F.transform("l", lambda x, i: F.aggregate(F.slice("l", F.lit(1), i + 1), F.lit(0).cast("long"), lambda t, y: t + y["n"]))
+    slot = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda s: F.get("l", F.size(F.filter("ends", lambda u: u * 256 <= s * F.element_at("ends", -1))))["ch"])
+    slots = ranked.withColumn("ends", ends).select(slot.alias("v"))
+    part = lambda i: F.md5(F.concat_ws("|", F.lit("c"), F.col("doc_id").cast("string"), F.col("pos").cast("string"), F.floor(i / 16).cast("string")))
+    sign = lambda i: F.get("v", F.conv(F.substring(part(i), i % 16 * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    places = at.join(F.broadcast(fixed(slots, "v"))).select("doc_id", "pos", "v", F.sequence(F.lit(0), F.length("tok") - 1).alias("i"))
+    noise = places.select(F.array_join(F.transform("i", sign), "").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
+
+    parts = types.select(F.lit("corpus").alias("kind"), "tok", F.col("c").alias("n")).unionByName(even).unionByName(often).unionByName(noise.select(F.lit("letters").alias("kind"), "tok", "n"))
+    n = parts.groupBy("kind", "tok").agg(F.sum("n").alias("c")).withColumn("skel", ft.skeleton(F.col("tok")))
     known = dictionary(spark, sf).select(ft.skeleton(F.col("word")).alias("skel")).where("skel <> ''").distinct().withColumn("hit", F.lit(True))
     hits = F.sum(F.when(F.col("hit"), F.col("c")).otherwise(0))
     return n.join(known, "skel", "left").groupBy("kind").agg(F.sum("c").alias("words"), r6(hits / F.sum("c")).alias("rate"))
 
 
-@query(f"""WITH {TOKENS}, {DICT}, {_NULLS.replace('vocab AS', 'types AS (SELECT tok, count(*) AS c FROM tokens GROUP BY 1), vocab AS')} tt AS (SELECT doc_id, pos, b, row_number() OVER (PARTITION BY b ORDER BY md5(concat_ws('|', 't', doc_id, pos)), doc_id, pos) AS k FROM a),
+_BUCKET = f"bk AS (SELECT greatest(1, count(*) // {BUCKET_ROWS}) AS nb FROM tokens), a AS (SELECT doc_id, pos, tok, {draw_sql('nb', chr(39) + 'b' + chr(39), 'doc_id', 'pos')} AS b FROM tokens, bk)"
+
+
+@query(f"""WITH {TOKENS}, {DICT}, {_BUCKET}, fr AS (SELECT tok, b, row_number() OVER (PARTITION BY b ORDER BY md5(concat_ws('|', 'f', doc_id, pos)), doc_id, pos) AS k FROM a),
+tt AS (SELECT doc_id, pos, b, row_number() OVER (PARTITION BY b ORDER BY md5(concat_ws('|', 't', doc_id, pos)), doc_id, pos) AS k FROM a),
 m AS (SELECT tt.doc_id, tt.pos, fr.tok FROM tt JOIN fr ON fr.b = tt.b AND fr.k = tt.k), p AS (SELECT tok AS w1, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS w2 FROM m),
 q AS (SELECT tok AS w1, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS w2 FROM tokens), u AS (SELECT 'corpus' AS kind, * FROM q WHERE w2 IS NOT NULL UNION ALL SELECT 'shuffled', * FROM p WHERE w2 IS NOT NULL)
 SELECT kind, count(*) AS pairs, count(g.w1) AS known FROM u LEFT JOIN bigram g ON g.w1 = u.w1 AND g.w2 = u.w2 GROUP BY 1""")
 def cross_document_shuffle(spark, sf):
     """Known word pairs of the corpus and of its words dealt anew over all documents.
 
-    An exact permutation without a global sort: places are dealt in buckets,
-    and the words of each bucket take its places in another seeded order.
+    An exact permutation without a global sort: places are dealt in buckets of
+    about ``BUCKET_ROWS``, so their number follows the corpus, and the words of
+    each bucket take its places in another seeded order.
     """
     from stratalex.sources.tables import explode_tokens, neighbours, reference_bigrams
 
     docs = token_docs(spark, sf)
     t = explode_tokens(docs).select("doc_id", F.col("pos").cast("long").alias("pos"), "tok")
-    t = t.withColumn("b", draw(BUCKETS, F.lit("b"), F.col("doc_id"), F.col("pos")))
+    buckets = docs.agg(F.greatest(F.lit(1), F.floor(F.coalesce(F.sum(F.size("toks")), F.lit(0)) / BUCKET_ROWS)).alias("nb"))
+    t = t.join(F.broadcast(buckets)).withColumn("b", draw(F.col("nb"), F.lit("b"), F.col("doc_id"), F.col("pos")))
     key = lambda name: F.md5(F.concat_ws("|", F.lit(name), F.col("doc_id").cast("string"), F.col("pos").cast("string")))
     rank = lambda name: F.row_number().over(Window.partitionBy("b").orderBy(key(name), "doc_id", "pos"))
     dealt = t.select("b", "doc_id", "pos", rank("t").alias("k")).join(t.select("b", "tok", rank("f").alias("k")), ["b", "k"])

@@ -228,23 +228,23 @@ def syllable_structure(spark, sf):
     return x.groupBy("p.onset", "p.nucleus", "p.coda", F.when(F.col("p.coda") == "", "open").otherwise("closed").alias("kind")).agg(F.sum("c").alias("c"))
 
 
-@query(f"""WITH {TOKENS}, {_T}, a AS (SELECT tok, string_split(tok, '') AS ch FROM types WHERE length(tok) <= 12),
+@query(f"""WITH {TOKENS}, {_T}, a AS (SELECT tok, string_split(tok, '') AS ch FROM types),
 u AS (SELECT tok, unnest(ch) AS c, unnest(range(len(ch))) AS i FROM a), f AS (SELECT tok, c, min(i) AS fi FROM u GROUP BY 1, 2), rk AS (SELECT tok, c, row_number() OVER (PARTITION BY tok ORDER BY fi) AS r FROM f),
 s AS (SELECT u.tok, string_agg(chr(CAST(64 + r AS INT)), '' ORDER BY i) AS sig FROM u JOIN rk ON rk.tok = u.tok AND rk.c = u.c GROUP BY 1)
 SELECT sig, count(*) AS types, min(tok) AS first_word FROM s GROUP BY 1""")
 def pattern_signature(spark, sf):
-    t = _types(spark, sf).where("length(tok) <= 12").select("tok", ft.pattern_signature(F.col("tok")).alias("sig"))
+    t = _types(spark, sf).select("tok", ft.pattern_signature(F.col("tok")).alias("sig"))
     return t.groupBy("sig").agg(F.count(F.lit(1)).alias("types"), F.min("tok").alias("first_word"))
 
 
-@query(f"""WITH {TOKENS}, {_T}, {DICT}, ua AS (SELECT tok, string_split(tok, '') AS ch FROM (SELECT tok FROM types WHERE c = 1 AND length(tok) BETWEEN 5 AND 12 UNION SELECT word FROM dict WHERE length(word) BETWEEN 5 AND 12)),
+@query(f"""WITH {TOKENS}, {_T}, {DICT}, ua AS (SELECT tok, string_split(tok, '') AS ch FROM (SELECT tok FROM types WHERE c = 1 UNION SELECT word FROM dict)),
 u AS (SELECT tok, unnest(ch) AS c, unnest(range(len(ch))) AS i FROM ua), f AS (SELECT tok, c, min(i) AS fi FROM u GROUP BY 1, 2), rk AS (SELECT tok, c, row_number() OVER (PARTITION BY tok ORDER BY fi) AS r FROM f),
 s AS (SELECT u.tok, string_agg(chr(CAST(64 + r AS INT)), '' ORDER BY i) AS sig FROM u JOIN rk ON rk.tok = u.tok AND rk.c = u.c GROUP BY 1)
-SELECT t.tok, count(*) AS matches, min(d.word) AS first_match FROM types t JOIN s a ON a.tok = t.tok JOIN s b ON b.sig = a.sig JOIN dict d ON d.word = b.tok WHERE t.c = 1 AND length(t.tok) BETWEEN 5 AND 12 GROUP BY 1""")
+SELECT t.tok, count(*) AS matches, min(d.word) AS first_match FROM types t JOIN s a ON a.tok = t.tok JOIN s b ON b.sig = a.sig JOIN dict d ON d.word = b.tok WHERE t.c = 1 GROUP BY 1""")
 def pattern_matches(spark, sf):
     """Words that occur once against dictionary words of the same pattern: the dictionary is counted by pattern first."""
-    d = dictionary(spark, sf).where("length(word) between 5 and 12").groupBy(ft.pattern_signature(F.col("word")).alias("sig")).agg(F.count(F.lit(1)).alias("matches"), F.min("word").alias("first_match"))
-    t = _types(spark, sf).where("c = 1 and length(tok) between 5 and 12").select("tok", ft.pattern_signature(F.col("tok")).alias("sig"))
+    d = dictionary(spark, sf).groupBy(ft.pattern_signature(F.col("word")).alias("sig")).agg(F.count(F.lit(1)).alias("matches"), F.min("word").alias("first_match"))
+    t = _types(spark, sf).where("c = 1").select("tok", ft.pattern_signature(F.col("tok")).alias("sig"))
     return t.join(d, "sig").select("tok", "matches", "first_match")
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from stratalex.plans.statistics import char_transitions
 from stratalex.session import ship_package
 from stratalex.sources.tables import dictionary, reference_bigrams, reference_docs, token_docs
 
+#: Bounds of the reference tables that every worker gets whole; larger ones are an error.
+REFERENCE_TEXTS, DICTIONARY_WORDS = 200_000, 2_000_000
 r6 = lambda c: F.round(c, 6)
 
 _ROWS = f"""WITH {TOKENS}, {PAIRS}, top AS (SELECT tok FROM (SELECT tok, count(*) AS c FROM tokens GROUP BY 1) ORDER BY c DESC, tok LIMIT 100),
@@ -66,14 +71,29 @@ def markov_entropy_rate(spark, sf):
     return s.groupBy("lang").agg(r6(F.sum(F.col("n") * F.col("h")) / F.sum("n")).alias("entropy_rate"), F.count(F.lit(1)).alias("states"))
 
 
-@query(f"""WITH {TOKENS}, t AS (SELECT DISTINCT tok FROM tokens WHERE lang = 'en'), p AS (SELECT DISTINCT substr(tok, 1, CAST(k AS BIGINT)) AS pre, k FROM t, range(1, 40) r(k) WHERE k <= length(tok))
+@query(f"""WITH {TOKENS}, t AS (SELECT DISTINCT tok FROM tokens), p AS (SELECT DISTINCT left(tok, k) AS pre, k FROM (SELECT tok, unnest(range(1, length(tok) + 1)) AS k FROM t))
 SELECT k AS depth, count(*) AS states, count(*) FILTER (pre IN (SELECT tok FROM t)) AS accepting FROM p GROUP BY 1""")
 def trie_states(spark, sf):
-    """States of the prefix tree of a vocabulary: its distinct beginnings."""
-    t = token_docs(spark, sf).where("lang = 'en'").select(F.explode("toks").alias("tok")).distinct().where("length(tok) < 40")
-    p = t.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("tok")), lambda k: F.struct(F.left("tok", k).alias("pre"), (k == F.length("tok")).alias("whole")))).alias("x"))
-    p = p.groupBy("x.pre").agg(F.max(F.col("x.whole").cast("int")).alias("acc"))
-    return p.groupBy(F.length("pre").cast("long").alias("depth")).agg(F.count(F.lit(1)).alias("states"), F.sum("acc").alias("accepting"))
+    """States of the prefix tree of a vocabulary: its distinct beginnings.
+
+    In order, each word adds the beginnings that are longer than what it shares
+    with the word before it. Words are put in order within their first three
+    letters, so no word's beginnings are written out; the shorter ones are
+    counted by themselves.
+    """
+    t = token_docs(spark, sf).select(F.explode("toks").alias("tok")).distinct().withColumn("n", F.length("tok"))
+    before = F.lag("tok").over(Window.partitionBy(F.left("tok", F.lit(3))).orderBy("tok"))
+
+    @F.pandas_udf("int")
+    def shared(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([len(os.path.commonprefix((x, y))) if x else 3 for x, y in zip(a, b)], dtype="int32")
+
+    long = t.where("n > 3").withColumn("before", before).withColumn("low", F.greatest(shared("before", "tok"), F.lit(3)))
+    long = long.where("n > low").select(F.explode(F.sequence(F.col("low") + 1, F.col("n"))).alias("depth"))
+    short = t.select(F.explode(F.transform(F.sequence(F.lit(1), F.least("n", F.lit(3))), lambda k: F.left("tok", k))).alias("pre")).distinct()
+    states = long.unionByName(short.select(F.length("pre").alias("depth"))).groupBy("depth").agg(F.count(F.lit(1)).alias("states"))
+    ends = t.groupBy(F.col("n").alias("depth")).agg(F.count(F.lit(1)).alias("accepting"))
+    return states.join(ends, "depth", "left").select(F.col("depth").cast("long").alias("depth"), "states", F.coalesce("accepting", F.lit(0)).alias("accepting"))
 
 
 @query(f"""WITH {TOKENS}, {DICT}, {PAIRS}, x AS (SELECT tok AS cur, lag(tok) OVER w AS prev, lead(tok) OVER w AS nxt FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
@@ -180,7 +200,7 @@ def word_clusters(spark, sf):
 @query()
 def automaton_states(spark, sf):
     """Prefix tree and minimal automaton of the dictionary, which is of bounded size."""
-    words = sorted(r["word"] for r in dictionary(spark, sf).collect())
+    words = sorted(r["word"] for r in decode.bounded(dictionary(spark, sf), DICTIONARY_WORDS, "the dictionary"))
     return spark.createDataFrame([(len(words), *search.minimal_states(words))], "words int, trie int, minimal int")
 
 
@@ -189,19 +209,19 @@ def budgeted_decode(spark, sf):
     ship_package(spark)
     d = dictionary(spark, sf)
     total = d.agg(F.sum("freq")).first()[0] or 1
-    words = [(r["skel"], r["word"], r["freq"] / total) for r in d.withColumn("skel", ft.skeleton(F.col("word"))).orderBy("word").collect()]
+    words = [(r["skel"], r["word"], r["freq"] / total) for r in decode.bounded(d.withColumn("skel", ft.skeleton(F.col("word"))).orderBy("word"), DICTIONARY_WORDS, "the dictionary")]
     return decode.decode_documents(token_docs(spark, sf), words).groupBy("doc_id", "status").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("word").alias("words"))
 
 
 @query()
 def beam_decode(spark, sf):
     ship_package(spark)
-    sentences = [r["toks"] for r in reference_docs(spark, sf).orderBy("item_id").collect()]
+    sentences = [r["toks"] for r in decode.bounded(reference_docs(spark, sf).orderBy("item_id"), REFERENCE_TEXTS, "the reference corpus")]
     index: dict[str, list[str]] = {}
-    for r in dictionary(spark, sf).orderBy(F.desc("freq"), "word").collect():
+    for r in decode.bounded(dictionary(spark, sf).orderBy(F.desc("freq"), "word"), DICTIONARY_WORDS, "the dictionary"):
         index.setdefault(r["word"][:2], []).append(r["word"])
-    docs = token_docs(spark, sf).where("lang = 'en'").select("doc_id", "toks")
-    return decode.beam_documents(docs, sentences, index, width=5).select("doc_id", "n", r6(F.col("score")).alias("score"), F.md5("decoded").alias("decoded_md5"))
+    docs = token_docs(spark, sf).select("doc_id", "toks")
+    return decode.beam_documents(docs, sentences, index).select("doc_id", "n", r6(F.col("score")).alias("score"), F.md5("decoded").alias("decoded_md5"))
 
 
 @query()
@@ -225,7 +245,7 @@ def refine_loop(spark, sf):
         need = m.confidence_threshold(ft.segments(F.col("skel")), F.col("nonzero"), dual)
         found = both.where((F.col("second") == 0) | (F.col("score") / F.col("second") >= need)).select("doc_id", "pos", "skel", "new")
         agreed = m.consensus(found.select("skel", F.col("new").alias("word"))).select("skel", F.col("word").alias("agreed"))
-        state_new = state.join(found.drop("skel"), ["doc_id", "pos"], "left").join(F.broadcast(agreed), "skel", "left")
+        state_new = state.join(found.drop("skel"), ["doc_id", "pos"], "left").join(agreed, "skel", "left")
         word = F.coalesce("word", "new", "agreed")
         state, _ = materialize(state_new.select("doc_id", "pos", "tok", "skel", word.alias("word"), F.coalesce("step", F.when(word.isNotNull(), F.lit(step))).alias("step")), "refine")
         if state.where(F.col("step") == step).count() < 10:

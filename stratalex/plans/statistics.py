@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stratalex.operators import stats
+from stratalex.operators import rolling, stats
 from stratalex.plans.registry import query
 from stratalex.plans.sqltext import CHARS, DICT, PAIRS, TOKENS
+from stratalex.session import ship_package
 from stratalex.sources.tables import explode_tokens, fixed, table, token_docs, tokens
 
 r6 = lambda c: F.round(c, 6)
@@ -272,17 +273,10 @@ h AS (SELECT doc_id, st, log2(15) - sum(n * log2(n)) / 15 AS h FROM c GROUP BY 1
 SELECT doc_id, count(*) AS windows, round(avg(h), 6) AS mean_h, round(max(h) - min(h), 6) AS spread FROM h GROUP BY 1""")
 def rolling_entropy(spark, sf):
     """Entropy of 15 words every five words; all within the row, so no window is shuffled."""
-    docs = token_docs(spark, sf).where(F.size("toks") > 15)
-    starts = F.sequence(F.lit(0), F.size("toks") - 16, F.lit(5))
-
-    def h(at):
-        part = F.slice("toks", at + 1, F.lit(15))
-        same = F.transform(F.array_distinct(part), lambda t: F.size(F.filter(part, lambda x: x == t)).cast("double"))
-        return F.log2(F.lit(15.0)) - F.aggregate(same, F.lit(0.0), lambda acc, n: acc + n * F.log2(n)) / 15
-
-    hs = docs.select("doc_id", F.transform(starts, h).alias("h"))
-    total = F.aggregate("h", F.lit(0.0), lambda a, x: a + x)
-    return hs.select("doc_id", F.size("h").cast("long").alias("windows"), r6(total / F.size("h")).alias("mean_h"), r6(F.array_max("h") - F.array_min("h")).alias("spread"))
+    ship_package(spark)
+    docs = token_docs(spark, sf).where(F.size("toks") > 15).select("doc_id", "toks")
+    hs = rolling.window_entropies(docs, width=15, step=5)
+    return hs.select("doc_id", "windows", r6(F.col("mean_h")).alias("mean_h"), r6(F.col("spread")).alias("spread"))
 
 
 @query(f"""WITH {TOKENS}, e AS (SELECT 'head' AS side, unnest(toks[1:10]) AS tok FROM d UNION ALL SELECT 'tail', unnest(toks[greatest(len(toks) - 9, 1):len(toks)]) FROM d)
@@ -310,6 +304,8 @@ def role_transitions(spark, sf):
     return n.withColumn("p", r6(F.col("c") / F.sum("c").over(Window.partitionBy("r1"))))
 
 
+#: Ids of one range, within which neighbours are found by a sort.
+RANGE = 4096
 _DOCH = """dc AS (SELECT doc_id, source, unnest(string_split(array_to_string(toks, ''), '')) AS ch, unnest(range(length(array_to_string(toks, '')))) AS i FROM d WHERE len(toks) > 0),
 nx AS (SELECT doc_id, source, ch AS c1, lead(ch) OVER (PARTITION BY doc_id ORDER BY i) AS c2 FROM dc),
 a AS (SELECT doc_id, source, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h1 FROM (SELECT doc_id, source, c1, count(*) AS n FROM nx GROUP BY 1, 2, 3) GROUP BY 1, 2),
@@ -334,10 +330,22 @@ def doc_entropies(spark, sf, *keys: str):
 @query(f"""WITH {TOKENS}, {_DOCH}, l AS (SELECT source, abs(h1 - lag(h1) OVER w) AS d1, abs(h2 - lag(h2) OVER w) AS d2 FROM dh WINDOW w AS (PARTITION BY source ORDER BY doc_id))
 SELECT source, round(0.4 * avg(d1) + 0.6 * avg(d2), 6) AS drift, count(d1) AS steps FROM l GROUP BY 1""")
 def adjacent_doc_delta(spark, sf):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    h = doc_entropies(spark, sf, "source")
-    l = h.select("source", F.abs(F.col("h1") - F.lag("h1").over(w)).alias("d1"), F.abs(F.col("h2") - F.lag("h2").over(w)).alias("d2"))
-    return l.groupBy("source").agg(r6(0.4 * F.avg("d1") + 0.6 * F.avg("d2")).alias("drift"), F.count("d1").alias("steps"))
+    """Mean change of entropy from one document of a source to its next.
+
+    Neighbours are found within ranges of ids; only the first and the last
+    document of each range meet those of the ranges beside it, so a source of a
+    third of all documents is not one sort.
+    """
+    h = doc_entropies(spark, sf, "source").select("source", "doc_id", F.floor(F.col("doc_id") / RANGE).alias("block"), F.struct("h1", "h2").alias("h"))
+    own = Window.partitionBy("source", "block").orderBy("doc_id")
+    inner = h.select("source", F.lag("h").over(own).alias("a"), F.col("h").alias("b"))
+    ends = h.groupBy("source", "block").agg(F.min(F.struct("doc_id", "h")).alias("head"), F.max(F.struct("doc_id", "h")).alias("tail"))
+    edge = ends.select("source", F.lag("tail.h").over(Window.partitionBy("source").orderBy("block")).alias("a"), F.col("head.h").alias("b"))
+    l = inner.unionByName(edge).where("a is not null").select("source", F.abs(F.col("b.h1") - F.col("a.h1")).alias("d1"), F.abs(F.col("b.h2") - F.col("a.h2")).alias("d2"))
+    steps = l.groupBy("source").agg((0.4 * F.avg("d1") + 0.6 * F.avg("d2")).alias("drift"), F.count("d1").alias("steps"))
+    all_ = h.select(F.col("source").alias("own")).distinct()
+    x = all_.join(steps, F.col("own").eqNullSafe(F.col("source")), "left")
+    return x.select(F.col("own").alias("source"), r6(F.col("drift")).alias("drift"), F.coalesce("steps", F.lit(0)).alias("steps"))
 
 
 @query(f"""WITH {TOKENS}, {_DOCH}, s AS (SELECT source, avg(h1) AS h1, avg(h2) AS h2 FROM dh GROUP BY 1)

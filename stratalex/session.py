@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -97,7 +98,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    # nothing needs the shuffle files behind it any more; they go when the driver's garbage does
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return done
 
 
 class Tables:

@@ -1,6 +1,9 @@
 """Operators on small inputs: identities, bounds and hand-worked cases."""
 
+import itertools
 import math
+import random
+import time
 from itertools import permutations
 
 import numpy as np
@@ -8,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from stratalex.operators import decode, graph, matching, search, stats
+from stratalex.operators import decode, graph, matching, nulls, rolling, search, stats
 from stratalex.plans.models import draw
 from stratalex.sources.tables import neighbours
 
@@ -134,10 +137,94 @@ def test_budget_lowers_a_word_used_too_often():
 
 def test_beam_prefers_known_trigrams():
     m = decode.TrigramModel([["a", "b", "c"], ["a", "b", "c"], ["a", "x", "y"]])
-    path, _ = decode.beam(["1", "2", "3"], lambda t: {"1": ["a"], "2": ["b", "x"], "3": ["c", "y"]}[t], m.p)
+    words = {"1": ["a"], "2": ["b", "x"], "3": ["c", "y"]}
+    path, _ = decode.beam(["1", "2", "3"], lambda a, b, t: sorted((-math.log(m.p(a, b, c)), c) for c in words[t]), 15)
     assert path == ["a", "b", "c"]
 
 
+def test_a_wide_beam_finds_the_best_of_all_paths():
+    rng = random.Random(4)
+    word = lambda: rng.choice(["aab", "aac", "aad", "bba", "bbc", "cca"])
+    m = decode.TrigramModel([[word() for _ in range(12)] for _ in range(6)])
+    index = {"aa": ["aab", "aac", "aad"], "bb": ["bba", "bbc"]}
+    ranked = decode.Ranker(m, index)
+    for _ in range(20):
+        tokens = [rng.choice(["aax", "bbx", "zz"]) for _ in range(6)]
+        found = []
+        for choice in itertools.product(*(index.get(t[:2], [t]) for t in tokens)):
+            line = ["<s>", "<s>", *choice]
+            found.append(sum(math.log(m.p(*line[i : i + 3])) for i in range(len(choice))))
+        path, score = decode.beam(tokens, ranked, 10_000)
+        line = ["<s>", "<s>", *path]
+        assert abs(score - max(found)) < 1e-9 and abs(sum(math.log(m.p(*line[i : i + 3])) for i in range(len(path))) - score) < 1e-9
+        assert decode.beam(tokens, ranked, 1)[1] <= score + 1e-12
+
+
+def test_skeletons_match_all_choices():
+    """Brute force: every way to sound or silence each y and o."""
+    rng = random.Random(2)
+    for _ in range(200):
+        stem = "".join(rng.choice("aeoykdlrsht") for _ in range(rng.randint(1, 9)))
+        parts, i = [], 0
+        while i < len(stem):
+            w = 2 if stem[i : i + 2] in decode.CIPHER_CLASSES and len(stem[i : i + 2]) == 2 else 1
+            x = stem[i : i + w]
+            if x in decode.CIPHER_CLASSES:
+                parts.append([(decode.CIPHER_CLASSES[x], 1.0)])
+            elif x in decode.SEMI and (i == 0 or (stem[i - 1] in "aeoy" and stem[i + 1 : i + 2] and stem[i + 1] in "aeoy")):
+                parts.append([("", 0.7), (decode.SEMI[x], 0.3)])
+            i += w
+        want = {}
+        for choice in itertools.product(*parts):
+            made = [k for k, _ in itertools.groupby(c for c, _ in choice if c)]
+            if made:
+                key = "-".join(made)
+                want[key] = max(want.get(key, 0), math.prod(p for _, p in choice))
+        got = dict(decode.branching_skeletons(stem))
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
+def test_long_runs_of_choices_are_no_product():
+    began = time.time()
+    got = decode.branching_skeletons("o" * 200)
+    assert [k for k, _ in got] == ["P"] and abs(got[0][1] / (0.7**198 * 0.3) - 1) < 1e-9 and time.time() - began < 1
+    assert len(decode.branching_skeletons("yo" * 20)) > 20
+    # a dictionary bounds what is followed
+    assert [k for k, _ in decode.branching_skeletons("aoak" * 60, {("K",), ("K", "P")})] == ["K"]
+
+
+def test_permuted_pairs_match_brute_force():
+    words = list("abcab")
+    known = [("a", "b"), ("c", "a"), ("x", "y")]
+    real, null = nulls.permuted_hits(words, known, 4000, [1], cells=64)
+    every = [sum((a, b) in known for a, b in zip(p, p[1:])) for p in itertools.permutations(words)]
+    assert real == 3 and abs(null.mean() - np.mean(every)) < 0.05 and abs((null >= real).mean() - np.mean(np.array(every) >= real)) < 0.03
+    assert nulls.permuted_hits(words, [], 5, [1])[1].tolist() == [0] * 5
+    again = nulls.permuted_hits(words, known, 50, [1], cells=1 << 20)[1]
+    assert 0 <= again.min() and again.max() <= 4
+
+
+def test_window_entropies():
+    rows = np.array([[1, 1, 1, 1], [1, 2, 3, 4], [1, 1, 2, 2]])
+    assert np.allclose(rolling.entropies(rows, 4), [0, 2, 1])
+
+
+def test_fuzzy_matches_equal_all_pairs(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("ktpslrmn") for _ in range(rng.randint(3, 7)))
+    types, words = [(w, i) for i, w in enumerate({word() for _ in range(150)})], {word() for _ in range(150)}
+    from stratalex.functions import text as ft
+
+    t = spark.createDataFrame(types, "tok string, n int").withColumn("skel", ft.skeleton(F.col("tok")))
+    index = matching.skeleton_index(spark.createDataFrame([(w, 1) for w in sorted(words)], "word string, freq int"))
+    got = {(r["tok"], r["word"]) for r in matching.fuzzy_matches(t.select("tok", "skel"), index).collect()}
+    own, other = t.collect(), index.collect()
+    equal = {r["skel"] for r in other}
+    apart = t.select("tok", "skel").crossJoin(index.select(F.col("skel").alias("near"), "word")).where(F.levenshtein("skel", "near") <= 1).collect()
+    want = {(r["tok"], r["word"]) for r in apart if r["skel"] not in equal and len(r["skel"].split("-")) > 4}
+    assert got == want and len(own) > 100 and got
+
+
 def test_breeding_never_loses_its_best():
     target = np.zeros(14)
     target[2:6] = [0.2, 0.4, 0.3, 0.1]
