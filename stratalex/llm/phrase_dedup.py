@@ -1,7 +1,7 @@
 """Substring dedup by repeated-phrase automata.
 
 1. Whole rows travel once, in blocks of a few MB. Each block gives the distinct
-   anchors of its windows (the five-word gram of least hash in each window of 13
+   anchors of its windows (the seven-word gram of least hash in each window of 13
    words), with the smallest and largest document that holds them. Equal windows
    have equal anchors, so a window that recurs has an anchor that recurs.
 2. Blocks meet the anchors that recur in two documents and give the windows
@@ -28,11 +28,13 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalex.llm.common import Tables, blob_to_table, checkpointed, chunks, materialize, pack_blocks, splitmix, word_hashes, word_places
+from stratalex.llm.common import LANES, Tables, blob_to_table, checkpointed, chunks, materialize, pack_blocks, splitmix, word_hashes, word_places
 
-WINDOW, GRAM = 13, 5
-#: Phrases compiled into one automaton at a time: their words must be fewer than the characters there are.
-SHARD_PHRASES = 60_000
+WINDOW, GRAM = 13, 7
+#: Phrases compiled into one automaton at a time.
+SHARD_PHRASES = 20_000
+#: A word is so many characters of so many values each, other ones for each place, as a state looks through its next characters one by one.
+PLACES, VALUES = 3, 64
 
 
 class Words:
@@ -42,9 +44,9 @@ class Words:
         self.data = b"\n".join(texts)
         self.start, self.end = word_places(self.data)
         self.offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        self.doc = np.searchsorted(self.offsets, self.start, "right") - 1
         #: First word of each text, and one past the last.
-        self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
+        self.first = np.searchsorted(self.start, self.offsets)
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
         self.hash = word_hashes(self.data, self.start, self.end)
 
     def grams(self, size: int) -> np.ndarray:
@@ -83,7 +85,7 @@ def _read(blob: bytes, ident: str, text: str) -> tuple[pa.Table, Words, np.ndarr
     ids = table.column(ident).combine_chunks()
     known = np.asarray(ids.is_valid())
     ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
-    texts = [(t or b"") if isinstance(t, bytes | None) else t.encode() for t in table.column(text).to_pylist()]
+    texts = [t or b"" for t in table.column(text).cast(pa.binary()).to_pylist()]
     return table, Words(texts), ids, known
 
 
@@ -126,11 +128,12 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", b
                 h, lo, hi = _spans(words.grams(GRAM)[at], ids[words.doc[at]])
                 yield from _rows(["block", "gram", "lo", "span"], np.full(len(h), block), h, lo, hi - lo).to_batches()
 
+    # one row a gram, dealt evenly by its hash: small enough to build on without sorting the rows
     # ``lo`` is the block's smallest document with the key and ``span`` the way to its largest, mostly 0, which packs small
     rows = tables.put(blocks.mapInArrow(anchors, "block long, gram long, lo long, span long"), "phrase-anchors")
     spans = rows.groupBy("gram").agg(F.min("lo").alias("first"), F.max(F.col("lo") + F.col("span")).alias("last")).where("first < last")
     recurring = Tables(spark)
-    grams = recurring.put(rows.select("block", "gram").join(spans, "gram", "left_semi"), "phrase-recurring")
+    grams = recurring.put(rows.select("block", "gram").join(spans.hint("shuffle_hash"), "gram", "left_semi"), "phrase-recurring")
     tables.drop()
 
     def windows(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -149,21 +152,19 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", b
     found = blocks.groupBy("block").cogroup(grams.groupBy("block"))
     found = tables.put(found.applyInArrow(windows, "block long, window long, lo long, span long"), "phrase-windows")
     recurring.drop()
-    last = F.max(F.col("lo") + F.col("span"))
-    spans = found.groupBy("window").agg(F.min(F.struct("lo", "block")).alias("own"), last.alias("last")).where("own.lo < last")
-    spans = spans.select("window", F.col("own.lo").alias("first"), F.col("own.block").alias("owner"))
+    spans = found.groupBy("window").agg(F.min("lo").alias("first"), F.max(F.col("lo") + F.col("span")).alias("last")).where("first < last").drop("last")
     confirmed = Tables(spark)
-    later = found.join(spans, "window").where("lo + span > first").select("block", "window", "first", "owner")
-    later = confirmed.put(later, "phrase-confirmed")
+    both = found.join(spans.hint("shuffle_hash"), "window").select("block", "window", "first", (F.col("lo") == F.col("first")).alias("owns"), (F.col("lo") + F.col("span") > F.col("first")).alias("later"))
+    both = confirmed.put(both, "phrase-confirmed")
     tables.drop()
 
     def ask(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["block", "window", "first", "owner"]
+        names = ["block", "window", "first"]
         if not right.num_rows:
-            return _rows(names, *(np.zeros(0, np.int64),) * 4)
+            return _rows(names, *(np.zeros(0, np.int64),) * 3)
         _, words, ids, known = _read(left.column("blob")[0].as_py(), ident, text)
         order = np.argsort(right.column("window").to_numpy().view(np.uint64))
-        own, first, owner = (right.column(c).to_numpy()[order] for c in ("window", "first", "owner"))
+        own, first = (right.column(c).to_numpy()[order] for c in ("window", "first"))
         places, near = _hits(words, ids, known, own.view(np.uint64))
         mine = first[near] < ids[words.doc[places]]
         places, near = places[mine], near[mine]
@@ -172,10 +173,13 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", b
         run = np.maximum.accumulate(np.where(lone, np.arange(len(places)), 0))
         take = ((np.arange(len(places)) - run) % WINDOW == 0) | np.append(lone[1:], True)[: len(places)]
         near = np.unique(near[take])
-        return _rows(names, np.full(len(near), key[0].as_py()), own[near], first[near], owner[near])
+        return _rows(names, np.full(len(near), key[0].as_py()), own[near], first[near])
 
-    asked = blocks.groupBy("block").cogroup(later.groupBy("block")).applyInArrow(ask, "block long, window long, first long, owner long")
-    asked = tables.put(asked, "phrase-asked")
+    later = both.where("later").select("block", "window", "first")
+    asked = tables.put(blocks.groupBy("block").cogroup(later.groupBy("block")).applyInArrow(ask, "block long, window long, first long"), "phrase-asked")
+    # the block that holds the first document; of several (equal ids) any one
+    owned = both.where("owns").select("window", "block").join(asked.select("window", "first").distinct(), "window")
+    wanted = tables.put(owned.groupBy("window").agg(F.min("block").alias("block"), F.min("first").alias("first")), "phrase-wanted")
     confirmed.drop()
 
     def tell(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -191,9 +195,8 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", b
             said = [b" ".join(words.data[a:b] for a, b in zip(words.start[p : p + WINDOW].tolist(), words.end[p : p + WINDOW].tolist())) for p in places.tolist()]
         return pa.table({"window": pa.array(which, pa.int64()), "words": pa.array(said, pa.binary())})
 
-    wanted = asked.groupBy("owner", "window").agg(F.min("first").alias("first")).withColumnRenamed("owner", "block")
     told = blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(tell, "window long, words binary")
-    phrases, _ = materialize(asked.select("block", "window", "first").join(told, "window").select("block", "first", "words"), "phrase-words")
+    phrases, _ = materialize(asked.join(told, "window").select("block", "first", "words"), "phrase-words")
     tables.drop()
 
     flat = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in plain.schema)
@@ -240,45 +243,74 @@ def _without(words: Words, d: int, a: int, gone: np.ndarray) -> bytes:
     return b"".join(out)
 
 
+def same_words(words: Words, at: np.ndarray, data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether the words ``at`` are, byte for byte, the words data[start:end]: eight bytes at a time."""
+    n = end - start
+    same = words.end[at] - words.start[at] == n
+    mine, other = (np.ndarray((len(x) + 1,), "<u8", x + bytes(8), strides=(1,)) for x in (words.data, data))
+    mask = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+    live = np.flatnonzero(same)
+    for k in range(LANES):
+        if not len(live):
+            return same
+        part = mask[np.minimum(n[live] - 8 * k, 8)]
+        ok = (mine[words.start[at[live]] + 8 * k] ^ other[start[live] + 8 * k]) & part == 0
+        same[live[~ok]] = False
+        live = live[ok & (n[live] > 8 * (k + 1))]
+    for i in live.tolist():
+        same[i] = words.data[words.start[at[i]] : words.end[at[i]]] == data[start[i] : end[i]]
+    return same
+
+
 def occurrences(words: Words, ids: np.ndarray, known: np.ndarray, phrases: list[bytes], first: list[int]) -> np.ndarray:
     """Flags of the words that an occurrence of a phrase (words joined by a space) covers, in a document larger than its first.
 
-    Each word of the phrases is one character of the automata, and all other
-    words are one more, so automata of words run at the speed of characters.
+    Each word of the phrases is a number, and all other words are none, so
+    automata of words run at the speed of characters. A word gets a number only
+    if its bytes are those of the phrase's word.
     """
     least: dict[bytes, int] = {}
     for phrase, f in zip(phrases, first):
         least[phrase] = min(f, least.get(phrase, f))
     items = sorted(least.items())
     gone = np.zeros(len(words.hash) + 1, np.int64)
-    bounds = words.first.tolist()
+    # a word that no phrase has between two texts
+    places = np.arange(len(words.hash)) + words.doc
+    base = np.arange(1, PLACES * VALUES + 1, VALUES, dtype=np.uint32)
     for s in range(0, len(items), SHARD_PHRASES):
         shard = [(phrase.split(b" "), f) for phrase, f in items[s : s + SHARD_PHRASES]]
-        code: dict[bytes, str] = {}
-        for phrase, _ in shard:
-            for w in phrase:
-                if w not in code:
-                    c = len(code) + 2
-                    code[w] = chr(c if c < 0xD800 else c + 0x800)
+        number = {w: i for i, w in enumerate(dict.fromkeys(w for phrase, _ in shard for w in phrase))}
+        if len(number) > VALUES**PLACES:
+            raise ValueError("a shard of phrases has more words than there are numbers")
+        digits = np.arange(len(number), dtype=np.uint32)[:, None] // VALUES ** np.arange(PLACES, dtype=np.uint32) % VALUES + base
+        signs = digits.astype("<u4").tobytes().decode("utf-32-le")
+        name = [signs[i : i + PLACES] for i in range(0, len(signs), PLACES)]
         machine = ahocorasick.Automaton()
         for phrase, f in shard:
-            machine.add_word("".join(map(code.__getitem__, phrase)), (f, len(phrase)))
+            machine.add_word("".join(name[number[w]] for w in phrase), (f, len(phrase)))
         machine.make_automaton()
-        # only words whose hash a phrase has are looked up
-        joined = b" ".join(code)
-        hashes = np.unique(word_hashes(joined, *word_places(joined)))
-        near = np.minimum(np.searchsorted(hashes, words.hash), len(hashes) - 1)
-        stream = ["\x01"] * len(words.hash)
-        for i in np.flatnonzero(hashes[near] == words.hash).tolist():
-            stream[i] = code.get(words.data[words.start[i] : words.end[i]], "\x01")
-        for d in range(len(bounds) - 1):
-            if not known[d]:
-                continue
-            own = int(ids[d])
-            for end, (f, n) in machine.iter("".join(stream[bounds[d] : bounds[d + 1]])):
-                if f < own:
-                    gone[bounds[d] + end + 1 - n] += 1
-                    gone[bounds[d] + end + 1] -= 1
+        joined = b" ".join(number)
+        start, end = word_places(joined)
+        hashes = word_hashes(joined, start, end)
+        order = np.argsort(hashes, kind="stable")
+        near = order[np.minimum(np.searchsorted(hashes[order], words.hash), len(order) - 1)]
+        at = np.flatnonzero(hashes[near] == words.hash)
+        at = at[same_words(words, at, joined, start[near[at]], end[near[at]])]
+        stream = np.zeros((len(words.hash) + len(ids), PLACES), "<u4")
+        stream[places[at]] = digits[near[at]]
+        if len(hashes) > 1 and (hashes[order][1:] == hashes[order][:-1]).any():
+            # two words of one hash: each is looked up by itself
+            for i in np.flatnonzero(np.isin(words.hash, hashes)).tolist():
+                k = number.get(words.data[words.start[i] : words.end[i]])
+                stream[places[i]] = 0 if k is None else digits[k]
+        found = [(end // PLACES, f, n) for end, (f, n) in machine.iter(stream.tobytes().decode("utf-32-le"))]
+        if found:
+            last, f, n = np.array(found, np.int64).T
+            last = np.searchsorted(places, last)
+            doc = words.doc[last]
+            ok = known[doc] & (f < ids[doc])
+            np.add.at(gone, last[ok] + 1 - n[ok], 1)
+            np.add.at(gone, last[ok] + 1, -1)
     return np.cumsum(gone[:-1]) > 0
 
 
