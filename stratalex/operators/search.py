@@ -213,3 +213,28 @@ def breed_seeds(spark: SparkSession, lengths: dict[int, int], seeds: int = 4) ->
                     yield pd.DataFrame({"seed": s, "misfit": round(cost, 6), "part": name, "length": np.arange(len(part)) + first, "share": np.round(part / part.sum(), 6)})
 
     return spark.range(seeds).repartition(seeds, "id").mapInPandas(run, "seed long, misfit double, part string, length long, share double")
+
+
+def greedy_sets(first):
+    """(mask, seed) of ``first`` (mask int of 26 bits, first): in the order of ``first``, a set joins the earliest seed it shares over half with, else it is a seed.
+
+    One row a distinct letter set, which 26 letters bound; the scan is in numpy.
+    """
+    import pandas as pd
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        masks = frame.sort_values(["first", "mask"])["mask"].to_numpy(np.int64)
+        seeds, owner = np.zeros(0, np.int64), []
+        for mask in masks.tolist():
+            both = np.bitwise_count(seeds & mask).astype(np.int64)
+            hit = np.flatnonzero(2 * both > np.bitwise_count(seeds | mask))
+            if len(hit):
+                owner.append(int(seeds[hit[0]]))
+            else:
+                seeds = np.append(seeds, mask)
+                owner.append(mask)
+        return pd.DataFrame({"mask": masks.astype(np.int32), "seed": np.array(owner, np.int32)})
+
+    from pyspark.sql import functions as F
+
+    return first.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, "mask int, seed int")
