@@ -100,3 +100,56 @@ def stage_cache(spark: SparkSession, path: str, make) -> DataFrame:
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def read_folio_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, folio, line, text) of line-by-line transliterations ``<f1r.P1.1;H> words.by.dots``: other tags out, dots as spaces.
+
+    Lines that name no folio, and comments, are left out. A missing path is an
+    error.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "raw"))
+    raw = F.trim("raw")
+    rows = files.where((raw != "") & ~raw.startswith("#")).withColumn("folio", F.regexp_extract(raw, r"^<(f\d+[rv]\d?)[.,]", 1))
+    text = F.trim(F.replace(F.regexp_replace(raw, r"<[^>]+>", ""), F.lit("."), F.lit(" ")))
+    return rows.where("folio <> ''").select("file", "folio", "line", text.alias("text"))
+
+
+def _pick(words: Column, *parts) -> Column:
+    """One of ``words`` by the md5 of ``parts``, the same on every engine."""
+    key = F.md5(F.concat_ws("|", *(p.cast("string") for p in parts)))
+    return F.get(words, (F.conv(F.substring(key, 1, 15), 16, 10).cast("long") % F.size(words)).cast("int"))
+
+
+def templated_corpus(spark: SparkSession, templates: list[str], vocabulary: dict[str, list[str]], tokens: int, seed: str = "t") -> DataFrame:
+    """(id, text): sentences of templates with slots ``{list}``, until ``tokens`` words are there.
+
+    Each sentence is made from its number alone. Those that are needed are found
+    from the sums of ranges of 4096 sentences, not by one running sum.
+    """
+    least = min(len(t.split()) for t in templates)
+    rows = spark.range(-(-tokens // least)).select("id", _pick(F.array(*map(F.lit, templates)), F.lit(seed), F.col("id")).alias("t"))
+    lists = F.create_map(*(x for k, v in sorted(vocabulary.items()) for x in (F.lit("{" + k + "}"), F.array(*map(F.lit, v)))))
+    word = lambda w, i: F.when(F.element_at(lists, w).isNull(), w).otherwise(_pick(F.element_at(lists, w), F.lit(seed), F.col("id"), i))
+    rows = rows.select("id", F.transform(F.split("t", " "), word).alias("w")).withColumn("n", F.size("w")).withColumn("part", F.floor(F.col("id") / 4096))
+    sums = rows.groupBy("part").agg(F.sum("n").alias("s"))
+    sums = sums.select("part", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("before") + F.coalesce(F.sum("n").over(own), F.lit(0))
+    return rows.join(sums, "part").withColumn("at", at).where(F.col("at") < tokens).select("id", F.array_join("w", " ").alias("text"))
+
+
+def weighted_words(spark: SparkSession, often: list[str], seldom: list[str], n: int, share: int = 6, seed: str = "w") -> DataFrame:
+    """(pos, tok): ``n`` words, ``share`` tenths of them from the frequent list; each is made from its place alone."""
+    tenth = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("d"), F.col("id").cast("string"))), 1, 15), 16, 10).cast("long") % 10
+    pick = lambda words: _pick(F.array(*map(F.lit, words)), F.lit(seed), F.col("id"))
+    return spark.range(n).select(F.col("id").alias("pos"), F.when(tenth < share, pick(often)).otherwise(pick(seldom)).alias("tok"))
+
+
+def combined_report(results: dict[str, DataFrame]) -> DataFrame:
+    """(name, row): the rows of several results as JSON, in one table that ``write_result`` can write."""
+    out = None
+    for name, df in sorted(results.items()):
+        part = df.select(F.lit(name).alias("name"), F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("row"))
+        out = part if out is None else out.unionByName(part)
+    return out
