@@ -206,11 +206,21 @@ def automaton_states(spark, sf):
 
 @query()
 def budgeted_decode(spark, sf):
+    """Documents under a budget: short words stand for themselves, affixes are stripped, words of the document's field are boosted."""
+    from stratalex.plans.analyses import lexicon
+
     ship_package(spark)
     d = dictionary(spark, sf)
     total = d.agg(F.sum("freq")).first()[0] or 1
-    words = [(r["skel"], r["word"], r["freq"] / total) for r in decode.bounded(d.withColumn("skel", ft.skeleton(F.col("word"))).orderBy("word"), DICTIONARY_WORDS, "the dictionary")]
-    return decode.decode_documents(token_docs(spark, sf), words).groupBy("doc_id", "status").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("word").alias("words"))
+    words = [(r["skel"], r["word"], r["freq"] / total) for r in decode.bounded(d.withColumn("skel", ft.skeleton(F.col("word"))).where("skel <> ''").orderBy("word"), DICTIONARY_WORDS, "the dictionary")]
+    known = {w for _, w, _ in words}
+    same = lambda affixes: {x: [x] for x in affixes}
+    decoder = decode.BudgetedDecoder(words, {w: w for w in known if len(w) == 1}, (same(ft.PARSE_PREFIXES), same(ft.PARSE_SUFFIXES)))
+    topics = [set() for _ in range(12)]
+    for r in decode.bounded(lexicon(spark, sf), DICTIONARY_WORDS, "the lexicon"):
+        topics[r["field"]].add(r["word"])
+    rows = decode.decode_documents(token_docs(spark, sf), decoder, [frozenset(t) for t in topics])
+    return rows.groupBy("doc_id", "status").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("word").alias("words"))
 
 
 @query()

@@ -135,6 +135,21 @@ def test_budget_lowers_a_word_used_too_often():
     assert [r[1] for r in rows] == ["high", "open", "open", "open"]
 
 
+def test_budgeted_rules_by_hand():
+    words = [("K-L", "kal", 0.1), ("T", "et", 0.01), ("K-R-T-L-M", "kartelam", 0.001)]
+    d = decode.BudgetedDecoder(words, {"y": "et"}, ({"k": ["k"]}, {"dy": ["al"]}))
+    # one use is under 3 x max(0.5, 0.01 n); a second is too dense
+    assert [r[1] for r in d.decode(["y", "y", "y"])] == ["function", "function", "dense"]
+    # the prefix is stripped, so its sign is no segment; the suffix stands for another one
+    assert d._strip("kkoldy") == ("k", "kol", "dy") and d._like("kal", "k", "dy") == 20
+    assert d.decode(["kkoldy"])[0][:2] == ("kal", "high")
+    assert d.decode(["kkol"])[0][1] == "medium" and d.decode(["kkol"])[0][3] == ["kal"]
+    assert d.decode(["kol"], frozenset({"kal"}))[0][1] == "open"  # nothing but a vowel and a sign is left of the stem
+    assert decode.BudgetedDecoder(words).decode(["kol"], frozenset({"kal"}))[0][2] > 50
+    # five segments: one of them may differ
+    assert d._words("K-R-T-L-N") == [("kartelam", 0.001)] and d._words("K-T") == []
+
+
 def test_beam_prefers_known_trigrams():
     m = decode.TrigramModel([["a", "b", "c"], ["a", "b", "c"], ["a", "x", "y"]])
     words = {"1": ["a"], "2": ["b", "x"], "3": ["c", "y"]}
