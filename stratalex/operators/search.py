@@ -238,3 +238,60 @@ def greedy_sets(first):
     from pyspark.sql import functions as F
 
     return first.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, "mask int, seed int")
+
+
+def rank_pairs(words: list[str], others: list[str], window: int, keep: int) -> list[tuple[str, int, str, int, str]]:
+    """(word, place, other, gap, confidence) for each of ``words`` in order of rank: others within ``window`` ranks, those that were no word's first choice first."""
+    used: set[str] = set()
+    out = []
+    for r, word in enumerate(words):
+        near = [(others[k] in used, abs(r - k), k) for k in range(max(0, r - window), min(len(others), r + window + 1))]
+        best = sorted(near)[:keep]
+        if not best:
+            continue
+        used.add(others[best[0][2]])
+        sure = "HIGH" if best[0][1] == 0 else "MODERATE" if best[0][1] <= 2 else "LOW"
+        out += [(word, place, others[k], gap, sure) for place, (_, gap, k) in enumerate(best, 1)]
+    return out
+
+
+def carry(bits: list[int], after: dict[str, list[str]], start: list[str], limit: int) -> list[str]:
+    """A text whose choices between two next words spell ``bits``; where a word has no next one, the text goes on with a word of ``start`` in turn."""
+    out, at, turn = [start[0]], 0, 1
+    while at < len(bits) and len(out) < limit:
+        nexts = after.get(out[-1], [])
+        if len(nexts) > 1:
+            out.append(nexts[bits[at]])
+            at += 1
+        elif nexts:
+            out.append(nexts[0])
+        else:
+            out.append(start[turn % len(start)])
+            turn += 1
+    return out
+
+
+def carried_bits(words: list[str], after: dict[str, list[str]]) -> list[int]:
+    """The choices of a text."""
+    return [after[a].index(b) for a, b in zip(words, words[1:]) if len(after.get(a, [])) > 1]
+
+
+def carried(docs, after: dict[str, list[str]]):
+    """(doc_id, bits, words, same) of ``docs`` (doc_id, message): messages written as texts and read back."""
+    import pyarrow as pa
+
+    start = sorted(w for w, n in after.items() if len(n) > 1)
+    held = docs.sparkSession.sparkContext.broadcast((after, start))
+
+    def run(batches):
+        own, first = held.value
+        for batch in batches:
+            rows = []
+            for ident, message in zip(batch.column("doc_id").to_pylist(), batch.column("message").to_pylist()):
+                bits = [int(b) for c in message for b in f"{ord(c):08b}"] if first else []
+                words = carry(bits, own, first[(ident or 0) % len(first) :] + first, 100_000) if first else []
+                rows.append((ident, len(bits), len(words), carried_bits(words, own)[: len(bits)] == bits))
+            cols = zip(*rows) if rows else ((),) * 4
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["doc_id", "bits", "words", "same"])
+
+    return docs.select("doc_id", "message").mapInArrow(run, "doc_id long, bits long, words long, same boolean")

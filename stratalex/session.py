@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -99,13 +100,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     done = df.checkpoint(eager=True)
-    # nothing needs the shuffle files behind it any more; they go when the driver's garbage does
     del df
-    gc.collect()
-    spark._jvm.System.gc()
+    collect_garbage(spark)
     return done
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Shuffle files that nothing can need any more go when the driver's garbage does; a second round takes what the first one released."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
+
+
 class Tables:
     """Intermediate tables of one operator: ``put`` writes one, ``drop`` deletes them all when a result is written."""
 
