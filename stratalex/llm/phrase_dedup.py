@@ -32,7 +32,7 @@ from stratalex.llm.common import LANES, Tables, blob_to_table, checkpointed, chu
 
 WINDOW, GRAM = 13, 7
 #: Phrases compiled into one automaton at a time.
-SHARD_PHRASES = 20_000
+SHARD_PHRASES = 10_000
 #: A word is so many characters of so many values each, other ones for each place, as a state looks through its next characters one by one.
 PLACES, VALUES = 3, 64
 
@@ -59,12 +59,16 @@ class Words:
             out = out * np.uint64(0xFF51AFD7ED558CCD) + self.hash[k : k + n]
         return splitmix(out)
 
+    def whole(self) -> np.ndarray:
+        """Places of the windows that lie within one text."""
+        n = len(self.hash) - WINDOW + 1
+        return np.flatnonzero(self.doc[:n] == self.doc[WINDOW - 1 :]) if n > 0 else np.zeros(0, np.int64)
+
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Places of the windows that lie within one text, and the place of each one's anchor."""
-        n = len(self.hash) - WINDOW + 1
-        if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        whole = np.flatnonzero(self.doc[:n] == self.doc[WINDOW - 1 :])
+        n, whole = len(self.hash) - WINDOW + 1, self.whole()
+        if not len(whole):
+            return whole, whole
         grams = self.grams(GRAM)
         anchor = sliding_window_view(grams, WINDOW - GRAM + 1)[:n].argmin(axis=1)
         return whole, whole + anchor[whole]
@@ -95,7 +99,7 @@ def _rows(names: list[str], *cols: np.ndarray) -> pa.Table:
 
 def _hits(words: Words, ids: np.ndarray, known: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the windows of known documents that are among the sorted ``windows``, and the index of each there."""
-    places, _ = words.windows()
+    places = words.whole()
     places = places[known[words.doc[places]]]
     hashes = words.grams(WINDOW)[places]
     near = np.minimum(np.searchsorted(windows, hashes), len(windows) - 1)
