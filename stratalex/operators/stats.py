@@ -44,16 +44,19 @@ def char_grams(docs: DataFrame, *keys: str) -> DataFrame:
 
 
 def char_entropies(grams: DataFrame, *keys: str) -> DataFrame:
-    """(keys, h1, h2, h3): entropy of a letter, and given one and two letters before it."""
+    """(keys, h1, h2, h3): entropy of a letter, and given one and two letters before it.
 
-    def joint(name: str, cols: list[str], need: str) -> DataFrame:
-        own = grams.where(F.col(need).isNotNull()).groupBy(*keys, *cols).agg(F.sum("n").alias("n"))
-        return own.groupBy(*keys).agg(bits("n").alias(name))
-
-    out = joint("a", ["ch"], "ch")
-    for part in (("b", ["p1", "ch"], "p1"), ("bc", ["p1"], "p1"), ("t", ["p2", "p1", "ch"], "p2"), ("tc", ["p2", "p1"], "p2")):
-        out = out.join(joint(*part), list(keys))
-    return out.select(*keys, F.col("a").alias("h1"), (F.col("b") - F.col("bc")).alias("h2"), (F.col("t") - F.col("tc")).alias("h3"))
+    All orders come from one pass over the counts: each gives its share to a
+    letter, its pair, its triple and their contexts.
+    """
+    kinds = {"a": ["ch"], "b": ["p1", "ch"], "bc": ["p1"], "t": ["p2", "p1", "ch"], "tc": ["p2", "p1"]}
+    # concat is null where a letter before is missing
+    parts = F.array(*(F.struct(F.lit(k).alias("kind"), F.concat(*([F.col("p1")] if k == "bc" else map(F.col, cols))).alias("g")) for k, cols in kinds.items()))
+    rows = grams.select(*keys, "n", F.inline(parts)).where("g is not null").groupBy(*keys, "kind", "g").agg(F.sum("n").alias("n"))
+    h = rows.groupBy(*keys, "kind").agg(bits("n").alias("h"))
+    at = lambda k: F.max(F.when(F.col("kind") == k, F.col("h")))
+    out = h.groupBy(*keys).agg(*(at(k).alias(k) for k in kinds))
+    return out.where("tc is not null").select(*keys, F.col("a").alias("h1"), (F.col("b") - F.col("bc")).alias("h2"), (F.col("t") - F.col("tc")).alias("h3"))
 
 
 def word_pairs(docs: DataFrame, *keys: str) -> DataFrame:

@@ -10,6 +10,7 @@ from stratalex.operators import matching as m
 from stratalex.operators import stats
 from stratalex.plans.registry import query
 from stratalex.plans.sqltext import DICT, TOKENS, pos_tag, skeleton
+from stratalex.session import materialize
 from stratalex.sources.tables import dictionary, reference_bigrams, reference_docs, table, token_docs, tokens
 
 r6 = lambda c: F.round(c, 6)
@@ -20,8 +21,8 @@ _BASE = f"WITH {TOKENS}, {DICT}, {_TYPES}, {_IDX}"
 
 
 def _types(spark, sf):
-    """(tok, c, skel): all matching works on distinct words."""
-    return stats.word_counts(token_docs(spark, sf)).withColumn("skel", ft.skeleton(F.col("tok")))
+    """(tok, c, skel): all matching works on distinct words; a written table, as most queries read it several times."""
+    return materialize(stats.word_counts(token_docs(spark, sf)).withColumn("skel", ft.skeleton(F.col("tok"))), "types")[0]
 
 
 def _index(spark, sf):

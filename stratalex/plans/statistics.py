@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratalex.operators import rolling, stats
 from stratalex.plans.registry import query
 from stratalex.plans.sqltext import CHARS, DICT, PAIRS, TOKENS
-from stratalex.session import ship_package
+from stratalex.session import Tables, materialize, ship_package
 from stratalex.sources.tables import explode_tokens, fixed, table, token_docs, tokens
 
 r6 = lambda c: F.round(c, 6)
@@ -410,16 +410,19 @@ def surprisal_anomalies(spark, sf):
 
 
 def surprisals(spark, sf):
-    """(doc_id, s, n): surprisal of the pairs of each document, equal pairs once with their number."""
+    """(doc_id, s, n): surprisal of the pairs of each document, equal pairs once with their number; a written table, as it is read twice."""
+    tables = Tables(spark)
     docs = token_docs(spark, sf)
     u = stats.word_counts(docs)
     total = u.agg(F.sum("c").alias("t"))
     u = u.join(F.broadcast(total)).select(F.col("tok").alias("w2"), (F.col("c") / F.col("t")).alias("pu"))
-    per_doc = stats.word_pairs(docs, "doc_id")
+    per_doc = tables.put(stats.word_pairs(docs, "doc_id"), "pairs")
     n = per_doc.groupBy("w1", "w2").agg(F.sum("n").alias("c"))
     first = n.groupBy("w1").agg(F.sum("c").alias("t1"))
     p = n.join(first, "w1").join(u, "w2").select("w1", "w2", (-F.log2(F.greatest(F.when(F.col("c") >= 2, F.col("c") / F.col("t1")).otherwise(F.col("pu")), F.lit(1e-6)))).alias("s"))
-    return per_doc.join(p, ["w1", "w2"]).select("doc_id", "s", "n")
+    out, _ = materialize(per_doc.join(p, ["w1", "w2"]).groupBy("doc_id", "s").agg(F.sum("n").alias("n")), "surprisals")
+    tables.drop()
+    return out
 
 
 @query(f"""WITH {TOKENS}, m AS (SELECT doc_id, quantile_cont(length(tok), 0.5) AS m FROM tokens GROUP BY 1), x AS (SELECT t.doc_id, t.pos, length(t.tok) > m.m AS up FROM tokens t JOIN m USING (doc_id)),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
 import tempfile
@@ -76,6 +77,11 @@ def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if not _MADE:
+        # after Spark's own, so before them at the end
+        atexit.unregister(_clean)
+        atexit.register(_clean)
+    _MADE[path] = spark
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -88,8 +94,21 @@ def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Tables that are still there; what is left of them goes when the driver ends.
+_MADE: dict[str, SparkSession] = {}
+
+
+def _clean() -> None:
+    for path, spark in list(_MADE.items()):
+        try:
+            drop_path(spark, path)
+        except Exception:  # the session may be gone; nothing else can be done at the end of the process
+            return
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table that ``materialize`` wrote."""
+    _MADE.pop(path, None)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -99,7 +118,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    done = df.checkpoint(eager=True)
+    # an adaptive plan does not tell its partitioning before it has run, so the checkpoint would forget it
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        done = df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     del df
     collect_garbage(spark)
     return done

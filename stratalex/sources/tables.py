@@ -16,9 +16,21 @@ def token_array(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+"), lambda x: x != "")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt out by ``key`` where they come in fewer partitions than there are cores; otherwise as they are.
+
+    A file of one row group is one task whatever its size. Texts are small to
+    move beside what is done with their words, so few files are dealt out first;
+    tables of many files are never moved.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    few = rows._jdf.queryExecution().toRdd().getNumPartitions() < cores
+    return rows.repartition(2 * cores, key) if few else rows
+
+
 def token_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, toks): one row a document, so neighbours need no shuffle."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
     return d.select("doc_id", "lang", "source", token_array(F.col("text")).alias("toks"))
 
 

@@ -256,3 +256,37 @@ def test_chain_texts_follow_the_counts(spark):
 def test_draws_are_even(spark):
     n = spark.range(4000).select(draw(4, F.lit("x"), F.col("id")).alias("k")).groupBy("k").count().collect()
     assert sorted(r["k"] for r in n) == [0, 1, 2, 3] and all(850 < r["count"] < 1150 for r in n)
+
+
+def test_rank_pairs_take_unused_words_first():
+    rows = search.rank_pairs(["a", "b", "c"], ["x", "y", "z"], window=1, keep=2)
+    assert [(w, o) for w, place, o, _, _ in rows if place == 1] == [("a", "x"), ("b", "y"), ("c", "z")]
+    assert rows[0] == ("a", 1, "x", 0, "HIGH") and rows[1] == ("a", 2, "y", 1, "HIGH")
+    late = search.rank_pairs(["a", "b"], ["x"], window=5, keep=5)
+    assert late == [("a", 1, "x", 0, "HIGH"), ("b", 1, "x", 1, "MODERATE")]
+
+
+def test_carried_bits_come_back():
+    after = {"a": ["b", "c"], "b": ["a"], "c": ["a", "d"]}
+    rng = random.Random(3)
+    for _ in range(20):
+        bits = [rng.randint(0, 1) for _ in range(40)]
+        words = search.carry(bits, after, ["a", "c"], 10_000)
+        assert search.carried_bits(words, after)[: len(bits)] == bits
+
+
+def test_greedy_sets_match_the_plain_loop(spark):
+    rng = random.Random(5)
+    labels = sorted({"".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 6))) for _ in range(80)})
+    mask = lambda w: sum(1 << k for k in {ord(c) - 97 for c in w})
+    first = {}
+    for w in labels:
+        first.setdefault(mask(w), w)
+    got = {r["mask"]: r["seed"] for r in search.greedy_sets(spark.createDataFrame([(k, v) for k, v in first.items()], "mask int, first string")).collect()}
+    seeds, want = [], {}
+    for m, _ in sorted(first.items(), key=lambda x: x[1]):
+        hit = [s for s in seeds if 2 * (s & m).bit_count() > (s | m).bit_count()]
+        want[m] = hit[0] if hit else m
+        if not hit:
+            seeds.append(m)
+    assert got == want

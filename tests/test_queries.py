@@ -40,7 +40,7 @@ def test_same_rows(spark, con, name):
         assert x == y or all(p == q or (isinstance(p, float) and abs(p - q) < 2e-5) for p, q in zip(x, y)), (x, y)
 
 
-@pytest.mark.parametrize("name", ["assignment_letters", "markov_structure", "topic_factors", "word_clusters", "automaton_states", "beam_decode", "budgeted_decode", "markov_text", "grammar_search"])
+@pytest.mark.parametrize("name", ["assignment_letters", "markov_structure", "topic_factors", "word_clusters", "automaton_states", "beam_decode", "budgeted_decode", "markov_text", "grammar_search", "shuffle_null_pvalue", "label_clusters", "mask_solver_passes", "rank_pairs_unused_first", "choice_carrier", "refine_loop"])
 def test_the_others_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 

@@ -28,6 +28,38 @@ def test_synthetic_is_the_same_each_time(spark):
     assert a == [r["text"] for r in rd.synthetic_sentences(spark, ["u", "v", "w"], 5).repartition(3).orderBy("id").collect()]
 
 
+def test_a_templated_corpus_ends_at_its_size(spark):
+    rows = rd.templated_corpus(spark, ["x {a} y", "{a} {b}"], {"a": ["p", "q"], "b": ["r"]}, 10_000).collect()
+    n = sum(len(r["text"].split()) for r in rows)
+    assert 10_000 <= n < 10_003 and sorted(r["id"] for r in rows) == list(range(len(rows)))
+    assert {w for r in rows for w in r["text"].split()} == {"x", "y", "p", "q", "r"}
+
+
+def test_missing_paths_are_errors(spark, tmp_path):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    for read in (rd.read_folio_lines, rd.read_transliteration):
+        with pytest.raises(AnalysisException):
+            read(spark, str(tmp_path / "nothing")).count()
+
+
+def test_tables_of_stages_go(spark):
+    import os
+
+    from stratalex.session import Tables, checkpointed
+
+    tables = Tables(spark)
+    assert tables.put(spark.range(3), "x").count() == 3
+    path = tables.paths[0].removeprefix("file:")
+    assert os.path.isdir(path)
+    tables.drop()
+    assert not os.path.exists(path)
+    kept = checkpointed(spark.range(100).repartition(5, "id"))
+    plan = kept.groupBy("id").count()._jdf.queryExecution().toString()
+    assert kept.count() == 100 and "Exchange hashpartitioning(id" not in plan
+
+
 def test_results_and_stage_cache(spark, tmp_path):
     made = []
 
