@@ -15,7 +15,7 @@ LATIN_CLASSES = {
     "s": "S", "z": "S", "x": "S",
     "l": "L", "r": "R", "m": "M", "n": "N",
 }
-# Consonant classes of the cipher side; two signs go before one.
+# Consonant classes of the cipher side; two signs go before one (three never come to be asked).
 CIPHER_CLASSES = {
     "k": "K", "t": "T", "p": "P", "f": "P",
     "ch": "K", "c": "K", "sh": "S", "s": "S",
@@ -53,6 +53,7 @@ DETERMINERS = [
     "idem", "eadem", "omnis", "omne", "omnia", "totus", "tota", "totum", "nullus", "nulla", "nullum", "alius", "alia",
     "aliud", "quidam", "quaedam", "quoddam", "aliquis", "aliqua", "aliquod",
 ]
+# Endings of two classes; those that end in another one of the list are left out, as they add nothing.
 VERB_ENDINGS = ["at", "et", "it", "ut", "nt", "atur", "etur", "itur", "are", "ere", "ire", "ari", "eri", "iri", "antur", "entur", "untur"]
 ADJECTIVE_ENDINGS = ["us", "a", "um", "is", "e", "em", "am", "ior", "ius"]
 # What a cipher suffix says of its word.
@@ -60,11 +61,11 @@ SUFFIX_TAGS = {
     "iin": "VERB_3P", "in": "NOUN_ACC", "dy": "NOUN_FEM", "ey": "NOUN_NOM", "y": "ADJ",
     "l": "NOUN", "r": "NOUN_AGT", "m": "NOUN_ACC", "s": "NOUN_PL",
 }
-# Two alphabets for writing words anew, longest source first.
-MERGED = {"cth": "U", "ckh": "V", "cph": "W", "cfh": "X", "iii": "Z", "sh": "S", "ch": "C", "ii": "J", "qo": "Q", "ee": "E"}
-FUNCTIONAL = {
-    "iiii": "I", "iii": "I", "ch": "B", "sh": "B", "ol": "L", "or": "L", "al": "L", "ar": "L", "ii": "I",
-    "k": "G", "t": "G", "p": "G", "f": "G",
+# Two alphabets for writing words anew; ``rewrite`` takes the longest sign group first, whatever the order here.
+SIGN_GROUPS = {"sh": "S", "ch": "C", "cth": "U", "ckh": "V", "cph": "W", "cfh": "X", "ii": "J", "iii": "Z", "qo": "Q", "ee": "E"}
+SIGN_ROLES = {
+    "k": "G", "t": "G", "p": "G", "f": "G", "ch": "B", "sh": "B", "ol": "L", "or": "L", "al": "L", "ar": "L",
+    "ii": "I", "iii": "I", "iiii": "I",
 }
 
 

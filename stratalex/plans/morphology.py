@@ -255,9 +255,9 @@ def _rewrite_sql(alphabet):
     return s
 
 
-@query(f"WITH {TOKENS}, {_T} SELECT tok, {_rewrite_sql(ft.MERGED)} AS merged, {_rewrite_sql(ft.FUNCTIONAL)} AS functional FROM types")
+@query(f"WITH {TOKENS}, {_T} SELECT tok, {_rewrite_sql(ft.SIGN_GROUPS)} AS merged, {_rewrite_sql(ft.SIGN_ROLES)} AS functional FROM types")
 def retranscribe(spark, sf):
-    return _types(spark, sf).select("tok", ft.rewrite(F.col("tok"), ft.MERGED).alias("merged"), ft.rewrite(F.col("tok"), ft.FUNCTIONAL).alias("functional"))
+    return _types(spark, sf).select("tok", ft.rewrite(F.col("tok"), ft.SIGN_GROUPS).alias("merged"), ft.rewrite(F.col("tok"), ft.SIGN_ROLES).alias("functional"))
 
 
 _TAGS = "CASE " + " ".join(f"WHEN tok LIKE '%{s}' AND length(tok) > {len(s)} THEN '{ft.SUFFIX_TAGS[s]}'" for s in sorted(ft.SUFFIX_TAGS, key=lambda x: -len(x))) + " ELSE 'UNK' END"
@@ -282,8 +282,9 @@ def scrambled_words(spark, sf):
     return _types(spark, sf).select("tok", F.array_join(F.transform(F.array_sort(keyed), lambda s: s["c"]), "").alias("scrambled"))
 
 
+# Modifiers and bodies of the grid; the last four bodies are added for the languages of the tables.
 _MODS = ["", "l", "qo", "y", "o"]
-_BODIES = ["eedy", "aiin", "aiir", "edy", "eey", "ain", "tion", "ing", "er", "ed"]
+_BODIES = ["edy", "eedy", "eey", "aiin", "ain", "aiir", "tion", "ing", "er", "ed"]
 
 
 @query(f"""WITH {TOKENS}, {_T}, b AS (SELECT tok, c, regexp_extract(tok, '^(.+?)({"|".join(_BODIES)})$', 1) AS onset, regexp_extract(tok, '^(.+?)({"|".join(_BODIES)})$', 2) AS body FROM types), o AS (SELECT c, body, CASE WHEN onset LIKE 'qo%' THEN 'qo' WHEN onset LIKE 'l%' THEN 'l' WHEN onset LIKE 'y%' THEN 'y' WHEN onset LIKE 'o%' THEN 'o' ELSE '' END AS modifier FROM b WHERE body <> ''),

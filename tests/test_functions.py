@@ -51,4 +51,4 @@ def test_synthesize(spark, stem, suffix, form):
 
 
 def test_rewrite_longest_first(spark):
-    assert values(spark, ["cthy", "qokeedy"], lambda w: ft.rewrite(w, ft.MERGED)) == ["Uy", "QkEdy"]
+    assert values(spark, ["cthy", "qokeedy"], lambda w: ft.rewrite(w, ft.SIGN_GROUPS)) == ["Uy", "QkEdy"]
