@@ -117,55 +117,86 @@ class Scanner:
             return []
         return [(cost, ops[0][3], ops[-1][4], missing, added)]
 
-    def find(self, text: str) -> list[tuple]:
-        """(from, to, license, reduction, missing, added, words that differ, verdict) of each confirmed notice; code points.
-
-        Wordings that lie over each other are one notice: that of the least
-        share of words that differ, the longer one of equals.
-        """
-        places = [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(text)]
+    def blocks(self, places: list[tuple]) -> list[tuple[int, int, dict[int, list[int]]]]:
+        """(from, to, places of cues by wording) of the stretches of a text that hold enough words of some wording; overlapping ones are one block."""
         seen: dict[int, list[int]] = {}
         for i, (w, _, _) in enumerate(places):
             for k in self.cues.get(w, ()):
                 seen.setdefault(k, []).append(i)
-        found = []
+        spans = []
         for k, hits in seen.items():
-            name, wording, room = self.wordings[k]
-            bag = Counter(wording)
-            reach = len(wording) + room
-            done = -1
+            _, wording, room = self.wordings[k]
+            bag, reach = Counter(wording), len(wording) + room
             for i in hits:
-                if i < done:
-                    continue
+                low, high = max(0, i - reach), min(len(places), i + reach + 1)
                 # windows that hold too few of the wording's words cannot be confirmed
-                low, high = max(0, done, i - reach), min(len(places), i + reach + 1)
-                mine = [p[0] for p in places[low:high]]
-                if sum(((bag & Counter(mine)).values())) < len(wording) - room:
-                    continue
-                # of several copies in the window, the first whose own stretch is confirmed
-                starts = [j for j in range(len(mine)) if mine[j] in bag]
-                best = None
-                for j in starts:
-                    for got in self.align(k, mine[j : j + reach]):
-                        if best is None or got[0] < best[0]:
-                            best = (got[0], got[1] + j, got[2] + j, *got[3:])
-                    if best and (best[0] == 0 or j >= best[2]):
-                        break
-                if best:
-                    found.append((best[0] / len(wording), -len(wording), low + best[1], low + best[2], name, best[3], best[4]))
-                    done = low + best[2]
-        found.sort(key=lambda f: (f[0], f[1], f[2], f[4]))
+                if sum((bag & Counter(p[0] for p in places[low:high])).values()) >= len(wording) - room:
+                    spans.append((low, high, k, i))
+        out: list[tuple[int, int, dict[int, list[int]]]] = []
+        for low, high, k, i in sorted(spans):
+            if out and low < out[-1][1]:
+                start, end, cues = out[-1]
+                out[-1] = (start, max(end, high), cues)
+            else:
+                out.append((low, high, {}))
+            out[-1][2].setdefault(k, []).append(i)
+        return out
+
+    def find(self, text: str) -> list[tuple]:
+        """(from, to, license, reduction, missing, added, words that differ, verdict) of each confirmed notice; code points.
+
+        Each candidate block is compressed with the wordings of every license
+        that it has words of; licenses are ranked by what they save, and confirmed
+        word by word in that order, down to the last. Wordings that lie
+        over each other are one notice: that of the least share of words that
+        differ, the longer one of equals, then that of the license that saves more.
+        """
+        places = [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(text)]
+        found = []
+        for low, high, cues in self.blocks(places):
+            block = " ".join(text[places[low][1] : places[high - 1][2]].split())
+            saved = {name: self.reduction(block, name) for name in {self.wordings[k][0] for k in cues}}
+            for rank, name in enumerate(sorted(saved, key=lambda name: (-saved[name], name))):
+                for k in sorted(k for k in cues if self.wordings[k][0] == name):
+                    found += [(cost, size, rank, a, b, name, missing, added) for cost, size, a, b, missing, added in self._confirmed(k, sorted(cues[k]), places)]
+        found.sort(key=lambda f: (f[0], f[1], f[2], f[3], f[5]))
         kept: list[tuple] = []
         for f in found:
-            if all(f[3] <= g[2] or g[3] <= f[2] for g in kept):
+            if all(f[4] <= g[3] or g[4] <= f[3] for g in kept):
                 kept.append(f)
         out = []
-        for _, _, a, b, name, missing, added in sorted(kept, key=lambda f: f[2]):
+        for _, _, _, a, b, name, missing, added in sorted(kept, key=lambda f: f[3]):
             start, end = places[a][1], TAIL.match(text, places[b - 1][2]).end()
             differ = " ".join([*("-" + w for w in missing), *("+" + w for w in added)])
             out.append((start, end, name, self.reduction(text[start:end], name), len(missing), len(added), differ, "variant" if differ else "exact"))
         return out
 
+    def _confirmed(self, k: int, hits: list[int], places: list[tuple]) -> list[tuple]:
+        """(share that differs, -length, from, to, missing, added) of the places of wording ``k`` around its cues."""
+        _, wording, room = self.wordings[k]
+        bag = set(wording)
+        reach = len(wording) + room
+        out, done = [], -1
+        for i in hits:
+            if i < done:
+                continue
+            low, high = max(0, done, i - reach), min(len(places), i + 2 * reach + 1)
+            mine = [p[0] for p in places[low:high]]
+            # stretches that begin before the cue; of those that lie over the best one, the least that differs
+            best = None
+            for j in (j for j in range(len(mine)) if mine[j] in bag):
+                if j >= best[2] if best else j > i - low:
+                    break
+                for got in self.align(k, mine[j : j + reach]):
+                    if best is None or got[0] < best[0]:
+                        best = (got[0], got[1] + j, got[2] + j, *got[3:])
+                if best and best[0] == 0:
+                    break
+            if best:
+                out.append((best[0] / len(wording), -len(wording), low + best[1], low + best[2], best[3], best[4]))
+                done = low + best[2]
+        return out
+
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(doc_id, line, start, length, license, reduction, n_missing, n_added, difference, verdict): confirmed notices.

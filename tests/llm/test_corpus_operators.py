@@ -200,6 +200,34 @@ def test_every_wording_is_found_wrapped_and_amid_text(spark):
     assert [r["license"] for r in sorted(two, key=lambda r: r["start"])] == ["MIT", "CC-BY-4.0", "MIT"]
 
 
+def test_exact_wordings_match_brute_force(spark):
+    """Every place where the words of a wording stand in a row, the longest wording of those that overlap."""
+    rng = random.Random(8)
+    wordings = [(name, license_scan.words(t), t) for name, all_ in license_scan.TEMPLATES.items() for t in all_]
+    fill = ["the", "license", "software", "copyright", "rights", "all", "permission", "lorem", "ipsum", "under", "terms", "of"]
+    ts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            parts.append(" ".join(rng.choice(fill) for _ in range(rng.randint(0, 25))))
+            w = rng.choice(wordings)
+            parts.append(w[2] if rng.random() < 0.7 else " ".join(w[1][: max(1, len(w[1]) // 3)]))
+        ts.append(rng.choice([" ", "\n"]).join(parts))
+    rows = license_scan.scan(frame(spark, ts + [None, "", "x" * 50_000 + " MIT"])).where("verdict = 'exact'").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["doc_id"], set()).add((r["license"], tuple(license_scan.words(ts[r["doc_id"]][r["start"] : r["start"] + r["length"]]))))
+    for i, t in enumerate(ts):
+        mine = license_scan.words(t)
+        places = [(len(w), a, name) for name, w, _ in wordings for a in range(len(mine) - len(w) + 1) if mine[a : a + len(w)] == w]
+        kept = []
+        for n, a, name in sorted(places, key=lambda p: (-p[0], p[1], p[2])):
+            if all(a + n <= b or b + m <= a for m, b, _ in kept):
+                kept.append((n, a, name))
+        assert {w for _, w in got.get(i, set())} == {tuple(mine[a : a + n]) for n, a, _ in kept}
+        assert {name for name, _ in got.get(i, set())} <= {name for _, _, name in places}
+
+
 # 3 --------------------------------------------------------------------------
 
 
