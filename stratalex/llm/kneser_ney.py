@@ -27,7 +27,7 @@ ORDER = 5
 #: The sign before the first one of a text.
 PAD = "\x02"
 #: Code points handled at a time; longer texts are cut, with the signs before a cut as context.
-PIECE = 4 << 20
+PIECE = 2 << 20
 #: Of a block's rows, in bytes.
 BLOCK_BYTES = 8 << 20
 #: One trusted document in so many is not counted, and draws the upper bounds.
@@ -58,7 +58,7 @@ def pieces(texts: list[str | None], limit: int = PIECE) -> Iterator[list[tuple[i
 
 def _ranks(key: np.ndarray, space: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the rank of each key; without a sort where a table of all keys is small."""
-    if space > 1 << 25:
+    if space > 1 << 24:
         return np.unique(key, return_inverse=True)
     rank = np.zeros(space, np.int32)
     rank[key] = 1
@@ -90,6 +90,7 @@ class Grams:
         alphabet = np.flatnonzero(seen)
         seen[alphabet] = np.arange(len(alphabet), dtype=np.int32)
         last = seen[signs]
+        del signs
         n = len(alphabet)
         self.points = {1: alphabet.astype(np.uint32)[:, None]}
         self.parent: dict[int, np.ndarray] = {}

@@ -107,7 +107,7 @@ def _hits(words: Words, ids: np.ndarray, known: np.ndarray, windows: np.ndarray)
     return places[hit], near[hit]
 
 
-def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20, into: str = "_dedup") -> DataFrame:
+def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", block_bytes: int = 2 << 20, into: str = "_dedup") -> DataFrame:
     """All rows and columns of ``docs``, with ``kept_text``, ``n_words`` and ``n_removed`` in the struct ``into``.
 
     A window is 13 words in a row of one document; a word goes if a window that
