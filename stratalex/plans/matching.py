@@ -342,12 +342,21 @@ def char_ngram_pass(spark, sf):
 
     The context is that before the pass, so all tokens are decided at once.
     """
+    open_ = m.nearest_resolved(_resolved(spark, sf)).where("word is null")
+    return char_found(open_, char_leads(spark, sf)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("solved"), F.count_distinct("found").alias("words"))
+
+
+def char_leads(spark, sf):
+    """(tok, found): the candidate of a token whose letters have a clear lead, or a likely sole one."""
     scores = char_scores(dictionary(spark, sf), dictionary(spark, sf).select(F.col("word").alias("tok"))).withColumnRenamed("tok", "word")
     w = Window.partitionBy("tok").orderBy(F.desc("score"), "word")
     best = _narrow(spark, sf).join(scores, "word").withColumn("second", F.lead("score").over(w)).withColumn("k", F.row_number().over(w)).where("k = 1")
-    ok = best.where((F.col("second").isNull() & (F.col("score") > -8)) | (F.col("score") - F.col("second") >= 0.5)).select("tok", F.col("word").alias("found"))
-    open_ = m.nearest_resolved(_resolved(spark, sf)).where("word is null and (left_gap <= 4 or right_gap <= 4)")
-    return open_.join(ok, "tok").groupBy("doc_id").agg(F.count(F.lit(1)).alias("solved"), F.count_distinct("found").alias("words"))
+    return best.where((F.col("second").isNull() & (F.col("score") > -8)) | (F.col("score") - F.col("second") >= 0.5)).select("tok", F.col("word").alias("found"))
+
+
+def char_found(open_, leads):
+    """(doc_id, pos, found) of the open tokens within four places of a known word."""
+    return open_.where("left_gap <= 4 or right_gap <= 4").join(leads, "tok").select("doc_id", "pos", "found")
 
 
 @query(f"""{_SCORED}, tgs AS (SELECT item_id, pos, {pos_tag('tok')} AS tag FROM btok), tp AS (SELECT tag AS t1, lead(tag) OVER (PARTITION BY item_id ORDER BY pos) AS t2 FROM tgs),
@@ -359,18 +368,27 @@ rr AS (SELECT *, coalesce(lead(s) OVER (PARTITION BY tok, lt, rt ORDER BY s DESC
 SELECT doc_id, count(*) AS solved, count(DISTINCT rr.word) AS words FROM oc JOIN rr ON rr.tok = oc.tok AND rr.lt = oc.lt AND rr.rt = oc.rt WHERE k = 1 AND s > 0 AND (second = 0 OR s / second >= 5) GROUP BY 1""")
 def pos_backoff_pass(spark, sf):
     """Open tokens between near known words by the classes of their candidates; distinct contexts are scored once."""
+    open_ = m.nearest_resolved(_resolved(spark, sf)).where("word is null")
+    return pos_found(open_, *pos_tables(spark, sf)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("solved"), F.count_distinct("found").alias("words"))
+
+
+def pos_tables(spark, sf):
+    """(t1, t2, p) of classes, and (tok, found, tag) of candidates."""
     t = pos_transition(spark, sf).withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy("t1"))).select("t1", "t2", "p")
-    cand = _narrow(spark, sf).select("tok", F.col("word").alias("found"), ft.pos_tag(F.col("word")).alias("tag"))
-    open_ = m.nearest_resolved(_resolved(spark, sf)).where("word is null and left_gap <= 3 and right_gap <= 3")
-    open_ = open_.where(ft.segments(F.col("skel")) >= 3).select("doc_id", "tok", ft.pos_tag(F.col("left")).alias("lt"), ft.pos_tag(F.col("right")).alias("rt"))
-    ctx = open_.select("tok", "lt", "rt").distinct().join(cand, "tok")
+    return t, _narrow(spark, sf).select("tok", F.col("word").alias("found"), ft.pos_tag(F.col("word")).alias("tag"))
+
+
+def pos_found(open_, t, cand):
+    """(doc_id, pos, found) of the open tokens within three places of known words on both sides whose best candidate leads five times."""
+    near = open_.where("left_gap <= 3 and right_gap <= 3").select("doc_id", "pos", "tok", ft.pos_tag(F.col("left")).alias("lt"), ft.pos_tag(F.col("right")).alias("rt"))
+    ctx = near.select("tok", "lt", "rt").distinct().join(cand, "tok")
     ctx = ctx.join(t.select(F.col("t1").alias("lt"), F.col("t2").alias("tag"), F.col("p").alias("pa")), ["lt", "tag"], "left")
     ctx = ctx.join(t.select(F.col("t1").alias("tag"), F.col("t2").alias("rt"), F.col("p").alias("pb")), ["tag", "rt"], "left")
     ctx = ctx.withColumn("s", 0.1 * (F.coalesce("pa", F.lit(0.0)) + F.coalesce("pb", F.lit(0.0))))
     w = Window.partitionBy("tok", "lt", "rt").orderBy(F.desc("s"), "found")
     best = ctx.withColumn("second", F.coalesce(F.lead("s").over(w), F.lit(0.0))).withColumn("k", F.row_number().over(w)).where("k = 1 and s > 0")
     best = best.where((F.col("second") == 0) | (F.col("s") / F.col("second") >= 5)).select("tok", "lt", "rt", "found")
-    return open_.join(best, ["tok", "lt", "rt"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("solved"), F.count_distinct("found").alias("words"))
+    return near.join(best, ["tok", "lt", "rt"]).select("doc_id", "pos", "found")
 
 
 @query(f"""WITH {DICT}, tg AS (SELECT item_id, pos, {pos_tag('tok')} AS tag FROM btok), pr AS (SELECT tag AS t1, lead(tag) OVER (PARTITION BY item_id ORDER BY pos) AS t2 FROM tg), n AS (SELECT t1, t2, count(*) AS c FROM pr WHERE t2 IS NOT NULL GROUP BY 1, 2)

@@ -232,32 +232,3 @@ def beam_decode(spark, sf):
         index.setdefault(r["word"][:2], []).append(r["word"])
     docs = token_docs(spark, sf).select("doc_id", "toks")
     return decode.beam_documents(docs, sentences, index).select("doc_id", "n", r6(F.col("score")).alias("score"), F.md5("decoded").alias("decoded_md5"))
-
-
-@query()
-def refine_loop(spark, sf):
-    """Passes of solving and consensus until fewer than ten words are new, three at most; each pass is a written table."""
-    from stratalex.operators import matching as m
-    from stratalex.plans.matching import _index, _resolved, _types
-    from stratalex.session import materialize
-
-    index = _index(spark, sf)
-    narrow = index.join(index.groupBy("skel").count().where("count <= 15").select("skel"), "skel", "left_semi")
-    candidates = m.exact_matches(_types(spark, sf).select("tok", "skel"), narrow).select("tok", "word")
-    candidates, _ = materialize(candidates, "refine-candidates")
-    bigrams, _ = materialize(reference_bigrams(spark, sf), "refine-bigrams")
-    state, _ = materialize(_resolved(spark, sf).select("doc_id", "pos", "tok", "skel", "word", F.when(F.col("word").isNotNull(), 0).alias("step")), "refine")
-    for step in (1, 2, 3):
-        open_ = m.nearest_resolved(state).where("word is null")
-        best = m.context_scores(open_, candidates, bigrams).where("score > 0").withColumnsRenamed({"left": "l", "right": "r", "tok": "t", "word": "new"})
-        both = open_.join(best, (F.col("tok") == F.col("t")) & F.col("left").eqNullSafe(F.col("l")) & F.col("right").eqNullSafe(F.col("r")))
-        dual = F.coalesce((F.col("left_gap") <= 3) & (F.col("right_gap") <= 3), F.lit(False))
-        need = m.confidence_threshold(ft.segments(F.col("skel")), F.col("nonzero"), dual)
-        found = both.where((F.col("second") == 0) | (F.col("score") / F.col("second") >= need)).select("doc_id", "pos", "skel", "new")
-        agreed = m.consensus(found.select("skel", F.col("new").alias("word"))).select("skel", F.col("word").alias("agreed"))
-        state_new = state.join(found.drop("skel"), ["doc_id", "pos"], "left").join(agreed, "skel", "left")
-        word = F.coalesce("word", "new", "agreed")
-        state, _ = materialize(state_new.select("doc_id", "pos", "tok", "skel", word.alias("word"), F.coalesce("step", F.when(word.isNotNull(), F.lit(step))).alias("step")), "refine")
-        if state.where(F.col("step") == step).count() < 10:
-            break
-    return state.groupBy(F.coalesce("step", F.lit(-1)).alias("step")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("word").alias("words"))
