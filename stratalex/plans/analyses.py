@@ -10,7 +10,7 @@ from stratalex.operators import nulls, stats
 from stratalex.plans.registry import query
 from stratalex.plans.sqltext import DICT, PAIRS, TOKENS, pos_tag, skeleton
 from stratalex.session import ship_package
-from stratalex.sources.tables import dictionary, explode_tokens, fixed, neighbours, reference_bigrams, table, token_array, token_docs
+from stratalex.sources.tables import dictionary, explode_tokens, neighbours, reference_bigrams, table, token_array, token_docs
 
 r6 = lambda c: F.round(c, 6)
 

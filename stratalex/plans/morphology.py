@@ -14,7 +14,6 @@ from stratalex.sources.tables import dictionary, fixed, token_docs
 r6 = lambda c: F.round(c, 6)
 
 _T = "types AS (SELECT tok, count(*) AS c FROM tokens GROUP BY 1)"
-_N = "cast(length(tok) AS INT)"
 
 
 def _types(spark, sf):
