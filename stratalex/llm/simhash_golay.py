@@ -213,11 +213,12 @@ def in_parts(rows: DataFrame, sizes: DataFrame, key: str, *ident: str) -> DataFr
     return rows.withColumn("i", F.least("part", "q")).withColumn("j", F.greatest("part", "q")).drop("parts", "part", "q")
 
 
-def links(nodes: DataFrame, words: int = 1, bits: int = 4, more: str | None = None, bucket: int = BUCKET) -> DataFrame:
+def links(nodes: DataFrame, words: int = 1, bits: int = 4, more: str | None = None, bucket: int = BUCKET, key_words: int | None = None) -> DataFrame:
     """Edges (a, b) that connect the rows of ``nodes`` (id long; fp0, fp1, ...: distinct fingerprints of ``words`` 64-bit words).
 
-    Rows link at ``bits`` differing bits or fewer over all words. Each word
-    gives keys; with one word and four bits, no linked pair is left unconnected.
+    Rows link at ``bits`` differing bits or fewer over all words. Each of the
+    first ``key_words`` words (all of them if not given) gives keys; with one word
+    and four bits, no linked pair is left unconnected.
     The array column ``more`` holds further keys of each row. Buckets of more
     than ``bucket`` rows are dealt in parts.
     """
@@ -229,7 +230,7 @@ def links(nodes: DataFrame, words: int = 1, bits: int = 4, more: str | None = No
                 part = batch.slice(at, 10_000)
                 fps = [part.column(n).to_numpy(zero_copy_only=False) for n in names]
                 ids = part.column("id").to_numpy(zero_copy_only=False)
-                for w in range(words):
+                for w in range(key_words or words):
                     rows, keys = keys_of(fps[w].view(np.uint64), clean=words == 1)
                     keys |= w << 56
                     yield pa.record_batch([pa.array(x) for x in (keys, ids[rows], *(f[rows] for f in fps))], names=["key", "id", *names])
@@ -343,11 +344,11 @@ def alike(sets: list[np.ndarray], tenths: int = 8) -> np.ndarray:
 def similar_documents(docs: DataFrame, shingle: int = 5, words: int = 3, bits: int = 64, seed: int = 42, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc_id, component_id): components of documents whose sets of shingles have a Jaccard similarity of 0.8 or more.
 
-    Candidates: ``words`` SimHashes of the sets under different seeds give
-    Golay keys, and the shingles of least hash that two sets at 0.8 must
-    share one of (n - ceil(0.8 n) + 1 of n) are further keys, so no such pair
-    misses a common key. Rows of a key that differ in ``bits`` of the wide
-    fingerprint or fewer make loose groups; at 0.8 about 15 % of the bits
+    Candidates: a SimHash of the set gives Golay keys, and the shingles of least
+    hash that two sets at 0.8 must share one of (n - ceil(0.8 n) + 1 of n) are
+    further keys, so no such pair misses a common key. Rows of a key that differ
+    in ``bits`` of the wide fingerprint (``words`` SimHashes under different
+    seeds) or fewer make loose groups; at 0.8 about 15 % of the bits
     differ (19 % of very short texts), so a third leaves out what only shares a
     passage. Within a loose group the sets themselves are compared, and only
     pairs at 0.8 are linked; a group of many rows or shingles is dealt in parts,
@@ -378,7 +379,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, words: int = 3, bits: i
     # one row for each set: that of its smallest id
     own = prints.join(nodes, (prints["digest"] == nodes["digest"]) & (prints["doc_id"] == nodes["id"])).select(nodes["digest"], "id", "size", "firsts", *names).dropDuplicates(["digest"])
     own = tables.put(own, "simhash-nodes")
-    loose = connected_components(links(own, words, bits, "firsts")).withColumnRenamed("node", "id")
+    loose = connected_components(links(own, words, bits, "firsts", key_words=1)).withColumnRenamed("node", "id")
     loose = tables.put(loose, "simhash-loose")
     groups = loose.join(own.select("id", "size"), "id").groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     parts = F.ceil(F.greatest(F.col("n") / group_rows, F.col("size") / GROUP_SHINGLES)).cast("long")
