@@ -10,6 +10,7 @@ from stratalex.llm import (
     cap_filters,
     chat,
     edit_sketch,
+    fill_middle,
     kneser_ney,
     language_id,
     license_scan,
@@ -79,6 +80,11 @@ def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup.kept_words_digest(phrase_dedup.remove_repeats(docs))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fill_middle.digests(fill_middle.transform(docs, seed=1))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, sf_dir)
 
@@ -96,10 +102,11 @@ QUERIES = {
         op8_chat_format,
         op9_language_id,
         op10_phrase_dedup,
+        op11_fill_middle,
         pipeline,
     )
 }
 
-ORACLES: dict[str, str] = {"op8_chat_format": oracles.chat_format(SAID), "op10_phrase_dedup": oracles.PHRASE_DEDUP}
+ORACLES: dict[str, str] = {"op8_chat_format": oracles.chat_format(SAID), "op10_phrase_dedup": oracles.PHRASE_DEDUP, "op11_fill_middle": oracles.FILL_MIDDLE}
 if stages.ORACLE_SQL:
     ORACLES["pipeline"] = stages.ORACLE_SQL
