@@ -68,3 +68,37 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
   sha256(t) AS restored_sha256
 FROM p"""
+
+
+#: One pattern for all layouts; offsets of a zone a day before and after tell of a change between.
+STAMPS = r"""WITH s AS (
+  SELECT stamp_id, source, zone, regexp_replace(coalesce(raw, ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS r FROM stamps
+), x AS (
+  SELECT stamp_id, source, zone, r, regexp_extract(r, '^(?:(20\d\d)-(\d\d)-(\d\d)|(20\d\d)(\d\d)(\d\d)|(\d\d)\.(\d\d)\.(20\d\d)|(\d\d) (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) (20\d\d)|(\d\d)/(\d\d)/(20\d\d))(?:[T ](\d\d):(\d\d)(?::(\d\d))?(?: ?([AP])M)?(?: ?(?:(Z)|([+-])(\d\d):?(\d\d)))?)?$',
+    ['y1','m1','d1','y2','m2','d2','d3','m3','y3','d4','b4','y4','a5','b5','y5','h','mi','se','half','z','sign','oh','om']) AS g FROM s
+), f AS (
+  SELECT stamp_id, source, zone, r, g.a5 <> '' AS slashed, g.y1 || g.y2 || g.y3 || g.y4 || g.y5 AS y,
+    CASE WHEN g.b4 <> '' THEN CAST((position(g.b4 IN 'JanFebMarAprMayJunJulAugSepOctNovDec') + 2) // 3 AS VARCHAR) ELSE g.m1 || g.m2 || g.m3 || g.b5 END AS m, g.d1 || g.d2 || g.d3 || g.d4 || g.a5 AS d,
+    coalesce(TRY_CAST(g.h AS BIGINT), 0) AS h, coalesce(TRY_CAST(g.mi AS BIGINT), 0) AS mi, coalesce(TRY_CAST(g.se AS BIGINT), 0) AS se, g.half AS half, g.z <> '' OR g.sign <> '' AS fixed,
+    CASE g.sign WHEN '-' THEN -1 ELSE 1 END * (coalesce(TRY_CAST(g.oh AS BIGINT), 0) * 60 + coalesce(TRY_CAST(g.om AS BIGINT), 0)) AS off, coalesce(TRY_CAST(g.oh AS BIGINT), 0) <= 14 AND coalesce(TRY_CAST(g.om AS BIGINT), 0) <= 59 AS off_ok FROM x
+), c AS (
+  SELECT *, mi <= 59 AND se <= 59 AND off_ok AND (fixed OR zone IS NOT NULL) AND CASE WHEN half = '' THEN h <= 23 ELSE h BETWEEN 1 AND 12 END AS ok,
+    CASE half WHEN '' THEN h WHEN 'A' THEN h % 12 ELSE h % 12 + 12 END * 3600 + mi * 60 + se AS secs,
+    TRY_CAST(y || '-' || lpad(m, 2, '0') || '-' || lpad(d, 2, '0') AS DATE) AS day_first, CASE WHEN slashed THEN TRY_CAST(y || '-' || d || '-' || m AS DATE) END AS month_first FROM f
+), v AS (
+  SELECT source, count(*) FILTER (day_first IS NOT NULL AND month_first IS NULL) AS dm, count(*) FILTER (day_first IS NULL AND month_first IS NOT NULL) AS md FROM c WHERE ok AND slashed GROUP BY source
+), p AS (
+  SELECT c.*, ok AND day_first IS NOT NULL AND month_first IS NOT NULL AND day_first <> month_first AS opened, coalesce(dm > 10 * md, false) AS day_wins, coalesce(md > 10 * dm, false) AS month_wins
+  FROM c LEFT JOIN v ON v.source IS NOT DISTINCT FROM c.source
+), w AS (
+  SELECT *, CASE WHEN regexp_full_match(r, '[0-9]{10}|[0-9]{13}') THEN 'epoch' WHEN NOT coalesce(ok, false) OR coalesce(day_first, month_first) IS NULL THEN 'bad' WHEN NOT opened THEN 'plain' WHEN day_wins OR month_wins THEN 'votes' ELSE 'default' END AS rule,
+    CAST(CASE WHEN opened AND month_wins THEN month_first ELSE coalesce(day_first, month_first) END AS TIMESTAMP) + to_seconds(secs) AS wall FROM p
+), o AS (
+  SELECT *, epoch_us(wall) AS us, epoch_us(timezone(zone, timezone('UTC', wall - INTERVAL 1 DAY))) - epoch_us(wall - INTERVAL 1 DAY) AS before,
+    epoch_us(timezone(zone, timezone('UTC', wall + INTERVAL 1 DAY))) - epoch_us(wall + INTERVAL 1 DAY) AS after FROM w
+), u AS (
+  SELECT *, epoch_us(timezone(zone, timezone('UTC', make_timestamp(us - before)))) = us AS early, epoch_us(timezone(zone, timezone('UTC', make_timestamp(us - after)))) = us AS late FROM o
+)
+SELECT stamp_id, CASE rule WHEN 'bad' THEN NULL WHEN 'epoch' THEN CAST(r AS BIGINT) * CASE length(r) WHEN 10 THEN 1000000 ELSE 1000 END ELSE us - CASE WHEN fixed THEN off * 60000000 WHEN before = after OR (early AND NOT late) THEN before ELSE after END END AS utc_us,
+  rule, rule IN ('votes', 'default') OR (rule = 'plain' AND NOT fixed AND before <> after AND early = late) AS ambiguous
+FROM u"""

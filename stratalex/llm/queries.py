@@ -19,6 +19,7 @@ from stratalex.llm import (
     phrase_dedup,
     simhash_golay,
     stages,
+    stamps,
 )
 from stratalex.session import ship_package
 
@@ -85,6 +86,11 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.transform(docs, seed=1))
 
 
+def op12_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stamps.normalise(_table(spark, sf_dir, "stamps"))
+    return found.select("stamp_id", "_stamp.utc_us", "_stamp.rule", "_stamp.ambiguous")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, sf_dir)
 
@@ -103,10 +109,11 @@ QUERIES = {
         op9_language_id,
         op10_phrase_dedup,
         op11_fill_middle,
+        op12_stamps,
         pipeline,
     )
 }
 
-ORACLES: dict[str, str] = {"op8_chat_format": oracles.chat_format(SAID), "op10_phrase_dedup": oracles.PHRASE_DEDUP, "op11_fill_middle": oracles.FILL_MIDDLE}
+ORACLES: dict[str, str] = {"op8_chat_format": oracles.chat_format(SAID), "op10_phrase_dedup": oracles.PHRASE_DEDUP, "op11_fill_middle": oracles.FILL_MIDDLE, "op12_stamps": oracles.STAMPS}
 if stages.ORACLE_SQL:
     ORACLES["pipeline"] = stages.ORACLE_SQL

@@ -12,7 +12,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 def both(spark, name, folder):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "stamps"):
         if os.path.exists(f"{folder}/{t}.parquet"):
             con.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet{'/*.parquet' if os.path.isdir(f'{folder}/{t}.parquet') else ''}')")
     got = QUERIES[name](spark, folder)
