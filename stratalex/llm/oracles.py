@@ -102,3 +102,26 @@ STAMPS = r"""WITH s AS (
 SELECT stamp_id, CASE rule WHEN 'bad' THEN NULL WHEN 'epoch' THEN CAST(r AS BIGINT) * CASE length(r) WHEN 10 THEN 1000000 ELSE 1000 END ELSE us - CASE WHEN fixed THEN off * 60000000 WHEN before = after OR (early AND NOT late) THEN before ELSE after END END AS utc_us,
   rule, rule IN ('votes', 'default') OR (rule = 'plain' AND NOT fixed AND before <> after AND early = late) AS ambiguous
 FROM u"""
+
+
+#: Bytes as two hex digits each, windows cut from pieces of 1,000 bytes and the 199 after; runs of covered bytes by places.
+SUFFIX_DEDUP = """WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), s AS (
+  SELECT k, b, substr(x, 2 * b + 1, 2398) AS piece FROM (SELECT k, x, unnest(range(0, greatest(length(x) // 2 - 199, 0), 1000)) AS b FROM d)
+), w AS (
+  SELECT k, b + i AS p, md5(substr(piece, 2 * i + 1, 400)) AS win FROM (SELECT k, b, piece, unnest(range(0, least(1000, length(piece) // 2 - 199))) AS i FROM s)
+), r AS (
+  SELECT k, p FROM (SELECT k, p, count(*) OVER (PARTITION BY win) AS n FROM w) WHERE n > 1
+), e AS (
+  SELECT k, p, p + 200 AS q, CASE WHEN p <= coalesce(lag(p) OVER (PARTITION BY k ORDER BY p) + 200, -1) THEN 0 ELSE 1 END AS fresh FROM r
+), g AS (
+  SELECT k, p, q, sum(fresh) OVER (PARTITION BY k ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM e
+), u AS (
+  SELECT k, run, min(p) AS a, max(q) AS z, lag(max(q), 1, 0) OVER (PARTITION BY k ORDER BY run) AS before FROM g GROUP BY k, run
+), v AS (
+  SELECT u.k, count(*) AS n_spans, sum(z - a) AS gone, max(z) AS last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY run) AS kept FROM u JOIN d ON d.k = u.k GROUP BY u.k
+)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN v ON v.k = d.k"""

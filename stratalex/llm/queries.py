@@ -20,6 +20,7 @@ from stratalex.llm import (
     simhash_golay,
     stages,
     stamps,
+    suffix_dedup,
 )
 from stratalex.session import ship_package
 
@@ -91,6 +92,11 @@ def op12_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("stamp_id", "_stamp.utc_us", "_stamp.rule", "_stamp.ambiguous")
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.kept_digest(suffix_dedup.remove_recurring(docs))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, sf_dir)
 
@@ -110,10 +116,11 @@ QUERIES = {
         op10_phrase_dedup,
         op11_fill_middle,
         op12_stamps,
+        op13_suffix_dedup,
         pipeline,
     )
 }
 
-ORACLES: dict[str, str] = {"op8_chat_format": oracles.chat_format(SAID), "op10_phrase_dedup": oracles.PHRASE_DEDUP, "op11_fill_middle": oracles.FILL_MIDDLE, "op12_stamps": oracles.STAMPS}
+ORACLES: dict[str, str] = {"op8_chat_format": oracles.chat_format(SAID), "op10_phrase_dedup": oracles.PHRASE_DEDUP, "op11_fill_middle": oracles.FILL_MIDDLE, "op12_stamps": oracles.STAMPS, "op13_suffix_dedup": oracles.SUFFIX_DEDUP}
 if stages.ORACLE_SQL:
     ORACLES["pipeline"] = stages.ORACLE_SQL
