@@ -68,6 +68,17 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends, or by ``drop_path`` before."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if not _MADE:
+        # after Spark's own, so before them at the end
+        atexit.unregister(_clean)
+        atexit.register(_clean)
+    _MADE[path] = spark
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write ``df`` as a table in the shared folder; the table read back, and its path.
 
@@ -76,12 +87,7 @@ def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     written, as nothing can ask for them any more.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    if not _MADE:
-        # after Spark's own, so before them at the end
-        atexit.unregister(_clean)
-        atexit.register(_clean)
-    _MADE[path] = spark
+    path = scratch(spark, tag)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:

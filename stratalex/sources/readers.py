@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stratalex.sources.transliteration import SPLIT, VARIABLES, read_pages
+
 
 def clean_transliteration(raw: Column) -> Column:
     """Plain words of a transliterated line: comments and marks out, the first of uncertain readings, a-z and spaces left.
@@ -27,39 +29,23 @@ def clean_transliteration(raw: Column) -> Column:
 
 
 def locus_type(locus: Column) -> Column:
-    """The letter after the mark of a locus id, P where there is none."""
-    return F.coalesce(F.nullif(F.regexp_extract(locus, r"[@+*=&~/]([PLCRTX])", 1), F.lit("")), F.lit("P"))
+    """The letter of a locus id: the first of P, L, C, R, T, X after a dot and before a digit, else the first capital after a dot, else P."""
+    first = [F.nullif(F.regexp_extract(locus, rx, 1), F.lit("")) for rx in (r"\.([PLCRTX])\d", r"\.([A-Z])")]
+    return F.coalesce(*first, F.lit("P"))
 
 
-def read_transliteration(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, folio, quire, language, hand, illustration, locus, kind, text) of interlinear transliteration files.
+def read_transliteration(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> DataFrame:
+    """(file, offset, folio, the page's variables, locus, kind, text) of interlinear transliteration files, in splits of ``split_bytes``.
 
-    A page header ``<f1r>`` holds until the next; its variables ``$Q $L $H $I``
-    may follow on the header's line or on comment lines. Each file is one row
-    when read, so the state is carried within a file and files go in parallel.
-    A missing path is an error.
+    Lines before the first page, comments and lines of no locus are left out. A missing path is an error.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "raw"))
-    header = F.regexp_extract("raw", r"^<(f\d+[rv]\d?)>", 1)
-    rows = files.where((F.trim("raw") != "") & ~F.col("raw").startswith("#"))
-    rows = rows.withColumn("head", F.nullif(header, F.lit("")))
-    carry = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("folio", F.last("head", ignorenulls=True).over(carry))
-    page = Window.partitionBy("file", "folio")
-    names = {"quire": "Q", "language": "L", "hand": "H", "illustration": "I"}
-    meta = F.col("head").isNotNull() | F.trim("raw").startswith("<!")
-    for name, letter in names.items():
-        found = F.nullif(F.regexp_extract("raw", rf"\${letter}=([^\s>]+)", 1), F.lit(""))
-        rows = rows.withColumn(name, F.max(F.when(meta, found)).over(page))
-    locus = F.regexp_extract("raw", r"^<([^>]+)>", 1)
-    rows = rows.where(F.col("head").isNull() & ~F.trim("raw").startswith("<!") & (locus != "") & F.col("folio").isNotNull())
-    body = F.regexp_replace("raw", r"^<[^>]+>\s*", "")
-    return rows.select("file", "line", "folio", *names, locus.alias("locus"), locus_type(locus).alias("kind"), clean_transliteration(body).alias("text"))
-
-
-def read_word_lists(spark: SparkSession, path: str) -> DataFrame:
-    """(list, word) of a JSON object of lists, or of one list (named '')."""
-    raw = spark.read.text(path, wholetext=True)
+    rows = read_pages(spark, path, split_bytes)
+    return rows.select("file", "offset", "folio", *VARIABLES, "locus", locus_type(F.col("locus")).alias("kind"), clean_transliteration(F.col("raw")).alias("text"))
+
+
+def read_word_lists(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(list, word) of JSON objects of lists, or of one list (named ''): one a file, or (``lines``) one a line."""
+    raw = spark.read.text(path, wholetext=not lines)
     lists = F.from_json("value", "map<string, array<string>>")
     one = F.from_json("value", "array<string>")
     both = F.when(F.ltrim("value").startswith("["), F.create_map(F.lit(""), one)).otherwise(lists)
@@ -74,12 +60,29 @@ def read_species_names(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.trim(F.col(f"`{species}`")).alias("species"), split).select("species", F.lower(F.trim("name")).alias("name")).where("name <> ''")
 
 
+#: Rounds of a text that one row makes at most.
+ROUNDS = 65_536
+
+
 def tiled_tokens(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """(pos, tok): the words of a short text repeated until there are ``n``; each place is computed, none is joined."""
+    """(pos, tok): the words of a text repeated until there are ``n``.
+
+    The files of the text follow each other by name. Words know their place from the
+    counts of the files before, and the places to fill meet them by the rest of a division. A text without words gives none.
+    """
     from stratalex.sources.tables import token_array
 
-    words = spark.read.text(path, wholetext=True).agg(F.flatten(F.collect_list(token_array(F.col("value")))).alias("t")).where(F.size("t") > 0)
-    return spark.range(n).join(F.broadcast(words)).select(F.col("id").alias("pos"), F.get("t", (F.col("id") % F.size("t")).cast("int")).alias("tok"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), token_array(F.col("value")).alias("toks"))
+    sizes = files.select("file", F.size("toks").alias("n"))
+    before = sizes.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    words = files.join(before, "file").select("before", "all", F.posexplode("toks").alias("at", "tok"))
+    # each word fills the places that leave its number as rest; rounds come in blocks, which are dealt out
+    number = F.col("before") + F.col("at")
+    rounds = F.floor((F.lit(n) - 1 - number) / F.col("all"))
+    block = words.where(number < n).select("tok", "all", number.alias("number"), rounds.alias("last"), F.explode(F.sequence(F.lit(0), F.floor(rounds / ROUNDS))).alias("block"))
+    block = block.repartition("number", "block")
+    each = F.sequence(F.col("block") * ROUNDS, F.least(F.col("last"), F.col("block") * ROUNDS + ROUNDS - 1))
+    return block.select(F.explode(each).alias("round"), "all", "number", "tok").select((F.col("round") * F.col("all") + F.col("number")).alias("pos"), "tok")
 
 
 def synthetic_sentences(spark: SparkSession, words: list[str], n: int, length: int = 8, seed: str = "s") -> DataFrame:
@@ -103,16 +106,15 @@ def stage_cache(spark: SparkSession, path: str, make) -> DataFrame:
 
 
 def read_folio_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, folio, line, text) of line-by-line transliterations ``<f1r.P1.1;H> words.by.dots``: other tags out, dots as spaces.
+    """(file, folio, text) of line-by-line transliterations ``<f1r.P1.1;H> words.by.dots``: tags out, dots as spaces.
 
-    Lines that name no folio, and comments, are left out. A missing path is an
-    error.
+    Each line tells its folio, so files are split anywhere. Lines that name no folio, and comments, are left out;
+    a line without words gives an empty text. A missing path is an error.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "raw"))
-    raw = F.trim("raw")
-    rows = files.where((raw != "") & ~raw.startswith("#")).withColumn("folio", F.regexp_extract(raw, r"^<(f\d+[rv]\d?)[.,]", 1))
-    text = F.trim(F.replace(F.regexp_replace(raw, r"<[^>]+>", ""), F.lit("."), F.lit(" ")))
-    return rows.where("folio <> ''").select("file", "folio", "line", text.alias("text"))
+    raw = F.trim("value")
+    rows = spark.read.text(path).where((raw != "") & ~raw.startswith("#")).withColumn("folio", F.regexp_extract(raw, r"^<(f\d+[rv]\d?)[.,]", 1))
+    text = F.replace(F.trim(F.regexp_replace(raw, r"<[^>]+>", "")), F.lit("."), F.lit(" "))
+    return rows.where("folio <> ''").select(F.col("_metadata.file_path").alias("file"), "folio", text.alias("text"))
 
 
 def _pick(words: Column, *parts) -> Column:
