@@ -7,10 +7,11 @@
 2. Anchors are looked at with what lies around them, as far as a window reaches.
    Each different surrounding of a recurring gram is sent once, by one of the
    blocks that hold it, with the number of times it is there.
-3. Surroundings of one gram meet in parts of bounded size: a gram with too
-   many is split by longer strings, which windows of a range of offsets must
-   share, as often as it takes. Suffix arrays of each part (multikey quicksort,
-   then blind tries) tell the windows that recur.
+3. Surroundings of one gram meet in parts of bounded size. A gram with too
+   many is split by ranges of the windows' offsets, as often as it takes: all
+   windows of a range share a string longer than the gram, which makes smaller
+   parts, and surroundings that agree as far as these windows go are one. Suffix
+   arrays of each part (multikey quicksort, then blind tries) tell the windows that recur.
 4. Blocks get the offsets of their places, and take out what windows cover.
 
 Of a string that a third of all documents holds, each task sends one row.
@@ -86,11 +87,28 @@ class Block:
         self.data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
         self.offsets = offsets - offsets[0]
 
-    def around(self, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where what lies around the places begins and ends: as far as a window reaches within the text."""
+    def texts(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the texts of the places begin and end."""
         text = np.searchsorted(self.offsets, at, "right") - 1
-        begin = np.maximum(self.offsets[text], at - (least - gram_size(least)))
-        return begin, np.minimum(self.offsets[text + 1], at + least)
+        return self.offsets[text], self.offsets[text + 1]
+
+    def around(self, at: np.ndarray, least: int, low: np.ndarray | int, high: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """Where what windows of ``least`` bytes may cover, which begin ``low`` to ``high`` bytes before the places, begins and ends within the texts."""
+        begin, end = self.texts(at)
+        return np.maximum(begin, at - high), np.minimum(end, at + least - low)
+
+
+#: What is asked of a block, besides the place: the part's key, the surrounding, how often it is there, and the offsets of windows.
+ASKED = ("key", "gram", "around", "times", "low", "high")
+#: Parts that the offsets of windows are split in.
+FAN = 4
+
+
+def parts_of(low: int, high: int) -> list[tuple[int, int]]:
+    """low..high in ``FAN`` ranges at most."""
+    n = min(FAN, high - low + 1)
+    edges = [low + (high - low + 1) * k // n for k in range(n + 1)]
+    return [(a, b - 1) for a, b in zip(edges, edges[1:])]
 
 
 def _table(names: str, *cols) -> pa.Table:
@@ -113,7 +131,7 @@ def remove_recurring(docs: DataFrame, text: str = "text", least: int = LEAST, bl
     if least < 8:
         raise ValueError("strings must have eight bytes or more")
     spark, reach = docs.sparkSession, least - gram_size(least)
-    found = _Search(least, part)
+    search = _Search(least)
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +166,7 @@ def remove_recurring(docs: DataFrame, text: str = "text", least: int = LEAST, bl
         known = np.sort(right.column("gram").to_numpy().view(np.uint64))
         hit = known[np.minimum(np.searchsorted(known, gram), len(known) - 1)] == gram
         at, gram = at[hit], gram[hit]
-        begin, end = own.around(at, least)
+        begin, end = own.around(at, least, 0, reach)
         data, places = own.data.tobytes(), {}
         for p, g, a, b in zip(at.tolist(), gram.view(np.int64).tolist(), begin.tolist(), end.tolist()):
             places.setdefault((g, xxhash.xxh3_64_intdigest(data[a:b], p - a)), []).append(p)
@@ -164,33 +182,63 @@ def remove_recurring(docs: DataFrame, text: str = "text", least: int = LEAST, bl
     told = tables.put(told.select("gram", "around", "times", "by.block", "by.at"), "suffix-told")
 
     def say(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        names = "gram around times before bytes"
+        """The bytes that windows at the asked offsets may cover."""
         if not right.num_rows or not left.num_rows:
-            return pa.table({n: pa.array([], pa.binary() if n == "bytes" else pa.int64()) for n in names.split()})
-        own, at = Block(left.column("blob")[0].as_py(), text), right.column("at").to_numpy().astype(np.int64)
-        begin, end = own.around(at, least)
+            return pa.table({n: pa.array([], pa.binary() if n == "bytes" else pa.int64()) for n in (*ASKED, "before", "bytes")})
+        own, at = Block(left.column("blob")[0].as_py(), text), right.column("at").to_numpy()
+        begin, end = own.around(at, least, right.column("low").to_numpy(), right.column("high").to_numpy())
         data = own.data.tobytes()
         said = pa.array([data[a:b] for a, b in zip(begin.tolist(), end.tolist())], pa.binary())
-        return pa.table({**{n: right.column(n) for n in names.split()[:3]}, "before": pa.array(at - begin), "bytes": said})
-
-    def spoken(which: DataFrame) -> DataFrame:
-        texts = blocks.select("block", "blob").groupBy("block").cogroup(which.groupBy("block"))
-        return texts.applyInArrow(say, "gram long, around long, times long, before long, bytes binary").withColumns({"low": F.lit(0), "high": F.lit(reach)})
+        return pa.table({**{n: right.column(n) for n in ASKED}, "before": pa.array(at - begin), "bytes": said})
 
-    # a gram of one surrounding that is there once is none; one of too many is split
+    def divide(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        """Each surrounding for each part of its offsets: the hash of what all its windows share, and of all that they cover."""
+        names = [*ASKED, "block", "at", "around_part", "first", "last"]
+        if not right.num_rows or not left.num_rows:
+            return pa.table({n: pa.array([], pa.int64()) for n in names})
+        own, at = Block(left.column("blob")[0].as_py(), text), right.column("at").to_numpy()
+        data, rows = own.data.tobytes(), []
+        begins, ends = own.texts(at)
+        columns = [right.column(n).to_pylist() for n in ("gram", "around", "times", "at", "low", "high")]
+        for gram, around, times, p, low, high, begin, end in zip(*columns, begins.tolist(), ends.tolist()):
+            for a, b in parts_of(low, high):
+                if p - begin < a or end - p < least - b:
+                    continue
+                x, y = max(begin, p - b), min(end, p + least - a)
+                shared = xxhash.xxh3_64_intdigest(data[p - a : p + least - b], gram % 2**63 + (a << 8) + b)
+                first, last = max(a, least - (end - p)), min(b, p - begin)
+                rows.append((shared - 2**63, gram, around, times, a, b, key[0].as_py(), p, xxhash.xxh3_64_intdigest(data[x:y], p - x) - 2**63, first, last))
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, zip(*rows) if rows else [()] * len(names))})
+
+    def asked(rows: DataFrame, run, schema: str) -> DataFrame:
+        return blocks.select("block", "blob").groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(run, schema)
+
+    # a gram with few surroundings is one part; the others are split by the offsets of windows
     sizes = told.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
     large = tables.put(sizes.where(F.col("kinds") > part).select("gram"), "suffix-large")
-    pieces, sure = [], []
-    if not large.isEmpty():
-        pieces, sure = found.split(spoken(told.join(large, "gram", "left_semi")), tables)
-        told = told.join(large, "gram", "left_anti")
-    pieces.append(spoken(told).withColumn("key", F.col("gram")))
-    rows = pieces[0]
-    for more in pieces[1:]:
-        rows = rows.unionByName(more)
-    offsets = rows.repartition("key").sortWithinPartitions("key").mapInArrow(found.run, "gram long, around long, low int, high int")
-    for more in sure:
-        offsets = offsets.unionByName(more)
+    whole = {"key": F.col("gram"), "low": F.lit(0).cast("long"), "high": F.lit(reach).cast("long")}
+    small = told.join(large, "gram", "left_anti").withColumns(whole).select("block", "at", *ASKED)
+    sure = None
+    rows = told.join(large, "gram", "left_semi").withColumns(whole).select("block", "at", *ASKED)
+    while not large.isEmpty():
+        kinds_of = f"{', '.join(f'{n} long' for n in ASKED)}, block long, at long, around_part long, first long, last long"
+        rows = tables.put(asked(rows, divide, kinds_of), "suffix-parts")
+        who = F.min(F.struct("block", "at", "gram", "around")).alias("by")
+        each = rows.groupBy("key", "low", "high", "around_part").agg(F.sum("times").alias("times"), who)
+        each = tables.put(each.select("key", "low", "high", "around_part", "times", "by.*"), "suffix-each")
+        # what windows of these offsets cover is there more than once: all of them recur
+        often = each.where("times > 1").select("key", "around_part")
+        found = rows.join(often.hint("shuffle_hash"), ["key", "around_part"], "left_semi").select("gram", "around", F.col("first").cast("int").alias("low"), F.col("last").cast("int").alias("high"))
+        sure = found if sure is None else sure.unionByName(found)
+        sizes = tables.put(each.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("times").alias("all")).where("all > 1"), "suffix-sizes")
+        few = sizes.where(F.col("kinds").between(2, part)).select("key")
+        small = small.unionByName(each.join(few.hint("shuffle_hash"), "key", "left_semi").select("block", "at", *ASKED))
+        large = sizes.where(F.col("kinds") > part).select("key")
+        rows = each.join(large.hint("shuffle_hash"), "key", "left_semi").select("block", "at", *ASKED)
+    spoken = asked(small, say, f"{', '.join(f'{n} long' for n in ASKED)}, before long, bytes binary")
+    offsets = spoken.repartition("key").sortWithinPartitions("key").mapInArrow(search.run, "gram long, around long, low int, high int")
+    if sure is not None:
+        offsets = offsets.unionByName(sure)
     offsets = offsets.groupBy("gram", "around").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     places = held.select("gram", "around", "block", "at").join(offsets.hint("shuffle_hash"), ["gram", "around"]).select("block", "at", "low", "high")
     places = Tables(spark).put(places, "suffix-places")
@@ -232,38 +280,10 @@ def _anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Search:
-    """Parts of surroundings: how they are made, and what their suffix arrays tell."""
-
-    def __init__(self, least: int, part: int) -> None:
-        self.least, self.part = least, part
-
-    def split(self, rows: DataFrame, tables: Tables) -> tuple[list[DataFrame], list[DataFrame]]:
-        """Surroundings (low, high: offsets of windows) in parts of bounded size, and what needs no part.
-
-        All windows of a range of offsets hold the string from the largest one's begin to the
-        smallest one's end. Halves of a range share longer strings, so parts by
-        them get smaller; at a single offset the string is the window.
-        """
-        pieces, sure = [], []
-        rows = tables.put(rows, "suffix-split")
-        while not rows.isEmpty():
-            middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
-            halves = F.array(F.struct(F.col("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high")))
-            alone = F.array(F.struct("low", "high"))
-            rows = rows.withColumn("half", F.explode(F.when(F.col("low") < F.col("high"), halves).otherwise(alone))).withColumns({"low": F.col("half.low"), "high": F.col("half.high")}).drop("half", "key")
-            # what has no window of the range goes
-            rows = rows.where((F.col("before") >= F.col("low")) & (F.length("bytes") - F.col("before") >= self.least - F.col("high")))
-            shared = F.expr(f"substring(bytes, CAST(before - low + 1 AS INT), low + {self.least} - high)")
-            rows = tables.put(rows.withColumn("key", F.xxhash64("gram", "low", "high", shared)), "suffix-halves")
-            count = rows.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("times").alias("all")).where("all > 1")
-            count = tables.put(count, "suffix-sizes")
-            few = count.where(F.col("kinds") <= self.part).select("key")
-            pieces.append(rows.join(few.hint("shuffle_hash"), "key", "left_semi").select("gram", "around", "times", "before", "bytes", "low", "high", "key"))
-            many = rows.join(count.where(F.col("kinds") > self.part).select("key").hint("shuffle_hash"), "key", "left_semi")
-            # at one offset the shared string is the whole window; it is there more than once
-            sure.append(many.where("low = high").select("gram", "around", "low", "high"))
-            rows = tables.put(many.where("low < high"), "suffix-split")
-        return pieces, sure
+    """Suffix arrays of parts of surroundings."""
+
+    def __init__(self, least: int) -> None:
+        self.least = least
 
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by key: each part as a whole, many small ones at a time."""
