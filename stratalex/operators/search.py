@@ -36,43 +36,6 @@ def assign(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def matching_cost(p: np.ndarray, q: np.ndarray, perm: np.ndarray) -> float:
-    """Squared difference of two transition matrices when row i of ``p`` stands for ``perm[i]`` of ``q``."""
-    return float(((p - q[np.ix_(perm, perm)]) ** 2).sum())
-
-
-def anneal(p: np.ndarray, q: np.ndarray, seed: int, steps: int = 4000, hot: float = 0.05, cold: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Best permutation found by swaps; the cost is always that of the whole matrix, and the best is kept apart."""
-    rng = np.random.default_rng(seed)
-    perm = rng.permutation(len(p))
-    now = best_cost = matching_cost(p, q, perm)
-    best = perm.copy()
-    for k in range(steps):
-        i, j = rng.integers(0, len(p), 2)
-        perm[i], perm[j] = perm[j], perm[i]
-        new = matching_cost(p, q, perm)
-        if new <= now or rng.random() < np.exp((now - new) / (hot * (cold / hot) ** (k / steps))):
-            now = new
-            if now < best_cost:
-                best, best_cost = perm.copy(), now
-        else:
-            perm[i], perm[j] = perm[j], perm[i]
-    return best, best_cost
-
-
-def anneal_seeds(spark: SparkSession, p: np.ndarray, q: np.ndarray, seeds: int = 8, steps: int = 4000) -> DataFrame:
-    """(seed, cost, mapping): runs are one after the other by nature, so they go in parallel by seed."""
-    held = spark.sparkContext.broadcast((p, q))
-
-    def run(frames):
-        for f in frames:
-            for s in f["id"]:
-                perm, cost = anneal(*held.value, int(s), steps)
-                yield pd.DataFrame({"seed": [s], "cost": [cost], "mapping": [",".join(map(str, perm))]})
-
-    return spark.range(seeds).repartition(seeds, "id").mapInPandas(run, "seed long, cost double, mapping string")
-
-
 def nmf(x: np.ndarray, rank: int, steps: int = 200, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Non-negative factors by multiplicative updates."""
     rng = np.random.default_rng(seed)

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratalex.functions import text as ft
-from stratalex.operators import decode, graph, search, stats
+from stratalex.operators import anneal, automata, decode, graph, search, stats
 from stratalex.plans.registry import query
 from stratalex.plans.sqltext import CHARS, DICT, PAIRS, TOKENS
 from stratalex.plans.statistics import char_transitions
@@ -55,14 +55,21 @@ def similarity_components(spark, sf):
 _CT = "ct AS (SELECT lang, c1, c2, count(*) AS c, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY lang, c1) AS p FROM nexts WHERE c2 IS NOT NULL GROUP BY 1, 2, 3)"
 
 
-@query(f"WITH {TOKENS}, {CHARS}, {_CT}, a AS (SELECT * FROM ct WHERE lang = 'en'), b AS (SELECT * FROM ct WHERE lang = 'fr') SELECT round(sum(pow(coalesce(a.p, 0) - coalesce(b.p, 0), 2)), 6) AS cost, count(*) AS cells FROM a FULL JOIN b ON a.c1 = b.c1 AND a.c2 = b.c2")
+@query(f"""WITH {TOKENS}, {CHARS}, {_CT}, g AS (SELECT DISTINCT lang FROM ct), k AS (SELECT a.lang AS a, b.lang AS b, x.c1, x.c2 FROM g a JOIN g b ON a.lang < b.lang JOIN (SELECT DISTINCT lang, c1, c2 FROM ct) x ON x.lang = a.lang
+UNION SELECT a.lang, b.lang, x.c1, x.c2 FROM g a JOIN g b ON a.lang < b.lang JOIN (SELECT DISTINCT lang, c1, c2 FROM ct) x ON x.lang = b.lang)
+SELECT k.a, k.b, round(sum(pow(coalesce(p.p, 0) - coalesce(q.p, 0), 2)), 6) AS cost, count(*) AS cells FROM k LEFT JOIN ct p ON p.lang = k.a AND p.c1 = k.c1 AND p.c2 = k.c2 LEFT JOIN ct q ON q.lang = k.b AND q.c1 = k.c1 AND q.c2 = k.c2 GROUP BY 1, 2""")
 def mapping_cost(spark, sf):
-    """Squared difference of two transition tables under a mapping of their signs (here each to itself)."""
+    """Squared difference of the transition tables of each two languages under a mapping of their signs (here each to itself).
+
+    From the squares of each table and the products of cells that both have.
+    """
     t = char_transitions(spark, sf)
-    a = t.where("lang = 'en'").select("c1", "c2", F.col("p").alias("p"))
-    b = t.where("lang = 'fr'").select("c1", "c2", F.col("p").alias("q"))
-    gap = F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0))
-    return a.join(b, ["c1", "c2"], "full").agg(r6(F.sum(gap * gap)).alias("cost"), F.count(F.lit(1)).alias("cells"))
+    one = t.groupBy("lang").agg(F.sum(F.col("p") * F.col("p")).alias("s"), F.count(F.lit(1)).alias("n"))
+    a, b = (t.select(F.col("lang").alias(x), "c1", "c2", F.col("p").alias(f"p{x}")) for x in "ab")
+    both = a.join(b, ["c1", "c2"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("pa") * F.col("pb")).alias("x"), F.count(F.lit(1)).alias("m"))
+    x, y = (one.select(F.col("lang").alias(k), F.col("s").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
+    pairs = x.join(y, F.col("a") < F.col("b")).join(both, ["a", "b"], "left")
+    return pairs.select("a", "b", r6(F.greatest(F.col("sa") + F.col("sb") - 2 * F.coalesce("x", F.lit(0.0)), F.lit(0.0))).alias("cost"), (F.col("na") + F.col("nb") - F.coalesce("m", F.lit(0))).alias("cells"))
 
 
 @query(f"WITH {TOKENS}, {CHARS}, {_CT}, s AS (SELECT lang, c1, sum(c) AS n, -sum(p * log2(p)) AS h FROM ct GROUP BY 1, 2) SELECT lang, round(sum(n * h) / sum(n), 6) AS entropy_rate, count(*) AS states FROM s GROUP BY 1")
@@ -136,34 +143,82 @@ def vigenere_cipher(spark, sf):
     return chars.select("doc_id", F.md5(F.array_join(moved, "")).alias("cipher_md5"))
 
 
-def _letters(spark, sf, lang):
-    """26 x 26 transition matrix of one language."""
-    m = np.zeros((26, 26))
-    for r in char_transitions(spark, sf).where(F.col("lang") == lang).collect():  # 676 rows at most
-        m[ord(r["c1"]) - 97, ord(r["c2"]) - 97] = r["p"]
-    return m
+def _letter_tables(spark, sf):
+    """(lang, cells): the 26 x 26 transition table of each language, row by row."""
+    t = char_transitions(spark, sf).groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("c1", "c2"), "p"))).alias("p"))  # 676 cells at most
+    pairs = F.array(*(F.lit(x + y) for x in _ABC for y in _ABC))
+    return t.select("lang", F.transform(pairs, lambda k: F.coalesce(F.element_at("p", k), F.lit(0.0))).alias("cells"))
+
+
+def _square(cells):
+    return np.array(cells, float).reshape(26, 26)
 
 
 @query()
 def assignment_letters(spark, sf):
-    """Letters of one language for those of another, by least distance of their sorted transition rows."""
-    p, q = _letters(spark, sf, "en"), _letters(spark, sf, "fr")
-    a, b = np.sort(p, axis=1), np.sort(q, axis=1)
-    cost = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
-    col = search.assign(cost)
-    return spark.createDataFrame([(_ABC[i], _ABC[j], float(round(cost[i, j], 6))) for i, j in enumerate(col)], "letter string, image string, distance double")
+    """Letters of each language for those of each other one, by least distance of their sorted transition rows; a task takes pairs of languages."""
+    ship_package(spark)
+    t = _letter_tables(spark, sf)
+    pairs = t.select(F.col("lang").alias("a"), F.col("cells").alias("p")).join(t.select(F.col("lang").alias("b"), F.col("cells").alias("q")), F.col("a") < F.col("b"))
+
+    def run(frames):
+        for f in frames:
+            for r in f.itertuples(index=False):
+                a, b = np.sort(_square(r.p), axis=1), np.sort(_square(r.q), axis=1)
+                cost = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+                col = search.assign(cost)
+                yield pd.DataFrame({"a": r.a, "b": r.b, "letter": list(_ABC), "image": [_ABC[j] for j in col], "distance": np.round(cost[np.arange(26), col], 6)})
+
+    return pairs.mapInPandas(run, "a string, b string, letter string, image string, distance double")
+
+
+def _adjacent(docs, n):
+    """The ``n`` most frequent words of ``docs``, in order, and how often each stands before each: n x n cells at most."""
+    words = [r["tok"] for r in stats.top(stats.word_counts(docs), n).collect()]
+    names = docs.sparkSession.createDataFrame([(w, i) for i, w in enumerate(words)], "tok string, i int")
+    pairs = stats.word_pairs(docs).join(F.broadcast(names.toDF("w1", "i")), "w1").join(F.broadcast(names.toDF("w2", "j")), "w2")
+    m = np.zeros((len(words), len(words)))
+    for r in pairs.select("i", "j", "n").collect():
+        m[r["i"], r["j"]] = r["n"]
+    return words, m
+
+
+def _often(m):
+    """Pairs that stand together more often than their numbers make likely."""
+    both, one = m + m.T, (m + m.T).sum(axis=1)
+    return both * max(one.sum(), 1) > np.outer(one, one)
+
+
+#: Words of a document and of the reference that are mapped, and ranks in which a crib looks for a word of the same first letter.
+MAPPED, IMAGES, CRIB_RANKS = 100, 120, 30
 
 
 @query()
 def annealed_mapping(spark, sf):
+    """Frequent words of the documents mapped to those of the reference: replica exchange over transitions, cribs, ranks and topics."""
     ship_package(spark)
-    return search.anneal_seeds(spark, _letters(spark, sf, "en"), _letters(spark, sf, "fr"), seeds=4, steps=2000)
+    words, m = _adjacent(token_docs(spark, sf), MAPPED)
+    images, k = _adjacent(reference_docs(spark, sf), IMAGES)
+    cribs = np.array([[w[0] == x[0] and abs(i - j) <= CRIB_RANKS for j, x in enumerate(images)] for i, w in enumerate(words)]).reshape(len(words), len(images))
+    rows = lambda x: x / np.maximum(x.sum(axis=1, keepdims=True), 1)
+    problem = anneal.Problem(rows(m), rows(k), cribs, _often(m), _often(k))
+    best = anneal.exchange(spark, problem, chains=2, swaps=len(images) >= len(words))
+    names = F.array(*map(F.lit, words)), F.array(*map(F.lit, images))
+    each = best.select("chain", r6(F.col("cost")).alias("cost"), F.posexplode("image").alias("i", "j"))
+    return each.select("chain", "cost", F.get(names[0], F.col("i")).alias("word"), F.get(names[1], F.col("j")).alias("image"))
 
 
 @query()
 def markov_structure(spark, sf):
-    rows = [(l, *(float(round(v, 6)) for v in search.markov(_letters(spark, sf, l) + 1e-12).values())) for l in ("en", "fr", "de", "es")]
-    return spark.createDataFrame(rows, "lang string, entropy_rate double, second double, mixing double, irreversible double")
+    """Entropy rate, second eigenvalue, mixing time and irreversibility of each language's letters; a task takes languages."""
+    ship_package(spark)
+
+    def run(frames):
+        for f in frames:
+            rows = [(r.lang, *(round(v, 6) for v in search.markov(_square(r.cells) + 1e-12).values())) for r in f.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["lang", "entropy_rate", "second", "mixing", "irreversible"])
+
+    return _letter_tables(spark, sf).mapInPandas(run, "lang string, entropy_rate double, second double, mixing double, irreversible double")
 
 
 def _cooccurrence(spark, sf, n=60):
@@ -197,11 +252,44 @@ def word_clusters(spark, sf):
     return spark.createDataFrame([(t, int(k), s) for t, k in zip(words, label)], "tok string, cluster int, silhouette double")
 
 
-@query()
+def _vocabulary(spark, sf):
+    return token_docs(spark, sf).select(F.coalesce("lang", F.lit("")).alias("g"), F.explode("toks").alias("tok")).distinct()
+
+
+_ENDINGS = f"""WITH {TOKENS}, t AS (SELECT DISTINCT coalesce(lang, '') AS g, tok FROM tokens), p AS (SELECT g, k, left(tok, k) AS s, substr(tok, k + 1) AS rest FROM (SELECT g, tok, unnest(range(length(tok) + 1)) AS k FROM t)),
+st AS (SELECT g, s, k, max(rest = '') AS acc, string_agg(DISTINCT left(rest, 1), '' ORDER BY left(rest, 1)) AS letters, md5(string_agg(rest, ',' ORDER BY rest)) AS tail FROM p GROUP BY 1, 2, 3)"""
+
+
+@query(_ENDINGS + " SELECT g AS lang, count(*) FILTER (acc) AS words, count(*) AS trie, count(DISTINCT (k, acc, letters)) AS merged, count(DISTINCT tail) AS minimal FROM st GROUP BY 1")
 def automaton_states(spark, sf):
-    """Prefix tree and minimal automaton of the dictionary, which is of bounded size."""
-    words = sorted(r["word"] for r in decode.bounded(dictionary(spark, sf), DICTIONARY_WORDS, "the dictionary"))
-    return spark.createDataFrame([(len(words), *search.minimal_states(words))], "words int, trie int, minimal int")
+    """Prefix tree of each language's whole vocabulary; states merged by depth and letters, and the minimal automaton."""
+    states = automata.prefix_tree(_vocabulary(spark, sf))
+    return states.groupBy(F.col("g").alias("lang")).agg(
+        F.count(F.when(F.col("accepting"), 1)).alias("words"), F.count(F.lit(1)).alias("trie"), F.count_distinct("depth", "accepting", "letters").alias("merged"), F.count_distinct("tail").alias("minimal"))
+
+
+#: Letters that a state of the context automaton remembers.
+ORDER = 2
+
+
+def _context_signatures(spark, sf):
+    edges, accepting = automata.contexts(_vocabulary(spark, sf), ORDER)
+    first = edges.select("g").distinct().withColumn("s", F.lit("^" * ORDER))
+    minimal = automata.minimise(edges, accepting).groupBy("g").agg(F.count_distinct("class").alias("minimal"))
+    return automata.topology(edges, accepting, first).join(minimal, "g")
+
+
+@query()
+def context_automaton(spark, sf):
+    """The automaton of two remembered letters of each language, with its cycles: size, depth, branching, and its minimal states by partition refinement."""
+    t = _context_signatures(spark, sf)
+    return t.select(F.col("g").alias("lang"), "states", "transitions", "accepting", "letters", r6(F.col("branching")).alias("branching"), "widest", "depth", "cycles", r6(F.col("density")).alias("density"), "minimal")
+
+
+@query()
+def automaton_likeness(spark, sf):
+    """How alike the context automata of each two languages are."""
+    return automata.likeness(_context_signatures(spark, sf)).select("a", "b", r6(F.col("likeness")).alias("likeness"))
 
 
 @query()
