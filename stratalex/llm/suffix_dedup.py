@@ -32,7 +32,7 @@ from stratalex.llm.suffix_array import recurring_offsets
 
 LEAST = 200
 #: Different surroundings of one gram that meet in one part; more are split by longer strings.
-PART = 1024
+PART = 256
 #: Bytes of surroundings sorted at a time.
 SORTED_BYTES = 8 << 20
 
