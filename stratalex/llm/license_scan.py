@@ -195,6 +195,17 @@ class Scanner:
             order = sorted(range(len(wording)), key=lambda i: (spread[wording[i]], -len(wording[i]), i))
             for w in {wording[i] for i in order[: room + 1]}:
                 self.cues.setdefault(w, []).append(k)
+        #: The wordings that have a word, and how many different words of each must be there.
+        self.having: dict[str, list[int]] = {}
+        for k, (_, wording, _) in enumerate(self.wordings):
+            for w in set(wording):
+                self.having.setdefault(w, []).append(k)
+        self.needed = [len(set(wording)) - room for _, wording, room in self.wordings]
+
+    def possible(self, own: set[str]) -> set[int]:
+        """Wordings of which a text of these words has enough different ones."""
+        count = Counter(k for w in own & self.having.keys() for k in self.having[w])
+        return {k for k, n in count.items() if n >= self.needed[k]}
 
     def reduction(self, block: str, name: str) -> float:
         """Share of the block's compressed size that the license's texts save."""
@@ -232,12 +243,13 @@ class Scanner:
             return None
         return int(cost[-1, end]), j, end, missing[::-1], added[::-1]
 
-    def blocks(self, places: list[tuple]) -> list[tuple[int, int, dict[int, list[int]]]]:
+    def blocks(self, places: list[tuple], possible: set[int]) -> list[tuple[int, int, dict[int, list[int]]]]:
         """(from, to, places of cues by wording) of the stretches of a text that hold enough words of some wording; overlapping ones are one block."""
         seen: dict[int, list[int]] = {}
         for i, (w, _, _) in enumerate(places):
             for k in self.cues.get(w, ()):
-                seen.setdefault(k, []).append(i)
+                if k in possible:
+                    seen.setdefault(k, []).append(i)
         spans = []
         for k, hits in seen.items():
             _, wording, room = self.wordings[k]
@@ -266,8 +278,11 @@ class Scanner:
         and the least share of words that differ wins, then the longer wording, then the higher rank.
         What stands before and after the notice is a block again.
         """
+        possible = self.possible(set(words(text)))
+        if not possible:
+            return []
         places = [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(text)]
-        todo = [(low, high) for low, high, _ in self.blocks(places)]
+        todo = [(low, high) for low, high, _ in self.blocks(places, possible)]
         out = []
         while todo:
             low, high = todo.pop()
