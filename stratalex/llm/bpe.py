@@ -19,6 +19,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Words kept with their ids in a worker, before it starts anew.
 CACHE_WORDS = 400_000
 NONE = np.int64(1 << 40)
+#: Words of more bytes are merged by themselves, with ranks kept in stretches of so many places.
+LONG, STRETCH = 2048, 512
 
 
 def byte_symbols() -> list[str]:
@@ -57,6 +59,10 @@ class BpeCodec:
 
     def merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of each word. A round merges, in every word at once, all its pairs of lowest rank from left to right."""
+        long = {i for i, w in enumerate(words) if len(w) > LONG}
+        if long:
+            short = iter(self.merge([w for i, w in enumerate(words) if i not in long]))
+            return [self.merge_long(w) if i in long else next(short) for i, w in enumerate(words)]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         sym = self.base[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), sizes)
@@ -99,6 +105,52 @@ class BpeCodec:
         flat = sym[order].tolist()
         return [tuple(flat[s:e]) for s, e in zip([0, *ends[:-1]], ends)]
 
+    def merge_long(self, word: bytes) -> tuple[int, ...]:
+        """Ids of one long word. Rounds as above, but a round looks only at the places whose pairs have changed.
+
+        Symbols are linked, so none moves. The lowest rank is found by the
+        lowest of each stretch of places, which is kept up to date where a pair has changed.
+        """
+        n = len(word)
+        stretches = -(-n // STRETCH)
+        sym = np.append(self.base[np.frombuffer(word, np.uint8)], -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        rank, made = np.full(stretches * STRETCH, NONE), np.zeros(stretches * STRETCH, np.int64)
+
+        def price(at: np.ndarray) -> None:
+            rank[at] = NONE
+            at = at[after[at] < n]
+            key = sym[at] << 20 | sym[after[at]]
+            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[found] == key
+            rank[at[hit]], made[at[hit]] = self.ranks[found[hit]], self.made[found[hit]]
+
+        price(np.arange(n))
+        low = rank.reshape(stretches, STRETCH).min(axis=1)
+        while (best := low.min()) != NONE:
+            near = np.flatnonzero(low == best)
+            row, col = np.nonzero(rank.reshape(stretches, STRETCH)[near] == best)
+            pos = near[row] * STRETCH + col
+            # in a run of overlapping pairs (a a a) every second one merges
+            lone = np.concatenate(([True], after[pos[:-1]] != pos[1:]))
+            start = np.maximum.accumulate(np.where(lone, np.arange(len(pos)), 0))
+            pos = pos[(np.arange(len(pos)) - start) % 2 == 0]
+            gone = after[pos]
+            sym[pos] = made[pos]
+            rank[gone] = NONE
+            after[pos] = after[gone]
+            before[np.minimum(after[pos], n)] = pos
+            changed = np.concatenate([pos, before[pos]])
+            changed = np.unique(changed[changed >= 0])
+            price(changed)
+            touched = np.unique(np.concatenate([changed, gone]) // STRETCH)
+            low[touched] = rank.reshape(stretches, STRETCH)[touched].min(axis=1)
+        out, at = [], 0
+        while at < n:
+            out.append(int(sym[at]))
+            at = int(after[at])
+        return tuple(out)
+
     def pieces(self, text: str) -> list[str]:
         """The words of a text; a special token is a piece of its own."""
         if not self.split or not self.split.search(text):

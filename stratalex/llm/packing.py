@@ -14,23 +14,30 @@ from pyspark.sql import functions as F
 from stratalex.llm.common import chunks, materialize
 
 
+#: Equal rows that one row is written out as at a time.
+WRITTEN = 65_536
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, source, n, cluster, serial): words without ASCII white space, and the duplicate cluster (same words, A-Z lower-cased).
 
-    ``serial`` numbers the rows of a task, so that equal rows differ.
+    ``serial`` numbers equal rows. They are counted and written out again, so
+    numbers do not follow how rows are dealt over tasks. A null text has no words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        serial = 0
         for batch in chunks(batches, "text", 16 << 20):
             words = [(t or b"").lower().split() for t in batch.column("text").to_pylist()]
             cluster = np.array([xxhash.xxh64_intdigest(b" ".join(w)) for w in words], np.uint64).view(np.int64)
-            cols = [batch.column("doc_id"), batch.column("source"), pa.array([len(w) for w in words], pa.int64()), pa.array(cluster), pa.array(np.arange(serial, serial + len(words)))]
-            serial += len(words)
-            yield pa.record_batch(cols, names=["doc_id", "source", "n", "cluster", "serial"])
+            cols = [batch.column("doc_id"), batch.column("source"), pa.array([len(w) for w in words], pa.int64()), pa.array(cluster)]
+            yield pa.record_batch(cols, names=["doc_id", "source", "n", "cluster"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("binary"))
-    return rows.mapInArrow(run, "doc_id long, source string, n long, cluster long, serial long")
+    key = ["doc_id", "source", "n", "cluster"]
+    each = rows.mapInArrow(run, "doc_id long, source string, n long, cluster long").groupBy(*key).agg(F.count(F.lit(1)).alias("k"))
+    part = each.select(*key, "k", F.explode(F.sequence(F.lit(0), F.floor((F.col("k") - 1) / WRITTEN))).alias("part"))
+    serial = F.sequence(F.col("part") * WRITTEN, F.least(F.col("k"), (F.col("part") + 1) * WRITTEN) - 1)
+    return part.select(*key, F.explode(serial).alias("serial"))
 
 
 class Bins:
@@ -86,10 +93,10 @@ def pack(docs: DataFrame, capacity: int = 4096, per_source: int = 4, block_rows:
     A document longer than ``capacity`` words is cut into whole bins and a
     rest. No bin holds two documents of one duplicate cluster, nor more than
     ``per_source`` of one source (null is a source). Rows are dealt by a hash of
-    their id, content and number within their task into blocks of about ``block_rows``, each packed in
-    decreasing size; bins of different blocks are never shared. A row without
-    words has bin null and length 0. Equal rows are packed each, in different
-    blocks as it falls. A very long text is one row whose words are counted; an
+    their id, content and number among equal rows into blocks of about ``block_rows``, each packed in
+    decreasing size; bins of different blocks are never shared, and do not follow how the rows came. A row without
+    words (a null text, say) has bin null and length 0. Equal rows are packed each, in different
+    blocks as it falls; a null id is packed like others. A very long text is one row whose words are counted; an
     empty table gives none; other columns are not read.
     """
     items, _ = materialize(sizes(docs), "pack-items")
