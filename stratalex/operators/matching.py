@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalex.functions.text import fuzzy_reach, segments, skeleton
+from stratalex.operators.stats import log_gamma
 
 
 def skeleton_index(words: DataFrame) -> DataFrame:
@@ -103,15 +104,30 @@ def consensus(resolved: DataFrame, least: int = 3, agreement: float = 0.6) -> Da
 
 
 def binomial_tail(k: Column, m: Column, p: Column) -> Column:
-    """P(Bin(m, p) >= k) without a table: the first term from logarithms, the others by ratios. 1 for k <= 0 or p >= 1."""
-    lead = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(k, F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + F.log((m - k + i) / i)
-    ) + k * F.log(p) + (m - k) * F.log1p(-p)
-    steps = F.when(m > k, F.sequence(k.cast("int"), (m - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    start = F.struct(F.exp(lead).alias("t"), F.exp(lead).alias("s"))
-
-    def add(acc, i):
-        t = acc["t"] * (m - i) / (i + 1) * p / (1 - p)
-        return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
-
-    return F.when((k <= 0) | (p >= 1), 1.0).otherwise(F.least(F.aggregate(steps, start, add)["s"], F.lit(1.0)))
+    """P(Bin(m, p) >= k) without a table: the incomplete beta function by its continued fraction. 1 for k <= 0 or p >= 1, 0 for k > m or p <= 0.
+
+    The fraction ends after a number of turns that grows with the root of m at most.
+    """
+    k, m, p = k.cast("double"), m.cast("double"), p.cast("double")
+    a, b = k, m - k + 1
+    # the fraction converges fast on the side of the mean where x is small
+    turned = p > (a + 1) / (a + b + 2)
+    u, v, x = F.when(turned, b).otherwise(a), F.when(turned, a).otherwise(b), F.when(turned, 1 - p).otherwise(p)
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(p) + b * F.log1p(-p)) / u
+    turns = F.sequence(F.lit(1), (F.lit(60) + F.ceil(6 * F.sqrt(F.greatest(a, b)))).cast("int"))
+    safe = lambda z: F.when(F.abs(z) < 1e-300, 1e-300).otherwise(z)
+
+    # Lentz's scheme, two terms a turn: the value and the two running ratios
+    def turn(state, j):
+        j = j.cast("double")
+        even = j * (v - j) * x / ((u + 2 * j - 1) * (u + 2 * j))
+        odd = -(u + j) * (u + v + j) * x / ((u + 2 * j) * (u + 2 * j + 1))
+        d, c = 1 / safe(1 + even * state["d"]), safe(1 + even / state["c"])
+        d2, c2 = 1 / safe(1 + odd * d), safe(1 + odd / c)
+        return F.struct(d2.alias("d"), c2.alias("c"), (state["h"] * d * c * d2 * c2).alias("h"))
+
+    d0 = 1 / safe(1 - (u + v) * x / (u + 1))
+    start = F.struct(d0.alias("d"), F.lit(1.0).alias("c"), d0.alias("h"))
+    part = front * F.aggregate(turns, start, turn)["h"]
+    tail = F.when(turned, 1 - part).otherwise(part)
+    return F.when((k <= 0) | (p >= 1), 1.0).when((k > m) | (p <= 0), 0.0).otherwise(F.greatest(F.least(tail, F.lit(1.0)), F.lit(0.0)))

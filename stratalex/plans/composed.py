@@ -349,11 +349,11 @@ def syllabify_onsets(spark, sf):
     return t.select("tok", "syl", F.size(F.split("syl", "-")).cast("long").alias("n"))
 
 
-_GC = """ps AS (SELECT ch, sum(CASE WHEN i = 1 AND len > 1 THEN c ELSE 0 END) AS ini, sum(CASE WHEN i = len AND len > 1 THEN c ELSE 0 END) AS fin, sum(c) AS n FROM (SELECT substr(tok, CAST(i AS BIGINT), 1) AS ch, i, length(tok) AS len, c FROM (SELECT tok, c, unnest(range(1, length(tok) + 1)) AS i FROM types)) GROUP BY 1),
-gc AS (SELECT coalesce(string_agg(ch, '' ORDER BY ch) FILTER (ini * 1.0 / n >= 0.25), '0') AS p, coalesce(string_agg(ch, '' ORDER BY ch) FILTER (fin * 1.0 / n >= 0.25), '0') AS s FROM ps)"""
+_GC = """ps AS MATERIALIZED (SELECT ch, sum(CASE WHEN i = 1 AND len > 1 THEN c ELSE 0 END) AS ini, sum(CASE WHEN i = len AND len > 1 THEN c ELSE 0 END) AS fin, sum(c) AS n FROM (SELECT substr(tok, CAST(i AS BIGINT), 1) AS ch, i, length(tok) AS len, c FROM (SELECT tok, c, unnest(range(1, length(tok) + 1)) AS i FROM types)) GROUP BY 1),
+gc AS MATERIALIZED (SELECT coalesce(string_agg(ch, '' ORDER BY ch) FILTER (ini * 1.0 / n >= 0.25), '0') AS p, coalesce(string_agg(ch, '' ORDER BY ch) FILTER (fin * 1.0 / n >= 0.25), '0') AS s FROM ps)"""
 
 
-@query(f"""WITH {TOKENS}, {_T}, {_GC}, x AS (SELECT tok, regexp_extract(tok, '^[' || p || ']*') AS pre, regexp_extract(tok, '[' || s || ']*$') AS suf FROM types, gc)
+@query(f"""WITH {TOKENS}, {_T}, {_GC}, x AS (SELECT tok, left(tok, length(tok) - length(ltrim(tok, p))) AS pre, right(tok, length(tok) - length(rtrim(tok, s))) AS suf FROM types, gc)
 SELECT tok, pre AS prefix, suf AS suffix, substr(tok, length(pre) + 1, greatest(length(tok) - length(pre) - length(suf), 0)) AS root FROM x""")
 def positional_parts(spark, sf):
     """Words as the letters at the front that mostly begin words, the letters at the end that mostly end them, and the rest between.

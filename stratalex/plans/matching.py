@@ -48,13 +48,13 @@ def exact_match(spark, sf):
 
 def _holes(name, rows):
     """Skeletons with one segment left out: one edit of the joined text changes one segment and adds none."""
-    return (f"{name} AS (SELECT skel, array_to_string(list_transform(string_split(skel, '-'), lambda x, i: CASE WHEN i = k + 1 THEN '_' ELSE x END), '-') AS hole "
+    return (f"{name} AS MATERIALIZED (SELECT skel, array_to_string(list_transform(string_split(skel, '-'), lambda x, i: CASE WHEN i = k + 1 THEN '_' ELSE x END), '-') AS hole "
             f"FROM (SELECT skel, unnest(range(len(string_split(skel, '-')))) AS k FROM ({rows})))")
 
 
-_FUZZY = f"""sk AS (SELECT DISTINCT skel FROM types WHERE len(string_split(skel, '-')) > 4 AND skel NOT IN (SELECT skel FROM idx)),
+_FUZZY = f"""sk AS MATERIALIZED (SELECT DISTINCT skel FROM types WHERE len(string_split(skel, '-')) > 4 AND skel NOT IN (SELECT skel FROM idx)),
 {_holes("hl", "SELECT skel FROM sk")}, {_holes("hr", "SELECT DISTINCT skel FROM idx WHERE len(string_split(skel, '-')) > 4")},
-near AS (SELECT DISTINCT hl.skel, hr.skel AS near, levenshtein(hl.skel, hr.skel) AS dist FROM hl JOIN hr ON hl.hole = hr.hole WHERE levenshtein(hl.skel, hr.skel) <= 1)"""
+near AS MATERIALIZED (SELECT DISTINCT hl.skel, hr.skel AS near, levenshtein(hl.skel, hr.skel) AS dist FROM hl JOIN hr ON hl.hole = hr.hole WHERE levenshtein(hl.skel, hr.skel) <= 1)"""
 
 
 @query(f"{_BASE}, {_FUZZY} SELECT t.tok, t.skel, i.word, n.dist FROM types t JOIN near n ON n.skel = t.skel JOIN idx i ON i.skel = n.near")

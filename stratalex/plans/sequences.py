@@ -10,11 +10,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratalex.functions import text as ft
-from stratalex.operators import anneal, automata, decode, graph, search, stats, syllables
+from stratalex.operators import anneal, automata, decode, factors, graph, search, stats, syllables
 from stratalex.plans.registry import query
 from stratalex.plans.sqltext import CHARS, DICT, PAIRS, TOKENS
 from stratalex.plans.statistics import char_transitions
-from stratalex.session import ship_package
+from stratalex.session import Tables, ship_package
 from stratalex.sources.tables import dictionary, reference_bigrams, reference_docs, token_docs
 
 #: Bounds of the reference tables that every worker gets whole; larger ones are an error.
@@ -221,35 +221,44 @@ def markov_structure(spark, sf):
     return _letter_tables(spark, sf).mapInPandas(run, "lang string, entropy_rate double, second double, mixing double, irreversible double")
 
 
-def _cooccurrence(spark, sf, n=60):
+#: Words that have topics and clusters, how far apart they stand together, topics, and steps of the factors.
+VOCABULARY, NEAR, TOPICS, TOPIC_STEPS = 2000, 5, 5, 15
+#: Spectral directions, their steps, and the numbers of clusters that are tried.
+DIRECTIONS, SPECTRAL_STEPS, CLUSTERS = 8, 15, range(3, 9)
+
+
+def _together(spark, sf, words, tables):
+    """(names, cells): the frequent words by number, and how often they stand near each other."""
     docs = token_docs(spark, sf)
-    words = [r["tok"] for r in stats.top(stats.word_counts(docs), n).collect()]
-    best = spark.createDataFrame([(w,) for w in words], "tok string")
-    rows = stats.word_pairs(docs).join(F.broadcast(best.withColumnRenamed("tok", "w1")), "w1", "left_semi").join(F.broadcast(best.withColumnRenamed("tok", "w2")), "w2", "left_semi").collect()
-    m, at = np.zeros((n, n)), {w: i for i, w in enumerate(words)}
-    for r in rows:  # n x n at most
-        m[at[r["w1"]], at[r["w2"]]] += r["n"]
-    return words, m + m.T
+    ranked = stats.top(stats.word_counts(docs), words)
+    names = tables.put(ranked.select("tok", (F.row_number().over(Window.orderBy(F.desc("c"), "tok")) - 1).alias("i")), "names")
+    return names, tables.put(factors.cooccurrence(docs, names, NEAR), "cells")
 
 
 @query()
 def topic_factors(spark, sf):
-    """Topics of frequent words by non-negative factors of their co-occurrence."""
-    words, m = _cooccurrence(spark, sf)
-    w, _ = search.nmf(m, 5)
-    return spark.createDataFrame([(t, int(w[i].argmax()), float(round(w[i].max() / max(w[i].sum(), 1e-12), 6))) for i, t in enumerate(words)], "tok string, topic int, weight double")
+    """Topics of two thousand words by non-negative factors of how often they stand near each other."""
+    tables = Tables(spark)
+    names, cells = _together(spark, sf, VOCABULARY, tables)
+    w, _, losses = factors.nmf(cells, TOPICS, TOPIC_STEPS)
+    most = F.array_max("v")
+    found = names.join(w, "i").select("tok", (F.array_position("v", most) - 1).cast("int").alias("topic"), r6(most / F.greatest(F.aggregate("v", F.lit(0.0), lambda s, a: s + a), F.lit(1e-12))).alias("weight"))
+    return found.withColumn("loss", F.lit(losses[-1]))
 
 
 @query()
 def word_clusters(spark, sf):
-    """Clusters of frequent words by their leading spectral coordinates, with the silhouette of the whole."""
-    words, m = _cooccurrence(spark, sf)
-    d = 1 / np.sqrt(np.maximum(m.sum(axis=1), 1e-12))
-    _, vec = np.linalg.eigh(d[:, None] * m * d[None])
-    x = vec[:, -4:]
-    label = search.kmeans(x, 4)
-    s = float(round(search.silhouette(x, label), 6))
-    return spark.createDataFrame([(t, int(k), s) for t, k in zip(words, label)], "tok string, cluster int, silhouette double")
+    """Clusters of two thousand words by spectral coordinates; the number of clusters whose silhouette is best."""
+    tables = Tables(spark)
+    names, cells = _together(spark, sf, VOCABULARY, tables)
+    q, _ = factors.spectral(cells, DIRECTIONS, SPECTRAL_STEPS)
+    best = None
+    for k in CLUSTERS:
+        labels, centres = factors.kmeans(q, k, DIRECTIONS)
+        score = factors.simplified_silhouette(labels, centres)
+        if best is None or score > best[0]:
+            best = (score, len(centres), labels)
+    return names.join(best[2], "i").select("tok", F.col("label").alias("cluster"), F.lit(best[1]).alias("clusters"), F.lit(round(best[0], 6)).alias("silhouette"))
 
 
 def _vocabulary(spark, sf):

@@ -7,6 +7,7 @@ import time
 from itertools import permutations
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -275,3 +276,55 @@ def test_greedy_sets_match_the_plain_loop(spark):
         if not hit:
             seeds.append(m)
     assert got == want
+
+
+def test_sums_of_logarithms_over_any_number_of_ranks(spark):
+
+    cases = [(1, 1), (1, 255), (1, 256), (3, 900), (256, 256), (700, 699), (254, 5000), (300, 100_000)]
+    df = spark.createDataFrame(cases, "a long, b long")
+    for power in (1, 2):
+        got = [r[0] for r in df.select(stats.log_sums(F.col("a"), F.col("b"), power)).collect()]
+        for (a, b), x in zip(cases, got):
+            assert x == pytest.approx(math.fsum(math.log(r) ** power for r in range(a, b + 1)), rel=1e-12, abs=1e-10)
+    big = spark.createDataFrame([(1, 10**9)], "a long, b long").select(stats.log_sums(F.col("a"), F.col("b"), 1)).first()[0]
+    assert big == pytest.approx(math.lgamma(10**9 + 1), rel=1e-12)
+    z = spark.createDataFrame([(x,) for x in (1.0, 1.5, 2.0, 7.3, 100.0, 1e8)], "z double").select("z", stats.log_gamma(F.col("z"))).collect()
+    assert [r[1] for r in z] == [pytest.approx(math.lgamma(r[0]), rel=1e-11, abs=1e-9) for r in z]
+
+
+def test_zipf_of_ten_million_hapaxes(spark):
+    """One frequency of 10^7 types, as counts of counts would give it: the slope equals that of all ranks."""
+    few = [("x", c, 1) for c in (50, 20, 9, 4)]
+    rows = spark.createDataFrame(few, "lang string, c long, k int").select("lang", F.lit("w").alias("tok"), "c").unionByName(spark.range(10**6).select(F.lit("x").alias("lang"), F.col("id").cast("string").alias("tok"), F.lit(1).cast("long").alias("c")))
+    z = stats.zipf(rows, "lang").first()
+    rank, c = np.arange(1, 10**6 + 5), np.concatenate([[50, 20, 9, 4], np.ones(10**6)])
+    slope = np.polyfit(np.log(rank), np.log(c + 1e-10), 1)[0]
+    assert z.exponent == pytest.approx(-slope, rel=1e-6) and z.types == 10**6 + 4 and z.total == 83 + 10**6
+    low, high = F.lit(5).cast("long"), F.lit(10**7 + 4).cast("long")
+    one = spark.range(1).select(stats.log_sums(low, high, 1), stats.log_sums(low, high, 2)).first()
+    r = np.log(np.arange(5, 10**7 + 5))
+    assert one[0] == pytest.approx(r.sum(), rel=1e-11) and one[1] == pytest.approx((r * r).sum(), rel=1e-11)
+
+
+def test_binomial_tail_of_a_hundred_million(spark):
+
+    def tail(k, m, p):
+        """Sum of the terms that matter, from the largest on."""
+        first = max(k, int(m * p))
+        out = 0.0
+        for step in (1, -1):
+            i = first if step == 1 else first - 1
+            while k <= i <= m:
+                t = math.exp(math.lgamma(m + 1) - math.lgamma(i + 1) - math.lgamma(m - i + 1) + i * math.log(p) + (m - i) * math.log1p(-p))
+                out += t
+                if t < 1e-18 * max(out, 1e-300) or abs(i - first) > 300_000:
+                    break
+                i += step
+        return out
+
+    cases = [(3, 10, 0.2), (0, 5, 0.5), (6, 5, 0.5), (5, 5, 0.5), (1, 10**8, 1e-9), (50_001_000, 10**8, 0.5), (49_990_000, 10**8, 0.5), (10_100_000, 10**8, 0.1), (200, 10**6, 1e-4), (5, 9, 0.0), (5, 9, 1.0)]
+    df = spark.createDataFrame(cases, "k long, m long, p double")
+    got = [r[0] for r in df.select(matching.binomial_tail(F.col("k"), F.col("m"), F.col("p"))).collect()]
+    for (k, m, p), x in zip(cases, got):
+        want = 1.0 if k <= 0 or p >= 1 else 0.0 if k > m or p <= 0 else tail(k, m, p)
+        assert x == pytest.approx(want, rel=2e-5, abs=1e-12), (k, m, p)
