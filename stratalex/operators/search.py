@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 
 def assign(cost: np.ndarray) -> np.ndarray:
@@ -36,47 +38,6 @@ def assign(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def nmf(x: np.ndarray, rank: int, steps: int = 200, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Non-negative factors by multiplicative updates."""
-    rng = np.random.default_rng(seed)
-    w, h = rng.random((x.shape[0], rank)) + 0.1, rng.random((rank, x.shape[1])) + 0.1
-    for _ in range(steps):
-        h *= (w.T @ x) / (w.T @ w @ h + 1e-10)
-        w *= (x @ h.T) / (w @ h @ h.T + 1e-10)
-    return w, h
-
-
-def kmeans(x: np.ndarray, k: int, steps: int = 50, seed: int = 0) -> np.ndarray:
-    """Cluster of each row; the first centres are spread out, empty clusters take the farthest row."""
-    rng = np.random.default_rng(seed)
-    centres = [x[rng.integers(len(x))]]
-    while len(centres) < k:
-        centres.append(x[np.argmax(np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0))])
-    c = np.array(centres)
-    label = np.zeros(len(x), int)
-    for _ in range(steps):
-        d = ((x[:, None] - c[None]) ** 2).sum(axis=2)
-        new = d.argmin(axis=1)
-        c = np.array([x[new == i].mean(axis=0) if (new == i).any() else x[d.min(axis=1).argmax()] for i in range(k)])
-        if (new == label).all():
-            break
-        label = new
-    return label
-
-
-def silhouette(x: np.ndarray, label: np.ndarray) -> float:
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
-    out = []
-    for i in range(len(x)):
-        own = (label == label[i]) & (np.arange(len(x)) != i)
-        if not own.any():
-            continue
-        a = d[i, own].mean()
-        b = min(d[i, label == other].mean() for other in set(label.tolist()) - {label[i]}) if len(set(label.tolist())) > 1 else a
-        out.append((b - a) / max(a, b, 1e-12))
-    return float(np.mean(out)) if out else 0.0
-
-
 def markov(p: np.ndarray) -> dict[str, float]:
     """Stationary entropy rate, second eigenvalue, mixing time and departure from reversibility of a chain."""
     p = p / np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
@@ -90,68 +51,86 @@ def markov(p: np.ndarray) -> dict[str, float]:
     return {"entropy_rate": rate, "second": float(second), "mixing": float(-1 / np.log(max(min(second, 1 - 1e-12), 1e-12))), "irreversible": float(np.abs(flow - flow.T).sum() / 2)}
 
 
-def minimal_states(words: list[str]) -> tuple[int, int]:
-    """(states of the trie, states after merging those with equal right languages) of an acyclic automaton."""
-    trie: list[dict[str, int]] = [{}]
-    final: list[bool] = [False]
-    for w in words:
-        s = 0
-        for ch in w:
-            if ch not in trie[s]:
-                trie[s][ch] = len(trie)
-                trie.append({})
-                final.append(False)
-            s = trie[s][ch]
-        final[s] = True
-    cls: dict[int, int] = {}
-    seen: dict[tuple, int] = {}
-    for s in range(len(trie) - 1, -1, -1):  # children come after their parents
-        key = (final[s], tuple(sorted((ch, cls[t]) for ch, t in trie[s].items())))
-        cls[s] = seen.setdefault(key, len(seen))
-    return len(trie), len(seen)
-
-
-def chain_texts(spark: SparkSession, words: list[str], counts: np.ndarray, seeds: int = 8, length: int = 50) -> DataFrame:
-    """(seed, text): words drawn one after the other by the rows of ``counts``; a row without counts starts anew."""
-    held = spark.sparkContext.broadcast((words, counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-300)))
+def chained(docs: DataFrame, after: dict[str, tuple[list[str], list[float]]], seed: int = 1) -> DataFrame:
+    """(doc_id, text): a text of ``n`` words for each of ``docs`` (doc_id, n), drawn one after the other by ``after`` (next words, shares up to each); a word without a next one starts anew.
+
+    Draws follow from the id alone. The table of next words is a reference of checked size.
+    """
+    held = docs.sparkSession.sparkContext.broadcast((after, sorted(after)))
 
     def run(frames):
-        names, p = held.value
+        table, names = held.value
         for f in frames:
-            for s in f["id"]:
-                rng = np.random.default_rng(int(s))
-                at, out = int(rng.integers(len(names))) if names else 0, []
-                for _ in range(length if names else 0):
-                    out.append(names[at])
-                    at = int(rng.choice(len(names), p=p[at] / p[at].sum())) if p[at].sum() > 0.5 else int(rng.integers(len(names)))
-                yield pd.DataFrame({"seed": [s], "text": [" ".join(out)]})
-
-    return spark.range(seeds).repartition(seeds, "id").mapInPandas(run, "seed long, text string")
+            texts = []
+            for ident, n in zip(f["doc_id"], f["n"]):
+                luck = np.random.default_rng([seed, int(ident) % 2**63]).random(int(n) + 1).tolist() if names else []
+                out, last = [], None
+                for u in luck[: int(n)]:
+                    nexts = table.get(last)
+                    last = nexts[0][min(bisect_right(nexts[1], u), len(nexts[0]) - 1)] if nexts else names[int(u * len(names))]
+                    out.append(last)
+                texts.append(" ".join(out))
+            yield pd.DataFrame({"doc_id": f["doc_id"], "text": texts})
+
+    return docs.where("doc_id is not null").select("doc_id", "n").mapInPandas(run, "doc_id long, text string")
+
+
+#: Letter sets that a round decides one by one, and seeds that tasks may hold.
+ROUND_SETS, MOST_SEEDS = 4096, 1_000_000
+
+
+def _seed_of(masks: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Place of the first of ``seeds`` with which each set shares over half of both, or -1."""
+    out = np.full(len(masks), -1, np.int64)
+    for at in range(0, len(masks), 1024):
+        part = masks[at : at + 1024, None]
+        hit = 2 * np.bitwise_count(part & seeds[None]).astype(np.int64) > np.bitwise_count(part | seeds[None])
+        out[at : at + 1024] = np.where(hit.any(axis=1), hit.argmax(axis=1), -1) if len(seeds) else -1
+    return out
 
 
-def greedy_sets(first):
+def greedy_sets(first: DataFrame) -> DataFrame:
     """(mask, seed) of ``first`` (mask int of 26 bits, first): in the order of ``first``, a set joins the earliest seed it shares over half with, else it is a seed.
 
-    One row a distinct letter set, which 26 letters bound; the scan is in numpy.
+    In rounds. The first open sets, a bounded number, are decided in order; then all tasks
+    drop the sets that one of the seeds takes. Later seeds come after them in the order, so what is
+    dropped is decided for good. Seeds lie far apart, so rounds are few.
     """
-    import pandas as pd
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        masks = frame.sort_values(["first", "mask"])["mask"].to_numpy(np.int64)
-        seeds, owner = np.zeros(0, np.int64), []
-        for mask in masks.tolist():
-            both = np.bitwise_count(seeds & mask).astype(np.int64)
-            hit = np.flatnonzero(2 * both > np.bitwise_count(seeds | mask))
-            if len(hit):
-                owner.append(int(seeds[hit[0]]))
-            else:
+    from stratalex.session import Tables
+
+    spark, before = first.sparkSession, Tables(first.sparkSession)
+    open_ = all_ = before.put(first.select("mask", "first"), "sets")
+    keep = before
+    seeds = np.zeros(0, np.int64)
+    while True:
+        head = np.array([r["mask"] for r in open_.orderBy("first", "mask").limit(ROUND_SETS).collect()], np.int64)
+        if not len(head):
+            break
+        for mask in head.tolist():
+            if _seed_of(np.array([mask]), seeds)[0] < 0:
                 seeds = np.append(seeds, mask)
-                owner.append(mask)
-        return pd.DataFrame({"mask": masks.astype(np.int32), "seed": np.array(owner, np.int32)})
+        if len(seeds) > MOST_SEEDS:
+            raise ValueError(f"more than {MOST_SEEDS} clusters of letter sets")
+        fresh = Tables(spark)
+        open_ = fresh.put(open_.mapInPandas(_kept(spark.sparkContext.broadcast(seeds), False), "mask int, first string"), "sets")
+        if before is not keep:
+            before.drop()
+        before = fresh
+    result = Tables(spark).put(all_.mapInPandas(_kept(spark.sparkContext.broadcast(seeds), True), "mask int, seed int"), "seeds")
+    before.drop()
+    keep.drop()
+    return result
+
+
+def _kept(held, which: bool):
+    """The sets that no seed takes, or each set with the seed that takes it."""
 
-    from pyspark.sql import functions as F
+    def run(frames):
+        for f in frames:
+            at = _seed_of(f["mask"].to_numpy(np.int64), held.value)
+            yield pd.DataFrame({"mask": f["mask"], "seed": held.value[at].astype(np.int32)}) if which else f[at < 0]
 
-    return first.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, "mask int, seed int")
+    return run
 
 
 def rank_pairs(words: list[str], others: list[str], window: int, keep: int) -> list[tuple[str, int, str, int, str]]:
@@ -169,19 +148,24 @@ def rank_pairs(words: list[str], others: list[str], window: int, keep: int) -> l
     return out
 
 
-def carry(bits: list[int], after: dict[str, list[str]], start: list[str], limit: int) -> list[str]:
-    """A text whose choices between two next words spell ``bits``; where a word has no next one, the text goes on with a word of ``start`` in turn."""
-    out, at, turn = [start[0]], 0, 1
-    while at < len(bits) and len(out) < limit:
+#: Words without a choice that follow each other before a text goes on elsewhere.
+NO_CHOICE = 64
+
+
+def carry(bits: list[int], after: dict[str, list[str]], start: list[str]) -> list[str]:
+    """A text whose choices between two next words spell ``bits``; where a word has no next one, or none has a choice for long, the text goes on with a word of ``start`` in turn, each of which has one."""
+    out, at, turn, idle = [start[0]], 0, 1, 0
+    while at < len(bits):
         nexts = after.get(out[-1], [])
         if len(nexts) > 1:
             out.append(nexts[bits[at]])
-            at += 1
-        elif nexts:
+            at, idle = at + 1, 0
+        elif nexts and idle < NO_CHOICE:
             out.append(nexts[0])
+            idle += 1
         else:
             out.append(start[turn % len(start)])
-            turn += 1
+            turn, idle = turn + 1, 0
     return out
 
 
@@ -203,7 +187,7 @@ def carried(docs, after: dict[str, list[str]]):
             rows = []
             for ident, message in zip(batch.column("doc_id").to_pylist(), batch.column("message").to_pylist()):
                 bits = [int(b) for c in message for b in f"{ord(c):08b}"] if first else []
-                words = carry(bits, own, first[(ident or 0) % len(first) :] + first, 100_000) if first else []
+                words = carry(bits, own, first[(ident or 0) % len(first) :] + first[: (ident or 0) % len(first)]) if first else []
                 rows.append((ident, len(bits), len(words), carried_bits(words, own)[: len(bits)] == bits))
             cols = zip(*rows) if rows else ((),) * 4
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["doc_id", "bits", "words", "same"])

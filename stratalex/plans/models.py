@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from stratalex.plans.sequences import _ABC, _KEY
 from stratalex.plans.sqltext import CHARS, DICT, TOKENS, skeleton
 from stratalex.plans.statistics import profile
 from stratalex.session import drop_path, materialize, ship_package
-from stratalex.sources.tables import dictionary, fixed, table, token_docs
+from stratalex.sources.tables import dictionary, fixed, reference_bigrams, table, token_docs
 
 r6 = lambda c: F.round(c, 6)
 #: Places are dealt in buckets of about so many when words change places over all documents; each is sorted by itself.
@@ -106,11 +108,61 @@ def slot_words(spark, sf):
 
 @query()
 def markov_text(spark, sf):
-    """Eight texts of fifty words from the transitions of the sixty most frequent words, by seed."""
-    from stratalex.plans.sequences import _cooccurrence
+    """A text for each document, as long as it is, drawn by the transitions of the reference's words."""
+    from stratalex.operators.decode import bounded
+    from stratalex.plans.sequences import DICTIONARY_WORDS
 
     ship_package(spark)
-    return search.chain_texts(spark, *_cooccurrence(spark, sf), seeds=8, length=50)
+    w = Window.partitionBy("w1").orderBy("w2")
+    share = reference_bigrams(spark, sf).select("w1", "w2", F.sum("p").over(w).alias("upto"))
+    after: dict[str, tuple[list[str], list[float]]] = {}
+    for r in bounded(share.orderBy("w1", "w2"), 4 * DICTIONARY_WORDS, "the table of transitions"):
+        nexts = after.setdefault(r["w1"], ([], []))
+        nexts[0].append(r["w2"])
+        nexts[1].append(r["upto"])
+    docs = token_docs(spark, sf).select("doc_id", F.size("toks").alias("n"))
+    return search.chained(docs, after).select("doc_id", F.size(F.filter(F.split("text", " "), lambda x: x != "")).alias("words"), F.md5("text").alias("text_md5"))
+
+
+#: Sides of the grille's table, and where the holes of the grilles of one to four are, by cell.
+SIDE = 12
+HOLES = {n: [int(hashlib.md5(f"{n}|{h}".encode()).hexdigest()[:8], 16) % SIDE**2 for h in range(n)] for n in range(1, 5)}
+#: Documents by number that are added up at a time.
+GRILLE_DOCS = 4096
+_HOLE = lambda h: f"tb[({h // SIDE} + moved // {SIDE}) % {SIDE} * {SIDE} + ({h % SIDE} + moved) % {SIDE} + 1]"
+_THROUGH = "CASE " + " ".join(f"WHEN {cond} THEN {' || '.join(map(_HOLE, HOLES[n]))}" for n, cond in ((1, "len <= 3"), (2, "len <= 5"), (3, "len <= 7"))) + f" ELSE {' || '.join(map(_HOLE, HOLES[4]))} END"
+
+
+@query(f"""WITH {TOKENS}, {_TYPES}, tb AS (SELECT list(p ORDER BY n DESC, p)[1:{SIDE**2}] AS t FROM (SELECT left(tok, 2) AS p, sum(c) AS n FROM types WHERE length(tok) >= 2 GROUP BY 1)),
+tt AS (SELECT list_transform(range({SIDE**2}), lambda i: t[i % len(t) + 1]) AS tb FROM tb),
+x AS (SELECT doc_id, pos, length(tok) AS len, row_number() OVER (ORDER BY doc_id, pos) - 1 AS moved FROM tokens), w AS (SELECT doc_id, pos, len, {_THROUGH} AS word FROM x, tt)
+SELECT doc_id, count(*) AS words, md5(string_agg(CASE WHEN length(word) > len + 2 THEN left(word, len + 1) ELSE word END, ' ' ORDER BY pos)) AS text_md5 FROM w GROUP BY 1""")
+def moving_grille(spark, sf):
+    """Each document's words written through a grille that moves over a table of syllables, one step a word, from document to document.
+
+    How far the grille has moved is a sum of the documents before: by ranges of
+    their numbers, then within a range. The rest is within the row.
+    """
+    docs = token_docs(spark, sf).where("size(toks) > 0 and doc_id is not null").select("doc_id", "toks")
+    size = docs.select("doc_id", F.floor(F.col("doc_id") / GRILLE_DOCS).alias("part"), F.size("toks").cast("long").alias("n"))
+    to_here = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = size.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(to_here(Window.orderBy("part"))), F.lit(0)).alias("base"))
+    before = size.join(parts, "part").select("doc_id", (F.col("base") + F.coalesce(F.sum("n").over(to_here(Window.partitionBy("part").orderBy("doc_id"))), F.lit(0))).alias("before"))
+    syllables = stats.word_counts(docs).where("length(tok) >= 2").groupBy(F.left("tok", F.lit(2)).alias("p")).agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "p").limit(SIDE**2)
+    ranked = syllables.agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "p"))), lambda x: x["p"]).alias("t"))
+    table_ = ranked.select(F.transform(F.sequence(F.lit(0), F.lit(SIDE**2 - 1)), lambda i: F.get("t", i % F.size("t"))).alias("tb"))
+    rows = docs.join(before, "doc_id").join(F.broadcast(table_))  # one row of 144 syllables
+
+    def seen(at, n):
+        holes = [F.get("tb", ((F.lit(h // SIDE) + F.floor(at / SIDE)) % SIDE * SIDE + (F.lit(h % SIDE) + at) % SIDE).cast("int")) for h in HOLES[n]]
+        return F.concat(*holes)
+
+    def word(tok, i):
+        at, length = F.col("before") + i, F.length(tok)
+        whole = F.when(length <= 3, seen(at, 1)).when(length <= 5, seen(at, 2)).when(length <= 7, seen(at, 3)).otherwise(seen(at, 4))
+        return F.when(F.length(whole) > length + 2, F.left(whole, length + 1)).otherwise(whole)
+
+    return rows.select("doc_id", F.size("toks").cast("long").alias("words"), F.md5(F.array_join(F.transform("toks", word), " ")).alias("text_md5"))
 
 
 def _best_grammar(spark, sf):
@@ -164,7 +216,7 @@ def null_model_rates(spark, sf):
 
     The vocabulary is laid out in buckets by hash, each ordered by itself; a draw
     is a place in it, found by an equi-join on the place, or on the cell of 256
-    places where words take as many places as they are frequent. (Orders of the
+    places (of 256^3 for words of over 256^2) where words take as many places as they are frequent. (Orders of the
     words within documents and over all documents are ``shuffle_null_pvalue``
     and ``cross_document_shuffle``.)
     """
@@ -183,9 +235,13 @@ def null_model_rates(spark, sf):
     draws = F.array(*(F.struct(F.lit(k).alias("kind"), draw(F.col(n), F.lit(x), F.col("doc_id"), F.col("pos")).alias("at")) for k, n, x in (("uniform", "nv", "u"), ("frequency", "nt", "q"), ("pool", "nt", "g"))))
     drawn = at.select(F.inline(draws)).groupBy("kind", "at").agg(F.count(F.lit(1)).alias("n"))
     even = drawn.where("kind = 'uniform'").join(laid, F.col("at") == F.col("k")).select("kind", "tok", "n")
-    cells = laid.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / CELL), F.floor((F.col("start") + F.col("c") - 1) / CELL))))
+    # words of many places have wide cells, so no word has more than some thousands of them
     inside = (F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.col("c"))
-    often = drawn.where("kind <> 'uniform'").withColumn("cell", F.floor(F.col("at") / CELL)).join(cells, "cell").where(inside).select("kind", "tok", "n")
+    often = None
+    for wide, width in ((F.col("c") <= CELL * CELL, CELL), (F.col("c") > CELL * CELL, CELL**3)):
+        cells = laid.where(wide).withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("c") - 1) / width))))
+        found = drawn.where("kind <> 'uniform'").withColumn("cell", F.floor(F.col("at") / width)).join(cells, "cell").where(inside).select("kind", "tok", "n")
+        often = found if often is None else often.unionByName(found)
 
     # 26 letters at most
     letters = types.select("c", F.explode(F.split("tok", "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.sum("c").alias("n"))

@@ -142,7 +142,7 @@ def rank_pairs_unused_first(spark, sf):
 
 @query()
 def choice_carrier(spark, sf):
-    """A message hidden in the choice between the two likeliest next words, written from the first letters of each document and read back."""
+    """A message hidden in the choice between the two likeliest next words, written from all letters of each document and read back."""
     from stratalex.operators.decode import bounded
 
     ship_package(spark)
@@ -151,7 +151,7 @@ def choice_carrier(spark, sf):
     after: dict[str, list[str]] = {}
     for r in bounded(two.select("w1", "w2", "k"), 2 * DICTIONARY_WORDS, "the carrier's table"):
         after.setdefault(r["w1"], []).append(r["w2"])
-    docs = token_docs(spark, sf).select("doc_id", F.left(F.array_join("toks", ""), F.lit(16)).alias("message"))
+    docs = token_docs(spark, sf).select("doc_id", F.array_join("toks", "").alias("message"))
     return search.carried(docs, after)
 
 

@@ -4,7 +4,25 @@ import numpy as np
 import pytest
 
 from stratalex.operators import factors as fa
-from stratalex.operators import search
+
+
+def kmeans(x: np.ndarray, k: int, steps: int = 50, seed: int = 0) -> np.ndarray:
+    """Cluster of each row; the first centres are spread out, empty clusters take the farthest row."""
+    rng = np.random.default_rng(seed)
+    centres = [x[rng.integers(len(x))]]
+    while len(centres) < k:
+        centres.append(x[np.argmax(np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0))])
+    c = np.array(centres)
+    label = np.zeros(len(x), int)
+    for _ in range(steps):
+        d = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+        new = d.argmin(axis=1)
+        c = np.array([x[new == i].mean(axis=0) if (new == i).any() else x[d.min(axis=1).argmax()] for i in range(k)])
+        if (new == label).all():
+            break
+        label = new
+    return label
+
 
 
 def cells(spark, m):
@@ -55,7 +73,7 @@ def test_spectral_coordinates_and_clusters(spark):
     assert np.allclose(mine @ mine.T, top @ top.T, atol=1e-3)
     labels, centres = fa.kmeans(q, 3, 3)
     got = {r.i: r.label for r in labels.collect()}
-    want = search.kmeans(top, 3)
+    want = kmeans(top, 3)
     same = lambda x: {(i, j) for i in range(18) for j in range(18) if x[i] == x[j]}
     assert same(got) == same(want)
     assert fa.simplified_silhouette(labels, centres) > 0.9

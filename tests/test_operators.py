@@ -101,19 +101,6 @@ def test_assignment_is_least():
         assert abs(c[np.arange(5), search.assign(c)].sum() - best) < 1e-9
 
 
-def test_nmf_and_clusters():
-    x = np.kron(np.eye(2), np.ones((4, 4)))
-    w, h = search.nmf(x, 2)
-    assert np.abs(w @ h - x).max() < 0.05
-    label = search.kmeans(x, 2)
-    assert len(set(label[:4])) == 1 and len(set(label[4:])) == 1 and label[0] != label[4]
-    assert search.silhouette(x, label) > 0.9
-
-
-def test_minimal_automaton():
-    assert search.minimal_states(["ab", "cb"]) == (5, 3)
-
-
 def test_markov():
     m = search.markov(np.array([[0.5, 0.5], [0.5, 0.5]]))
     assert abs(m["entropy_rate"] - 1) < 1e-9 and m["irreversible"] < 1e-9
@@ -234,11 +221,6 @@ def test_fuzzy_matches_equal_all_pairs(spark):
     assert got == want and len(own) > 100 and got
 
 
-def test_chain_texts_follow_the_counts(spark):
-    rows = search.chain_texts(spark, ["a", "b"], np.array([[0.0, 1.0], [1.0, 0.0]]), seeds=3, length=6).collect()
-    assert sorted(r["seed"] for r in rows) == [0, 1, 2] and {r["text"] for r in rows} <= {"a b a b a b", "b a b a b a"}
-
-
 def test_draws_are_even(spark):
     n = spark.range(4000).select(draw(4, F.lit("x"), F.col("id")).alias("k")).groupBy("k").count().collect()
     assert sorted(r["k"] for r in n) == [0, 1, 2, 3] and all(850 < r["count"] < 1150 for r in n)
@@ -257,7 +239,7 @@ def test_carried_bits_come_back():
     rng = random.Random(3)
     for _ in range(20):
         bits = [rng.randint(0, 1) for _ in range(40)]
-        words = search.carry(bits, after, ["a", "c"], 10_000)
+        words = search.carry(bits, after, ["a", "c"])
         assert search.carried_bits(words, after)[: len(bits)] == bits
 
 
@@ -328,3 +310,60 @@ def test_binomial_tail_of_a_hundred_million(spark):
     for (k, m, p), x in zip(cases, got):
         want = 1.0 if k <= 0 or p >= 1 else 0.0 if k > m or p <= 0 else tail(k, m, p)
         assert x == pytest.approx(want, rel=2e-5, abs=1e-12), (k, m, p)
+
+
+def test_greedy_sets_in_many_rounds(spark, monkeypatch):
+    monkeypatch.setattr(search, "ROUND_SETS", 3)
+    rng = random.Random(9)
+    masks = sorted({sum(1 << k for k in rng.sample(range(26), rng.randint(1, 8))) for _ in range(200)})
+    first = {m: "".join(rng.choices("abcdef", k=5)) for m in masks}
+    got = {r["mask"]: r["seed"] for r in search.greedy_sets(spark.createDataFrame(list(first.items()), "mask int, first string").repartition(4)).collect()}
+    seeds, want = [], {}
+    for m, _ in sorted(first.items(), key=lambda x: (x[1], x[0])):
+        hit = [s for s in seeds if 2 * (s & m).bit_count() > (s | m).bit_count()]
+        want[m] = hit[0] if hit else m
+        if not hit:
+            seeds.append(m)
+    assert got == want and len(seeds) > 20
+    assert search.greedy_sets(spark.createDataFrame([], "mask int, first string")).count() == 0
+
+
+def test_chained_texts(spark):
+    after = {"a": (["b", "c"], [0.25, 1.0]), "b": (["a"], [1.0])}
+    docs = spark.createDataFrame([(1, 4000), (2, 0), (None, 3), (1, 4000)], "doc_id long, n int")
+    rows = sorted(search.chained(docs, after).collect())
+    assert [len(r.text.split()) for r in rows] == [4000, 4000, 0] and rows[0] == rows[1]
+    w = rows[0].text.split()
+    nexts = [b for a, b in zip(w, w[1:]) if a == "a"]
+    assert set(nexts) == {"b", "c"} and nexts.count("b") / len(nexts) == pytest.approx(0.25, abs=0.05)
+    assert all(b == "a" for a, b in zip(w, w[1:]) if a == "b")
+    assert search.chained(docs, {}).where("doc_id = 1").first().text == ""
+
+
+def test_the_moving_grille_is_a_sequential_one(spark, tmp_path):
+    from stratalex.plans import models
+
+    rng = random.Random(4)
+    texts = {i * 3000: " ".join("".join(rng.choices("abcdefg", k=rng.randint(1, 12))) for _ in range(rng.randint(0, 30))) for i in range(12)}
+    spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.words, r.text_md5) for r in models.moving_grille(spark, str(tmp_path)).collect()}
+    count = {}
+    for t in texts.values():
+        for w in t.split():
+            if len(w) > 1:
+                count[w[:2]] = count.get(w[:2], 0) + 1
+    cells = [p for p, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))][:144]
+    cells = [cells[i % len(cells)] for i in range(144)]
+    at = 0
+    for i, t in sorted(texts.items()):
+        out = []
+        for w in t.split():
+            n = 1 if len(w) <= 3 else 2 if len(w) <= 5 else 3 if len(w) <= 7 else 4
+            word = "".join(cells[(h // 12 + at // 12) % 12 * 12 + (h % 12 + at) % 12] for h in models.HOLES[n])
+            out.append(word[: len(w) + 1] if len(word) > len(w) + 2 else word)
+            at += 1
+        if out:
+            import hashlib
+
+            assert got.pop(i) == (len(out), hashlib.md5(" ".join(out).encode()).hexdigest())
+    assert not got
