@@ -80,16 +80,17 @@ def context_scores(open_: DataFrame, candidates: DataFrame, bigrams: DataFrame)
     return ranked.where("rank = 1").select("left", "tok", "right", "n", "word", "score", "second", "candidates", "nonzero")
 
 
-def confidence_threshold(segs: Column, nonzero: Column, dual: Column, boosted: Column | None = None) -> Column:
+def confidence_threshold(segs: Column, nonzero: Column, dual: Column, boosted: Column | None = None, ratio: Column | float = 5.0, near: Column | float = 0.6) -> Column:
     """The ratio of best to second that accepts a candidate.
 
-    5, or 3 from five segments on; times 0.75 for two candidates with a score
-    and 0.9 for up to five; times 0.6 with both neighbours near; times 0.5 for
+    ``ratio``, or 3 (``ratio`` if that is less) from five segments on; times 0.75 for two candidates with a score
+    and 0.9 for up to five; times ``near`` with both neighbours near; times 0.5 for
     a boosted winner; 1.5 at least.
     """
-    t = F.when(segs >= 5, 3.0).otherwise(5.0)
+    ratio, near = (x if isinstance(x, Column) else F.lit(x) for x in (ratio, near))
+    t = F.when(segs >= 5, F.least(F.lit(3.0), ratio)).otherwise(ratio)
     t = t * F.when(nonzero == 2, 0.75).when(nonzero <= 5, 0.9).otherwise(1.0)
-    t = t * F.when(dual, 0.6).otherwise(1.0)
+    t = t * F.when(dual, near).otherwise(1.0)
     if boosted is not None:
         t = t * F.when(boosted, 0.5).otherwise(1.0)
     return F.greatest(t, F.lit(1.5))

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratalex.functions import text as ft
-from stratalex.operators import grammar, search, stats
+from stratalex.operators import generative, grammar, search, stats
 from stratalex.plans.registry import query
 from stratalex.plans.sequences import _ABC, _KEY
 from stratalex.plans.sqltext import CHARS, DICT, TOKENS, skeleton
@@ -590,3 +590,27 @@ def length_ratio(spark, sf):
     whole = d.agg(F.avg("n_chars").alias("all"))
     x = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg("n_chars").alias("m"), F.stddev_pop("n_chars").alias("s"))
     return x.join(F.broadcast(whole)).select("source", "n", F.round("m", 4).alias("mean"), F.round("s", 4).alias("sd"), r6(F.col("m") / F.col("all")).alias("ratio"))
+
+
+#: Seeds of each setting for each hundred documents, and words of a text.
+MODEL_TEXTS, MODEL_WORDS = 1, 500
+
+
+@query()
+def model_scores(spark, sf):
+    """Every model under every setting of its grid, generated by SQL and judged against the corpus: entropy, type-token ratio and exponent near it, and the model's own test."""
+    ship_package(spark)
+    docs = token_docs(spark, sf)
+    generative.register_sql(spark)
+    seeds = MODEL_TEXTS * (docs.count() // 100 + 1)
+    each = " UNION ALL ".join(f"SELECT m.model, m.params, s.id, g.pos, g.word FROM (SELECT '{name}' AS model, params FROM model_grid('{name}')) m JOIN s, LATERAL generated('{name}', m.params, s.id, {MODEL_WORDS}) g" for name in sorted(generative.MODELS))
+    rows = spark.sql(f"WITH s AS (SELECT id FROM range({seeds})) {each}")
+    texts = rows.groupBy("model", "params", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("toks"))
+    made = generative.profiles(texts.select(F.concat_ws(" ", "model", "params").alias("run"), "toks"))
+    target = generative.profiles(docs.select(F.lit("corpus").alias("run"), "toks")).first()
+    made, _ = materialize(made, "model-profiles")
+    made.createOrReplaceTempView("model_profiles")
+    zero = ", ".join(f"CAST({target[k] if target else 0.0} AS DOUBLE)" for k in ("h2", "ttr", "exponent"))
+    scored = spark.sql(f"SELECT p.run, p.h2, p.ttr, p.exponent, p.h1, p.h3, s.distance, s.near FROM model_profiles p, LATERAL quick_score(p.h2, p.ttr, p.exponent, {zero}) s")
+    rows = [(*r.run.split(" ", 1), *(float(round(r[k] or 0.0, 6)) for k in ("h2", "ttr", "exponent", "distance")), r.near, generative.passes(r.run.split(" ", 1)[0], r)) for r in scored.collect()]  # one row a setting
+    return spark.createDataFrame(rows, "model string, params string, h2 double, ttr double, exponent double, distance double, near boolean, passes boolean")

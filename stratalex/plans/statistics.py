@@ -460,3 +460,21 @@ def quantile_thresholds(spark, sf):
     x = d.join(t, "lang")
     q1, q3, p95 = (F.col("q")[i] for i in range(3))
     return x.groupBy("lang").agg(r6(F.max(q1)).alias("q1"), r6(F.max(q3)).alias("q3"), r6(F.max(p95)).alias("p95"), r6(F.max("two_sigma")).alias("two_sigma"), F.count_if(F.col("n_chars") > q3 + 1.5 * (q3 - q1)).alias("beyond"))
+
+
+#: Share of the tokens that the core of a vocabulary makes up, bounds of its size, and bits that a word of a written text carries.
+CORE, CORE_BOUNDS, WORD_BITS = 0.8, (10, 200), 22.5
+
+
+@query(_PROFILE + f""", x AS (SELECT p.lang, p.h2, p.ttr, p.exponent, z.total FROM prof p JOIN zipf z USING (lang)), y AS (SELECT *, CAST(floor(round(total * ttr, 6)) AS BIGINT) AS vocabulary FROM x),
+c AS (SELECT *, CAST(least(greatest(floor(CASE WHEN exponent <> 1 THEN pow({CORE}, 1.0 / greatest(1 - exponent, 0.01)) * vocabulary ELSE 0.2 * vocabulary END), {CORE_BOUNDS[0]}), {CORE_BOUNDS[1]}) AS BIGINT) AS states FROM y)
+SELECT lang, round(pow(2, h2), 6) AS choices, vocabulary, states, CAST(floor(states * pow(2, h2)) AS BIGINT) AS transitions, round(h2 * total, 3) AS bits, CAST(floor(h2 * total / {WORD_BITS}) AS BIGINT) AS words, round(h2 * total / 8192, 6) AS kilobytes FROM c""")
+def minimum_machine(spark, sf):
+    """The least machine that could have made each language's text, from its entropy, vocabulary and exponent: states, transitions, and what the text can hold."""
+    p = profile(spark, sf)
+    total = stats.word_counts(token_docs(spark, sf), "lang").groupBy("lang").agg(F.sum("c").alias("total"))
+    p = p.join(total, "lang").withColumn("vocabulary", F.floor(F.round(F.col("total") * F.col("ttr"), 6)))
+    core = F.when(F.col("exponent") != 1, F.pow(F.lit(CORE), 1 / F.greatest(1 - F.col("exponent"), F.lit(0.01))) * F.col("vocabulary")).otherwise(0.2 * F.col("vocabulary"))
+    p = p.withColumn("states", F.least(F.greatest(F.floor(core), F.lit(CORE_BOUNDS[0])), F.lit(CORE_BOUNDS[1])).cast("long"))
+    bits = F.col("h2") * F.col("total")
+    return p.select("lang", r6(F.pow(F.lit(2.0), F.col("h2"))).alias("choices"), "vocabulary", "states", F.floor(F.col("states") * F.pow(F.lit(2.0), F.col("h2"))).alias("transitions"), F.round(bits, 3).alias("bits"), F.floor(bits / WORD_BITS).alias("words"), r6(bits / 8192).alias("kilobytes"))

@@ -367,3 +367,21 @@ def test_the_moving_grille_is_a_sequential_one(spark, tmp_path):
 
             assert got.pop(i) == (len(out), hashlib.md5(" ".join(out).encode()).hexdigest())
     assert not got
+
+
+def test_long_stems_are_followed_to_their_end():
+    rng = random.Random(6)
+    words = [("-".join(rng.choice("KTPSLRMN") for _ in range(n)), f"w{i}", 0.1) for i, n in enumerate((5, 6, 14, 16))]
+    decoder = decode.BudgetedDecoder(words)
+    signs = {"K": "k", "T": "t", "P": "p", "S": "s", "L": "l", "R": "r", "M": "m", "N": "n"}
+    skels = [w[0].split("-") for w in words]
+    for parts in skels:
+        for k in range(0, len(parts), 3):
+            changed = [*parts[:k], next(c for c in "KTPS" if c != parts[k] and c not in parts[max(0, k - 1) : k + 2]), *parts[k + 1 :]]
+            if any(a == b for a, b in zip(changed, changed[1:])):
+                continue
+            ways = decode.branching_skeletons("e".join(c.lower() for c in changed), decoder.near)
+            assert all(tuple(w.split("-")) in decoder.near for w, _ in ways)
+    # a cut after 24 signs would lose the end of a long stem
+    free = decode.branching_skeletons("k" + "eyek" * 9, decode.Near({tuple("K" * 1), *(tuple(("K", "J") * k + ("K",))[:j] for k in range(1, 10) for j in range(1, 2 * k + 2))}))
+    assert max(len(w.split("-")) for w, _ in free) >= 19
