@@ -66,37 +66,41 @@ class BpeCodec:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         sym = self.base[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), sizes)
+        rank, made = np.full(len(sym), NONE), np.zeros(len(sym), np.int64)
+
+        def price(at: np.ndarray) -> None:
+            """Rank and outcome of the pairs that begin ``at``; the last symbol of a word begins none."""
+            rank[at] = NONE
+            at = at[at + 1 < len(sym)]
+            at = at[word[at + 1] == word[at]]
+            key = sym[at] << 20 | sym[at + 1]
+            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[found] == key
+            rank[at[hit]], made[at[hit]] = self.ranks[found[hit]], self.made[found[hit]]
+
+        price(np.arange(len(sym)))
         done_sym, done_word = [], []
         while len(sym):
-            rank = np.full(len(sym), NONE)
-            made = np.zeros(len(sym), np.int64)
-            inside = np.flatnonzero(word[1:] == word[:-1])
-            key = sym[inside] << 20 | sym[inside + 1]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            inside, at = inside[hit], at[hit]
-            rank[inside], made[inside] = self.ranks[at], self.made[at]
             first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
             spans = np.diff(np.append(first, len(word)))
             low = np.repeat(np.minimum.reduceat(rank, first), spans)
-            over = low == NONE
-            if over.any():
-                done_sym.append(sym[over])
-                done_word.append(word[over])
-                go = ~over
-                sym, word, rank, made, low = sym[go], word[go], rank[go], made[go], low[go]
-                if not len(sym):
-                    break
-            best = rank == low
+            keep = low != NONE
+            if not keep.all():
+                done_sym.append(sym[~keep])
+                done_word.append(word[~keep])
             # in a run of overlapping pairs (a a a) every second one merges
-            pos = np.flatnonzero(best)
+            pos = np.flatnonzero((rank == low) & keep)
+            if not len(pos):
+                break
             lone = np.concatenate(([True], (pos[1:] != pos[:-1] + 1) | (word[pos[1:]] != word[pos[:-1]])))
             start = np.maximum.accumulate(np.where(lone, np.arange(len(pos)), 0))
             pos = pos[(np.arange(len(pos)) - start) % 2 == 0]
             sym[pos] = made[pos]
-            keep = np.ones(len(sym), bool)
             keep[pos + 1] = False
-            sym, word = sym[keep], word[keep]
+            at = (np.cumsum(keep) - 1)[pos]
+            sym, word, rank, made = sym[keep], word[keep], rank[keep], made[keep]
+            # only pairs with a new symbol have another rank
+            price(np.concatenate([at, at[at > 0] - 1]))
         if not done_sym:
             return [()] * len(words)
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
