@@ -71,17 +71,26 @@ def inside(grammar: Grammar, words: np.ndarray) -> np.ndarray:
     count, size = words.shape
     if not size:
         return np.zeros(count)
-    # spans by length and beginning: (words, symbols)
-    chart = {(1, i): letter[:, words[:, i]].T @ closure.T for i in range(size)}
+    # which symbols stand side by side in a rule, and what each such couple gives to every symbol
+    couples = sorted({(b, c) for _, b, c, _ in pairs})
+    gives = np.zeros((len(couples), len(names)))
+    for a, b, c, p in pairs:
+        gives[couples.index((b, c)), a] += p
+    gives = gives @ closure.T
+    first, second = [b for b, _ in couples], [c for _, c in couples]
+    # spans by length and beginning: the symbols of a couple on either side, (words, couples), and the whole at the end
+    whole = {(1, i): letter[:, words[:, i]].T @ closure.T for i in range(size)}
+    left, right = ({k: x[:, at] for k, x in whole.items()} for at in (first, second))
     for length in range(2, size + 1):
         for i in range(size - length + 1):
-            left = np.stack([chart[k, i] for k in range(1, length)])
-            right = np.stack([chart[length - k, i + k] for k in range(1, length)])
-            out = np.zeros((count, len(names)))
-            for a, b, c, p in pairs:
-                out[:, a] += p * np.einsum("kw,kw->w", left[:, :, b], right[:, :, c])
-            chart[length, i] = out @ closure.T
-    return chart[size, 0][:, names.index(START)]
+            both = left[1, i] * right[length - 1, i + 1]
+            for k in range(2, length):
+                both += left[k, i] * right[length - k, i + k]
+            found = both @ gives
+            if length == size:
+                return found[:, names.index(START)]
+            left[length, i], right[length, i] = found[:, first], found[:, second]
+    return whole[1, 0][:, names.index(START)]
 
 
 def cost_of_words(grammar: Grammar, words: list[str], counts: np.ndarray) -> float:
