@@ -33,26 +33,51 @@ def decode(tokens: list[str], after: dict[str, dict[str, float]], affixes: dict[
     as many states as there are candidates of a token is exact. Texts are kept as links, not copied.
     """
     beam: dict[str, tuple[float, tuple | None]] = {SPACE: (0.0, None)}
+    # what a token stands for and the odds from one syllable to another are found once for each that comes
+    own_: dict[str, list[str]] = {}
+    odds_: dict[str, dict[str, float]] = {}
+    parts: dict[str, str] = {}
+    unseen = math.log(UNSEEN)
     for token in tokens:
-        own = candidates(token, affixes)
+        if token not in own_:
+            own_[token] = candidates(token, affixes)
+        states = []
+        for last, (score, back) in beam.items():
+            if last not in odds_:
+                odds_[last] = {x: math.log(p) for x, p in after.get(last, {}).items()}
+            states.append((score, back, odds_[last]))
         fresh: dict[str, tuple[float, tuple | None]] = {}
-        for cand in own:
-            ways = [(score + math.log(after.get(last, {}).get(cand, UNSEEN)), back) for last, (score, back) in beam.items()]
-            best = max(score for score, _ in ways)
-            back = min((b for score, b in ways if score == best), key=_spelled) if sum(score == best for score, _ in ways) > 1 else next(b for score, b in ways if score == best)
-            gap = " " if after.get(cand, {}).get(SPACE, END) > ENDS else ""
-            fresh[cand] = (best, (back, cand + gap))
+        for cand in own_[token]:
+            scores = [score + odds.get(cand, unseen) for score, _, odds in states]
+            best = max(scores)
+            equal = [states[i][1] for i, x in enumerate(scores) if x == best] if scores.count(best) > 1 else None
+            back = min(zip(_endings(equal), equal), key=lambda x: x[0])[1] if equal else states[scores.index(best)][1]
+            if cand not in parts:
+                parts[cand] = cand + (" " if after.get(cand, {}).get(SPACE, END) > ENDS else "")
+            fresh[cand] = (best, (back, parts[cand]))
         order = sorted(fresh.items(), key=lambda x: -x[1][0])
         # what is equal to the last one that stays is put in order by its text
         if len(order) > width:
             edge = order[width - 1][1][0]
             sure = [x for x in order if x[1][0] > edge]
-            order = sure + sorted((x for x in order if x[1][0] == edge), key=lambda x: _spelled(x[1][1]))[: width - len(sure)]
+            ties = [x for x in order if x[1][0] == edge]
+            texts = _endings([x[1][1] for x in ties])
+            order = sure + [ties[i] for i in sorted(range(len(ties)), key=texts.__getitem__)][: width - len(sure)]
         beam = dict(order)
     best = max(score for score, _ in beam.values())
     return min(_spelled(back) for score, back in beam.values() if score == best), best
 
 
+def _endings(backs: list[tuple | None]) -> list[str]:
+    """The texts of states of one token from where they part: in the order of the whole texts, but no longer than they differ."""
+    out: list[list[str]] = [[] for _ in backs]
+    while any(x is not backs[0] for x in backs):
+        for k, x in enumerate(backs):
+            out[k].append(x[1])
+        backs = [x[0] for x in backs]
+    return ["".join(reversed(x)) for x in out]
+
+
 def _spelled(back: tuple | None) -> str:
     out = []
     while back:

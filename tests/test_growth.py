@@ -1,14 +1,21 @@
 """Steps that once grew faster than their input, and rows that once differed from their SQL at larger tables."""
 
 import random
+import time
 
 import duckdb
 
 from stratalex.operators import matching as m
+from stratalex.operators import syllables
 from stratalex.plans import matching
 from stratalex.plans.catalog import ORACLES, QUERIES
 
 LARGER = "/root/testdata/sf0.1"
+SMALL = "/root/testdata/sf0.001"
+
+
+def planned(spark, name):
+    return QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_word_kinds_are_those_of_sql_to_the_last_digit(spark):
@@ -40,3 +47,39 @@ def test_known_pairs_give_the_scores_of_all_candidates(spark):
     assert got == want and len(want) > 50
     # open tokens are not moved to be grouped by context
     assert "Window" not in likely._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_long_text_of_equal_states_is_read_in_time(spark):
+    """Ties were told apart by whole texts: the square of a text's length."""
+    rng = random.Random(1)
+    after = {s: {t: 0.2 for t in ("ka", "to", "e", syllables.SPACE)} for s in ("ka", "to", "e", syllables.SPACE)}
+    tokens = ["".join(rng.choices("ab", k=3)) for _ in range(20_000)]
+    began = time.time()
+    text, _ = syllables.decode(tokens, after, {"a": ["ka", "e"], "b": ["to", "ri"], "": ["", "k"]})
+    assert text and time.time() - began < 30
+
+
+def test_ends_of_states_are_in_the_order_of_their_texts():
+    common = (None, "ab")
+    states = [((common, "b"), "a"), ((common, "a"), "z"), ((common, "a"), "")]
+    whole = [syllables._spelled(x) for x in states]
+    ends = syllables._endings(states)
+    assert ["ab" + x for x in ends] == whole and syllables._endings(states[:1]) == [""]
+
+
+def test_trials_are_counted_a_row_a_type(spark):
+    plan = planned(spark, "gradient_permutation")
+    assert "trial" not in plan[plan.rindex("Aggregate [tok#") :]
+
+
+def test_words_dealt_anew_are_moved_once(spark):
+    assert "Join Inner, ((b#" not in planned(spark, "cross_document_shuffle")
+
+
+def test_name_kinds_of_repeated_rows(spark, tmp_path):
+    con = duckdb.connect()
+    for t, rows in (("documents", "SELECT * FROM t UNION ALL SELECT * FROM t WHERE doc_id % 3 = 0"), ("benchmark", "SELECT * FROM t")):
+        con.execute(f"copy (WITH t AS (SELECT * FROM '{SMALL}/{t}.parquet') {rows}) to '{tmp_path}/{t}.parquet'")
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    want = con.execute(f"select kind, docs from ({ORACLES['name_match_kinds']})").fetchall()
+    assert sorted(map(tuple, QUERIES["name_match_kinds"](spark, str(tmp_path)).select("kind", "docs").collect())) == sorted(want)
