@@ -6,7 +6,7 @@ import time
 import duckdb
 
 from stratalex.operators import matching as m
-from stratalex.operators import syllables
+from stratalex.operators import decode, syllables
 from stratalex.plans import matching
 from stratalex.plans.catalog import ORACLES, QUERIES
 
@@ -83,3 +83,17 @@ def test_name_kinds_of_repeated_rows(spark, tmp_path):
         con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
     want = con.execute(f"select kind, docs from ({ORACLES['name_match_kinds']})").fetchall()
     assert sorted(map(tuple, QUERIES["name_match_kinds"](spark, str(tmp_path)).select("kind", "docs").collect())) == sorted(want)
+
+
+def test_candidates_that_no_pair_knows_are_ranked_once_a_prefix():
+    rng = random.Random(5)
+    words = ["ab" + x + y for x in "abcdef" for y in "abcdef"]
+    sentences = [rng.choices(words[:20], k=30) for _ in range(20)]
+    model, index = decode.TrigramModel(sentences), {"ab": words}
+    whole, short = decode.Ranker(model, index), decode.Ranker(model, index, 5)
+    for a in words[:22]:
+        for b in words[:22]:
+            want = sorted((-decode.math.log(model.p(a, b, c)), c) for c in words)
+            assert whole(a, b, "abz") == want and short(a, b, "abz")[:5] == want[:5]
+    # words before that are in no pair share one list
+    assert whole("", "zz", "ab") is whole("", "zzz", "ab")
