@@ -97,3 +97,11 @@ def test_candidates_that_no_pair_knows_are_ranked_once_a_prefix():
             assert whole(a, b, "abz") == want and short(a, b, "abz")[:5] == want[:5]
     # words before that are in no pair share one list
     assert whole("", "zz", "ab") is whole("", "zzz", "ab")
+
+
+def test_a_token_that_comes_again_is_taken_apart_once(monkeypatch):
+    calls, real = [], decode.branching_skeletons
+    monkeypatch.setattr(decode, "branching_skeletons", lambda *a: calls.append(a) or real(*a))
+    decoder = decode.BudgetedDecoder([("K-L", "kal", 0.1), ("K-L", "kel", 0.2)])
+    first = decoder.decode(["kol", "kal"] * 50)
+    assert len(calls) == 2 and decoder.decode(["kol", "kal"] * 50) == first and len(calls) == 2
