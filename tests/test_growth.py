@@ -2,11 +2,12 @@
 
 import random
 import time
+from collections import Counter
 
 import duckdb
 
 from stratalex.operators import matching as m
-from stratalex.operators import decode, syllables
+from stratalex.operators import decode, nulls, syllables
 from stratalex.plans import matching
 from stratalex.plans.catalog import ORACLES, QUERIES
 
@@ -105,3 +106,36 @@ def test_a_token_that_comes_again_is_taken_apart_once(monkeypatch):
     decoder = decode.BudgetedDecoder([("K-L", "kal", 0.1), ("K-L", "kel", 0.2)])
     first = decoder.decode(["kol", "kal"] * 50)
     assert len(calls) == 2 and decoder.decode(["kol", "kal"] * 50) == first and len(calls) == 2
+
+
+def test_orders_of_documents_meet_known_pairs_without_a_join(spark):
+    plan = planned(spark, "shuffle_null_pvalue")
+    assert "MapInArrow" in plan and "Join" not in plan
+
+
+def test_orders_are_the_same_however_many_are_held(spark):
+    rng = random.Random(4)
+    words = rng.choices("abcdefgh", k=300)
+    pairs = [("a", "b"), ("c", "a"), ("d", "d"), ("e", "zz")]
+    one, many = nulls.permuted_hits(words, pairs, 60, [1], cells=1), nulls.permuted_hits(words, pairs, 60, [1], cells=1 << 18)
+    assert one[0] == many[0] and one[1].tolist() == many[1].tolist()
+    # numbers of a whole table's words give what the words give
+    docs = spark.createDataFrame([(7, words), (None, words), (8, ["q", "r"])], "doc_id long, toks array<string>")
+    known = spark.createDataFrame(pairs, "w1 string, w2 string")
+    got = {r["doc_id"]: (r["hits"], r["null_mean"]) for r in nulls.shuffle_null(docs, known, 60).collect()}
+    real, null = nulls.permuted_hits(words, pairs[:3], 60, [42, 7])
+    assert got == {7: (real, null.mean()), None: (0, 0.0), 8: (0, 0.0)}
+
+
+def test_expected_pairs_move_a_row_a_document(spark):
+    assert "Join" not in planned(spark, "pair_null_expectation")
+    rng = random.Random(9)
+    rows = [(i % 30, rng.choices("abcde", k=rng.randint(2, 40))) for i in range(40)]
+    pairs = [(a, b) for a in "abcz" for b in "abd"]
+    got = nulls.pair_expectation(spark.createDataFrame(rows, "doc_id long, toks array<string>"), spark.createDataFrame(pairs, "w1 string, w2 string"))
+    want = []
+    for i, toks in rows:
+        own = [t for j, t in rows if j == i]
+        c = Counter(w for t in own for w in t)
+        want.append((i, len(toks), sum((a, b) in pairs for t in own for a, b in zip(t, t[1:])), sum(c[a] * (c[b] - (a == b)) for a, b in pairs)))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
