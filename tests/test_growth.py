@@ -5,9 +5,10 @@ import time
 from collections import Counter
 
 import duckdb
+import numpy as np
 
 from stratalex.operators import matching as m
-from stratalex.operators import decode, nulls, syllables
+from stratalex.operators import automata, decode, factors, grammar, nulls, search, stats, syllables
 from stratalex.plans import matching
 from stratalex.plans.catalog import ORACLES, QUERIES
 
@@ -139,3 +140,17 @@ def test_expected_pairs_move_a_row_a_document(spark):
         c = Counter(w for t in own for w in t)
         want.append((i, len(toks), sum((a, b) in pairs for t in own for a, b in zip(t, t[1:])), sum(c[a] * (c[b] - (a == b)) for a, b in pairs)))
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_words_of_a_grammar_are_spelled_in_time():
+    """Each word once made all tables of the grammar anew: some milliseconds a word."""
+    g = grammar.Grammar(list(grammar.SHAPE), {s: np.random.default_rng(2).random(26) for s in grammar.SPENDERS})
+    one, many = np.random.default_rng([1, 5]), grammar.drawn(np.random.default_rng([1, 5]), 7).__next__
+    word = grammar.speller(g)
+    assert [grammar.spell(g, one) for _ in range(50)] == [word(many) for _ in range(50)]
+    # the draws are those of numpy's own choice
+    rng, p = np.random.default_rng(3), np.array([0.4, 0.3, 0.2, 0.1])
+    upto = (p.cumsum() / p.cumsum()[-1]).tolist()
+    assert [int(rng.choice(4, p=p)) for _ in range(200)] == [grammar.bisect_right(upto, u) for u in np.random.default_rng(3).random(200)]
+    began = time.time()
+    assert len([word(many) for _ in range(20_000)]) == 20_000 and time.time() - began < 10
