@@ -174,21 +174,70 @@ def carried_bits(words: list[str], after: dict[str, list[str]]) -> list[int]:
     return [after[a].index(b) for a, b in zip(words, words[1:]) if len(after.get(a, [])) > 1]
 
 
+class Carrier:
+    """Messages written as ``carry`` does and read back, a letter at a time: what a letter becomes after a word is found and read back once."""
+
+    def __init__(self, after: dict[str, list[str]]) -> None:
+        self.after = after
+        self.start = sorted(w for w, n in after.items() if len(n) > 1)
+        self.parts: dict[tuple[str, str], tuple[int, int, str]] = {}
+        self.steps: dict[tuple[str, str], tuple[int, str | None, int, bool]] = {}
+
+    def _step(self, word: str, bits: str) -> tuple[int, str | None, int, bool]:
+        """From ``word`` to the end of ``bits``, or to where the text has to go on elsewhere: words, the last one (null there), bits that are left, and whether what was written is read back."""
+        out, at, idle = [word], 0, 0
+        while at < len(bits):
+            nexts = self.after.get(out[-1], [])
+            if len(nexts) > 1:
+                out.append(nexts[int(bits[at])])
+                at, idle = at + 1, 0
+            elif nexts and idle < NO_CHOICE:
+                out.append(nexts[0])
+                idle += 1
+            else:
+                break
+        same = carried_bits(out, self.after) == [int(b) for b in bits[:at]]
+        return len(out) - 1, out[-1] if at == len(bits) else None, len(bits) - at, same
+
+    def write(self, message: str, ident: int) -> tuple[int, int, bool]:
+        """Bits of the message, words of its text, and whether reading it back gives the same."""
+        if not self.start or not message:
+            return 0, int(bool(self.start)), True
+        first, parts, steps = self.start, self.parts, self.steps
+        turn, word, count, same, size = ident, first[ident % len(first)], 1, True, 0
+        for c in message:
+            found = parts.get((word, c))
+            if found:
+                bits, more, word = found
+                size, count = size + bits, count + more
+                continue
+            bits, begin, whole = f"{ord(c):08b}", (word, c, count), True
+            size, wide = size + len(bits), len(bits)
+            while bits:
+                step = steps.get((word, bits))
+                if step is None:
+                    step = steps[word, bits] = self._step(word, bits)
+                more, word, left, good = step
+                count, same, bits = count + more, same and good, bits[len(bits) - left :]
+                if word is None:
+                    # the next word of ``start`` in turn, which no table holds
+                    turn, whole = turn + 1, False
+                    word, count = first[turn % len(first)], count + 1
+            if whole and same:
+                parts[begin[:2]] = wide, count - begin[2], word
+        return size, count, same
+
+
 def carried(docs, after: dict[str, list[str]]):
     """(doc_id, bits, words, same) of ``docs`` (doc_id, message): messages written as texts and read back."""
     import pyarrow as pa
 
-    start = sorted(w for w, n in after.items() if len(n) > 1)
-    held = docs.sparkSession.sparkContext.broadcast((after, start))
+    held = docs.sparkSession.sparkContext.broadcast(after)
 
     def run(batches):
-        own, first = held.value
+        carrier = Carrier(held.value)
         for batch in batches:
-            rows = []
-            for ident, message in zip(batch.column("doc_id").to_pylist(), batch.column("message").to_pylist()):
-                bits = [int(b) for c in message for b in f"{ord(c):08b}"] if first else []
-                words = carry(bits, own, first[(ident or 0) % len(first) :] + first[: (ident or 0) % len(first)]) if first else []
-                rows.append((ident, len(bits), len(words), carried_bits(words, own)[: len(bits)] == bits))
+            rows = [(i, *carrier.write(m, i or 0)) for i, m in zip(batch.column("doc_id").to_pylist(), batch.column("message").to_pylist())]
             cols = zip(*rows) if rows else ((),) * 4
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["doc_id", "bits", "words", "same"])
 

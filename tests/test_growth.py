@@ -154,3 +154,20 @@ def test_words_of_a_grammar_are_spelled_in_time():
     assert [int(rng.choice(4, p=p)) for _ in range(200)] == [grammar.bisect_right(upto, u) for u in np.random.default_rng(3).random(200)]
     began = time.time()
     assert len([word(many) for _ in range(20_000)]) == 20_000 and time.time() - began < 10
+
+
+def test_letters_of_messages_are_written_once_a_word(monkeypatch):
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(25)]
+    for _ in range(20):
+        after = {w: rng.sample(words, rng.choice([1, 1, 2, 2])) for w in words if rng.random() < 0.9}
+        carrier, start = search.Carrier(after), sorted(w for w, n in after.items() if len(n) > 1)
+        for _ in range(10):
+            text, i = "".join(rng.choices("abcxyz", k=rng.randint(0, 40))), rng.randint(-50, 50)
+            bits = [int(b) for c in text for b in f"{ord(c):08b}"]
+            written = search.carry(bits, after, start[i % len(start) :] + start[: i % len(start)])
+            assert carrier.write(text, i) == (len(bits), len(written), search.carried_bits(written, after)[: len(bits)] == bits)
+    calls, real = [], search.carried_bits
+    monkeypatch.setattr(search, "carried_bits", lambda *a: calls.append(a) or real(*a))
+    search.Carrier({"a": ["a", "b"], "b": ["b", "a"]}).write("xyz" * 1000, 0)
+    assert 0 < len(calls) < 20
