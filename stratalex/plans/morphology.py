@@ -9,7 +9,7 @@ from stratalex.functions import text as ft
 from stratalex.operators import stats
 from stratalex.plans.registry import query
 from stratalex.plans.sqltext import DICT, PAIRS, TOKENS, skeleton
-from stratalex.sources.tables import dictionary, fixed, token_docs
+from stratalex.sources.tables import dictionary, fixed, neighbours, token_docs
 
 r6 = lambda c: F.round(c, 6)
 
@@ -100,6 +100,12 @@ def paradigms(spark, sf):
     return r.where("k = 1").select("stem", "members", "suffixes", F.md5("words").alias("words_md5"))
 
 
+def _borders(docs):
+    """(lang, c1, c2, n): the last letter of a word and the first of the next; 26 x 26 rows a language and task move, never pairs of words."""
+    pairs = docs.select("lang", F.explode(neighbours(F.col("toks"))).alias("b"))
+    return pairs.groupBy("lang", F.right("b.w1", F.lit(1)).alias("c1"), F.left("b.w2", F.lit(1)).alias("c2")).agg(F.count(F.lit(1)).alias("n"))
+
+
 _BND = "bd AS (SELECT lang, right(w1, 1) AS c1, substr(w2, 1, 1) AS c2, count(*) AS n FROM pairs WHERE w2 IS NOT NULL GROUP BY 1, 2, 3)"
 
 
@@ -108,8 +114,7 @@ a AS (SELECT lang, -sum(n / t * log2(n / t)) AS h FROM (SELECT lang, c1, sum(n)
 SELECT lang, round(j.h - a.h, 6) AS boundary_h, round(a.h + e.h - j.h, 6) AS mi FROM j JOIN a USING (lang) JOIN e USING (lang)""")
 def boundary_mi(spark, sf):
     """Entropy of a word's first letter given the last one before it, and what they tell of each other."""
-    n = stats.word_pairs(token_docs(spark, sf), "lang")
-    bd = n.groupBy("lang", F.right("w1", F.lit(1)).alias("c1"), F.left("w2", F.lit(1)).alias("c2")).agg(F.sum("n").alias("n"))
+    bd = _borders(token_docs(spark, sf))
     j = bd.groupBy("lang").agg(stats.bits("n").alias("j"))
     a = bd.groupBy("lang", "c1").agg(F.sum("n").alias("n")).groupBy("lang").agg(stats.bits("n").alias("a"))
     e = bd.groupBy("lang", "c2").agg(F.sum("n").alias("n")).groupBy("lang").agg(stats.bits("n").alias("e"))
@@ -120,8 +125,7 @@ def boundary_mi(spark, sf):
 @query(f"""WITH {TOKENS}, {PAIRS}, {_BND}, t AS (SELECT lang, sum(n) AS t FROM bd GROUP BY 1), a AS (SELECT lang, c1, sum(n) AS na FROM bd GROUP BY 1, 2), e AS (SELECT lang, c2, sum(n) AS ne FROM bd GROUP BY 1, 2)
 SELECT lang, c1, c2, n, round(n * t / (na * ne), 4) AS lift FROM bd JOIN t USING (lang) JOIN a USING (lang, c1) JOIN e USING (lang, c2) WHERE n >= 10 AND n * t / (na * ne) > 1.5""")
 def strong_boundaries(spark, sf):
-    n = stats.word_pairs(token_docs(spark, sf), "lang")
-    bd = n.groupBy("lang", F.right("w1", F.lit(1)).alias("c1"), F.left("w2", F.lit(1)).alias("c2")).agg(F.sum("n").alias("n"))
+    bd = _borders(token_docs(spark, sf))
     s = lambda *k: F.sum("n").over(Window.partitionBy("lang", *k))
     x = bd.withColumn("lift", F.col("n") * s() / (s("c1") * s("c2")))
     return x.where("n >= 10 and lift > 1.5").select("lang", "c1", "c2", "n", F.round("lift", 4).alias("lift"))

@@ -171,3 +171,8 @@ def test_letters_of_messages_are_written_once_a_word(monkeypatch):
     monkeypatch.setattr(search, "carried_bits", lambda *a: calls.append(a) or real(*a))
     search.Carrier({"a": ["a", "b"], "b": ["b", "a"]}).write("xyz" * 1000, 0)
     assert 0 < len(calls) < 20
+
+
+def test_borders_of_words_do_not_move_words(spark):
+    for name in ("boundary_mi", "strong_boundaries"):
+        assert "w2" not in "".join(line for line in planned(spark, name).splitlines() if "Aggregate [" in line)
