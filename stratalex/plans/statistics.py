@@ -315,16 +315,10 @@ dh AS (SELECT a.doc_id, a.source, a.h1, coalesce(j.h - x.h, 0) AS h2 FROM a LEFT
 
 
 def doc_entropies(spark, sf, *keys: str):
-    """(doc_id, keys, h1, h2): letter entropies of each document, inside its row."""
-    docs = token_docs(spark, sf).select("doc_id", *keys, stats.chars_of(F.col("toks")).alias("c")).where(F.size("c") > 0)
-    rows = docs.select("doc_id", *keys, F.explode(F.transform(F.sequence(F.lit(0), F.size("c") - 1), lambda i: F.struct(F.get("c", i).alias("c1"), F.get("c", i + 1).alias("c2")))).alias("g"))
-    n = rows.select("doc_id", *keys, "g.*").groupBy("doc_id", *keys, "c1", "c2").agg(F.count(F.lit(1)).alias("n"))
-    # one shuffle by document serves all four sums
-    per = n.groupBy("doc_id", *keys, "c1").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("c2").isNotNull(), F.col("n")).otherwise(0)).alias("m"), F.sum(F.when(F.col("c2").isNotNull(), F.col("n") * F.log2("n")).otherwise(0.0)).alias("l"))
-    total = F.sum("m")
-    xlog = F.sum(F.when(F.col("m") > 0, F.col("m") * F.log2("m")).otherwise(0.0))
-    h2 = F.when(total > 0, (xlog - F.sum("l")) / total).otherwise(0.0)
-    return per.groupBy("doc_id", *keys).agg(stats.bits("n").alias("h1"), h2.alias("h2"))
+    """(doc_id, keys, h1, h2): letter entropies of each document; a written table, as most queries read it several times."""
+    ship_package(spark)
+    docs = token_docs(spark, sf).select("doc_id", *keys, F.array_join("toks", "").alias("letters")).where("letters <> ''")
+    return materialize(stats.letter_entropies(docs, "doc_id", *keys), "entropies")[0]
 
 
 @query(f"""WITH {TOKENS}, {_DOCH}, l AS (SELECT source, abs(h1 - lag(h1) OVER w) AS d1, abs(h2 - lag(h2) OVER w) AS d2 FROM dh WINDOW w AS (PARTITION BY source ORDER BY doc_id))

@@ -176,3 +176,17 @@ def test_letters_of_messages_are_written_once_a_word(monkeypatch):
 def test_borders_of_words_do_not_move_words(spark):
     for name in ("boundary_mi", "strong_boundaries"):
         assert "w2" not in "".join(line for line in planned(spark, name).splitlines() if "Aggregate [" in line)
+
+
+def test_letters_of_documents_are_counted_in_their_rows(spark):
+    rng = random.Random(6)
+    rows = [(i % 20, "s", "".join(rng.choices("abcz", k=rng.choice([1, 2, 30])))) for i in range(30)]
+    got = stats.letter_entropies(spark.createDataFrame(rows, "doc_id long, source string, letters string"), "doc_id", "source")
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    h = lambda c: -sum(n / sum(c.values()) * np.log2(n / sum(c.values())) for n in c.values())
+    for r in got.collect():
+        own = [x for i, _, x in rows if i == r["doc_id"]]
+        pairs = Counter(p for x in own for p in zip(x, x[1:]))
+        first = Counter(a for x in own for a in x[:-1])
+        assert abs(r["h1"] - h(Counter("".join(own)))) < 1e-9 and abs(r["h2"] - (h(pairs) - h(first) if pairs else 0)) < 1e-9
+    assert got.count() == 20
