@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from stratalex.operators import rolling, stats
 from stratalex.plans.registry import query
 from stratalex.plans.sqltext import CHARS, DICT, PAIRS, TOKENS
-from stratalex.session import Tables, materialize, ship_package
-from stratalex.sources.tables import explode_tokens, fixed, table, token_docs, tokens
+from stratalex.session import Tables, drop_path, materialize, ship_package
+from stratalex.sources.tables import explode_tokens, fixed, neighbours, table, token_docs, tokens
 
 r6 = lambda c: F.round(c, 6)
 
@@ -394,29 +394,32 @@ t AS (SELECT quantile_cont(s, 0.75) + 1.5 * (quantile_cont(s, 0.75) - quantile_c
 SELECT doc_id, count(*) AS pairs, round(avg(s), 6) AS mean_s, count(*) FILTER (s > thr) AS beyond_iqr, count(*) FILTER (s > p95) AS beyond_p95 FROM s, t GROUP BY 1""")
 def surprisal_anomalies(spark, sf):
     """Surprisal of each word given the one before; pairs seen once fall back on the word alone."""
-    s = surprisals(spark, sf)
-    # surprisals take few values (one for each distinct pair): the exact quantiles come from weights
-    q = s.groupBy("s").agg(F.sum("n").alias("n")).agg(F.percentile("s", F.array(F.lit(0.25), F.lit(0.75), F.lit(0.95)), F.col("n")).alias("q"))
-    t = q.select((F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("thr"), F.col("q")[2].alias("p95"))
-    x = s.join(F.broadcast(t))
-    n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    return x.groupBy("doc_id").agg(F.sum("n").alias("pairs"), r6(F.sum(F.col("s") * F.col("n")) / F.sum("n")).alias("mean_s"), n(F.col("s") > F.col("thr")).alias("beyond_iqr"), n(F.col("s") > F.col("p95")).alias("beyond_p95"))
-
-
-def surprisals(spark, sf):
-    """(doc_id, s, n): surprisal of the pairs of each document, equal pairs once with their number; a written table, as it is read twice."""
-    tables = Tables(spark)
     docs = token_docs(spark, sf)
-    u = stats.word_counts(docs)
-    total = u.agg(F.sum("c").alias("t"))
-    u = u.join(F.broadcast(total)).select(F.col("tok").alias("w2"), (F.col("c") / F.col("t")).alias("pu"))
-    per_doc = tables.put(stats.word_pairs(docs, "doc_id"), "pairs")
-    n = per_doc.groupBy("w1", "w2").agg(F.sum("n").alias("c"))
-    first = n.groupBy("w1").agg(F.sum("c").alias("t1"))
-    p = n.join(first, "w1").join(u, "w2").select("w1", "w2", (-F.log2(F.greatest(F.when(F.col("c") >= 2, F.col("c") / F.col("t1")).otherwise(F.col("pu")), F.lit(1e-6)))).alias("s"))
-    out, _ = materialize(per_doc.join(p, ["w1", "w2"]).groupBy("doc_id", "s").agg(F.sum("n").alias("n")), "surprisals")
-    tables.drop()
-    return out
+    p, path = materialize(surprisals(docs), "surprisals")
+    # surprisals take few values (one for each distinct pair): the exact quantiles come from weights
+    q = p.groupBy("s").agg(F.sum("c").alias("n")).agg(F.percentile("s", F.array(F.lit(0.25), F.lit(0.75), F.lit(0.95)), F.col("n")).alias("q")).first()["q"]
+    thr, p95 = (F.lit(x) for x in (q[1] + 1.5 * (q[1] - q[0]), q[2])) if q else (F.lit(None), F.lit(None))
+    flat = p.select("w1", "w2", "s", (F.col("s") > thr).cast("int").alias("far"), (F.col("s") > p95).cast("int").alias("high"))
+    # each pair of a document meets its surprisal once; what it adds to the document is all that moves on
+    x = docs.select("doc_id", F.explode(neighbours(F.col("toks"))).alias("b")).select("doc_id", "b.*").join(flat, ["w1", "w2"])
+    g = x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"), r6(F.sum("s") / F.count(F.lit(1))).alias("mean_s"), F.sum("far").alias("beyond_iqr"), F.sum("high").alias("beyond_p95"))
+    done, _ = materialize(g, "anomalies")
+    drop_path(spark, path)
+    return done
+
+
+def surprisals(docs):
+    """(w1, w2, c, s): the pairs of neighbours with their number and surprisal. Words are counted by the pairs that they begin, with none after the last of a document."""
+    tables = Tables(docs.sparkSession)
+    i = F.sequence(F.lit(0), F.size("toks") - 1)
+    pairs = docs.where(F.size("toks") > 0).select(F.explode(F.transform(i, lambda k: F.struct(F.get("toks", k).alias("w1"), F.get("toks", k + 1).alias("w2")))).alias("b"))
+    n = tables.put(pairs.groupBy("b.w1", "b.w2").agg(F.count(F.lit(1)).alias("c")), "pairs")
+    u = n.groupBy("w1").agg(F.sum("c").alias("c"), F.sum(F.when(F.col("w2").isNotNull(), F.col("c"))).alias("t1"))
+    words = tables.put(u, "words")
+    u = words.join(F.broadcast(words.agg(F.sum("c").alias("t")))).select(F.col("w1").alias("w2"), (F.col("c") / F.col("t")).alias("pu"))
+    p = n.where("w2 is not null").join(words.select("w1", "t1"), "w1").join(u, "w2")
+    s = -F.log2(F.greatest(F.when(F.col("c") >= 2, F.col("c") / F.col("t1")).otherwise(F.col("pu")), F.lit(1e-6)))
+    return p.select("w1", "w2", "c", s.alias("s"))
 
 
 @query(f"""WITH {TOKENS}, m AS (SELECT doc_id, quantile_cont(length(tok), 0.5) AS m FROM tokens GROUP BY 1), x AS (SELECT t.doc_id, t.pos, length(t.tok) > m.m AS up FROM tokens t JOIN m USING (doc_id)),

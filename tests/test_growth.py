@@ -9,7 +9,7 @@ import numpy as np
 
 from stratalex.operators import matching as m
 from stratalex.operators import automata, decode, factors, grammar, nulls, search, stats, syllables
-from stratalex.plans import matching
+from stratalex.plans import matching, statistics
 from stratalex.plans.catalog import ORACLES, QUERIES
 
 LARGER = "/root/testdata/sf0.1"
@@ -190,3 +190,10 @@ def test_letters_of_documents_are_counted_in_their_rows(spark):
         first = Counter(a for x in own for a in x[:-1])
         assert abs(r["h1"] - h(Counter("".join(own)))) < 1e-9 and abs(r["h2"] - (h(pairs) - h(first) if pairs else 0)) < 1e-9
     assert got.count() == 20
+
+
+def test_surprisals_are_of_pairs_and_not_of_documents(spark):
+    docs = spark.createDataFrame([(1, "a b a b c".split()), (2, "a c".split()), (3, ["c"]), (4, [])], "doc_id long, toks array<string>")
+    got = {(r["w1"], r["w2"]): (r["c"], r["s"]) for r in statistics.surprisals(docs).collect()}
+    want = {("a", "b"): (2, -np.log2(2 / 3)), ("b", "a"): (1, -np.log2(3 / 8)), ("b", "c"): (1, -np.log2(3 / 8)), ("a", "c"): (1, -np.log2(3 / 8))}
+    assert got.keys() == want.keys() and all(got[k][0] == n and abs(got[k][1] - s) < 1e-12 for k, (n, s) in want.items())
