@@ -12,7 +12,7 @@ from stratalex.plans.models import _RUNS, _hits, _runs
 from stratalex.plans.registry import query
 from stratalex.plans.sequences import DICTIONARY_WORDS
 from stratalex.plans.sqltext import DICT, TOKENS, skeleton
-from stratalex.session import ship_package
+from stratalex.session import Tables, materialize, ship_package
 from stratalex.sources.tables import dictionary, reference_bigrams, reference_docs, table, token_array, token_docs
 
 r6 = lambda c: F.round(c, 6)
@@ -43,7 +43,12 @@ pf AS (SELECT g, h_word, exponent, ttr, codebook FROM uz JOIN uh USING (g) JOIN
 def _profiles(spark, sf):
     """(g, h_word, exponent, ttr, codebook) of each language and of the reference."""
     docs = reference_docs(spark, sf).select(F.lit("reference").alias("g"), "toks").unionByName(token_docs(spark, sf).select(F.col("lang").alias("g"), "toks"))
-    c = stats.word_counts(docs, "g")
+    # one count of pairs, none after the last word of a text, gives words and pairs
+    tables = Tables(spark)
+    i = F.sequence(F.lit(0), F.size("toks") - 1)
+    pairs = docs.where(F.size("toks") > 0).select("g", F.explode(F.transform(i, lambda k: F.struct(F.get("toks", k).alias("w1"), F.get("toks", k + 1).alias("w2")))).alias("b"))
+    pairs = tables.put(pairs.groupBy("g", "b.w1", "b.w2").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    c = tables.put(pairs.groupBy("g", F.col("w1").alias("tok")).agg(F.sum("n").alias("c")), "words")
     z = stats.zipf(c, "g").select("g", "exponent", "ttr", "total")
     # words by count: those that make up nine tenths of the text, ties being equal
     by = c.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k"))
@@ -51,8 +56,10 @@ def _profiles(spark, sf):
     by = by.withColumn("before", F.sum(F.col("k") * F.col("c")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("k") * F.col("c")).join(z.select("g", "total"), "g")
     need = F.ceil((0.9 * F.col("total") - F.col("before")) / F.col("c")).cast("long")
     book = by.groupBy("g").agg(F.sum(F.greatest(F.lit(0), F.least(F.col("k"), need))).alias("codebook"))
-    h = stats.word_conditional_entropy(stats.word_pairs(docs, "g"), "g").select("g", F.col("h").alias("h_word"))
-    return z.drop("total").join(h, "g").join(book, "g")
+    h = stats.word_conditional_entropy(pairs.where("w2 is not null"), "g").select("g", F.col("h").alias("h_word"))
+    found, _ = materialize(z.drop("total").join(h, "g").join(book, "g"), "profiles")
+    tables.drop()
+    return found
 
 
 @query(f"""WITH {TOKENS}, {DICT}, {_PROF} SELECT a.g AS lang, round(abs(a.h_word - r.h_word), 6) AS gap_h, round(abs(a.exponent - r.exponent), 6) AS gap_zipf, round(abs(a.ttr - r.ttr), 6) AS gap_ttr, a.codebook,

@@ -197,3 +197,8 @@ def test_surprisals_are_of_pairs_and_not_of_documents(spark):
     got = {(r["w1"], r["w2"]): (r["c"], r["s"]) for r in statistics.surprisals(docs).collect()}
     want = {("a", "b"): (2, -np.log2(2 / 3)), ("b", "a"): (1, -np.log2(3 / 8)), ("b", "c"): (1, -np.log2(3 / 8)), ("a", "c"): (1, -np.log2(3 / 8))}
     assert got.keys() == want.keys() and all(got[k][0] == n and abs(got[k][1] - s) < 1e-12 for k, (n, s) in want.items())
+
+
+def test_profiles_of_languages_are_made_once(spark):
+    for name in ("codebook_compatibility", "constraint_check"):
+        assert not [f for f in QUERIES[name](spark, SMALL).inputFiles() if "documents" in f]
