@@ -14,7 +14,7 @@ from stratalex.operators import anneal, automata, decode, factors, graph, search
 from stratalex.plans.registry import query
 from stratalex.plans.sqltext import CHARS, DICT, PAIRS, TOKENS
 from stratalex.plans.statistics import char_transitions
-from stratalex.session import Tables, ship_package
+from stratalex.session import Tables, materialize, ship_package
 from stratalex.sources.tables import dictionary, reference_bigrams, reference_docs, token_docs
 
 #: Bounds of the reference tables that every worker gets whole; larger ones are an error.
@@ -281,24 +281,34 @@ def automaton_states(spark, sf):
 ORDER = 2
 
 
-def _context_signatures(spark, sf):
-    edges, accepting = automata.contexts(_vocabulary(spark, sf), ORDER)
-    first = edges.select("g").distinct().withColumn("s", F.lit("^" * ORDER))
-    minimal = automata.minimise(edges, accepting).groupBy("g").agg(F.count_distinct("class").alias("minimal"))
-    return automata.topology(edges, accepting, first).join(minimal, "g")
+def _contexts(spark, sf, tables):
+    """(edges, accepting) of the context automata, written once: at most 27^2 states of 26 letters a language."""
+    words = tables.put(_vocabulary(spark, sf), "words")
+    return [tables.put(t, "contexts") for t in automata.contexts(words, ORDER)]
+
+
+def _context_topology(edges, accepting):
+    return automata.topology(edges, accepting, edges.select("g").distinct().withColumn("s", F.lit("^" * ORDER)))
 
 
 @query()
 def context_automaton(spark, sf):
     """The automaton of two remembered letters of each language, with its cycles: size, depth, branching, and its minimal states by partition refinement."""
-    t = _context_signatures(spark, sf)
+    tables = Tables(spark)
+    edges, accepting = _contexts(spark, sf, tables)
+    minimal = automata.minimise(edges, accepting).groupBy("g").agg(F.count_distinct("class").alias("minimal"))
+    t, _ = materialize(_context_topology(edges, accepting).join(minimal, "g"), "topology")
+    tables.drop()
     return t.select(F.col("g").alias("lang"), "states", "transitions", "accepting", "letters", r6(F.col("branching")).alias("branching"), "widest", "depth", "cycles", r6(F.col("density")).alias("density"), "minimal")
 
 
 @query()
 def automaton_likeness(spark, sf):
     """How alike the context automata of each two languages are."""
-    return automata.likeness(_context_signatures(spark, sf)).select("a", "b", r6(F.col("likeness")).alias("likeness"))
+    tables = Tables(spark)
+    t, _ = materialize(_context_topology(*_contexts(spark, sf, tables)), "topology")
+    tables.drop()
+    return automata.likeness(t).select("a", "b", r6(F.col("likeness")).alias("likeness"))
 
 
 @query()

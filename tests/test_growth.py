@@ -202,3 +202,9 @@ def test_surprisals_are_of_pairs_and_not_of_documents(spark):
 def test_profiles_of_languages_are_made_once(spark):
     for name in ("codebook_compatibility", "constraint_check"):
         assert not [f for f in QUERIES[name](spark, SMALL).inputFiles() if "documents" in f]
+
+
+def test_likeness_needs_no_minimal_states_and_reads_words_once(spark, monkeypatch):
+    monkeypatch.setattr(automata, "minimise", lambda *a: 1 / 0)
+    got = QUERIES["automaton_likeness"](spark, SMALL)
+    assert not [f for f in got.inputFiles() if "documents" in f] and got.count() > 0
