@@ -8,20 +8,59 @@ rank x rank go through the driver. A step writes its tables, the step before dro
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalex.operators.decode import bounded
 from stratalex.session import Tables
-from stratalex.sources.tables import neighbours
+
+
+#: Words that tasks may hold, and up to how many a task adds up its pairs in one table.
+MOST_WORDS, DENSE_WORDS = 200_000, 4096
 
 
 def cooccurrence(docs: DataFrame, words: DataFrame, window: int) -> DataFrame:
-    """(i, j, x): how often words (tok, i) stand within ``window`` places of each other in ``docs`` (toks), both ways."""
-    steps = F.flatten(F.array(*(neighbours(F.col("toks"), k) for k in range(1, window + 1))))
-    pairs = docs.select(F.explode(steps).alias("b")).groupBy("b.w1", "b.w2").agg(F.count(F.lit(1)).alias("n"))
-    one = pairs.join(words.select(F.col("tok").alias("w1"), "i"), "w1").join(words.select(F.col("tok").alias("w2"), F.col("i").alias("j")), "w2")
-    both = one.select("i", "j", "n").unionByName(one.select(F.col("j").alias("i"), F.col("i").alias("j"), "n"))
-    return both.groupBy("i", "j").agg(F.sum("n").cast("double").alias("x"))
+    """(i, j, x): how often words (tok, i) stand within ``window`` places of each other in ``docs`` (toks), both ways.
+
+    Tasks hold the words, whose number is checked, and add up pairs of them by
+    number; pairs of other words are never made.
+    """
+    rows = bounded(words.select("tok", "i"), MOST_WORDS, "the list of words")
+    held = docs.sparkSession.sparkContext.broadcast(([r["tok"] for r in rows], [r["i"] for r in rows]))
+
+    def run(batches):
+        toks, numbers = pa.array(held.value[0], pa.string()), np.array(held.value[1], np.int64)
+        size = len(toks)
+        total = np.zeros(size * size, np.int64) if size <= DENSE_WORDS else None
+
+        def cells(key, n):
+            return pa.record_batch([pa.array(x) for x in (numbers[key // size], numbers[key % size], n)], names=["i", "j", "n"])
+
+        for batch in batches:
+            lists = batch.column("toks")
+            code = pc.fill_null(pc.index_in(lists.flatten(), value_set=toks), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            # only the words of the list are kept, each with its place
+            at = np.flatnonzero(code >= 0)
+            code, row = code[at], row[at]
+            for k in range(1, min(window, max(0, len(at) - 1)) + 1):
+                near = (at[k:] - at[:-k] <= window) & (row[k:] == row[:-k])
+                a, b = code[:-k][near], code[k:][near]
+                key = np.minimum(a, b) * size + np.maximum(a, b)
+                if total is not None:
+                    total += np.bincount(key, minlength=size * size)
+                elif len(key):
+                    yield cells(*np.unique(key, return_counts=True))
+        if total is not None:
+            key = np.flatnonzero(total)
+            yield cells(key, total[key])
+
+    one = docs.select("toks").mapInArrow(run, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    both = one.select(F.inline(F.array(F.struct("i", "j", "n"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "n"))))
+    kinds = dict(words.dtypes)["i"]
+    return both.groupBy(F.col("i").cast(kinds).alias("i"), F.col("j").cast(kinds).alias("j")).agg(F.sum("n").cast("double").alias("x"))
 
 
 def seeded(rows: DataFrame, rank: int, seed: str) -> DataFrame:

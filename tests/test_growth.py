@@ -208,3 +208,19 @@ def test_likeness_needs_no_minimal_states_and_reads_words_once(spark, monkeypatc
     monkeypatch.setattr(automata, "minimise", lambda *a: 1 / 0)
     got = QUERIES["automaton_likeness"](spark, SMALL)
     assert not [f for f in got.inputFiles() if "documents" in f] and got.count() > 0
+
+
+def test_pairs_near_each_other_are_made_of_listed_words_only(spark):
+    rng = random.Random(8)
+    docs = [(rng.choices("abcdefgh", k=rng.randint(0, 25)),) for _ in range(30)] + [(None,)]
+    words = spark.createDataFrame([("a", 0), ("c", 1), ("d", 2)], "tok string, i int")
+    got = factors.cooccurrence(spark.createDataFrame(docs, "toks array<string>"), words, 3)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    number, want = {"a": 0, "c": 1, "d": 2}, Counter()
+    for (t,) in docs[:-1]:
+        for i, x in enumerate(t):
+            for y in t[i + 1 : i + 4]:
+                if x in number and y in number:
+                    want[number[x], number[y]] += 1
+                    want[number[y], number[x]] += 1
+    assert {(r["i"], r["j"]): r["x"] for r in got.collect()} == want
