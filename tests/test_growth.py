@@ -224,3 +224,18 @@ def test_pairs_near_each_other_are_made_of_listed_words_only(spark):
                     want[number[x], number[y]] += 1
                     want[number[y], number[x]] += 1
     assert {(r["i"], r["j"]): r["x"] for r in got.collect()} == want
+
+
+def test_open_words_find_their_neighbours_in_the_row(spark):
+    rng = random.Random(2)
+    docs = [(i, rng.choices("abcdefghij", k=rng.randint(0, 20))) for i in range(40)] + [(None, ["a", "x", "b"]), (99, None)]
+    tag = {"a": "A", "b": "B", "c": "C"}
+    got = m.open_between(spark.createDataFrame(docs, "doc_id long, toks array<string>"), spark.createDataFrame(list(tag.items()), "word string, tag string"), 3)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = []
+    for i, t in docs[:-1]:
+        for k, w in enumerate(t):
+            left, right = [j for j in range(k) if t[j] in tag], [j for j in range(k + 1, len(t)) if t[j] in tag]
+            if w not in tag and left and right and k - left[-1] <= 3 and right[0] - k <= 3:
+                want.append((i, k, w, tag[t[left[-1]]], tag[t[right[0]]]))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len(want) > 20
