@@ -18,6 +18,7 @@ from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
 from pyspark.sql.types import IntegerType, StringType, StructType
 
 from stratalex.operators import stats
+from stratalex.session import Tables, materialize
 
 
 class GenerativeModel(ABC):
@@ -166,11 +167,15 @@ NEAR = (0.3, 0.1, 0.3)
 
 
 def profiles(texts: DataFrame) -> DataFrame:
-    """(run, h1, h2, h3, exponent, ttr, words) of ``texts`` (run, toks)."""
-    counts = stats.word_counts(texts, "run")
-    h = stats.char_entropies(stats.char_grams(texts, "run"), "run").select("run", "h1", "h2", "h3")
+    """(run, h1, h2, h3, exponent, ttr, words) of ``texts`` (run, toks); a written table. Texts are made or read once: words and letters come from one count."""
+    tables = Tables(texts.sparkSession)
+    after = tables.put(stats.words_after(texts, "run"), "words")
+    counts = after.groupBy("run", "tok").agg(F.sum("n").alias("c"))
+    h = stats.char_entropies(stats.grams_of(after, "run"), "run").select("run", "h1", "h2", "h3")
     z = stats.zipf(counts, "run").select("run", "exponent", "ttr", F.col("total").alias("words"))
-    return h.join(z, "run")
+    done, _ = materialize(h.join(z, "run"), "profiles")
+    tables.drop()
+    return done
 
 
 def passes(name: str, profile: Row) -> bool:

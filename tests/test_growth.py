@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 
 from stratalex.operators import matching as m
-from stratalex.operators import automata, decode, factors, grammar, nulls, search, stats, syllables
+from stratalex.operators import automata, decode, factors, generative, grammar, nulls, search, stats, syllables
 from stratalex.plans import matching, statistics
 from stratalex.plans.catalog import ORACLES, QUERIES
 
@@ -239,3 +239,9 @@ def test_open_words_find_their_neighbours_in_the_row(spark):
             if w not in tag and left and right and k - left[-1] <= 3 and right[0] - k <= 3:
                 want.append((i, k, w, tag[t[left[-1]]], tag[t[right[0]]]))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len(want) > 20
+
+
+def test_texts_of_models_are_made_once_for_their_profiles(spark):
+    texts = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("'a' AS run", "split(lower(text), ' ') AS toks").where("text rlike '^[a-z ]+$'")
+    got = generative.profiles(texts)
+    assert not [f for f in got.inputFiles() if "documents" in f] and got.columns == ["run", "h1", "h2", "h3", "exponent", "ttr", "words"]
