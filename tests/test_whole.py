@@ -6,7 +6,7 @@ import pytest
 from stratalex.plans.catalog import ORACLES, QUERIES
 
 #: Queries over all words of a skeleton.
-WHOLE = ["mask_solver_pass"]
+WHOLE = ["mask_solver_pass", "both_direction_words"]
 
 
 @pytest.fixture(scope="module")
@@ -35,4 +35,5 @@ def test_no_skeleton_has_too_many_words(spark, crowded, name):
 #: A part of a row that is there only if the crowded skeleton is read.
 FOUND = {
     "mask_solver_pass": {"solved": 2, "types": 2, "first_word": "kal"},
+    "both_direction_words": {"word": "nat"},
 }
