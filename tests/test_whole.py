@@ -6,7 +6,7 @@ import pytest
 from stratalex.plans.catalog import ORACLES, QUERIES
 
 #: Queries over all words of a skeleton.
-WHOLE = ["mask_solver_pass", "both_direction_words"]
+WHOLE = ["mask_solver_pass", "both_direction_words", "consensus_apply"]
 
 
 @pytest.fixture(scope="module")
@@ -36,4 +36,5 @@ def test_no_skeleton_has_too_many_words(spark, crowded, name):
 FOUND = {
     "mask_solver_pass": {"solved": 2, "types": 2, "first_word": "kal"},
     "both_direction_words": {"word": "nat"},
+    "consensus_apply": {"lang": "la", "solved": 18},
 }
