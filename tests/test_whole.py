@@ -6,7 +6,7 @@ import pytest
 from stratalex.plans.catalog import ORACLES, QUERIES
 
 #: Queries over all words of a skeleton.
-WHOLE = ["mask_solver_pass", "both_direction_words", "consensus_apply"]
+WHOLE = ["mask_solver_pass", "both_direction_words", "consensus_apply", "consensus_mapping"]
 
 
 @pytest.fixture(scope="module")
@@ -37,4 +37,5 @@ FOUND = {
     "mask_solver_pass": {"solved": 2, "types": 2, "first_word": "kal"},
     "both_direction_words": {"word": "nat"},
     "consensus_apply": {"lang": "la", "solved": 18},
+    "consensus_mapping": {"skel": "N-T", "word": "nat", "c": 9, "total": 9},
 }
