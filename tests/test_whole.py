@@ -6,7 +6,7 @@ import pytest
 from stratalex.plans.catalog import ORACLES, QUERIES
 
 #: Queries over all words of a skeleton.
-WHOLE = ["mask_solver_pass", "both_direction_words", "consensus_apply", "consensus_mapping"]
+WHOLE = ["mask_solver_pass", "both_direction_words", "consensus_apply", "consensus_mapping", "consensus_relaxed"]
 
 
 @pytest.fixture(scope="module")
@@ -38,4 +38,5 @@ FOUND = {
     "both_direction_words": {"word": "nat"},
     "consensus_apply": {"lang": "la", "solved": 18},
     "consensus_mapping": {"skel": "N-T", "word": "nat", "c": 9, "total": 9},
+    "consensus_relaxed": {"skel": "N-T", "word": "nat", "c": 9, "total": 9},
 }
