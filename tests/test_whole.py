@@ -6,7 +6,7 @@ import pytest
 from stratalex.plans.catalog import ORACLES, QUERIES
 
 #: Queries over all words of a skeleton.
-WHOLE = ["mask_solver_pass", "both_direction_words", "consensus_apply", "consensus_mapping", "consensus_relaxed"]
+WHOLE = ["mask_solver_pass", "both_direction_words", "consensus_apply", "consensus_mapping", "consensus_relaxed", "forward_significance"]
 
 
 @pytest.fixture(scope="module")
@@ -39,4 +39,5 @@ FOUND = {
     "consensus_apply": {"lang": "la", "solved": 18},
     "consensus_mapping": {"skel": "N-T", "word": "nat", "c": 9, "total": 9},
     "consensus_relaxed": {"skel": "N-T", "word": "nat", "c": 9, "total": 9},
+    "forward_significance": {"word": "nat", "k": 9, "m": 9, "n": 20},
 }
