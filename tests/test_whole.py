@@ -6,7 +6,7 @@ import pytest
 from stratalex.plans.catalog import ORACLES, QUERIES
 
 #: Queries over all words of a skeleton.
-WHOLE = ["mask_solver_pass", "both_direction_words", "consensus_apply", "consensus_mapping", "consensus_relaxed", "forward_significance", "mapping_cardinality"]
+WHOLE = ["mask_solver_pass", "both_direction_words", "consensus_apply", "consensus_mapping", "consensus_relaxed", "forward_significance", "mapping_cardinality", "reverse_significance"]
 
 
 @pytest.fixture(scope="module")
@@ -41,4 +41,5 @@ FOUND = {
     "consensus_relaxed": {"skel": "N-T", "word": "nat", "c": 9, "total": 9},
     "forward_significance": {"word": "nat", "k": 9, "m": 9, "n": 20},
     "mapping_cardinality": {"kind": "1:1", "mappings": 2, "total": 18},
+    "reverse_significance": {"word": "nat", "k": 9, "m": 9, "n": 2},
 }
