@@ -12,10 +12,13 @@ WHOLE = ["mask_solver_pass", "both_direction_words", "consensus_apply", "consens
 @pytest.fixture(scope="module")
 def crowded(tmp_path_factory):
     """A folder whose dictionary has twenty words of one skeleton; the words around a token tell which one it is."""
-    at = tmp_path_factory.mktemp("crowded")
-    others = " ".join(f"n{a}t{b}" for a in "aeiou" for b in ("", "a", "e", "i") if a + b != "a")
+    return crowd(tmp_path_factory.mktemp("crowded"), "nat")
+
+
+def crowd(at, word):
+    others = " ".join(f"n{a}t{b}" for a in "aeiou" for b in ("", "a", "e", "i") if f"n{a}t{b}" != word)
     con = duckdb.connect()
-    con.execute(f"copy (select i as item_id, 'alpha nat ohm kal' as text from range(3) t(i) union all select 3, '{others}') to '{at}/benchmark.parquet'")
+    con.execute(f"copy (select i as item_id, 'alpha {word} ohm kal' as text from range(3) t(i) union all select 3, '{others}') to '{at}/benchmark.parquet'")
     con.execute(f"copy (select i as doc_id, 'la' as lang, 's' as source, 'alpha nyyt ohm kyyl' as text from range(9) t(i)) to '{at}/documents.parquet'")
     return str(at)
 
@@ -43,3 +46,9 @@ FOUND = {
     "mapping_cardinality": {"kind": "1:1", "mappings": 2, "total": 18},
     "reverse_significance": {"word": "nat", "k": 9, "m": 9, "n": 2},
 }
+
+
+def test_passes_look_at_all_words_of_a_skeleton(spark, tmp_path):
+    got = {r["step"]: (r["n"], r["words"]) for r in QUERIES["mask_solver_passes"](spark, crowd(tmp_path, "nata")).collect()}
+    # the word of the crowded skeleton and the one behind it, in each of nine documents
+    assert got == {0: (18, 2), 1: (18, 2)}
