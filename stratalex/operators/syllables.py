@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 SPACE, UNSEEN, END, ENDS = "<SPACE>", 1e-4, 0.2, 0.1
 #: States that are kept after each token.
 WIDTH = 15
+#: Tokens, and pairs of lists of readings, that a task remembers.
+MOST_HELD = 100_000
 
 
 def candidates(token: str, affixes: dict[str, list[str]]) -> list[str]:
@@ -26,46 +28,88 @@ def candidates(token: str, affixes: dict[str, list[str]]) -> list[str]:
     return sorted(found) or [token[:1] + "e"]
 
 
+class Reader:
+    """Reads texts; what a token stands for, and which pairs of two tokens' readings are known, is found once for all texts of a task."""
+
+    def __init__(self, after: dict[str, dict[str, float]], affixes: dict[str, list[str]], width: int = WIDTH) -> None:
+        self.after, self.affixes, self.width = after, affixes, width
+        #: Lists of readings by number, and how each reading is written.
+        self.lists: list[list[str]] = [[SPACE]]
+        self.parts: list[list[str]] = [[""]]
+        self.number: dict[tuple[str, ...], int] = {(SPACE,): 0}
+        self.of: dict[str, int] = {}
+        self.known: dict[tuple[int, int], list[list[tuple[int, float]]]] = {}
+
+    def _list(self, token: str) -> int:
+        if len(self.of) > MOST_HELD:
+            self.of.clear()
+        own = candidates(token, self.affixes)
+        k = self.number.setdefault(tuple(own), len(self.lists))
+        if k == len(self.lists):
+            self.lists.append(own)
+            self.parts.append([x + (" " if self.after.get(x, {}).get(SPACE, END) > ENDS else "") for x in own])
+        self.of[token] = k
+        return k
+
+    def _pairs(self, a: int, b: int) -> list[list[tuple[int, float]]]:
+        """For each reading of list ``b`` those of list ``a`` that are known before it, by place, with their log odds."""
+        if len(self.known) > MOST_HELD:
+            self.known.clear()
+        rows = [self.after.get(x, {}) for x in self.lists[a]]
+        self.known[a, b] = [[(i, math.log(row[x])) for i, row in enumerate(rows) if x in row] for x in self.lists[b]]
+        return self.known[a, b]
+
+    def read(self, tokens: list[str]) -> tuple[str, float]:
+        unseen, width = math.log(UNSEEN), self.width
+        # of each reading of the token before: score, links back, and its text from some common beginning on, which tells equal ones apart
+        before, scores, backs, tails, room = 0, [0.0], [None], [""], 256
+        for token in tokens:
+            now = self.of.get(token)
+            if now is None:
+                now = self._list(token)
+            pairs = self.known.get((before, now)) or self._pairs(before, now)
+            plain = [x + unseen for x in scores]
+            best_plain, first = max(plain), -1
+            fresh, links, texts = [], [], []
+            for hits, part in zip(pairs, self.parts[now]):
+                if hits:
+                    all_ = plain[:]
+                    for i, odds in hits:
+                        all_[i] = scores[i] + odds
+                    best = max(all_)
+                    win = all_.index(best) if all_.count(best) == 1 else min((i for i, x in enumerate(all_) if x == best), key=tails.__getitem__)
+                else:
+                    # what is never seen after any of them follows the same one
+                    if first < 0:
+                        first = plain.index(best_plain) if plain.count(best_plain) == 1 else min((i for i, x in enumerate(plain) if x == best_plain), key=tails.__getitem__)
+                    best, win = best_plain, first
+                fresh.append(best)
+                links.append((backs[win], part))
+                texts.append(tails[win] + part)
+            if len(fresh) > width:
+                edge = sorted(fresh, reverse=True)[width - 1]
+                # what is equal to the last one that stays is put in order by its text
+                ties = sorted((i for i, x in enumerate(fresh) if x == edge), key=texts.__getitem__)
+                for i in [i for i, x in enumerate(fresh) if x < edge] + ties[width - sum(x > edge for x in fresh) :]:
+                    fresh[i], links[i], texts[i] = -math.inf, None, ""
+            before, scores, backs, tails = now, fresh, links, texts
+            if len(max(tails, key=len)) > room:
+                kept = [i for i, x in enumerate(scores) if x > -math.inf]
+                for i, text in zip(kept, _endings([backs[i] for i in kept])):
+                    tails[i] = text
+                room = 256 + 2 * len(max(tails, key=len))
+        best = max(scores)
+        win = min((i for i, x in enumerate(scores) if x == best), key=tails.__getitem__)
+        return _spelled(backs[win]), best
+
+
 def decode(tokens: list[str], after: dict[str, dict[str, float]], affixes: dict[str, list[str]], width: int = WIDTH) -> tuple[str, float]:
     """The text of the likeliest way through the candidates and its log probability; ties by the text.
 
     States that stand at one syllable go on alike, so of these only the best can win: a beam of
     as many states as there are candidates of a token is exact. Texts are kept as links, not copied.
     """
-    beam: dict[str, tuple[float, tuple | None]] = {SPACE: (0.0, None)}
-    # what a token stands for and the odds from one syllable to another are found once for each that comes
-    own_: dict[str, list[str]] = {}
-    odds_: dict[str, dict[str, float]] = {}
-    parts: dict[str, str] = {}
-    unseen = math.log(UNSEEN)
-    for token in tokens:
-        if token not in own_:
-            own_[token] = candidates(token, affixes)
-        states = []
-        for last, (score, back) in beam.items():
-            if last not in odds_:
-                odds_[last] = {x: math.log(p) for x, p in after.get(last, {}).items()}
-            states.append((score, back, odds_[last]))
-        fresh: dict[str, tuple[float, tuple | None]] = {}
-        for cand in own_[token]:
-            scores = [score + odds.get(cand, unseen) for score, _, odds in states]
-            best = max(scores)
-            equal = [states[i][1] for i, x in enumerate(scores) if x == best] if scores.count(best) > 1 else None
-            back = min(zip(_endings(equal), equal), key=lambda x: x[0])[1] if equal else states[scores.index(best)][1]
-            if cand not in parts:
-                parts[cand] = cand + (" " if after.get(cand, {}).get(SPACE, END) > ENDS else "")
-            fresh[cand] = (best, (back, parts[cand]))
-        order = sorted(fresh.items(), key=lambda x: -x[1][0])
-        # what is equal to the last one that stays is put in order by its text
-        if len(order) > width:
-            edge = order[width - 1][1][0]
-            sure = [x for x in order if x[1][0] > edge]
-            ties = [x for x in order if x[1][0] == edge]
-            texts = _endings([x[1][1] for x in ties])
-            order = sure + [ties[i] for i in sorted(range(len(ties)), key=texts.__getitem__)][: width - len(sure)]
-        beam = dict(order)
-    best = max(score for score, _ in beam.values())
-    return min(_spelled(back) for score, back in beam.values() if score == best), best
+    return Reader(after, affixes, width).read(tokens)
 
 
 def _endings(backs: list[tuple | None]) -> list[str]:
@@ -100,10 +144,11 @@ def decode_documents(docs: DataFrame, after: dict[str, dict[str, float]], affixe
     held = docs.sparkSession.sparkContext.broadcast((after, affixes))
 
     def run(frames):
+        reader = Reader(*held.value, width)
         for f in frames:
             rows = []
             for ident, toks in zip(f["doc_id"], f["toks"]):
-                text, score = decode(list(toks), *held.value, width) if len(toks) else ("", None)
+                text, score = reader.read(list(toks)) if len(toks) else ("", None)
                 rows.append((ident, len(toks), score, text))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "score", "decoded"])
 
