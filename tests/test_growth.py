@@ -2,6 +2,7 @@
 
 import random
 import time
+import zlib
 from collections import Counter
 
 import duckdb
@@ -245,3 +246,18 @@ def test_texts_of_models_are_made_once_for_their_profiles(spark):
     texts = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("'a' AS run", "split(lower(text), ' ') AS toks").where("text rlike '^[a-z ]+$'")
     got = generative.profiles(texts)
     assert not [f for f in got.inputFiles() if "documents" in f] and got.columns == ["run", "h1", "h2", "h3", "exponent", "ttr", "words"]
+
+
+def test_draws_meet_words_in_packed_shards(spark):
+    rng = np.random.default_rng(7)
+    share = nulls.SHARE
+    taken = [(0, k, 1) for k in range(0, 5000, 3)] + [(1, 0, 7), (1, 10, 990), (1, share - 5, 10), (1, 2 * share, 3 * share)]
+    a, b, c = (rng.integers(0, n, 6000) for n in (5000, 6 * share, 1200))
+    c[:20] = share + rng.integers(-8, 8, 20)
+    draws = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), c.tolist())), "a long, b long, c long").repartition(3)
+    got = nulls.drawn_hits(draws, {"a": 0, "b": 1, "c": 1}, spark.createDataFrame(taken, "space int, start long, c long"))
+    hit = lambda at, space: sum(any(s == space and x <= v < x + n for s, x, n in taken[1667:]) if space else v % 3 == 0 for v in at.tolist())
+    assert {r["kind"]: r["hits"] for r in got.collect()} == {"a": hit(a, 0), "b": hit(b, 1), "c": hit(c, 1)}
+    # a draw that is moved is little more than a byte, as it was a row
+    at = np.sort(rng.integers(0, share, share // 250))
+    assert (nulls.unpacked(nulls.packed(at)) == at).all() and len(zlib.compress(nulls.packed(at))) < 2 * len(at)
