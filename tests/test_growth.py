@@ -261,3 +261,15 @@ def test_draws_meet_words_in_packed_shards(spark):
     # a draw that is moved is little more than a byte, as it was a row
     at = np.sort(rng.integers(0, share, share // 250))
     assert (nulls.unpacked(nulls.packed(at)) == at).all() and len(zlib.compress(nulls.packed(at))) < 2 * len(at)
+
+
+def test_known_neighbours_are_counted_in_their_rows(spark):
+    assert "w1" not in "".join(line for line in planned(spark, "cross_document_shuffle").splitlines() if "Join" in line or "Aggregate [" in line)
+    rng = random.Random(3)
+    rows = [rng.choices("abcdz", k=rng.choice([0, 0, 1, 2, 9])) for _ in range(40)]
+    pairs = [("a", "b"), ("b", "b"), ("d", "a"), ("e", "q")]
+    docs = spark.createDataFrame([(r,) for r in [*rows, None]], "toks array<string>")
+    got = nulls.known_neighbours(docs, spark.createDataFrame(pairs, "w1 string, w2 string")).first()
+    all_ = [p for r in rows for p in zip(r, r[1:])]
+    assert tuple(got) == (len(all_), sum(p in pairs for p in all_))
+    assert nulls.known_neighbours(docs, spark.createDataFrame([], "w1 string, w2 string")).first()["known"] == 0
